@@ -492,8 +492,7 @@ def scaled(source, columns, suffix, keep, digits):
 
 def matrix(source, columns):
     return " union all ".join(
-        f"select '{a}' as x, '{b}' as y, round({'1.0' if a == b else f'corr({a}, {b})'}, 2) as r from {source}"
-        + (" limit 1" if False else "")
+        f"select '{a}' as x, '{b}' as y, round(corr({a}, {b}), 2) + 0.0 as r from {source}"
         for a in columns
         for b in columns
         if a != b
@@ -563,7 +562,7 @@ ORACLE_SQL = {
     select o_custkey as c, row_number() over (order by min(o_orderkey), o_custkey) - 1 as code from dirty group by o_custkey)
   select o_orderkey, o_custkey, dense_rank() over (order by coalesce(prio, 'NA')) - 1 as prio_encoded,
     code as o_custkey_encoded from dirty join codes on c = o_custkey""",
-    "p6_clean_names": "select n_nationkey as nation_key, n_name as n_name, n_regionkey as region_key_ from nation",
+    "p6_clean_names": "select n_nationkey as nation_key, n_name as n_name, n_regionkey as region_key from nation",
     "p7_filter_by_flag": f"""{DIRTY}, {fences('q', 'dirty', DIRTY_NUMERIC)}
   select {', '.join('t.' + c for c in DIRTY_ALL[:5])}, cast(t.odate as varchar) as odate
   from dirty t, q f where not {outside_any(DIRTY_NUMERIC)}""",

@@ -262,10 +262,9 @@ def c10_isolation_forest(spark, folder):
     df = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
-    model = isolation.fit_isolation_forest(
+    return isolation.flag_anomalies(
         df, columns=["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     )
-    return model.transform(df)
 
 
 def c11_remove_outliers_iqr(spark, folder):

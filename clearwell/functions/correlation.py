@@ -2,10 +2,11 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import stats
 from .types import ref
 
-# Pairs per aggregate, to keep the generated code within bounds.
-PAIRS_PER_PASS = 120
+# Sums per aggregate, few enough for the JVM to compile the generated code.
+SUMS_PER_PASS = 30
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -16,17 +17,52 @@ def pearson(x: Column, y: Column) -> Column:
     )
 
 
-def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
-    """r for each pair of columns, each pair once, in column order."""
+def correlations(
+    df: DataFrame, columns: list[str], found: stats.TableMoments | None = None
+) -> dict[tuple[str, str], float | None]:
+    """r for each pair of columns, each pair once, in column order; None where a column
+    is constant.
+
+    Columns are standardised first, so r of two complete columns is the mean of one
+    product. Pairs with NULL cells need five more sums over their common rows.
+    """
+    found = found or stats.moments(df, columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    found = {}
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = pairs[start : start + PAIRS_PER_PASS]
-        row = df.agg(
-            *[
-                pearson(ref(a).cast("double"), ref(b).cast("double")).alias(f"r{i}")
-                for i, (a, b) in enumerate(batch)
-            ]
+    result: dict[tuple[str, str], float | None] = dict.fromkeys(pairs)
+    usable = [
+        c for c in columns if found.columns[c].n and not found.columns[c].constant
+    ]
+    full = {c for c in usable if found.columns[c].n == found.rows}
+    z = {c: F.col(f"z{i}") for i, c in enumerate(usable)}
+    data = df.select(
+        [
+            ((ref(c).cast("double") - found.columns[c].mean) / found.columns[c].deviation).alias(f"z{i}")
+            for i, c in enumerate(usable)
+        ]
+    )
+    complete = [(a, b) for a, b in pairs if a in full and b in full]
+    for batch in _batches(complete, SUMS_PER_PASS):
+        row = data.agg(*[F.avg(z[a] * z[b]).alias(f"r{i}") for i, (a, b) in enumerate(batch)]).first()
+        result.update({pair: row[i] for i, pair in enumerate(batch)})
+    gappy = [(a, b) for a, b in pairs if a in z and b in z and not (a in full and b in full)]
+    for batch in _batches(gappy, SUMS_PER_PASS // 6):
+        row = data.agg(
+            *[_common_r(z[a], z[b]).alias(f"r{i}") for i, (a, b) in enumerate(batch)]
         ).first()
-        found.update({pair: row[f"r{i}"] for i, pair in enumerate(batch)})
-    return found
+        result.update({pair: row[i] for i, pair in enumerate(batch)})
+    return result
+
+
+def _common_r(x: Column, y: Column) -> Column:
+    """r over the rows that hold both, from sums of near-zero numbers."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    n = F.count(x).cast("double")
+    sx, sy = F.sum(x), F.sum(y)
+    vx, vy = n * F.sum(x * x) - sx * sx, n * F.sum(y * y) - sy * sy
+    # Below this a column is constant on the common rows but for rounding.
+    tiny = n * n * 1e-14
+    return F.when((vx > tiny) & (vy > tiny), (n * F.sum(x * y) - sx * sy) / F.sqrt(vx) / F.sqrt(vy))
+
+
+def _batches(items: list, size: int):
+    return [items[i : i + size] for i in range(0, len(items), size)]

@@ -68,24 +68,34 @@ def _opaque_text(field: T.StructField) -> Column:
     return F.to_json(ref(field.name))
 
 
+def _unpivot(df: DataFrame, cells: list[list[Column]], names: list[str]) -> DataFrame:
+    """One row per table row and column: the column's ordinal and its cell. Aggregating
+    this form takes one scan and generated code of one size, however wide the table;
+    one wide aggregate outgrows what the JVM compiles after some thirty functions."""
+    parts = []
+    for start in range(0, len(cells), COLUMNS_PER_PASS):
+        batch = cells[start : start + COLUMNS_PER_PASS]
+        flat = [F.lit(len(batch))]
+        for i, cell in enumerate(batch, start):
+            flat += [F.lit(i), *cell]
+        parts.append(df.select(F.stack(*flat).alias(*names)))
+    long = parts[0]
+    for part in parts[1:]:
+        long = long.unionAll(part)
+    return long
+
+
 def value_counts(df: DataFrame, columns: list[str], shorten: bool = False) -> DataFrame:
     """``(ordinal, whole, fraction, text, n)``: how often each value occurs in each
     column, from one scan and one exchange. Values keep their type class, so ties
     compare as numbers. ``shorten`` swaps long text for its digest, for callers
     that only count distinct values."""
     fields = {f.name: f for f in df.schema}
-    parts = []
-    for start in range(0, len(columns), COLUMNS_PER_PASS):
-        batch = columns[start : start + COLUMNS_PER_PASS]
-        cells = [F.lit(len(batch))]
-        for i, name in enumerate(batch, start):
-            cells += [F.lit(i), *_typed(fields[name], shorten)]
-        parts.append(
-            df.select(F.stack(*cells).alias("ordinal", "whole", "fraction", "text"))
-        )
-    long = parts[0]
-    for part in parts[1:]:
-        long = long.unionAll(part)
+    long = _unpivot(
+        df,
+        [_typed(fields[name], shorten) for name in columns],
+        ["ordinal", "whole", "fraction", "text"],
+    )
     return long.groupBy("ordinal", "whole", "fraction", "text").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -137,18 +147,21 @@ class Moments:
 
     n: int = 0
     mean: float | None = None
-    variance: float | None = None
     deviation: float | None = None
     low: float | None = None
     high: float | None = None
     skew: float | None = None
     kurtosis: float | None = None
-    negatives: int = 0
 
     @property
     def constant(self) -> bool:
         return self.n > 0 and self.low == self.high
 
+    @property
+    def variance(self) -> float | None:
+        """Sample variance; the deviation is that of the population."""
+        return self.deviation**2 * self.n / (self.n - 1) if self.n > 1 else None
+
 
 @dataclass
 class TableMoments:
@@ -159,49 +172,41 @@ class TableMoments:
 def skew_of(col: Column) -> Column:
     """Bias-corrected skewness G1; 0 for a constant column, NULL below 3 values."""
     n = F.count(col).cast("double")
-    return F.when(
-        n >= 3,
-        F.coalesce(F.skewness(col) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)), F.lit(0.0)),
-    )
+    scale = F.try_divide(F.sqrt(n * (n - 1)), n - 2)
+    return F.when(n >= 3, F.coalesce(F.skewness(col) * scale, F.lit(0.0)))
 
 
 def kurtosis_of(col: Column) -> Column:
     """Bias-corrected excess kurtosis G2; 0 for a constant column, NULL below 4 values."""
     n = F.count(col).cast("double")
-    scale = F.nullif((n - 2) * (n - 3), F.lit(0.0))
-    return F.when(
-        n >= 4,
-        F.coalesce((n - 1) / scale * ((n + 1) * F.kurtosis(col) + 6), F.lit(0.0)),
-    )
+    scale = F.try_divide(n - 1, (n - 2) * (n - 3))
+    return F.when(n >= 4, F.coalesce(scale * ((n + 1) * F.kurtosis(col) + 6), F.lit(0.0)))
 
 
 def moments(df: DataFrame, columns: list[str], shape: bool = False) -> TableMoments:
-    """One aggregate over all columns; ``shape`` adds skewness and kurtosis."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(columns):
-        col = ref(name).cast("double")
-        aggs += [
-            F.count(col).alias(f"n{i}"),
-            F.avg(col).alias(f"mean{i}"),
-            F.var_samp(col).alias(f"variance{i}"),
-            F.stddev_pop(col).alias(f"deviation{i}"),
-            F.min(col).alias(f"low{i}"),
-            F.max(col).alias(f"high{i}"),
-            F.count_if(col < 0).alias(f"negatives{i}"),
-        ]
-        if shape:
-            aggs += [skew_of(col).alias(f"skew{i}"), kurtosis_of(col).alias(f"kurtosis{i}")]
-    row = df.agg(*aggs).first().asDict()
-    parts = ["n", "mean", "variance", "deviation", "low", "high", "negatives"]
+    """Summary of all columns in one scan; ``shape`` adds skewness and kurtosis."""
+    if not columns:
+        return TableMoments(df.count())
+    value = F.col("value")
+    aggs = [
+        F.count(F.lit(1)).alias("rows"),
+        F.count(value).alias("n"),
+        F.avg(value).alias("mean"),
+        F.stddev_pop(value).alias("deviation"),
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
+    ]
     if shape:
-        parts += ["skew", "kurtosis"]
-    return TableMoments(
-        rows=row["rows"],
-        columns={
-            name: Moments(**{p: row[f"{p}{i}"] for p in parts})
-            for i, name in enumerate(columns)
-        },
-    )
+        aggs += [skew_of(value).alias("skew"), kurtosis_of(value).alias("kurtosis")]
+    cells = [[ref(c).cast("double")] for c in columns]
+    found = _unpivot(df, cells, ["ordinal", "value"]).groupBy("ordinal").agg(*aggs)
+    result = TableMoments(0, {c: Moments() for c in columns})
+    for row in found.collect():  # one row per column
+        values = row.asDict()
+        name = columns[values.pop("ordinal")]
+        result.rows = values.pop("rows")
+        result.columns[name] = Moments(**values)
+    return result
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:

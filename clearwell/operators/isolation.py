@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import stats
+from ..functions.storage import materialize
 from ..functions.types import numeric_columns, ref
 
 # Forest size, rows per tree and seed.
@@ -29,8 +30,8 @@ def expected_depth(n):
 
 
 def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int):
-    """Nodes as (feature, cut, left, right, path); feature -1 marks a leaf, ``path`` is
-    its depth plus the expected rest."""
+    """Nodes as (feature, cut, left, right, path). A leaf points to itself; its ``path``
+    is its depth plus the expected rest."""
     nodes = []
     queue = [(rows, 0, None)]
     while queue:
@@ -42,7 +43,7 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int):
         low, high = part.min(axis=0), part.max(axis=0)
         spread = np.flatnonzero(high > low)
         if depth >= max_depth or len(part) <= 1 or not len(spread):
-            nodes.append([-1, 0.0, -1, -1, depth + float(expected_depth(len(part)))])
+            nodes.append([0, np.inf, at, at, depth + float(expected_depth(len(part)))])
             continue
         feature = int(rng.choice(spread))
         cut = float(rng.uniform(low[feature], high[feature]))
@@ -53,21 +54,16 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int):
     return nodes
 
 
-def _mean_path(points: np.ndarray, trees) -> np.ndarray:
-    total = np.zeros(len(points))
-    every = np.arange(len(points))
+def _mean_path(points: np.ndarray, trees, max_depth: int) -> np.ndarray:
+    count = len(points)
+    flat, rows = np.asfortranarray(points).ravel(order="F"), np.arange(count)
+    total = np.zeros(count)
     for feature, cut, left, right, path in trees:
-        at = np.zeros(len(points), dtype=np.int64)
-        moving = every
-        while len(moving):
-            node = at[moving]
-            inner = feature[node] >= 0
-            moving, node = moving[inner], node[inner]
-            if not len(moving):
-                break
-            goes_left = points[moving, feature[node]] <= cut[node]
-            at[moving] = np.where(goes_left, left[node], right[node])
-        total += path[at]
+        at = np.zeros(count, dtype=np.int64)
+        for _ in range(max_depth):
+            value = flat.take(feature.take(at) * count + rows)
+            at = np.where(value <= cut.take(at), left.take(at), right.take(at))
+        total += path.take(at)
     return total / max(len(trees), 1)
 
 
@@ -76,58 +72,59 @@ class IsolationModel:
     columns: list[str]
     trees: list
     tree_rows: int
-    threshold: float | None
-    summary: dict
+    max_depth: int = 0
+    threshold: float | None = None
 
     def score(self, df: DataFrame, name: str = "anomaly_score") -> DataFrame:
         """Anomaly score in 0..1; NULL for rows with a NULL feature."""
-        if self.threshold is None and not self.trees:
+        if not self.trees:
             return df.withColumn(name, F.lit(None).cast("double"))
         trees = df.sparkSession.sparkContext.broadcast(self.trees)
         norm = float(expected_depth(self.tree_rows)) or 1.0
-        width = len(self.columns)
+        depth = self.max_depth
 
         @F.pandas_udf("double")
         def score(*features: pd.Series) -> pd.Series:
             points = np.column_stack([f.to_numpy(dtype=float) for f in features])
             known = ~np.isnan(points).any(axis=1)
             out = np.full(len(points), np.nan)
-            out[known] = 2.0 ** (-_mean_path(points[known].reshape(-1, width), trees.value) / norm)
-            return pd.Series(out)
+            out[known] = 2.0 ** (-_mean_path(points[known], trees.value, depth) / norm)
+            return pd.Series(out)  # NaN arrives in Spark as NULL
 
-        raw = score(*[ref(c).cast("double") for c in self.columns])
-        return df.withColumn(name, F.nullif(raw, F.lit(float("nan"))))
+        return df.withColumn(name, score(*[ref(c).cast("double") for c in self.columns]))
 
-    def transform(self, df: DataFrame, name: str = "is_outlier") -> DataFrame:
+    def set_threshold(self, scored: DataFrame, name: str, contamination: float) -> None:
+        """So that the ``contamination`` share with the highest scores lies above."""
+        self.threshold = stats.quantiles(scored, [name], [1.0 - contamination])[name][0]
+
+    def above(self, score) -> F.Column:
         if self.threshold is None:
-            return df.withColumn(name, F.lit(False))
+            return F.lit(False)
+        return F.coalesce(score > self.threshold, F.lit(False))
+
+    def transform(self, df: DataFrame, name: str = "is_outlier") -> DataFrame:
         scored = self.score(df, "__score")
-        return scored.withColumn(
-            name, F.coalesce(F.col("__score") > self.threshold, F.lit(False))
-        ).drop("__score")
+        return scored.withColumn(name, self.above(F.col("__score"))).drop("__score")
 
 
-def fit_isolation_forest(
+def grow_forest(
     df: DataFrame,
-    contamination: float = 0.05,
     columns: list[str] | None = None,
     key: list[str] | None = None,
     trees: int = TREES,
     seed: int = SEED,
 ) -> IsolationModel:
-    """Grow the forest on ``trees * TREE_ROWS`` uniformly drawn complete rows at most,
-    and set the threshold so that the ``contamination`` share with the highest
-    scores is flagged. ``key`` makes the draw independent of the file layout."""
+    """Grow the forest on ``trees * TREE_ROWS`` uniformly drawn complete rows at most.
+    ``key`` makes the draw independent of the file layout."""
     columns = numeric_columns(df) if columns is None else columns
-    nothing = {"n_anomalies": 0, "anomaly_ratio": 0.0}
     if not columns:
-        return IsolationModel([], [], 0, None, nothing)
+        return IsolationModel([], [], 0)
     features = [ref(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
-    complete = df.na.drop("any", subset=columns)
     draw = F.xxhash64(*map(ref, key), F.lit(seed)) if key else F.rand(seed)
     # A top-k of fixed size, not of the table.
     sample = (
-        complete.select(draw.alias("draw"), *features)
+        df.na.drop("any", subset=columns)
+        .select(draw.alias("draw"), *features)
         .orderBy("draw")
         .limit(trees * TREE_ROWS)
         .drop("draw")
@@ -135,7 +132,7 @@ def fit_isolation_forest(
         .to_numpy(dtype=float)
     )
     if not len(sample):
-        return IsolationModel(columns, [], 0, None, nothing)
+        return IsolationModel(columns, [], 0)
     tree_rows = min(TREE_ROWS, len(sample))
     max_depth = int(np.ceil(np.log2(max(tree_rows, 2))))
     spark = df.sparkSession
@@ -156,7 +153,7 @@ def fit_isolation_forest(
         spark.range(0, trees, 1, min(trees, spark.sparkContext.defaultParallelism))
         .mapInPandas(
             grow,
-            "tree bigint, node bigint, feature int, cut double, left bigint, right bigint, path double",
+            "tree bigint, node bigint, feature bigint, cut double, left bigint, right bigint, path double",
         )
         .toPandas()  # at most trees * 2 * TREE_ROWS nodes
         .sort_values(["tree", "node"])
@@ -165,17 +162,37 @@ def fit_isolation_forest(
         tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "path"))
         for _, t in grown.groupby("tree")
     ]
-    model = IsolationModel(columns, forest, tree_rows, None, nothing)
-    scores = model.score(complete, "score").select("score")
-    model.threshold = stats.quantiles(scores, ["score"], [1.0 - contamination])["score"][0]
+    return IsolationModel(columns, forest, tree_rows, max_depth)
+
+
+def fit_isolation_forest(
+    df: DataFrame, contamination: float = 0.05, **options
+) -> IsolationModel:
+    """Forest and threshold, for use on this or another table."""
+    model = grow_forest(df, **options)
+    if model.trees:
+        model.set_threshold(model.score(df, "score").select("score"), "score", contamination)
     return model
 
 
+def flag_anomalies(
+    df: DataFrame, contamination: float = 0.05, name: str = "is_outlier", **options
+) -> DataFrame:
+    """The table with its flag. Scoring costs far more than writing a row, so the scored
+    table is written once and read for both the threshold and the flag."""
+    model = grow_forest(df, **options)
+    if not model.trees:
+        return df.withColumn(name, F.lit(False))
+    scored = materialize(model.score(df, "__score"), "anomaly-scores")
+    model.set_threshold(scored, "__score", contamination)
+    return scored.withColumn(name, model.above(F.col("__score"))).drop("__score")
+
+
 def detect_outliers_isolation_forest(
     df: DataFrame, contamination: float = 0.05, **options
 ) -> tuple[DataFrame, dict]:
     """The table with ``is_outlier``, and how many rows it flags."""
-    flagged = fit_isolation_forest(df, contamination, **options).transform(df)
+    flagged = flag_anomalies(df, contamination, **options)
     row = flagged.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("is_outlier").alias("flagged")
     ).first()

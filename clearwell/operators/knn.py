@@ -8,8 +8,9 @@ The search works on distinct numeric tuples with their number of copies, so hot
 copies cost nothing extra on either side:
 
 1. Tuples are put into cells: same set of missing columns, same slices of the
-   columns that spread most. Each cell's bounding box and size go to every task;
-   the number of cells is checked, and the grid is made coarser until it fits.
+   columns, cut finest where distances are longest. Each cell's bounding box and
+   size go to every task; the number of cells is checked, and the grid is made
+   coarser until it fits.
 2. A gap is sent to the cells whose box may hold one of its k nearest. Box
    distances bound the true ones from both sides, so no neighbour is missed.
 3. Cell by cell, in blocks of bounded size on both sides, NumPy keeps the k best
@@ -23,17 +24,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import stats
+from ..functions.exprs import any_of
 from ..functions.lookup import BROADCAST_ROWS, join_lookup
 from ..functions.storage import materialize
 from ..functions.types import numeric_columns, ref
 
-SLICES = (16, 4, 1)
-GRID_COLUMNS = 3
 MAX_CELLS = 8_000
-# Rows per side of one search block.
+# Tuples a cell should hold on average, and rows per side of one search block.
+CELL_ROWS = 2_048
 BLOCK_ROWS = 8_192
 # Gaps compared with a block of donors at a time.
-GAP_BATCH = 256
+GAP_BATCH = 64
 
 
 def knn_impute(
@@ -91,29 +92,27 @@ def _pattern(names):
     return F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in names])
 
 
+def _has_gap(names):
+    return any_of(F.col(c).isNull() for c in names)
+
+
 def _fit_grid(tuples, names, variances, max_cells):
-    widest = sorted(range(len(names)), key=lambda i: -variances[i])[:GRID_COLUMNS]
     usable = tuples.where(F.coalesce(*[F.col(c) for c in names]).isNotNull())
-    for slices in SLICES:
-        parts = [_pattern(names)]
-        if slices > 1:
-            cuts = stats.quantiles(
-                tuples,
-                [names[i] for i in widest],
-                [s / slices for s in range(1, slices)],
-                accuracy=1_000,
-            )
-            for c, edges in cuts.items():
-                above = [
-                    F.when(F.col(c) > e, 1).otherwise(0)
-                    for e in sorted({e for e in edges if e is not None})
-                ]
-                position = sum(above[1:], above[0]) if above else F.lit(0)
-                parts.append(F.coalesce(position.cast("string"), F.lit("-")))
-        cell = F.concat_ws("|", *parts)
+    counted = tuples.agg(
+        F.count(F.lit(1)).alias("tuples"),
+        *[F.count(F.when(_has_gap(names), F.col(c))).alias(c) for c in names],
+    ).first()
+    # A column the incomplete rows lack plays no part in their distances.
+    spread = {c: v**0.5 * counted[c] for c, v in zip(names, variances)}
+    wanted = min(counted["tuples"] // CELL_ROWS, max_cells)
+    while True:
+        cell = _cell_name(tuples, names, _slices(spread, wanted))
         found = _cell_boxes(usable, names, cell).limit(max_cells + 1).collect()
         if len(found) <= max_cells:
             return _grid(cell, found, names)
+        if wanted <= 1:
+            break
+        wanted //= 4
     # Too many sets of missing columns for boxes: hashed cells, all of them searched.
     cell = F.pmod(F.xxhash64(*names), F.lit(1_024)).cast("string")
     grid = _grid(cell, _cell_boxes(usable, names, cell).collect(), names)
@@ -121,6 +120,37 @@ def _fit_grid(tuples, names, variances, max_cells):
     return grid
 
 
+def _slices(spread, wanted):
+    """Slices per column, at most ``wanted`` cells: the longest side is halved first."""
+    slices = dict.fromkeys(spread, 1)
+    cells = 1
+    while cells * 2 <= wanted:
+        longest = max(slices, key=lambda c: spread[c] / slices[c])
+        slices[longest] *= 2
+        cells *= 2
+    return {c: n for c, n in slices.items() if n > 1}
+
+
+def _cell_name(tuples, names, slices):
+    parts = [_pattern(names)]
+    for c, n in slices.items():
+        cuts = stats.quantiles(tuples, [c], [i / n for i in range(1, n)], accuracy=10_000)
+        edges = sorted({e for e in cuts[c] if e is not None})
+        # Position among the cuts, by binary search in generated code.
+        position = _position(F.col(c), edges, 0)
+        parts.append(F.when(F.col(c).isNull(), "-").otherwise(position.cast("string")))
+    return F.concat_ws("|", *parts)
+
+
+def _position(col, edges, base):
+    if not edges:
+        return F.lit(base)
+    middle = len(edges) // 2
+    return F.when(col <= edges[middle], _position(col, edges[:middle], base)).otherwise(
+        _position(col, edges[middle + 1 :], base + middle + 1)
+    )
+
+
 def _cell_boxes(usable, names, cell):
     return usable.groupBy(cell.alias("cell")).agg(
         F.count(F.lit(1)).alias("tuples"),
@@ -195,14 +225,13 @@ def _search(tuples, names, grid, k, block_rows):
             routed["cell"] = cells[hits]
             yield routed
 
+    # Work per row is heavy, so tasks are counted out rather than sized by bytes.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns = ", ".join(f"{c} double" for c in names)
-    has_gap = F.col(names[0]).isNull()
-    for c in names[1:]:
-        has_gap = has_gap | F.col(c).isNull()
     gaps = materialize(
-        tuples.where(has_gap)
+        tuples.where(_has_gap(names))
         .select("rid", *names)
-        .repartition("rid")
+        .repartition(tasks, "rid")
         .mapInPandas(route, f"rid bigint, {columns}, cell string"),
         "knn-gaps",
     )
@@ -233,9 +262,12 @@ def _search(tuples, names, grid, k, block_rows):
         return _nearest(gap_rows, donor_rows, names, k)
 
     keys = ["cell", "gap_block", "donor_block"]
+    groups = sum(d * g for _, d, g in sizes)
+    tasks = max(1, min(groups, max(tasks, groups // 64)))
     candidates = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
+        left.repartition(tasks, *keys)
+        .groupBy(*keys)
+        .cogroup(right.repartition(tasks, *keys).groupBy(*keys))
         .applyInPandas(compare, "rid bigint, f int, d double, value double, n bigint")
     )
     best = Window.partitionBy("rid", "f").orderBy("d", "value")
@@ -253,54 +285,56 @@ def _search(tuples, names, grid, k, block_rows):
     return top.groupBy("rid", "f").agg(folded.alias("value"))
 
 
+def _by_pattern(points):
+    """Row numbers grouped by which columns hold a value."""
+    known = ~np.isnan(points)
+    patterns, which = np.unique(known, axis=0, return_inverse=True)
+    which = which.ravel()
+    return [(p, np.flatnonzero(which == i)) for i, p in enumerate(patterns)]
+
+
 def _nearest(gap_rows, donor_rows, names, k):
     """The ``k`` best donors of one block for each gap of one block."""
-    empty = pd.DataFrame({"rid": [], "f": [], "d": [], "value": [], "n": []}).astype(
-        {"rid": "int64", "f": "int32", "n": "int64"}
-    )
-    if not len(gap_rows) or not len(donor_rows):
-        return empty
-    donors = donor_rows[names].to_numpy(dtype=float)
-    copies = donor_rows["n"].to_numpy()
-    out = []
-    for start in range(0, len(gap_rows), GAP_BATCH):
-        batch = gap_rows.iloc[start : start + GAP_BATCH]
-        points = batch[names].to_numpy(dtype=float)
-        rid = batch["rid"].to_numpy()
-        total = np.zeros((len(points), len(donors)))
-        shared = np.zeros((len(points), len(donors)), dtype=int)
-        for j in range(len(names)):
-            gap = points[:, j, None] - donors[None, :, j]
-            known = ~np.isnan(gap)
-            total += np.where(known, gap, 0.0) ** 2
-            shared += known
-        distance = np.where(shared > 0, total * len(names) / np.maximum(shared, 1), np.inf)
-        for f in range(len(names)):
-            rows = np.flatnonzero(np.isnan(points[:, f]))
-            able = np.flatnonzero(~np.isnan(donors[:, f]))
-            if not len(rows) or not len(able):
+    out = [
+        pd.DataFrame({"rid": [], "f": [], "d": [], "value": [], "n": []}).astype(
+            {"rid": "int64", "f": "int32", "n": "int64"}
+        )
+    ]
+    gaps, rid = gap_rows[names].to_numpy(dtype=float), gap_rows["rid"].to_numpy()
+    donors, copies = donor_rows[names].to_numpy(dtype=float), donor_rows["n"].to_numpy()
+    for held, able in _by_pattern(donors):
+        for known, rows in _by_pattern(gaps):
+            shared, wanted = np.flatnonzero(held & known), np.flatnonzero(held & ~known)
+            if not len(shared) or not len(wanted):
                 continue
-            d = distance[np.ix_(rows, able)]
-            kth = min(k, len(able)) - 1
-            limit = np.partition(d, kth, axis=1)[:, kth]
-            r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-            value, reach = donors[able[c], f], d[r, c]
-            order = np.lexsort((value, reach, r))
-            r, c, value, reach = r[order], c[order], value[order], reach[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-            top = place < k
-            out.append(
-                pd.DataFrame(
-                    {
-                        "rid": rid[rows[r[top]]],
-                        "f": np.int32(f),
-                        "d": reach[top],
-                        "value": value[top],
-                        "n": copies[able[c[top]]],
-                    }
-                )
-            )
-    return pd.concat(out, ignore_index=True) if out else empty
+            near = donors[np.ix_(able, shared)].T
+            for start in range(0, len(rows), GAP_BATCH):
+                batch = rows[start : start + GAP_BATCH]
+                distance = np.zeros((len(batch), len(able)))
+                for j, column in enumerate(shared):
+                    distance += (gaps[batch, column][:, None] - near[j][None, :]) ** 2
+                distance *= len(names) / len(shared)
+                kth = min(k, len(able)) - 1
+                limit = np.partition(distance, kth, axis=1)[:, kth]
+                r, c = np.nonzero(distance <= limit[:, None])
+                for f in wanted:
+                    value, reach = donors[able[c], f], distance[r, c]
+                    order = np.lexsort((value, reach, r))
+                    owner = r[order]
+                    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                    top = order[place < k]
+                    out.append(
+                        pd.DataFrame(
+                            {
+                                "rid": rid[batch[r[top]]],
+                                "f": np.int32(f),
+                                "d": reach[top],
+                                "value": value[top],
+                                "n": copies[able[c[top]]],
+                            }
+                        )
+                    )
+    return pd.concat(out, ignore_index=True)
 
 
 # --------------------------------------------------------------------------- #
@@ -321,9 +355,7 @@ def _join_fills(whole, tuples, columns, names, fills, summary, broadcast_rows):
         "knn-fills",
     )
     size = lookup.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).first()
-    has_gap = ref(columns[0]).isNull()
-    for c in columns[1:]:
-        has_gap = has_gap | ref(c).isNull()
+    has_gap = any_of(ref(c).isNull() for c in columns)
     key = F.struct(*[ref(c).alias(n) for c, n in zip(columns, names)])
     bytes_ = size["rows"] * 16 * (len(names) + 2)
     joined = join_lookup(

@@ -101,8 +101,8 @@ def remove_outliers(df: DataFrame, method: str = "IQR", **options) -> DataFrame:
     if method == "Z-Score":
         return fit_zscore(df, **options).remove(df)
     if method == "Isolation Forest":
-        from .isolation import fit_isolation_forest
+        from .isolation import flag_anomalies
 
-        flagged = fit_isolation_forest(df, **options).transform(df)
+        flagged = flag_anomalies(df, **options)
         return flagged.where(~F.col("is_outlier")).drop("is_outlier")
     raise ValueError(f"unknown outlier method {method!r}")

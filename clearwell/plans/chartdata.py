@@ -50,8 +50,9 @@ def correlation_matrix(
     columns = numeric_columns(df)[:max_columns]
     if len(columns) < 2:
         return stats.small_frame(df.sparkSession, [], "x string, y string, r double")
-    found = correlations(df, columns)
-    constant = _constant(df, columns)
+    summary = stats.moments(df, columns)
+    found = correlations(df, columns, summary)
+    constant = {c for c, m in summary.columns.items() if not m.n or m.constant}
     rows = []
     for a in columns:
         for b in columns:
@@ -60,11 +61,8 @@ def correlation_matrix(
             else:
                 rows.append((a, b, found[(a, b)] if (a, b) in found else found[(b, a)]))
     frame = stats.small_frame(df.sparkSession, rows, "x string, y string, r double")
-    return frame.withColumn("r", F.round("r", digits))
-
-
-def _constant(df, columns):
-    return {c for c, m in stats.moments(df, columns).columns.items() if not m.n or m.constant}
+    # Adding zero turns a rounded -0.0 into 0.0.
+    return frame.withColumn("r", F.round("r", digits) + F.lit(0.0))
 
 
 def widest_columns(df: DataFrame, top: int) -> list[str]:
@@ -96,8 +94,9 @@ def histogram(
         for b in range(bins):
             row = (c, b, low + b * width, high if b == bins - 1 else low + (b + 1) * width)
             frame.append((*row, m.mean, medians[c][0]) if lines else row)
-        place = F.least(F.floor((ref(c).cast("double") - low) / width), F.lit(bins - 1))
-        cells += [F.lit(c), place.cast("int")]
+        value = ref(c).cast("double")
+        place = F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("int")
+        cells += [F.lit(c), F.when(value.isNotNull(), place)]
     edges = stats.small_frame(df.sparkSession, frame, schema)
     if not columns:
         return edges.withColumn("count", F.lit(0).cast("bigint"))

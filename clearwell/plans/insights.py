@@ -1,6 +1,8 @@
 """The most telling facts about a table: distributions, correlations, categories and a
 trend, each with a score."""
 
+from math import log1p
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import stats
@@ -39,13 +41,12 @@ def _frame(df: DataFrame, rows: list) -> DataFrame:
 # --------------------------------------------------------------------------- #
 
 
-def _distribution_rows(df, full):
-    from math import log1p
-
+def _distribution_rows(df, full, found=None):
     columns = [c for c in numeric_columns(df) if not is_id_like(c)]
-    found = stats.moments(df, columns, shape=True).columns if columns else {}
+    found = found or stats.moments(df, columns, shape=True)
     rows = []
-    for c, m in found.items():
+    for c in columns:
+        m = found.columns[c]
         if not m.variance or m.skew is None:
             continue
         side = "right-skewed" if m.skew > 0 else "left-skewed"
@@ -70,9 +71,9 @@ def distribution_insights(df: DataFrame, full: bool = False) -> DataFrame:
     return _frame(df, _distribution_rows(df, full))
 
 
-def _correlation_rows(df, full):
+def _correlation_rows(df, full, found=None):
     rows = []
-    for (a, b), r in correlations(df, numeric_columns(df)).items():
+    for (a, b), r in correlations(df, numeric_columns(df), found).items():
         if r is None or abs(r) < MIN_CORRELATION:
             continue
         sign = "positively" if r > 0 else "negatively"
@@ -238,8 +239,12 @@ def top_insights(df: DataFrame, full: bool = False) -> DataFrame:
     """The best four by score, at most two of a type; earlier finds win ties."""
     rows = []
     if df.columns:
-        for find in (_distribution_rows, _correlation_rows, _category_rows, _trend_rows):
-            rows += find(df, full)
+        # Distributions and correlations share one scan for the moments.
+        found = stats.moments(df, numeric_columns(df), shape=True)
+        rows += _distribution_rows(df, full, found)
+        rows += _correlation_rows(df, full, found)
+        rows += _category_rows(df, full)
+        rows += _trend_rows(df, full)
     kept, seen = [], {}
     for row in sorted(rows, key=lambda r: -r[3]):
         if seen.get(row[0], 0) < MAX_PER_TYPE and len(kept) < MAX_INSIGHTS:

@@ -237,7 +237,7 @@ def profile_text(df: DataFrame, full: bool = False) -> DataFrame:
         m = found.get(p.name)
         if m is not None and (m.n > 2 or full):
             skew = m.skew if m.n > 2 else 0.0
-            line += f", skewness={skew:.2f}, has_negatives={m.negatives > 0}"
+            line += f", skewness={skew:.2f}, has_negatives={m.n > 0 and m.low < 0}"
         lines.append(line)
     lines += ["", f"Duplicate rows: {metrics['duplicates']}"]
     return stats.small_frame(df.sparkSession, [("\n".join(lines),)], "profile string")
