@@ -5,11 +5,11 @@ numbers per column, never rows.
 """
 
 from dataclasses import dataclass, field
-from math import ceil, floor
+from math import ceil, floor, isfinite
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from .exprs import total_of
+from .exprs import any_of, total_of
 from .storage import materialize
 from .types import OPAQUE_TYPES, ref
 
@@ -17,12 +17,12 @@ from .types import OPAQUE_TYPES, ref
 LONG_TEXT = 64
 # Columns unpivoted by one plan node.
 COLUMNS_PER_PASS = 64
-# Non-NULL cells up to which the built-in exact percentile may buffer values.
-BUFFERED_CELLS = 4_000_000
+# Cells whose distinct values may be sorted to finish exact quantiles.
+SORTED_CELLS = 100_000
+# Equal-width bins of a column's range, counted first.
+BINS = 1_024
 # Rank error of one quantile sketch is rows / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
-# Open brackets up to this size are sorted to finish an exact quantile.
-BRACKET_ROWS = 10_000
 
 
 def small_frame(spark: SparkSession, rows: list, schema) -> DataFrame:
@@ -228,16 +228,15 @@ def quantiles(
     columns: list[str],
     probabilities: list[float],
     accuracy: int | None = None,
-    counts: dict[str, int] | None = None,
-    buffered_cells: int = BUFFERED_CELLS,
-    bracket_rows: int = BRACKET_ROWS,
+    summary: TableMoments | None = None,
+    sorted_cells: int = SORTED_CELLS,
 ) -> dict[str, list[float | None]]:
     """Interpolated quantiles per column, NULL cells left out.
 
-    Exact by default. The built-in ``percentile`` keeps every distinct value in one
-    buffer, so it is used only up to ``buffered_cells``; larger tables narrow down
-    the wanted ranks with mergeable sketches and exact counts. ``accuracy`` asks
-    for a single sketch instead.
+    Exact by default, without the built-in ``percentile``, which keeps every distinct
+    value in one buffer: the wanted ranks are located in counts per value range, and
+    only the ranges that hold one are sorted. ``accuracy`` asks for one sketch per
+    column instead. ``summary`` saves a scan when moments are known.
     """
     if not columns:
         return {}
@@ -247,58 +246,57 @@ def quantiles(
         row = data.agg(
             *[F.percentile_approx(c, probabilities, accuracy).alias(c) for c in names]
         ).first()
-        return {c: _as_list(row[f"c{i}"], probabilities) for i, c in enumerate(columns)}
-    if counts is None:
-        row = data.agg(*[F.count(c).alias(c) for c in names]).first()
-        sizes = row.asDict()
+        return {c: row[n] or [None] * len(probabilities) for c, n in zip(columns, names)}
+    if summary is None:
+        spans = _spans(data)
     else:
-        sizes = {f"c{i}": counts[c] for i, c in enumerate(columns)}
-    if sum(sizes.values()) <= buffered_cells:
-        row = data.agg(
-            *[F.percentile(c, F.array(*map(F.lit, probabilities))).alias(c) for c in names]
-        ).first()
-        return {c: _as_list(row[f"c{i}"], probabilities) for i, c in enumerate(columns)}
-    wanted = {
-        (c, r)
-        for c in names
-        if sizes[c]
-        for p in probabilities
-        for r in (floor(p * (sizes[c] - 1)), ceil(p * (sizes[c] - 1)))
-    }
-    found = _order_statistics(data, sorted(wanted), sizes, bracket_rows)
+        spans = {n: summary.columns[c] for c, n in zip(columns, names)}
+    found = _order_statistics(data, spans, probabilities, sorted_cells)
     result = {}
-    for i, name in enumerate(columns):
-        c = f"c{i}"
+    for c, n in zip(columns, names):
         values = []
         for p in probabilities:
-            if not sizes[c]:
+            if not spans[n].n:
                 values.append(None)
                 continue
-            position = p * (sizes[c] - 1)
-            low, high = found[c, floor(position)], found[c, ceil(position)]
+            position = p * (spans[n].n - 1)
+            low, high = found[n, floor(position)], found[n, ceil(position)]
             values.append(low + (high - low) * (position - floor(position)))
-        result[name] = values
+        result[c] = values
     return result
 
 
-def _as_list(values, probabilities):
-    return list(values) if values is not None else [None] * len(probabilities)
+def _spans(data: DataFrame) -> dict[str, Moments]:
+    """Count, least and greatest value of each column."""
+    value = F.col("value")
+    rows = (
+        _unpivot(data, [[F.col(c)] for c in data.columns], ["ordinal", "value"])
+        .groupBy("ordinal")
+        .agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+        .collect()  # one row per column
+    )
+    spans = {c: Moments() for c in data.columns}
+    for r in rows:
+        spans[data.columns[r["ordinal"]]] = Moments(n=r["n"], low=r["low"], high=r["high"])
+    return spans
 
 
-@dataclass
-class _Bracket:
-    """A wanted rank inside an open interval (low, high) holding ``size`` values."""
+@dataclass(frozen=True)
+class _Interval:
+    """Values of a column in one bin, if ``bin`` = (base, scale, index) is set, and
+    strictly between ``low`` and ``high``, where those are set."""
 
     column: str
-    rank: int
-    size: int
-    key: tuple
+    bin: tuple | None = None
     low: float | None = None
     high: float | None = None
 
-    def inside(self) -> Column:
+    def test(self) -> Column:
         col = F.col(self.column)
         test = col.isNotNull()
+        if self.bin:
+            base, scale, index = self.bin
+            test = test & (_bin(col, base, scale) == index)
         if self.low is not None:
             test = test & (col > self.low)
         if self.high is not None:
@@ -306,93 +304,188 @@ class _Bracket:
         return test
 
 
-def _order_statistics(data, wanted, sizes, bracket_rows):
-    """Exact values at given ranks without sorting or collecting the column.
+def _bin(col: Column, base: float, scale: float) -> Column:
+    """Bin number; never falls as the value rises, whatever the rounding."""
+    return F.floor((col - base) * scale)
+
+
+@dataclass
+class _Bracket:
+    """A wanted rank, counted from the start of an interval that holds ``size`` values."""
+
+    key: tuple
+    rank: int
+    size: int
+    interval: _Interval
+
+
+def _order_statistics(data, spans, probabilities, sorted_cells):
+    """Values at the ranks around each probability, exactly.
 
-    Each round a sketch proposes two cut points around the rank and one aggregate
-    counts exactly what lies below, on and between them. Copies of a cut point are
-    counted, never kept, so a value that fills a third of the table ends the
-    search at once. The open interval shrinks to 4 / SKETCH_ACCURACY per round.
+    Equal-width bins are counted first, in one cheap scan. Where values crowd into few
+    bins, rounds follow that cut an interval around each rank at two values proposed
+    by a sketch and count exactly what lies between and on them: copies of a cut
+    point are counted, never kept, so a value that fills a third of the table ends
+    its search at once, and other intervals shrink to some 4 / SKETCH_ACCURACY.
     """
-    found = {}
-    open_ = [_Bracket(c, r, sizes[c], (c, r)) for c, r in wanted]
+    found, open_ = {}, []
+    for c, span in spans.items():
+        ranks = set()
+        for p in probabilities if span.n else []:
+            ranks |= {floor(p * (span.n - 1)), ceil(p * (span.n - 1))}
+        if span.low == span.high:
+            found.update({(c, r): span.low for r in ranks})
+        else:
+            open_ += [_Bracket((c, r), r, span.n, _Interval(c)) for r in sorted(ranks)]
     rounds = 0
-    while True:
-        small = [b for b in open_ if b.size <= bracket_rows]
-        if small:
-            row = data.agg(
-                *[
-                    F.sort_array(F.collect_list(F.when(b.inside(), F.col(b.column))))
-                    .getItem(b.rank)
-                    .alias(f"v{i}")
-                    for i, b in enumerate(small)
-                ]
-            ).first()
-            found.update({b.key: row[f"v{i}"] for i, b in enumerate(small)})
-        open_ = [b for b in open_ if b.size > bracket_rows]
-        if not open_:
-            return found
+    while sum({b.interval: b.size for b in open_}.values()) > sorted_cells:
         if rounds == 1:
             # Later rounds read only rows that can still matter.
-            keep = open_[0].inside()
-            for b in open_[1:]:
-                keep = keep | b.inside()
-            data = materialize(data.where(keep), "quantile-bracket")
+            keep = any_of(i.test() for i in {b.interval for b in open_})
+            data = materialize(data.where(keep), "quantile-rows")
+        open_ = (_narrow if rounds else _locate_bins)(data, open_, found, spans)
         rounds += 1
-        cuts = _propose_cuts(data, open_)
-        aggs = []
-        for i, b in enumerate(open_):
-            col, inside = F.col(b.column), b.inside()
-            first, last = cuts[i]
-            aggs += [
-                F.count_if(inside & (col < first)).alias(f"a{i}"),
-                F.count_if(inside & (col == first)).alias(f"b{i}"),
-                F.count_if(inside & (col < last)).alias(f"c{i}"),
-                F.count_if(inside & (col == last)).alias(f"d{i}"),
-            ]
-        counted = data.agg(*aggs).first()
-        still = []
-        for i, b in enumerate(open_):
-            first, last = cuts[i]
-            below, on_first = counted[f"a{i}"], counted[f"b{i}"]
-            under, on_last = counted[f"c{i}"], counted[f"d{i}"]
-            if b.rank < below:
-                still.append(_Bracket(b.column, b.rank, below, b.key, b.low, first))
-            elif b.rank < below + on_first:
-                found[b.key] = first
-            elif b.rank < under:
-                skip = below + on_first
-                still.append(
-                    _Bracket(b.column, b.rank - skip, under - skip, b.key, first, last)
-                )
-            elif b.rank < under + on_last:
-                found[b.key] = last
+    if open_:
+        _sort_intervals(data, open_, found)
+    return found
+
+
+def _locate_bins(data, open_, found, spans):
+    """Move each bracket into the equal-width bin that holds its rank; a bin with one
+    distinct value is an answer."""
+    scales = {}
+    for c in {b.interval.column for b in open_}:
+        width = spans[c].high - spans[c].low
+        if isfinite(width) and isfinite(BINS / width):
+            scales[c] = (spans[c].low, BINS / width)
+    if not scales:
+        return open_
+    names = sorted(scales)
+    cells = [[_bin(F.col(c), *scales[c]), F.col(c)] for c in names]
+    counted = (
+        _unpivot(data, cells, ["ordinal", "bin", "value"])
+        .where(F.col("bin").isNotNull())
+        .groupBy("ordinal", "bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .collect()  # at most BINS + 1 rows per column
+    )
+    bins = {c: [] for c in names}
+    for r in sorted(counted, key=lambda r: r["bin"]):
+        bins[names[r["ordinal"]]].append(r)
+    still = []
+    for b in open_:
+        rank, c = b.rank, b.interval.column
+        for r in bins.get(c, ()):
+            if rank >= r["n"]:
+                rank -= r["n"]
+                continue
+            if r["low"] == r["high"]:
+                found[b.key] = r["low"]
             else:
-                skip = under + on_last
-                still.append(
-                    _Bracket(b.column, b.rank - skip, b.size - skip, b.key, last, b.high)
-                )
-        open_ = still
-
-
-def _propose_cuts(data, brackets):
-    """Two values around each wanted rank. Ranks in one interval share one sketch."""
-    shared = {}
-    for i, b in enumerate(brackets):
-        shared.setdefault((b.column, b.low, b.high), []).append(i)
+                b = _Bracket(b.key, rank, r["n"], _Interval(c, (*scales[c], r["bin"])))
+            break
+        if b.key not in found:
+            still.append(b)
+    return still
+
+
+def _sort_intervals(data, open_, found):
+    """Look up ranks in the running count over the sorted distinct values."""
+    intervals = {}
+    for b in open_:
+        intervals.setdefault(b.interval, []).append(b)
+    parts = {interval: i for i, interval in enumerate(intervals)}
+    cells, hit = [], F.lit(False)
+    for c in sorted({i.column for i in intervals}):
+        part = F.lit(None).cast("int")
+        for interval, i in parts.items():
+            if interval.column == c:
+                part = F.when(interval.test(), i).otherwise(part)
+        cells.append([part, F.col(c)])
+    end, start = F.col("end"), F.col("end") - F.col("n")
+    for interval, members in intervals.items():
+        place = any_of((start <= r) & (end > r) for r in sorted({b.rank for b in members}))
+        hit = hit | ((F.col("part") == parts[interval]) & place)
+    upto = Window.partitionBy("part").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    hits = (
+        _unpivot(data, cells, ["ordinal", "part", "value"])
+        .where(F.col("part").isNotNull())
+        .groupBy("part", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("end", F.sum("n").over(upto))
+        .where(hit)
+        .collect()  # at most one row per wanted rank
+    )
+    for interval, members in intervals.items():
+        for b in members:
+            for row in hits:
+                if row["part"] == parts[interval] and row["end"] - row["n"] <= b.rank < row["end"]:
+                    found[b.key] = row["value"]
+
+
+def _narrow(data, open_, found, spans):
+    """One round: put answers that fell on a cut point into ``found``, return the rest
+    with smaller intervals."""
+    groups = {}
+    for b in open_:
+        groups.setdefault(b.interval, []).append(b)
+    edges = _propose_cuts(data, groups)
+    cells = [
+        [F.when(i.test(), _segment(F.col(i.column), edges[i], 0))] for i in groups
+    ]
+    counted = (
+        _unpivot(data, cells, ["ordinal", "segment"])
+        .where(F.col("segment").isNotNull())
+        .groupBy("ordinal", "segment")
+        .count()
+        .collect()  # two rows per cut point
+    )
+    sizes = {(r["ordinal"], r["segment"]): r["count"] for r in counted}
+    still = []
+    for g, (interval, members) in enumerate(groups.items()):
+        marks = edges[interval]
+        for b in members:
+            rank = b.rank
+            for segment in range(2 * len(marks) + 1):
+                size = sizes.get((g, segment), 0)
+                if rank >= size:
+                    rank -= size
+                    continue
+                if segment % 2:
+                    found[b.key] = marks[segment // 2]
+                else:
+                    low = marks[segment // 2 - 1] if segment else interval.low
+                    high = marks[segment // 2] if segment < 2 * len(marks) else interval.high
+                    inner = _Interval(interval.column, interval.bin, low, high)
+                    still.append(_Bracket(b.key, rank, size, inner))
+                break
+    return still
+
+
+def _segment(col: Column, edges: list[float], base: int) -> Column:
+    """Number of the segment a value falls in: even between edges, odd on an edge."""
+    if not edges:
+        return F.when(col.isNotNull(), F.lit(base))
+    middle = len(edges) // 2
+    return (
+        F.when(col < edges[middle], _segment(col, edges[:middle], base))
+        .when(col == edges[middle], F.lit(base + 2 * middle + 1))
+        .otherwise(_segment(col, edges[middle + 1 :], base + 2 * middle + 2))
+    )
+
+
+def _propose_cuts(data, groups):
+    """Sorted cut points per interval, two around each wanted rank, from one sketch."""
     margin = 2.0 / SKETCH_ACCURACY
     sketches = []
-    for g, members in enumerate(shared.values()):
-        one = brackets[members[0]]
+    for g, (interval, members) in enumerate(groups.items()):
         places = []
-        for b in (brackets[i] for i in members):
+        for b in members:
             places.append(max(0.0, b.rank / b.size - margin))
             places.append(min(1.0, (b.rank + 1) / b.size + margin))
-        value = F.when(one.inside(), F.col(one.column))
+        value = F.when(interval.test(), F.col(interval.column))
         sketches.append(F.percentile_approx(value, places, SKETCH_ACCURACY).alias(f"g{g}"))
     row = data.agg(*sketches).first()
-    cuts = {}
-    for g, members in enumerate(shared.values()):
-        for j, i in enumerate(members):
-            cuts[i] = row[f"g{g}"][2 * j : 2 * j + 2]
-    return cuts
+    return {interval: sorted(set(row[f"g{g}"])) for g, interval in enumerate(groups)}

@@ -38,14 +38,14 @@ def fit_iqr(
     columns: list[str] | None = None,
     null_is_outlier: bool = True,
     accuracy: int | None = None,
-    counts: dict[str, int] | None = None,
+    summary: stats.TableMoments | None = None,
 ) -> IqrModel:
     """Quartile fences at 1.5 interquartile ranges; columns with no spread are left
     out. A NULL cell lies outside every fence unless ``null_is_outlier=False``."""
     columns = numeric_columns(df) if columns is None else columns
     fences = {}
     for name, (q1, q3) in stats.quantiles(
-        df, columns, [0.25, 0.75], accuracy=accuracy, counts=counts
+        df, columns, [0.25, 0.75], accuracy=accuracy, summary=summary
     ).items():
         if q1 is None:
             fences[name] = (None, None)

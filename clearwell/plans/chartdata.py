@@ -84,8 +84,7 @@ def histogram(
     schema = f"column string, bin int, lo double, hi double{extra}"
     medians = {}
     if lines:
-        counts = {c: found.columns[c].n for c in columns}
-        medians = stats.quantiles(df, columns, [0.5], counts=counts)
+        medians = stats.quantiles(df, columns, [0.5], summary=found)
     frame, cells = [], [F.lit(max(len(columns), 1))]
     for c in columns:
         m = found.columns[c]

@@ -7,6 +7,9 @@ from ..functions.types import ref
 from . import profile
 
 COUNT_METRICS = ("Rows", "Columns", "Missing Values", "Duplicate Rows")
+METRICS_SCHEMA = (
+    "rows bigint, cols bigint, missing bigint, duplicates bigint, outliers bigint, score double"
+)
 SHARE_METRICS = ("Missing % of Cells", "Duplicate % of Rows")
 
 
@@ -24,9 +27,30 @@ def _versions(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def before_after(raw: DataFrame, clean: DataFrame) -> DataFrame:
+Measured = tuple[profile.TableMetrics, profile.TableMetrics]
+
+
+def measure(raw: DataFrame, clean: DataFrame) -> Measured:
+    """Metrics of both versions, for several comparisons to share."""
+    return profile.table_metrics(raw), profile.table_metrics(clean)
+
+
+def _row(raw, clean, measured: Measured | None, score: bool = False) -> DataFrame:
+    if measured is not None:
+        before, after = (
+            stats.small_frame(raw.sparkSession, [tuple(vars(m).values())], METRICS_SCHEMA)
+            for m in measured
+        )
+        return _versions(before, after)
+    of = profile.quality_score if score else profile.basic_metrics
+    return _versions(of(raw), of(clean))
+
+
+def before_after(
+    raw: DataFrame, clean: DataFrame, measured: Measured | None = None
+) -> DataFrame:
     """Six rows: Metric, Before, After."""
-    return _comparison(_versions(profile.basic_metrics(raw), profile.basic_metrics(clean)))
+    return _comparison(_row(raw, clean, measured))
 
 
 def _comparison(row: DataFrame) -> DataFrame:
@@ -50,14 +74,16 @@ def _comparison(row: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*lines)))
 
 
-def before_after_counts(raw: DataFrame, clean: DataFrame) -> DataFrame:
+def before_after_counts(
+    raw: DataFrame, clean: DataFrame, measured: Measured | None = None
+) -> DataFrame:
     """The count rows of the comparison, as charted."""
-    return before_after(raw, clean).where(ref("Metric").isin(*COUNT_METRICS))
+    return before_after(raw, clean, measured).where(ref("Metric").isin(*COUNT_METRICS))
 
 
 def delta_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: metrics after a step and their change by it."""
-    row = _versions(profile.quality_score(before), profile.quality_score(after))
+    row = _row(before, after, None, score=True)
     measures = ("rows", "missing", "duplicates", "score")
     return row.select(
         *[F.col(f"a_{c}").alias(c) for c in measures],
@@ -65,9 +91,11 @@ def delta_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def quality_improvement(raw: DataFrame, clean: DataFrame) -> DataFrame:
+def quality_improvement(
+    raw: DataFrame, clean: DataFrame, measured: Measured | None = None
+) -> DataFrame:
     """One row: score before and after, gain, and gain in percent of the former."""
-    row = _versions(profile.quality_score(raw), profile.quality_score(clean))
+    row = _row(raw, clean, measured, score=True)
     before, after = F.col("b_score"), F.col("a_score")
     return row.select(
         before.alias("score_before"),
@@ -78,9 +106,11 @@ def quality_improvement(raw: DataFrame, clean: DataFrame) -> DataFrame:
     )
 
 
-def kpi_deltas(raw: DataFrame, clean: DataFrame) -> DataFrame:
+def kpi_deltas(
+    raw: DataFrame, clean: DataFrame, measured: Measured | None = None
+) -> DataFrame:
     """One row of report figures: counts before and after, duplicates removed."""
-    row = _versions(profile.basic_metrics(raw), profile.basic_metrics(clean))
+    row = _row(raw, clean, measured)
     return row.select(
         F.col("b_rows").alias("rows_before"),
         F.col("a_rows").alias("rows_after"),
@@ -102,10 +132,12 @@ def _arrow(change):
     )
 
 
-def report_comparison(raw: DataFrame, clean: DataFrame) -> DataFrame:
+def report_comparison(
+    raw: DataFrame, clean: DataFrame, measured: Measured | None = None
+) -> DataFrame:
     """Comparison as report text, with the direction of each change. The quality row
     carries no change mark."""
-    b, a = profile.table_metrics(raw), profile.table_metrics(clean)
+    b, a = measured or measure(raw, clean)
 
     def share(n, d):
         return round(n / max(d, 1) * 100, 2)

@@ -142,8 +142,7 @@ def numeric_summary(
     skewness and excess kurtosis."""
     columns = numeric_columns(df)
     found = stats.moments(df, columns, shape=True) if columns else stats.TableMoments(0)
-    counts = {c: m.n for c, m in found.columns.items()}
-    quartiles = stats.quantiles(df, columns, [0.25, 0.5, 0.75], accuracy, counts)
+    quartiles = stats.quantiles(df, columns, [0.25, 0.5, 0.75], accuracy, found)
     rows = []
     for i, c in enumerate(columns):
         m = found.columns[c]

@@ -85,10 +85,11 @@ def report_sections(
     replaced by the raw one."""
     if clean is None or not clean.columns or clean.isEmpty():
         clean = raw
+    measured = compare.measure(raw, clean)
     sections = {
-        "1_summary": compare.kpi_deltas(raw, clean),
-        "2_quality": compare.quality_improvement(raw, clean),
-        "3_comparison": compare.report_comparison(raw, clean),
+        "1_summary": compare.kpi_deltas(raw, clean, measured),
+        "2_quality": compare.quality_improvement(raw, clean, measured),
+        "3_comparison": compare.report_comparison(raw, clean, measured),
         "4_schema": profile.report_schema(clean),
         "5_cleaning_log": cleaning_log(raw, history or []),
     }
@@ -98,7 +99,7 @@ def report_sections(
         "7_preview_before": report_preview(raw, order_by),
         "7_preview_after": report_preview(clean, order_by),
         "8_1_missing": chartdata.missing_per_column(raw),
-        "8_2_impact": compare.before_after_counts(raw, clean),
+        "8_2_impact": compare.before_after_counts(raw, clean, measured),
         "8_3_shift": chartdata.distribution_shift(raw, clean),
         "8_4_distributions": chartdata.report_distributions(clean),
         "8_5_correlation": chartdata.correlation_matrix(clean, max_columns=12),
@@ -114,12 +115,10 @@ def write_report(
     order_by: list[str] | None = None,
     format: str = "parquet",
 ) -> DataFrame:
-    """Write each report table below ``folder`` and return the index: section, path and
-    rows."""
+    """Write each report table below ``folder`` and return the index: section, path."""
     index = []
     for name, table in report_sections(raw, clean, history, order_by).items():
         path = f"{folder.rstrip('/')}/{name}"
         table.coalesce(1).write.format(format).save(path)  # tables of report size
-        rows = raw.sparkSession.read.schema(table.schema).format(format).load(path).count()
-        index.append((name, path, rows))
-    return stats.small_frame(raw.sparkSession, index, "section string, path string, rows bigint")
+        index.append((name, path))
+    return stats.small_frame(raw.sparkSession, index, "section string, path string")
