@@ -18,6 +18,8 @@ from ..functions.types import numeric_columns, ref
 TREES = 200
 TREE_ROWS = 256
 SEED = 42
+# A table with fewer rows per core is spread over all cores before scoring.
+ROWS_PER_SPLIT = 500_000
 EULER_GAMMA = 0.5772156649015329
 
 
@@ -60,9 +62,10 @@ def _mean_path(points: np.ndarray, trees, max_depth: int) -> np.ndarray:
     total = np.zeros(count)
     for feature, cut, left, right, path in trees:
         at = np.zeros(count, dtype=np.int64)
+        offset, child = feature * count, np.column_stack([left, right]).ravel()
         for _ in range(max_depth):
-            value = flat.take(feature.take(at) * count + rows)
-            at = np.where(value <= cut.take(at), left.take(at), right.take(at))
+            value = flat.take(offset.take(at) + rows)
+            at = child.take(2 * at + (value > cut.take(at)))
         total += path.take(at)
     return total / max(len(trees), 1)
 
@@ -183,6 +186,10 @@ def flag_anomalies(
     model = grow_forest(df, **options)
     if not model.trees:
         return df.withColumn(name, F.lit(False))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.count() < cores * ROWS_PER_SPLIT:
+        # A small table sits in few splits, too few for the scoring work.
+        df = df.repartition(cores)
     scored = materialize(model.score(df, "__score"), "anomaly-scores")
     model.set_threshold(scored, "__score", contamination)
     return scored.withColumn(name, model.above(F.col("__score"))).drop("__score")

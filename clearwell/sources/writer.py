@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import stats
+from ..functions.storage import materialize
 from ..functions.types import OPAQUE_TYPES, is_datetime, numeric_columns, ref
 from ..plans import chartdata, compare, profile
 from ..plans.session import Step, cleaning_log
@@ -115,7 +116,10 @@ def write_report(
     order_by: list[str] | None = None,
     format: str = "parquet",
 ) -> DataFrame:
-    """Write each report table below ``folder`` and return the index: section, path."""
+    """Write each report table below ``folder`` and return the index: section, path. The
+    cleaned table is written out first, as a dozen scans read it."""
+    if clean is not None and clean.columns:
+        clean = materialize(clean, "report-table")
     index = []
     for name, table in report_sections(raw, clean, history, order_by).items():
         path = f"{folder.rstrip('/')}/{name}"
