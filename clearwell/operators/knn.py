@@ -11,8 +11,9 @@ copies cost nothing extra on either side:
    columns, cut finest where distances are longest. Each cell's bounding box and
    size go to every task; the number of cells is checked, and the grid is made
    coarser until it fits.
-2. A gap is sent to the cells whose box may hold one of its k nearest. Box
-   distances bound the true ones from both sides, so no neighbour is missed.
+2. A gap is sent to the cells whose box may hold one of its k nearest: those no
+   farther than k donors known to exist, be they a few samples kept per cell or all
+   donors of whole boxes. No neighbour is missed.
 3. Cell by cell, in blocks of bounded size on both sides, NumPy keeps the k best
    donors per gap; a grouped top-k merges the blocks.
 """
@@ -32,6 +33,8 @@ from ..functions.types import numeric_columns, ref
 MAX_CELLS = 8_000
 # Tuples a cell should hold on average, and rows per side of one search block.
 CELL_ROWS = 2_048
+# Donors per cell kept as samples.
+SAMPLES = 8
 BLOCK_ROWS = 8_192
 # Gaps compared with a block of donors at a time.
 GAP_BATCH = 64
@@ -85,7 +88,8 @@ class Grid:
     copies: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    boxed: bool = True
+    samples: np.ndarray | None = None
+    sample_copies: np.ndarray | None = None
 
 
 def _pattern(names):
@@ -109,15 +113,15 @@ def _fit_grid(tuples, names, variances, max_cells):
         cell = _cell_name(tuples, names, _slices(spread, wanted))
         found = _cell_boxes(usable, names, cell).limit(max_cells + 1).collect()
         if len(found) <= max_cells:
-            return _grid(cell, found, names)
+            grid = _grid(cell, found, names)
+            grid.samples, grid.sample_copies = _samples(usable, names, cell)
+            return grid
         if wanted <= 1:
             break
         wanted //= 4
     # Too many sets of missing columns for boxes: hashed cells, all of them searched.
     cell = F.pmod(F.xxhash64(*names), F.lit(1_024)).cast("string")
-    grid = _grid(cell, _cell_boxes(usable, names, cell).collect(), names)
-    grid.boxed = False
-    return grid
+    return _grid(cell, _cell_boxes(usable, names, cell).collect(), names)
 
 
 def _slices(spread, wanted):
@@ -160,26 +164,49 @@ def _cell_boxes(usable, names, cell):
     )
 
 
-def _grid(cell, rows, names):
-    def box(key):
-        return np.array(
-            [[np.nan if v is None else v for v in r[key]] for r in rows], dtype=float
-        ).reshape(len(rows), len(names))
+def _samples(usable, names, cell):
+    """Up to SAMPLES different donors of each cell, with their copies."""
+    rows = (
+        usable.groupBy(cell.alias("cell"), F.pmod(F.xxhash64("rid"), F.lit(SAMPLES)).alias("s"))
+        .agg(F.any_value(F.struct("n", F.array(*names).alias("x"))).alias("donor"))
+        .select("donor.n", "donor.x")
+        .collect()  # at most MAX_CELLS * SAMPLES rows
+    )
+    return _matrix([r["x"] for r in rows], len(names)), np.array([r["n"] for r in rows])
+
+
+def _matrix(rows, width):
+    cells = [[np.nan if v is None else v for v in r] for r in rows]
+    return np.array(cells, dtype=float).reshape(len(rows), width)
+
 
+def _grid(cell, rows, names):
     return Grid(
         cell,
         [r["cell"] for r in rows],
         np.array([r["tuples"] for r in rows]),
         np.array([r["copies"] for r in rows]),
-        box("low"),
-        box("high"),
+        _matrix([r["low"] for r in rows], len(names)),
+        _matrix([r["high"] for r in rows], len(names)),
     )
 
 
-def _cells_to_search(point, low, high, copies, k):
+def _kth(distance, copies, k):
+    """Distance within which ``k`` donors lie, infinite when there are fewer."""
+    order = np.argsort(distance, kind="stable")
+    at = np.searchsorted(np.cumsum(copies[order]), k)
+    return distance[order[at]] if at < len(order) else np.inf
+
+
+def _cells_to_search(point, low, high, copies, samples, sample_copies, k):
     """Indices of the cells that may hold one of the ``k`` nearest donors of any gap
     of ``point``."""
     width = len(point)
+    step = samples - point
+    common = ~np.isnan(step)
+    p = common.sum(axis=1)
+    sampled = (np.where(common, step, 0.0) ** 2).sum(axis=1) * (width / np.maximum(p, 1))
+    comparable = p > 0
     shared = ~np.isnan(low) & ~np.isnan(point)
     p = shared.sum(axis=1)
     reach_in = np.where(shared, np.maximum(np.maximum(low - point, point - high), 0.0), 0.0)
@@ -190,9 +217,11 @@ def _cells_to_search(point, low, high, copies, k):
     chosen = np.zeros(len(low), dtype=bool)
     for f in np.flatnonzero(np.isnan(point)):
         donors = (p > 0) & ~np.isnan(low[:, f])
-        order = np.argsort(farthest[donors], kind="stable")
-        enough = np.searchsorted(np.cumsum(copies[donors][order]), k)
-        bound = np.inf if enough >= len(order) else farthest[donors][order[enough]]
+        known = comparable & ~np.isnan(samples[:, f])
+        bound = min(
+            _kth(farthest[donors], copies[donors], k),
+            _kth(sampled[known], sample_copies[known], k),
+        )
         # The slack covers rounding in the two sums.
         chosen |= donors & (nearest <= bound * (1 + 1e-9) + 1e-300)
     return np.flatnonzero(chosen)
@@ -207,22 +236,23 @@ def _search(tuples, names, grid, k, block_rows):
     """(rid, f, value): imputed value for each gap that has a donor."""
     spark = tuples.sparkSession
     shared = spark.sparkContext.broadcast(
-        (grid.low, grid.high, grid.copies, np.array(grid.cells, dtype=object), grid.boxed)
+        (grid.low, grid.high, grid.copies, grid.samples, grid.sample_copies)
     )
+    cell_names = np.array(grid.cells, dtype=object)
 
     def route(batches):
-        low, high, copies, cells, boxed = shared.value
-        everywhere = np.arange(len(cells))
+        everywhere = np.arange(len(cell_names))
+        boxed = shared.value[3] is not None
         for batch in batches:
             points = batch[names].to_numpy(dtype=float)
             targets = [
-                _cells_to_search(x, low, high, copies, k) if boxed else everywhere
+                _cells_to_search(x, *shared.value, k) if boxed else everywhere
                 for x in points
             ]
             rows = np.repeat(np.arange(len(batch)), [len(t) for t in targets])
             routed = batch[["rid", *names]].iloc[rows].reset_index(drop=True)
             hits = np.concatenate(targets) if targets else np.empty(0, dtype=int)
-            routed["cell"] = cells[hits]
+            routed["cell"] = cell_names[hits]
             yield routed
 
     # Work per row is heavy, so tasks are counted out rather than sized by bytes.
