@@ -41,11 +41,11 @@ def correlations(
         ]
     )
     complete = [(a, b) for a, b in pairs if a in full and b in full]
-    for batch in _batches(complete, SUMS_PER_PASS):
+    for batch in stats.batches(complete, SUMS_PER_PASS):
         row = data.agg(*[F.avg(z[a] * z[b]).alias(f"r{i}") for i, (a, b) in enumerate(batch)]).first()
         result.update({pair: row[i] for i, pair in enumerate(batch)})
     gappy = [(a, b) for a, b in pairs if a in z and b in z and not (a in full and b in full)]
-    for batch in _batches(gappy, SUMS_PER_PASS // 6):
+    for batch in stats.batches(gappy, SUMS_PER_PASS // 6):
         row = data.agg(
             *[_common_r(z[a], z[b]).alias(f"r{i}") for i, (a, b) in enumerate(batch)]
         ).first()
@@ -62,7 +62,3 @@ def _common_r(x: Column, y: Column) -> Column:
     # Below this a column is constant on the common rows but for rounding.
     tiny = n * n * 1e-14
     return F.when((vx > tiny) & (vy > tiny), (n * F.sum(x * y) - sx * sy) / F.sqrt(vx) / F.sqrt(vy))
-
-
-def _batches(items: list, size: int):
-    return [items[i : i + size] for i in range(0, len(items), size)]

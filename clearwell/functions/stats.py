@@ -15,8 +15,9 @@ from .types import OPAQUE_TYPES, ref
 
 # Text beyond this many characters is counted by its SHA-256 digest.
 LONG_TEXT = 64
-# Columns unpivoted by one plan node.
+# Columns unpivoted by one plan node, and plain counts in one aggregate.
 COLUMNS_PER_PASS = 64
+COUNTS_PER_PASS = 100
 # Cells whose distinct values may be sorted to finish exact quantiles.
 SORTED_CELLS = 100_000
 # Equal-width bins of a column's range, counted first.
@@ -68,7 +69,7 @@ def _opaque_text(field: T.StructField) -> Column:
     return F.to_json(ref(field.name))
 
 
-def _unpivot(df: DataFrame, cells: list[list[Column]], names: list[str]) -> DataFrame:
+def unpivot(df: DataFrame, cells: list[list[Column]], names: list[str]) -> DataFrame:
     """One row per table row and column: the column's ordinal and its cell. Aggregating
     this form takes one scan and generated code of one size, however wide the table;
     one wide aggregate outgrows what the JVM compiles after some thirty functions."""
@@ -91,7 +92,7 @@ def value_counts(df: DataFrame, columns: list[str], shorten: bool = False) -> Da
     compare as numbers. ``shorten`` swaps long text for its digest, for callers
     that only count distinct values."""
     fields = {f.name: f for f in df.schema}
-    long = _unpivot(
+    long = unpivot(
         df,
         [_typed(fields[name], shorten) for name in columns],
         ["ordinal", "whole", "fraction", "text"],
@@ -199,7 +200,7 @@ def moments(df: DataFrame, columns: list[str], shape: bool = False) -> TableMome
     if shape:
         aggs += [skew_of(value).alias("skew"), kurtosis_of(value).alias("kurtosis")]
     cells = [[ref(c).cast("double")] for c in columns]
-    found = _unpivot(df, cells, ["ordinal", "value"]).groupBy("ordinal").agg(*aggs)
+    found = unpivot(df, cells, ["ordinal", "value"]).groupBy("ordinal").agg(*aggs)
     result = TableMoments(0, {c: Moments() for c in columns})
     for row in found.collect():  # one row per column
         values = row.asDict()
@@ -211,11 +212,16 @@ def moments(df: DataFrame, columns: list[str], shape: bool = False) -> TableMome
 
 def null_counts(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
     """Rows of the table and NULL cells per column."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-    ).first()
-    return row["rows"], {c: row["rows"] - row[f"n{i}"] for i, c in enumerate(columns)}
+    rows, nulls = None, {}
+    for batch in batches(columns, COUNTS_PER_PASS):
+        row = df.agg(F.count(F.lit(1)), *[F.count(ref(c)) for c in batch]).first()
+        rows = row[0]
+        nulls |= {c: rows - n for c, n in zip(batch, row[1:])}
+    return df.count() if rows is None else rows, nulls
+
+
+def batches(items: list, size: int) -> list[list]:
+    return [items[i : i + size] for i in range(0, len(items), size)]
 
 
 # --------------------------------------------------------------------------- #
@@ -270,7 +276,7 @@ def _spans(data: DataFrame) -> dict[str, Moments]:
     """Count, least and greatest value of each column."""
     value = F.col("value")
     rows = (
-        _unpivot(data, [[F.col(c)] for c in data.columns], ["ordinal", "value"])
+        unpivot(data, [[F.col(c)] for c in data.columns], ["ordinal", "value"])
         .groupBy("ordinal")
         .agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
         .collect()  # one row per column
@@ -363,7 +369,7 @@ def _locate_bins(data, open_, found, spans):
     names = sorted(scales)
     cells = [[_bin(F.col(c), *scales[c]), F.col(c)] for c in names]
     counted = (
-        _unpivot(data, cells, ["ordinal", "bin", "value"])
+        unpivot(data, cells, ["ordinal", "bin", "value"])
         .where(F.col("bin").isNotNull())
         .groupBy("ordinal", "bin")
         .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
@@ -410,7 +416,7 @@ def _sort_intervals(data, open_, found):
         Window.unboundedPreceding, Window.currentRow
     )
     hits = (
-        _unpivot(data, cells, ["ordinal", "part", "value"])
+        unpivot(data, cells, ["ordinal", "part", "value"])
         .where(F.col("part").isNotNull())
         .groupBy("part", "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -436,7 +442,7 @@ def _narrow(data, open_, found, spans):
         [F.when(i.test(), _segment(F.col(i.column), edges[i], 0))] for i in groups
     ]
     counted = (
-        _unpivot(data, cells, ["ordinal", "segment"])
+        unpivot(data, cells, ["ordinal", "segment"])
         .where(F.col("segment").isNotNull())
         .groupBy("ordinal", "segment")
         .count()

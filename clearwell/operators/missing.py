@@ -55,15 +55,18 @@ def fit_fill(
     strategy: str,
     accuracy: int | None = None,
     all_columns: bool = False,
+    nulls: dict[str, int] | None = None,
 ) -> FillModel:
     """Learn fill values. Columns without a NULL are skipped unless ``all_columns``
     (for a model that will meet other data, such as a stream). An all-NULL column
-    has no fill value and stays NULL."""
+    has no fill value and stays NULL. ``nulls``, the NULL cells per column, saves a
+    scan when known."""
     numeric, other = numeric_columns(df), other_columns(df)
     if all_columns:
         with_gaps = set(numeric + other)
     else:
-        _, nulls = stats.null_counts(df, numeric + other)
+        if nulls is None:
+            _, nulls = stats.null_counts(df, numeric + other)
         with_gaps = {c for c, n in nulls.items() if n}
     gaps = [c for c in numeric if c in with_gaps]
     modes = [c for c in other if c in with_gaps]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions import stats
 from ..functions.exprs import NULL_TOKENS, nan_to_null, null_if_token, to_double, to_whole
 from ..functions.types import ref
 
@@ -58,30 +59,30 @@ def inferred_types(df: DataFrame) -> DataFrame:
     """column, type: the narrowest of bigint, double, boolean and string that every
     non-NULL text of a column fits. Dates stay text."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(texts):
-        cell = ref(c)
-        aggs += [
-            F.count(cell).alias(f"n{i}"),
-            F.count(_whole_text(cell)).alias(f"w{i}"),
-            F.count(to_double(cell, T.StringType())).alias(f"d{i}"),
-            F.count_if(cell.isin(*TRUE_TEXTS, *FALSE_TEXTS)).alias(f"b{i}"),
-        ]
-    counted = df.agg(*aggs)
-    parts = []
-    for i, c in enumerate(texts):
-        n = F.col(f"n{i}")
-        kind = (
-            F.when(n == 0, "double")
-            .when(F.col(f"w{i}") == n, "bigint")
-            .when(F.col(f"d{i}") == n, "double")
-            .when(F.col(f"b{i}") == F.col("rows"), "boolean")
-            .otherwise("string")
+    if not texts:
+        return stats.small_frame(df.sparkSession, [], "column string, type string")
+    cell = F.col("cell")
+    counted = (
+        stats.unpivot(df, [[ref(c)] for c in texts], ["ordinal", "cell"])
+        .groupBy("ordinal")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count(cell).alias("n"),
+            F.count(_whole_text(cell)).alias("whole"),
+            F.count(to_double(cell, T.StringType())).alias("number"),
+            F.count_if(cell.isin(*TRUE_TEXTS, *FALSE_TEXTS)).alias("truth"),
         )
-        parts.append(F.struct(F.lit(c).alias("column"), kind.alias("type")))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "column string, type string")
-    return counted.select(F.inline(F.array(*parts)))
+    )
+    names = stats.small_frame(df.sparkSession, list(enumerate(texts)), "ordinal int, column string")
+    kind = (
+        F.when(F.coalesce("n", F.lit(0)) == 0, "double")
+        .when(F.col("whole") == F.col("n"), "bigint")
+        .when(F.col("number") == F.col("n"), "double")
+        .when(F.col("truth") == F.col("rows"), "boolean")
+        .otherwise("string")
+    )
+    # One row per column on both sides.
+    return names.join(F.broadcast(counted), "ordinal", "left").select("column", kind.alias("type"))
 
 
 def _whole_text(cell: Column) -> Column:
