@@ -7,6 +7,7 @@ numbers per column, never rows.
 from dataclasses import dataclass, field
 from math import ceil, floor, isfinite
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from .exprs import any_of, total_of
@@ -26,9 +27,25 @@ BINS = 1_024
 SKETCH_ACCURACY = 10_000
 
 
-def small_frame(spark: SparkSession, rows: list, schema) -> DataFrame:
-    """A frame of a few driver-side rows (one per column, rule or step)."""
-    return spark.createDataFrame(rows, schema)
+_ARROW_TYPES = {
+    "int": pa.int32(),
+    "bigint": pa.int64(),
+    "double": pa.float64(),
+    "string": pa.string(),
+    "array<string>": pa.list_(pa.string()),
+}
+
+
+def small_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A frame of a few driver-side rows (one per column, rule or step). By way of Arrow
+    it becomes a local relation, which is read without a job."""
+    fields = T.StructType.fromDDL(schema)
+    cells = list(zip(*rows)) or [[] for _ in fields]
+    table = pa.table(
+        [pa.array(c, _ARROW_TYPES[f.dataType.simpleString()]) for c, f in zip(cells, fields)],
+        names=[f.name for f in fields],
+    )
+    return spark.createDataFrame(table, fields)
 
 
 # --------------------------------------------------------------------------- #
