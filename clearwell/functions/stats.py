@@ -19,6 +19,8 @@ LONG_TEXT = 64
 # Columns unpivoted by one plan node, and plain counts in one aggregate.
 COLUMNS_PER_PASS = 64
 COUNTS_PER_PASS = 100
+# Aggregate functions side by side that the JVM still compiles.
+COMPILED_AGGREGATES = 33
 # Cells whose distinct values may be sorted to finish exact quantiles.
 SORTED_CELLS = 100_000
 # Equal-width bins of a column's range, counted first.
@@ -205,28 +207,41 @@ def moments(df: DataFrame, columns: list[str], shape: bool = False) -> TableMome
     """Summary of all columns in one scan; ``shape`` adds skewness and kurtosis."""
     if not columns:
         return TableMoments(df.count())
-    value = F.col("value")
-    aggs = [
-        F.count(F.lit(1)).alias("rows"),
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("deviation"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-    ]
+    aggs = {
+        "rows": lambda _: F.count(F.lit(1)),
+        "n": F.count,
+        "mean": F.avg,
+        "deviation": F.stddev_pop,
+        "low": F.min,
+        "high": F.max,
+    }
     if shape:
-        aggs += [skew_of(value).alias("skew"), kurtosis_of(value).alias("kurtosis")]
-    cells = [[ref(c).cast("double")] for c in columns]
-    found = unpivot(df, cells, ["ordinal", "value"]).groupBy("ordinal").agg(*aggs)
+        aggs |= {"skew": skew_of, "kurtosis": kurtosis_of}
     result = TableMoments(0, {c: Moments() for c in columns})
-    for row in found.collect():  # one row per column
-        values = row.asDict()
-        name = columns[values.pop("ordinal")]
-        result.rows = values.pop("rows")
-        result.columns[name] = Moments(**values)
+    found = _per_column(df, [ref(c).cast("double") for c in columns], aggs)
+    for name, values in zip(columns, found):
+        if values:
+            result.rows = values.pop("rows")
+            result.columns[name] = Moments(**values)
     return result
 
 
+def _per_column(df: DataFrame, cells: list[Column], aggs: dict) -> list[dict]:
+    """The same aggregates of several columns, from one scan: side by side while the JVM
+    compiles the generated code, else over the unpivoted table, where empty input gives
+    empty dicts."""
+    if len(cells) * len(aggs) <= COMPILED_AGGREGATES:
+        row = df.agg(*[make(cell) for cell in cells for make in aggs.values()]).first()
+        return [dict(zip(aggs, values)) for values in batches(list(row), len(aggs))]
+    made = [make(F.col("value")).alias(name) for name, make in aggs.items()]
+    long = unpivot(df, [[c] for c in cells], ["ordinal", "value"])
+    found: list[dict] = [{} for _ in cells]
+    for row in long.groupBy("ordinal").agg(*made).collect():  # one row per column
+        values = row.asDict()
+        found[values.pop("ordinal")] = values
+    return found
+
+
 def null_counts(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
     """Rows of the table and NULL cells per column."""
     rows, nulls = None, {}
@@ -291,17 +306,9 @@ def quantiles(
 
 def _spans(data: DataFrame) -> dict[str, Moments]:
     """Count, least and greatest value of each column."""
-    value = F.col("value")
-    rows = (
-        unpivot(data, [[F.col(c)] for c in data.columns], ["ordinal", "value"])
-        .groupBy("ordinal")
-        .agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-        .collect()  # one row per column
-    )
-    spans = {c: Moments() for c in data.columns}
-    for r in rows:
-        spans[data.columns[r["ordinal"]]] = Moments(n=r["n"], low=r["low"], high=r["high"])
-    return spans
+    aggs = {"n": F.count, "low": F.min, "high": F.max}
+    found = _per_column(data, [F.col(c) for c in data.columns], aggs)
+    return {c: Moments(**values) for c, values in zip(data.columns, found)}
 
 
 @dataclass(frozen=True)
