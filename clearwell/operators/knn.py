@@ -12,8 +12,8 @@ copies cost nothing extra on either side:
    size go to every task; the number of cells is checked, and the grid is made
    coarser until it fits.
 2. A gap is sent to the cells whose box may hold one of its k nearest: those no
-   farther than k donors known to exist, be they a few samples kept per cell or all
-   donors of whole boxes. No neighbour is missed.
+   farther than k donors known to exist, be they samples kept from each cell or all
+   donors of one box. No neighbour is missed.
 3. Cell by cell, in blocks of bounded size on both sides, NumPy keeps the k best
    donors per gap; a grouped top-k merges the blocks.
 """
@@ -33,8 +33,8 @@ from ..functions.types import numeric_columns, ref
 MAX_CELLS = 8_000
 # Tuples a cell should hold on average, and rows per side of one search block.
 CELL_ROWS = 2_048
-# Donors per cell kept as samples.
-SAMPLES = 8
+# Donors of all cells kept as samples, one per cell at least.
+SAMPLES = 4_096
 BLOCK_ROWS = 8_192
 # Gaps compared with a block of donors at a time.
 GAP_BATCH = 64
@@ -89,7 +89,6 @@ class Grid:
     low: np.ndarray
     high: np.ndarray
     samples: np.ndarray | None = None
-    sample_copies: np.ndarray | None = None
 
 
 def _pattern(names):
@@ -114,7 +113,7 @@ def _fit_grid(tuples, names, variances, max_cells):
         found = _cell_boxes(usable, names, cell).limit(max_cells + 1).collect()
         if len(found) <= max_cells:
             grid = _grid(cell, found, names)
-            grid.samples, grid.sample_copies = _samples(usable, names, cell)
+            grid.samples = _samples(usable, names, cell, len(found))
             return grid
         if wanted <= 1:
             break
@@ -137,9 +136,14 @@ def _slices(spread, wanted):
 
 def _cell_name(tuples, names, slices):
     parts = [_pattern(names)]
+    finest = max(slices.values(), default=1)
+    cuts = stats.quantiles(
+        tuples, list(slices), [i / finest for i in range(1, finest)], accuracy=10_000
+    )
     for c, n in slices.items():
-        cuts = stats.quantiles(tuples, [c], [i / n for i in range(1, n)], accuracy=10_000)
-        edges = sorted({e for e in cuts[c] if e is not None})
+        # Slices are powers of two, so coarser cuts are among the finest.
+        step = finest // n
+        edges = sorted({e for e in cuts[c][step - 1 :: step] if e is not None})
         # Position among the cuts, by binary search in generated code.
         position = _position(F.col(c), edges, 0)
         parts.append(F.when(F.col(c).isNull(), "-").otherwise(position.cast("string")))
@@ -164,15 +168,15 @@ def _cell_boxes(usable, names, cell):
     )
 
 
-def _samples(usable, names, cell):
-    """Up to SAMPLES different donors of each cell, with their copies."""
+def _samples(usable, names, cell, cells):
+    """A few different donors of each cell."""
+    each = max(1, SAMPLES // max(cells, 1))
     rows = (
-        usable.groupBy(cell.alias("cell"), F.pmod(F.xxhash64("rid"), F.lit(SAMPLES)).alias("s"))
-        .agg(F.any_value(F.struct("n", F.array(*names).alias("x"))).alias("donor"))
-        .select("donor.n", "donor.x")
-        .collect()  # at most MAX_CELLS * SAMPLES rows
+        usable.groupBy(cell.alias("cell"), F.pmod(F.xxhash64("rid"), F.lit(each)).alias("s"))
+        .agg(F.any_value(F.array(*names)).alias("x"))
+        .collect()  # SAMPLES or MAX_CELLS rows at most
     )
-    return _matrix([r["x"] for r in rows], len(names)), np.array([r["n"] for r in rows])
+    return _matrix([r["x"] for r in rows], len(names))
 
 
 def _matrix(rows, width):
@@ -191,40 +195,36 @@ def _grid(cell, rows, names):
     )
 
 
-def _kth(distance, copies, k):
-    """Distance within which ``k`` donors lie, infinite when there are fewer."""
-    order = np.argsort(distance, kind="stable")
-    at = np.searchsorted(np.cumsum(copies[order]), k)
-    return distance[order[at]] if at < len(order) else np.inf
-
-
-def _cells_to_search(point, low, high, copies, samples, sample_copies, k):
-    """Indices of the cells that may hold one of the ``k`` nearest donors of any gap
-    of ``point``."""
-    width = len(point)
-    step = samples - point
-    common = ~np.isnan(step)
-    p = common.sum(axis=1)
-    sampled = (np.where(common, step, 0.0) ** 2).sum(axis=1) * (width / np.maximum(p, 1))
-    comparable = p > 0
-    shared = ~np.isnan(low) & ~np.isnan(point)
-    p = shared.sum(axis=1)
-    reach_in = np.where(shared, np.maximum(np.maximum(low - point, point - high), 0.0), 0.0)
-    reach_out = np.where(shared, np.maximum(np.abs(point - low), np.abs(point - high)), 0.0)
-    scale = width / np.maximum(p, 1)
-    nearest = (reach_in**2).sum(axis=1) * scale
-    farthest = (reach_out**2).sum(axis=1) * scale
-    chosen = np.zeros(len(low), dtype=bool)
-    for f in np.flatnonzero(np.isnan(point)):
+def _cells_to_search(points, low, high, copies, samples, k):
+    """For each of ``points``, which all hold the same columns, the cells that may hold
+    one of the ``k`` nearest donors of any of its gaps."""
+    width = points.shape[1]
+    held = np.flatnonzero(~np.isnan(points[0]))
+    nearest, farthest = np.zeros((2, len(points), len(low)))
+    sampled = np.zeros((len(points), len(samples)))
+    for j in held:
+        x, has, known = points[:, j, None], ~np.isnan(low[:, j]), ~np.isnan(samples[:, j])
+        below, above = low[has, j] - x, x - high[has, j]
+        nearest[:, has] += np.maximum(np.maximum(below, above), 0.0) ** 2
+        farthest[:, has] += np.minimum(below, above) ** 2
+        sampled[:, known] += (samples[known, j] - x) ** 2
+    p, sample_p = (~np.isnan(low[:, held])).sum(axis=1), (~np.isnan(samples[:, held])).sum(axis=1)
+    nearest *= width / np.maximum(p, 1)
+    farthest *= width / np.maximum(p, 1)
+    sampled *= width / np.maximum(sample_p, 1)
+    chosen = np.zeros(nearest.shape, dtype=bool)
+    for f in np.setdiff1d(np.arange(width), held):
         donors = (p > 0) & ~np.isnan(low[:, f])
-        known = comparable & ~np.isnan(samples[:, f])
-        bound = min(
-            _kth(farthest[donors], copies[donors], k),
-            _kth(sampled[known], sample_copies[known], k),
-        )
-        # The slack covers rounding in the two sums.
-        chosen |= donors & (nearest <= bound * (1 + 1e-9) + 1e-300)
-    return np.flatnonzero(chosen)
+        usable = (sample_p > 0) & ~np.isnan(samples[:, f])
+        bound = np.full(len(points), np.inf)
+        if (donors & (copies >= k)).any():
+            bound = farthest[:, donors & (copies >= k)].min(axis=1)
+        if usable.sum() >= k:
+            kth = np.partition(sampled[:, usable], k - 1, axis=1)[:, k - 1]
+            bound = np.minimum(bound, kth)
+        # The slack covers rounding in the sums.
+        chosen |= donors & (nearest <= bound[:, None] * (1 + 1e-9) + 1e-300)
+    return chosen
 
 
 # --------------------------------------------------------------------------- #
@@ -235,24 +235,28 @@ def _cells_to_search(point, low, high, copies, samples, sample_copies, k):
 def _search(tuples, names, grid, k, block_rows):
     """(rid, f, value): imputed value for each gap that has a donor."""
     spark = tuples.sparkSession
-    shared = spark.sparkContext.broadcast(
-        (grid.low, grid.high, grid.copies, grid.samples, grid.sample_copies)
-    )
+    shared = spark.sparkContext.broadcast((grid.low, grid.high, grid.copies, grid.samples))
+    boxed = grid.samples is not None
     cell_names = np.array(grid.cells, dtype=object)
 
     def route(batches):
-        everywhere = np.arange(len(cell_names))
-        boxed = shared.value[3] is not None
         for batch in batches:
             points = batch[names].to_numpy(dtype=float)
-            targets = [
-                _cells_to_search(x, *shared.value, k) if boxed else everywhere
-                for x in points
-            ]
-            rows = np.repeat(np.arange(len(batch)), [len(t) for t in targets])
-            routed = batch[["rid", *names]].iloc[rows].reset_index(drop=True)
-            hits = np.concatenate(targets) if targets else np.empty(0, dtype=int)
-            routed["cell"] = cell_names[hits]
+            rows, cells = [], []
+            for _, same in _by_pattern(points):
+                for start in range(0, len(same), GAP_BATCH):
+                    part = same[start : start + GAP_BATCH]
+                    if boxed:
+                        hit = _cells_to_search(points[part], *shared.value, k)
+                    else:
+                        hit = np.ones((len(part), len(cell_names)), dtype=bool)
+                    r, c = np.nonzero(hit)
+                    rows.append(part[r])
+                    cells.append(c)
+            if not rows:
+                continue
+            routed = batch[["rid", *names]].iloc[np.concatenate(rows)].reset_index(drop=True)
+            routed["cell"] = cell_names[np.concatenate(cells)]
             yield routed
 
     # Work per row is heavy, so tasks are counted out rather than sized by bytes.

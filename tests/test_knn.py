@@ -90,7 +90,7 @@ def test_routing_never_misses_a_neighbour():
     searched = []
     for x in rng.normal(size=(50, 3)):
         x[2] = np.nan
-        chosen = knn._cells_to_search(x, low, high, copies, samples, np.ones(len(samples)), 5)
+        chosen = np.flatnonzero(knn._cells_to_search(x[None], low, high, copies, samples, 5)[0])
         d = [((c[:, :2] - x[:2]) ** 2).sum(axis=1) for c in cells]
         limit = np.sort(np.concatenate(d))[4]
         needed = {i for i, part in enumerate(d) if (part <= limit).any()}
