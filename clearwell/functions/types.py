@@ -32,10 +32,6 @@ def other_columns(df: DataFrame) -> list[str]:
     ]
 
 
-def plain_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if not isinstance(f.dataType, OPAQUE_TYPES)]
-
-
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
