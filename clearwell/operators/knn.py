@@ -36,6 +36,8 @@ CELL_ROWS = 2_048
 # Donors of all cells kept as samples, one per cell at least.
 SAMPLES = 4_096
 BLOCK_ROWS = 8_192
+# Tuples that make a task of their own worth while.
+TASK_ROWS = 1_024
 # Gaps compared with a block of donors at a time.
 GAP_BATCH = 64
 
@@ -260,7 +262,9 @@ def _search(tuples, names, grid, k, block_rows):
             yield routed
 
     # Work per row is heavy, so tasks are counted out rather than sized by bytes.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tuple_count = int(grid.tuples.sum())
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), tuple_count // TASK_ROWS)
+    tasks = max(1, tasks, tuple_count // (20 * TASK_ROWS))
     columns = ", ".join(f"{c} double" for c in names)
     gaps = materialize(
         tuples.where(_has_gap(names))
