@@ -1,8 +1,16 @@
 """The numbered queries over the given tables, and their SQL twins where SQL can say it."""
 
+from .decontaminate import OP2_SQL, op2_decontaminate
+from .packing import op3_best_fit_packing
 from .simhash import op1_simhash
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
