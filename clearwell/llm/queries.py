@@ -2,6 +2,7 @@
 
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .packing import op3_best_fit_packing
+from .pii import op10_pii
 from .simhash import op1_simhash
 from .toxicity import op4_toxicity
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
