@@ -1,18 +1,25 @@
 """The numbered queries over the given tables, and their SQL twins where SQL can say it."""
 
 from .decontaminate import OP2_SQL, op2_decontaminate
+from .licenses import op7_licenses
 from .packing import op3_best_fit_packing
 from .pii import op10_pii
+from .secrets import op9_secrets
 from .simhash import op1_simhash
 from .toxicity import op4_toxicity
+from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
+    "op7_licenses": op7_licenses,
+    "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op5_warc": OP5_SQL,
 }
