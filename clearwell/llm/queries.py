@@ -1,6 +1,7 @@
 """The numbered queries over the given tables, and their SQL twins where SQL can say it."""
 
 from .decontaminate import OP2_SQL, op2_decontaminate
+from .html import op6_html
 from .licenses import op7_licenses
 from .packing import op3_best_fit_packing
 from .pii import op10_pii
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
+    "op6_html": op6_html,
     "op7_licenses": op7_licenses,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
