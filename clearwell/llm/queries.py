@@ -7,6 +7,7 @@ from .packing import op3_best_fit_packing
 from .pii import op10_pii
 from .secrets import op9_secrets
 from .simhash import op1_simhash
+from .topk import OP8_SQL, op8_topk
 from .toxicity import op4_toxicity
 from .warc import OP5_SQL, op5_warc
 
@@ -18,10 +19,12 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_html": op6_html,
     "op7_licenses": op7_licenses,
+    "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op5_warc": OP5_SQL,
+    "op8_topk": OP8_SQL,
 }
