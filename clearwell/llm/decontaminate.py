@@ -114,37 +114,53 @@ def _marks(short: list[int], bitmap: np.ndarray):
     return run
 
 
+def _extended(texts: pa.Array, hits: pa.Array) -> tuple[np.ndarray, list[list[str]]]:
+    """(words inside occurrences, items with occurrences) of each text: its hits, verified
+    against its words and extended to both sides."""
+    hit_words, item_lists = np.zeros(len(texts), np.int64), [[] for _ in range(len(texts))]
+    for i in np.flatnonzero(hits.is_valid().to_numpy(zero_copy_only=False)):
+        words = split_words(texts[int(i)].as_py())
+        covered, items, seen = np.zeros(len(words), bool), set(), set()
+        for hit in hits[int(i)].as_py():
+            around, k, at, place = hit["around"].encode().split(), hit["k"], hit["at"], hit["place"]
+            left, right = at, at + k
+            shift = place - at
+            if place + k > len(words) or words[place : place + k] != around[left:right]:
+                continue
+            if (hit["item"], shift, hit["around"]) in seen:
+                continue
+            seen.add((hit["item"], shift, hit["around"]))
+            while left > 0 and shift + left > 0 and words[shift + left - 1] == around[left - 1]:
+                left -= 1
+            while right < len(around) and shift + right < len(words) and words[shift + right] == around[right]:
+                right += 1
+            if right - left >= min(SPAN, len(around)):
+                covered[shift + left : shift + right] = True
+                items.add(hit["item"])
+        hit_words[i], item_lists[i] = covered.sum(), sorted(x for x in items if x is not None)
+    return hit_words, item_lists
+
+
 def _extend(batches):
-    """Verifies the hits of each document against its words."""
     for batch in batches:
         for rows, data, offsets in text_slices(batch, 1):
-            first = word_spans(data, offsets)[3]
-            counts = np.diff(first)
-            hit_words, item_lists = np.zeros(len(rows), np.int64), [[] for _ in range(len(rows))]
-            hits = rows.column(2)
-            for i in np.flatnonzero(hits.is_valid().to_numpy(zero_copy_only=False)):
-                words = split_words(rows.column(1)[int(i)].as_py())
-                covered, items, seen = np.zeros(len(words), bool), set(), set()
-                for hit in hits[int(i)].as_py():
-                    around, k, at, place = hit["around"].encode().split(), hit["k"], hit["at"], hit["place"]
-                    left, right = at, at + k
-                    shift = place - at
-                    if place < 0 or place + k > len(words) or words[place : place + k] != around[at : at + k]:
-                        continue
-                    if (hit["item"], shift, hit["around"]) in seen:
-                        continue
-                    seen.add((hit["item"], shift, hit["around"]))
-                    while left > 0 and shift + left > 0 and words[shift + left - 1] == around[left - 1]:
-                        left -= 1
-                    while right < len(around) and shift + right < len(words) and words[shift + right] == around[right]:
-                        right += 1
-                    if right - left >= min(SPAN, len(around)):
-                        covered[shift + left : shift + right] = True
-                        items.add(hit["item"])
-                hit_words[i], item_lists[i] = covered.sum(), sorted(x for x in items if x is not None)
+            counts = np.diff(word_spans(data, offsets)[3])
+            hit_words, items = _extended(rows.column(1), rows.column(2))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(counts.astype(np.int64)), pa.array(hit_words),
-                 pa.array(item_lists, pa.list_(pa.string()))], ["id", "n_words", "n_hit", "items"])
+                 pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "n_hit", "items"])
+
+
+def _clean(at: int):
+    """Rows without a hit; the hits are the last column, which goes."""
+
+    def run(batches):
+        for batch in batches:
+            last = batch.num_columns - 1
+            hit_words, _ = _extended(batch.column(at), batch.column(last))
+            yield batch.select(range(last)).filter(pa.array(hit_words == 0))
+
+    return run
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -168,6 +184,17 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.collect_list(F.struct("place", "k", "at", "around", "item")).alias("hits"))
 
 
+def _with_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """``docs`` with a last column of their hits, null for none."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    found = materialize(candidates(rows, items), "hits")
+    # Per hit: the words around and some fixed fields; lists are bounded by a document's length.
+    size = F.aggregate("hits", F.lit(0), lambda t, x: t + F.octet_length(x["around"]) + 60)
+    side = small_or_plain(found, size).select(F.col("id").alias("__hit_id"), F.col("hits").alias("__hits"))
+    return docs.join(side, F.col(id_col).cast("bigint").eqNullSafe(F.col("__hit_id")), "left").drop("__hit_id")
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
@@ -180,16 +207,19 @@ def contamination(
     a null id make words hit but are not listed. Empty tables give empty or clean results.
     Other columns are not read, whatever their names."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    found = materialize(candidates(rows, items), "hits")
-    # Per hit: the words around and some fixed fields; lists are bounded by a document's length.
-    side = small_or_plain(
-        found.withColumnRenamed("id", "hit_id"),
-        F.aggregate("hits", F.lit(0), lambda t, x: t + F.octet_length(x["around"]) + 60))
-    joined = rows.join(side, F.col("id").eqNullSafe(F.col("hit_id")), "left").select("id", "text", "hits")
+    joined = _with_hits(rows, benchmark, "id", "text", item_col, item_text_col)
     return arrow_map(joined, _extend, "id bigint, n_words bigint, n_hit bigint, items array<string>")
 
 
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item occurs, all columns as they are."""
+    joined = _with_hits(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    return arrow_map(joined, _clean(docs.columns.index(text_col)), docs.schema)
+
+
 def op2_decontaminate(spark, folder):
     rows = contamination(
         spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))

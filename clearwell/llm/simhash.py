@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.storage import materialize
 from .common import arrow_map, components
@@ -101,6 +102,19 @@ def links(marks: DataFrame, bits: int = BITS) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _classes(marks: DataFrame, bits: int) -> DataFrame:
+    """(point, root, class_id) for every distinct ``mark`` of ``marks`` (id, mark)."""
+    points = materialize(marks.groupBy("mark").agg(F.min("id").alias("first")), "points")
+    found = materialize(links(points, bits), "links")
+    roots = components(found, "links")
+    # Points without links are their own class; only linked ones meet the roots.
+    linked = points.join(roots, F.col("mark") == F.col("node"), "left").select(
+        "mark", "first", F.coalesce("root", "mark").alias("root"))
+    lowest = points.join(roots, F.col("mark") == F.col("node")).groupBy(F.col("root").alias("top")).agg(F.min("first").alias("lowest"))
+    return linked.join(lowest, F.col("root") == F.col("top"), "left").select(
+        F.col("mark").alias("point"), "root", F.coalesce("lowest", "first").alias("class_id"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """(id, mark, class_id) for every row. class_id is the smallest id among all rows whose
     fingerprints can be reached over links.
@@ -110,17 +124,41 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null one. Repeated rows stay repeated. An empty table gives an empty result. Other
     columns are not read, whatever their names."""
     marks = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    points = materialize(marks.groupBy("mark").agg(F.min("id").alias("first")), "points")
-    found = materialize(links(points, bits), "links")
-    roots = components(found, "links")
-    # Points without links are their own class; only linked ones meet the roots.
-    linked = points.join(roots, F.col("mark") == F.col("node"), "left").select(
-        "mark", "first", F.coalesce("root", "mark").alias("root"))
-    lowest = points.join(roots, F.col("mark") == F.col("node")).groupBy("root").agg(F.min("first").alias("lowest"))
-    classes = linked.join(lowest.withColumnRenamed("root", "top"), F.col("root") == F.col("top"), "left").select(
-        F.col("mark").alias("point"), F.coalesce("lowest", "first").alias("class_id"))
     # A frequent fingerprint makes a large partition of `marks` only, which AQE splits.
-    return marks.join(classes, F.col("mark") == F.col("point")).select("id", "mark", "class_id")
+    return marks.join(_classes(marks, bits), F.col("mark") == F.col("point")).select("id", "mark", "class_id")
+
+
+def _marked(at: int):
+    def run(batches):
+        for batch in batches:
+            marks = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(marks.view(np.int64))], [*batch.schema.names, "__mark"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """One row of ``docs`` for each class of near copies, all columns as they are: the row of
+    the smallest id, of equal ids the one of the smallest fingerprint, of repeated rows any.
+    A class without any id keeps one row too."""
+    schema = StructType([*docs.schema.fields, StructField("__mark", LongType())])
+    marked = materialize(arrow_map(docs, _marked(docs.columns.index(text_col)), schema), "marked")
+    marks = marked.select(F.col(id_col).cast("bigint").alias("id"), F.col("__mark").alias("mark"))
+    rows = marks.join(_classes(marks, bits), F.col("mark") == F.col("point")).where(F.col("id").eqNullSafe(F.col("class_id")))
+    kept = materialize(rows.groupBy("root").agg(
+        F.min("id").alias("__id"), F.min("mark").alias("__point"), F.count_if(F.lit(True)).alias("n")), "kept")
+    # Rows are met by fingerprint and id, so copies of a frequent text do not fall together.
+    own = F.col(id_col).cast("bigint")
+    one = marked.join(
+        kept.select("__id", "__point"), (F.col("__mark") == F.col("__point")) & own.eqNullSafe(F.col("__id")), "left_semi")
+    if kept.where("n > 1").isEmpty():
+        return one.select(*docs.columns)
+    # Some chosen rows may be repeated: they alone are brought together.
+    doubtful = kept.where("n > 1").select("__id", "__point")
+    match = (F.col("__mark") == F.col("__point")) & own.eqNullSafe(F.col("__id"))
+    return one.join(doubtful, match, "left_anti").unionByName(
+        one.join(doubtful, match, "left_semi").dropDuplicates([id_col, "__mark"])).select(*docs.columns)
 
 
 def hex_mark(mark: Column) -> Column:

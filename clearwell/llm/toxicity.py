@@ -178,21 +178,34 @@ def fit(
     return slots, *pickle.loads(bytes(models[0]["model"]))
 
 
-def _scores(model):
+def _scored(model, batch: pa.RecordBatch, at: int):
+    """(rows, their scores) of a batch whose column ``at`` is the text."""
     slots, w0, w, v = model
     norm = (v**2).sum(axis=1)
+    for rows, data, offsets in text_slices(batch, at):
+        n = len(rows)
+        text, slot, counts = _known_terms(slots, data, offsets)
+        x = _value(counts).astype(np.float64)
+        z = np.bincount(text, x * w[slot] - 0.5 * x**2 * norm[slot], n) + w0
+        for f in range(v.shape[1]):
+            z += 0.5 * np.bincount(text, x * v[slot, f], n) ** 2
+        yield rows, logistic(z)
+
 
+def _scores(model):
     def run(batches):
         for batch in batches:
-            for rows, data, offsets in text_slices(batch, 1):
-                n = len(rows)
-                text, slot, counts = _known_terms(slots, data, offsets)
-                x = _value(counts).astype(np.float64)
-                z = np.bincount(text, x * w[slot] - 0.5 * x**2 * norm[slot], n) + w0
-                for f in range(v.shape[1]):
-                    z += 0.5 * np.bincount(text, x * v[slot, f], n) ** 2
-                yield pa.RecordBatch.from_arrays([*rows.columns[:1], *rows.columns[2:], pa.array(logistic(z))], [
-                    "id", *rows.schema.names[2:], "score"])
+            for rows, found in _scored(model, batch, 1):
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found)], ["id", "score"])
+
+    return run
+
+
+def _kept(model, at: int, limit: float):
+    def run(batches):
+        for batch in batches:
+            for rows, found in _scored(model, batch, at):
+                yield rows.filter(pa.array(found < limit))
 
     return run
 
@@ -212,6 +225,12 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(rows, _scores(model), "id bigint, score double")
 
 
+def keep_clean(docs: DataFrame, model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``limit``, all columns as they are; no shuffle.
+    A null text is judged as an empty one."""
+    return arrow_map(docs, _kept(model, docs.columns.index(text_col), limit), docs.schema)
+
+
 def fit_held(docs: DataFrame, labels: DataFrame):
     return fit(docs, labels.where(~held_out(F.col("doc_id"))))
 
