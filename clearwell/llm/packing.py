@@ -9,9 +9,12 @@ their length, in one join.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,23 @@ from .common import arrow_map
 LENGTH = 2048
 END_ID = 0
 # Pieces of one length are ranked in so many groups, as one length may be very frequent.
-RANK_GROUPS = 256
-SLICE_CHARS = 1 << 20
+RANK_GROUPS = 64
+SLICE_CHARS = 1 << 22
+# Words that a worker remembers before it starts anew (some 150 bytes each).
+MOST_WORDS = 600_000
+
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e]+)([.,;:!?*#%&$|()\[\]\"-]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for
+    themselves, the others from U+0100 on in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(other)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -34,51 +52,96 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Grown:
+    """A number array that grows at its end."""
+
+    def __init__(self, kind):
+        self.data, self.used = np.empty(1 << 12, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.used + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.empty(max(len(self.data), len(values)), self.data.dtype)])
+        self.data[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+
 class Encoder:
     """Token ids of many texts. This vocabulary drops white space and merges within words
-    only, so each distinct word of a batch is encoded once and its ids are laid out for
-    every place. Texts with the marker of a special token are encoded as a whole."""
+    only, so each distinct word is encoded once and its ids are laid out for every place.
+    Plain Latin words go to the merge model directly, with the punctuation behind them on
+    its own, as the tokenizer's own splitting does; all others through the tokenizer. Texts
+    with the marker of a special token are encoded as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.merges = self.tokenizer.model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.cores: dict[str, list[int]] = {}
+        self.starts, self.sizes, self.flat = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint32)
 
-    def _word_ids(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
+    def _through(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _ids(self, word: str) -> list[int]:
+        m = _PLAIN.fullmatch(word)
+        core = m.group(1).lower() if m else ""
+        if not core.isalpha() or len(core) != len(m.group(1)):
+            return self._through(word)
+        out = self.cores.get(core)
+        if out is None:
+            letters = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            out = self.cores[core] = [t.id for t in self.merges.tokenize(letters)]
+        if m.group(2):
+            tail = self.cores.get(m.group(2))
+            if tail is None:
+                tail = self.cores[m.group(2)] = self._through(m.group(2))
+            out = out + tail
+        return out
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > MOST_WORDS:
+            self._clear()
+        new = [w for w in words if w not in self.number]
         if new:
-            if len(self.known) > 500_000:
-                self.known.clear()
-                new = words
-            for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[word] = np.array(code.ids, np.uint32)
-        return [self.known[w] for w in words]
+            ids = [self._ids(w) for w in new]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.number.update(zip(new, range(self.sizes.used, self.sizes.used + len(new))))
+            self.starts.extend(self.flat.used + np.cumsum(sizes) - sizes)
+            self.sizes.extend(sizes)
+            self.flat.extend(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         lists = pc.ascii_split_whitespace(texts)
         coded = pc.dictionary_encode(lists.flatten())
-        ids = self._word_ids(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        counts = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        counts = self.sizes.data[number]
         ends = np.cumsum(counts)
-        take = np.repeat(starts[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-        tokens = flat[take]
+        place = np.arange(ends[-1] if len(ends) else 0)
+        tokens = self.flat.data[np.repeat(self.starts.data[number] - (ends - counts), counts) + place]
         bounds = np.concatenate([[0], ends])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
         out = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         for i in np.flatnonzero(special):
-            out[i] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
+            out[i] = np.array(self._through(texts[int(i)].as_py()), np.uint32)
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per Python worker: words stay known from task to task."""
+    return Encoder(path)
+
+
 def _pieces(path: str, length: int, end_id: int):
     def run(batches):
-        encoder = Encoder(path)
+        known = encoder(path)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
@@ -87,7 +150,7 @@ def _pieces(path: str, length: int, end_id: int):
                 base = sizes[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(sizes, base + SLICE_CHARS, "right")))
                 rows, numbers, starts, lengths, marks = [], [], [], [], []
-                for i, tokens in enumerate(encoder.encode(texts.slice(at, end - at)), at):
+                for i, tokens in enumerate(known.encode(texts.slice(at, end - at)), at):
                     tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
                     for number, start in enumerate(range(0, len(tokens), length)):
                         piece = tokens[start : start + length]
