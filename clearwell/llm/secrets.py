@@ -122,7 +122,7 @@ def scan(
         found.where("row_key is null").select("id", "spans", empty, empty, F.lit(0).cast("bigint")))
     base = F.filter(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))),
                     lambda s: s["kind"] < BASE_KINDS)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(BASE_KINDS)]
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = {k})) as bigint)").alias(f"n_{KINDS[k]}") for k in range(BASE_KINDS)]
     return both.select(
         "id", *counts, _joined(base).alias("base"), _joined(F.col("listed")).alias("spans"), _joined(F.col("live")).alias("live"),
         F.size("live").cast("bigint").alias("n_live"), "n_example")
