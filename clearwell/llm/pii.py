@@ -167,26 +167,35 @@ class Graph:
 
 
 def fit_weights(graph: Graph, steps: int = 300, rate: float = 0.5, l2: float = 1e-3):
-    """(node weights, chain weights, skip weight) by pseudo-likelihood on a graph whose open
-    nodes count as nothing found."""
-    labels = np.maximum(np.array(graph.labels, np.int64), 0)
+    """(node weights, chain weights, skip weight) by pseudo-likelihood. Open nodes count as
+    nothing found, except those that skip edges lead to from a base find: they are what the
+    field is to decide, and teach nothing."""
+    labels = np.array(graph.labels, np.int64)
+    sure = np.ones(len(labels), bool)
+    reached = labels >= 0
+    for edges in (graph.skips, graph.skips[::-1]):  # edges run forwards
+        for a, b in edges:
+            reached[a] = reached[b] = reached[a] or reached[b]
+    sure[reached & (labels < 0)] = False
+    labels = np.maximum(labels, 0)
     weights = np.zeros((FEATURES, LABELS))
-    if len(labels):
+    if sure.any():
         x = np.zeros((len(labels), FEATURES))
         for i, f in enumerate(graph.features):
             x[i, f] = 1
-        target = np.eye(LABELS)[labels]
+        x, target = x[sure], np.eye(LABELS)[labels[sure]]
         for _ in range(steps):
             z = x @ weights
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            weights -= rate * (x.T @ (p - target) / len(labels) + l2 * weights)
+            weights -= rate * (x.T @ (p - target) / len(x) + l2 * weights)
     pairs = np.ones((LABELS, LABELS))
     for a, b in graph.chain:
-        pairs[labels[a], labels[b]] += 1
+        if sure[a] and sure[b]:
+            pairs[labels[a], labels[b]] += 1
     alone = pairs.sum(axis=1, keepdims=True) * pairs.sum(axis=0, keepdims=True) / pairs.sum()
-    agree = sum(labels[a] == labels[b] for a, b in graph.skips)
-    skip = np.log((agree + 1) / (len(graph.skips) - agree + 1))
+    known = [labels[a] == labels[b] for a, b in graph.skips if sure[a] and sure[b]]
+    skip = np.log((sum(known) + 1) / (len(known) - sum(known) + 1))
     return weights, np.clip(np.log(pairs / alone), -1, 1), float(np.clip(skip, 2, 6))
 
 
