@@ -1,12 +1,13 @@
-"""Pairwise-complete Pearson correlation of many columns."""
+"""Pairwise-complete Pearson correlation of many columns, in one scan."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import stats
-from .types import ref
+from .packaging import ship
 
-# Sums per aggregate, few enough for the JVM to compile the generated code.
-SUMS_PER_PASS = 30
+_PARTS = ("n", "mean_x", "mean_y", "sxx", "syy", "sxy", "low_x", "high_x", "low_y", "high_y")
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -17,48 +18,107 @@ def pearson(x: Column, y: Column) -> Column:
     )
 
 
-def correlations(
-    df: DataFrame, columns: list[str], found: stats.TableMoments | None = None
-) -> dict[tuple[str, str], float | None]:
-    """r for each pair of columns, each pair once, in column order; None where a column
-    is constant.
+def _pair_parts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``_PARTS`` of two columns without gaps; sums are of differences from the means."""
+    mean_x, mean_y = x.mean(), y.mean()
+    dx, dy = x - mean_x, y - mean_y
+    return np.array([len(x), mean_x, mean_y, dx @ dx, dy @ dy, dx @ dy, x.min(), x.max(), y.min(), y.max()])
 
-    Columns are standardised first, so r of two complete columns is the mean of one
-    product. Pairs with NULL cells need five more sums over their common rows.
-    """
-    found = found or stats.moments(df, columns)
+
+def _merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``_PARTS`` of two sets of rows together."""
+    n = a[0] + b[0]
+    dx, dy, weight = b[1] - a[1], b[2] - a[2], a[0] * b[0] / n
+    return np.array([
+        n, a[1] + dx * b[0] / n, a[2] + dy * b[0] / n,
+        a[3] + b[3] + dx * dx * weight, a[4] + b[4] + dy * dy * weight, a[5] + b[5] + dx * dy * weight,
+        min(a[6], b[6]), max(a[7], b[7]), min(a[8], b[8]), max(a[9], b[9]),
+    ])
+
+
+def _batch_parts(cells: np.ndarray, add) -> None:
+    """Hands the parts of every pair of columns (rows x columns, NaN for a gap) to ``add``.
+    Columns without gaps share one matrix product; other pairs are taken on their common
+    rows, so that a value without its partner cannot blur them."""
+    held = ~np.isnan(cells)
+    full = np.flatnonzero(held.all(axis=0))
+    whole = cells[:, full]
+    mean = whole.mean(axis=0)
+    products = (whole - mean).T @ (whole - mean)
+    low, high = whole.min(axis=0), whole.max(axis=0)
+    for p, i in enumerate(full):
+        for q in range(p + 1, len(full)):
+            add((i, full[q]), np.array([
+                len(cells), mean[p], mean[q], products[p, p], products[q, q], products[p, q], low[p], high[p], low[q], high[q]]))
+    is_full = set(full.tolist())
+    for i in range(cells.shape[1]):
+        for j in range(i + 1, cells.shape[1]):
+            if i in is_full and j in is_full:
+                continue
+            both = held[:, i] & held[:, j]
+            if both.any():
+                add((i, j), _pair_parts(cells[both, i], cells[both, j]))
+
+
+def _task_parts(batches):
+    """One row per pair and task."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+
+    def add(pair, parts):
+        pair = int(pair[0]), int(pair[1])
+        sums[pair] = _merge(sums[pair], parts) if pair in sums else parts
+
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            if batch.num_rows:
+                _batch_parts(np.column_stack([
+                    c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]), add)
+    if sums:
+        table = np.array(list(sums.values()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p[0] for p in sums], pa.int32()), pa.array([p[1] for p in sums], pa.int32()),
+             *[pa.array(table[:, k]) for k in range(len(_PARTS))]],
+            ["i", "j", *_PARTS])
+
+
+def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
+    """r for each pair of columns, each pair once, in column order; None where a column is
+    constant on the rows that hold both, or fewer than two do.
+
+    One scan, however many columns: each task sums products of differences from its own
+    means, and tasks are put together with the differences of their means, so nothing is
+    lost to large numbers far from zero."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     result: dict[tuple[str, str], float | None] = dict.fromkeys(pairs)
-    usable = [
-        c for c in columns if found.columns[c].n and not found.columns[c].constant
-    ]
-    full = {c for c in usable if found.columns[c].n == found.rows}
-    z = {c: F.col(f"z{i}") for i, c in enumerate(usable)}
-    data = df.select(
-        [
-            ((ref(c).cast("double") - found.columns[c].mean) / found.columns[c].deviation).alias(f"z{i}")
-            for i, c in enumerate(usable)
-        ]
-    )
-    complete = [(a, b) for a, b in pairs if a in full and b in full]
-    for batch in stats.batches(complete, SUMS_PER_PASS):
-        row = data.agg(*[F.avg(z[a] * z[b]).alias(f"r{i}") for i, (a, b) in enumerate(batch)]).first()
-        result.update({pair: row[i] for i, pair in enumerate(batch)})
-    gappy = [(a, b) for a, b in pairs if a in z and b in z and not (a in full and b in full)]
-    for batch in stats.batches(gappy, SUMS_PER_PASS // 6):
-        row = data.agg(
-            *[_common_r(z[a], z[b]).alias(f"r{i}") for i, (a, b) in enumerate(batch)]
-        ).first()
-        result.update({pair: row[i] for i, pair in enumerate(batch)})
-    return result
+    if not pairs:
+        return result
+    spark = df.sparkSession
+    ship(spark)
+    data = df.select([stats.as_number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    schema = "i int, j int, " + ", ".join(f"{p} double" for p in _PARTS)
+    parts = data.mapInArrow(_task_parts, schema)
+    n, zero = F.col("n"), F.lit(0.0)
+    start = F.struct(*[zero.alias(p) for p in ("n", "mean_x", "mean_y", "sxx", "syy", "sxy")])
 
+    def joined(t, p):
+        total = t["n"] + p["n"]
+        dx, dy, weight = p["mean_x"] - t["mean_x"], p["mean_y"] - t["mean_y"], t["n"] * p["n"] / total
+        return F.struct(
+            total.alias("n"), (t["mean_x"] + dx * p["n"] / total).alias("mean_x"), (t["mean_y"] + dy * p["n"] / total).alias("mean_y"),
+            (t["sxx"] + p["sxx"] + dx * dx * weight).alias("sxx"), (t["syy"] + p["syy"] + dy * dy * weight).alias("syy"),
+            (t["sxy"] + p["sxy"] + dx * dy * weight).alias("sxy"))
 
-def _common_r(x: Column, y: Column) -> Column:
-    """r over the rows that hold both, from sums of near-zero numbers."""
-    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    n = F.count(x).cast("double")
-    sx, sy = F.sum(x), F.sum(y)
-    vx, vy = n * F.sum(x * x) - sx * sx, n * F.sum(y * y) - sy * sy
-    # Below this a column is constant on the common rows but for rounding.
-    tiny = n * n * 1e-14
-    return F.when((vx > tiny) & (vy > tiny), (n * F.sum(x * y) - sx * sy) / F.sqrt(vx) / F.sqrt(vy))
+    moved = F.collect_list(F.struct(n, "mean_x", "mean_y", "sxx", "syy", "sxy"))
+    # Two levels: a list holds one row of every 256th task, then at most 256.
+    level = parts.withColumn("half", F.pmod(F.spark_partition_id(), F.lit(256)))
+    for keys in (["i", "j", "half"], ["i", "j"]):
+        level = level.groupBy(*keys).agg(
+            F.aggregate(moved, start, joined).alias("s"), F.min("low_x").alias("low_x"), F.max("high_x").alias("high_x"),
+            F.min("low_y").alias("low_y"), F.max("high_y").alias("high_y"),
+        ).select(*keys, "s.*", "low_x", "high_x", "low_y", "high_y")
+    r = F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))
+    r = F.when(~F.isnan(r), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    varied = (F.col("low_x") < F.col("high_x")) & (F.col("low_y") < F.col("high_y"))
+    for row in level.select("i", "j", F.when(varied, r).alias("r")).collect():  # one row per pair
+        result[columns[row["i"]], columns[row["j"]]] = row["r"]
+    return result

@@ -82,3 +82,20 @@ def total_of(parts) -> Column:
             for i in range(0, len(parts), 2)
         ]
     return parts[0]
+
+
+def significant(col: Column, digits: int) -> Column:
+    """A number's text with so many significant digits and no closing zeros; beyond that
+    many places before the point, or more than four zeros behind it, with an exponent.
+    NULL stays NULL."""
+    parts = F.split(F.format_string(f"%.{digits - 1}e", F.abs(col.cast("double"))), "e")
+    mantissa, exponent = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    figures, power = F.regexp_replace(mantissa, r"\.", ""), exponent.try_cast("int")
+    whole = F.concat(F.substring(figures, F.lit(1), power + 1), F.lit("."), F.substring(figures, power + 2, F.lit(digits)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
+    plain = F.regexp_replace(F.when(power >= 0, whole).otherwise(small), r"\.?0*$", "")
+    short = F.concat(F.regexp_replace(mantissa, r"\.?0*$", ""), F.lit("e"), exponent)
+    text = F.when((power >= digits) | (power < -4), short).when(col == 0, "0").otherwise(plain)
+    signed = F.concat(F.when(col < 0, "-").otherwise(""), text)
+    endless = F.when(F.isnan(col), "nan").when(F.abs(col) == float("inf"), F.when(col > 0, "inf").otherwise("-inf"))
+    return F.coalesce(endless, F.when(col.isNotNull(), signed))

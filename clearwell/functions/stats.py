@@ -10,7 +10,7 @@ from math import ceil, floor, isfinite
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from .exprs import any_of, total_of
+from .exprs import any_of, nan_to_null, total_of
 from .storage import materialize
 from .types import OPAQUE_TYPES, ref
 
@@ -30,6 +30,7 @@ SKETCH_ACCURACY = 10_000
 
 
 _ARROW_TYPES = {
+    "boolean": pa.bool_(),
     "int": pa.int32(),
     "bigint": pa.int64(),
     "double": pa.float64(),
@@ -55,31 +56,41 @@ def small_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 # --------------------------------------------------------------------------- #
 
 
-def _digest(col: Column) -> Column:
+def digest(col: Column) -> Column:
+    """Long text as its SHA-256, other text as it is."""
     return F.when(
         F.length(col) > LONG_TEXT, F.concat(F.lit("sha256:"), F.sha2(col, 256))
     ).otherwise(col)
 
 
-def _typed(field: T.StructField, shorten: bool) -> list[Column]:
-    """(whole number, fraction, text) with the one that fits the type set."""
-    col = ref(field.name)
-    whole = fraction = text = None
+SLOTS = ("whole", "fraction", "exact", "text")
+
+
+def exact_type(df: DataFrame, columns: list[str]) -> T.DecimalType | None:
+    """A decimal type that holds every decimal column's values; None if no type does."""
+    kinds = [df.schema[c].dataType for c in columns if isinstance(df.schema[c].dataType, T.DecimalType)]
+    whole = max((k.precision - k.scale for k in kinds), default=1)
+    places = max((k.scale for k in kinds), default=0)
+    return T.DecimalType(whole + places, places) if whole + places <= 38 else None
+
+
+def _typed(field: T.StructField, shorten: bool, exact: T.DecimalType | None) -> list[Column]:
+    """The ``SLOTS`` of a cell, with the one that fits the type set."""
+    col, slots = ref(field.name), dict.fromkeys(SLOTS)
     if isinstance(field.dataType, T.IntegralType):
-        whole = col.cast("bigint")
+        slots["whole"] = col.cast("bigint")
     elif isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        fraction = col.cast("double")
+        slots["fraction"] = F.when(~F.isnan(col), col.cast("double"))
+    elif isinstance(field.dataType, T.DecimalType) and exact:
+        slots["exact"] = col.cast(exact)
     elif isinstance(field.dataType, T.StringType):
-        text = _digest(col) if shorten else col
+        slots["text"] = digest(col) if shorten else col
     elif isinstance(field.dataType, OPAQUE_TYPES):
-        text = F.sha2(_opaque_text(field), 256)
+        slots["text"] = F.sha2(_opaque_text(field), 256)
     else:
-        text = col.cast("string")
-    return [
-        F.lit(None).cast("bigint") if whole is None else whole,
-        F.lit(None).cast("double") if fraction is None else fraction,
-        F.lit(None).cast("string") if text is None else text,
-    ]
+        slots["text"] = col.cast("string")
+    kinds = dict(zip(SLOTS, ("bigint", "double", exact or "bigint", "string")))
+    return [F.lit(None).cast(kinds[n]) if c is None else c for n, c in slots.items()]
 
 
 def _opaque_text(field: T.StructField) -> Column:
@@ -106,26 +117,21 @@ def unpivot(df: DataFrame, cells: list[list[Column]], names: list[str]) -> DataF
 
 
 def value_counts(df: DataFrame, columns: list[str], shorten: bool = False) -> DataFrame:
-    """``(ordinal, whole, fraction, text, n)``: how often each value occurs in each
+    """``(ordinal, whole, fraction, exact, text, n)``: how often each value occurs in each
     column, from one scan and one exchange. Values keep their type class, so ties
     compare as numbers. ``shorten`` swaps long text for its digest, for callers
     that only count distinct values."""
     fields = {f.name: f for f in df.schema}
-    long = unpivot(
-        df,
-        [_typed(fields[name], shorten) for name in columns],
-        ["ordinal", "whole", "fraction", "text"],
-    )
-    return long.groupBy("ordinal", "whole", "fraction", "text").agg(
+    exact = exact_type(df, columns)
+    long = unpivot(df, [_typed(fields[name], shorten, exact) for name in columns], ["ordinal", *SLOTS])
+    return long.groupBy("ordinal", *SLOTS).agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
 def has_value() -> Column:
     """Whether a value-count row stands for a value rather than for NULL."""
-    return F.coalesce(
-        F.col("text"), F.col("whole").cast("string"), F.col("fraction").cast("string")
-    ).isNotNull()
+    return F.col("text").isNotNull() | F.col("whole").isNotNull() | F.col("fraction").isNotNull() | F.col("exact").isNotNull()
 
 
 # --------------------------------------------------------------------------- #
@@ -133,27 +139,48 @@ def has_value() -> Column:
 # --------------------------------------------------------------------------- #
 
 
-def grouped_rows(df: DataFrame) -> DataFrame:
-    """Distinct rows with their number of copies ``__n``. Long text is grouped by
-    digest, so wide text never travels; hot copies combine before the shuffle."""
-    keys = []
-    for f in df.schema:
-        if isinstance(f.dataType, T.StringType):
-            key = _digest(ref(f.name))
-        elif isinstance(f.dataType, OPAQUE_TYPES):
-            key = F.sha2(_opaque_text(f), 256)
-        else:
-            key = ref(f.name)
-        keys.append(key.alias(f.name))
+# Columns up to which a row is grouped as it stands; a wider one travels as its digest.
+NARROW_ROW = 4
+
+
+def grouped_rows(df: DataFrame, facts: list[Column] | None = None) -> DataFrame:
+    """Distinct rows with their number of copies ``__n`` and the named ``facts`` about them.
+    Wide rows and long text are grouped by a SHA-256 of all cells, so some 40 bytes a row
+    travel, whatever its width; hot copies combine before the shuffle."""
+    df = nan_to_null(df)
+    facts = facts or []
+    if len(df.columns) <= NARROW_ROW and not any(isinstance(f.dataType, (T.StringType, *OPAQUE_TYPES)) for f in df.schema):
+        keys = [ref(c).alias(f"__k{i}") for i, c in enumerate(df.columns)] or [F.lit(0).alias("__k0")]
+    else:
+        cells = [
+            F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
+            for text in (_opaque_text(f) if isinstance(f.dataType, OPAQUE_TYPES) else _plain_text(f) for f in df.schema)
+        ]
+        keys = [F.unhex(F.sha2(F.concat_ws(",", *[F.coalesce(c, F.lit("-")) for c in cells]), 256)).alias("__k0")]
+    # Facts are the same for equal rows, so they may stand beside the key.
     return (
-        df.select(keys)
-        .groupBy(*[ref(f.name) for f in df.schema])
-        .agg(F.count(F.lit(1)).alias("__n"))
+        df.select(*keys, *facts)
+        .groupBy(*[f"__k{i}" for i in range(len(keys))])
+        .agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in df.select(*facts).columns])
     )
 
 
+def _plain_text(field: T.StructField) -> Column:
+    col = ref(field.name)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        col = F.when(col == 0, F.lit(0.0)).otherwise(col)  # -0.0 equals 0.0
+    return col.cast("string")
+
+
+def present(df: DataFrame, name: str) -> Column:
+    """Whether a cell holds a value; NaN is none."""
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return ref(name).isNotNull() & ~F.isnan(ref(name))
+    return ref(name).isNotNull()
+
+
 def null_cells(df: DataFrame) -> Column:
-    return total_of(ref(c).isNull().cast("int") for c in df.columns).cast("bigint")
+    return total_of((~present(df, c)).cast("int") for c in df.columns).cast("bigint")
 
 
 # --------------------------------------------------------------------------- #
@@ -203,6 +230,14 @@ def kurtosis_of(col: Column) -> Column:
     return F.when(n >= 4, F.coalesce(scale * ((n + 1) * F.kurtosis(col) + 6), F.lit(0.0)))
 
 
+def as_number(df: DataFrame, name: str) -> Column:
+    """A cell as double; NaN is a missing cell."""
+    number = ref(name).cast("double")
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(number), number)
+    return number
+
+
 def moments(df: DataFrame, columns: list[str], shape: bool = False) -> TableMoments:
     """Summary of all columns in one scan; ``shape`` adds skewness and kurtosis."""
     if not columns:
@@ -218,7 +253,7 @@ def moments(df: DataFrame, columns: list[str], shape: bool = False) -> TableMome
     if shape:
         aggs |= {"skew": skew_of, "kurtosis": kurtosis_of}
     result = TableMoments(0, {c: Moments() for c in columns})
-    found = _per_column(df, [ref(c).cast("double") for c in columns], aggs)
+    found = _per_column(df, [as_number(df, c) for c in columns], aggs)
     for name, values in zip(columns, found):
         if values:
             result.rows = values.pop("rows")
@@ -246,7 +281,7 @@ def null_counts(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]
     """Rows of the table and NULL cells per column."""
     rows, nulls = None, {}
     for batch in batches(columns, COUNTS_PER_PASS):
-        row = df.agg(F.count(F.lit(1)), *[F.count(ref(c)) for c in batch]).first()
+        row = df.agg(F.count(F.lit(1)), *[F.count(F.when(present(df, c), 1)) for c in batch]).first()
         rows = row[0]
         nulls |= {c: rows - n for c, n in zip(batch, row[1:])}
     return df.count() if rows is None else rows, nulls
@@ -278,7 +313,7 @@ def quantiles(
     """
     if not columns:
         return {}
-    data = df.select([ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    data = df.select([as_number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     names = data.columns
     if accuracy:
         row = data.agg(
@@ -304,6 +339,12 @@ def quantiles(
     return result
 
 
+def spans(df: DataFrame, columns: list[str]) -> TableMoments:
+    """Count, least and greatest value only: three aggregates a column."""
+    data = df.select([as_number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    return TableMoments(0, dict(zip(columns, _spans(data).values())))
+
+
 def _spans(data: DataFrame) -> dict[str, Moments]:
     """Count, least and greatest value of each column."""
     aggs = {"n": F.count, "low": F.min, "high": F.max}

@@ -23,6 +23,11 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
+def truth_columns(df: DataFrame) -> list[str]:
+    """Boolean columns: no numbers to the cleaning steps, but numeric to the profile."""
+    return [f.name for f in df.schema if isinstance(f.dataType, T.BooleanType)]
+
+
 def other_columns(df: DataFrame) -> list[str]:
     """Non-numeric columns that can be grouped: text, boolean, dates."""
     return [

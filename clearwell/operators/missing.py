@@ -17,15 +17,12 @@ def most_frequent(df: DataFrame, columns: list[str]) -> dict[str, object]:
     counts = stats.value_counts(df, columns).where(stats.has_value())
     best = (
         counts.groupBy("ordinal")
-        .agg(F.min(F.struct(-F.col("n"), "whole", "fraction", "text")).alias("best"))
-        .select("ordinal", "best.whole", "best.fraction", "best.text")
+        .agg(F.min(F.struct(-F.col("n"), *stats.SLOTS)).alias("best"))
+        .select("ordinal", *[f"best.{slot}" for slot in stats.SLOTS])
         .collect()  # one row per column
     )
     values = {
-        columns[r["ordinal"]]: next(
-            v for v in (r["whole"], r["fraction"], r["text"]) if v is not None
-        )
-        for r in best
+        columns[r["ordinal"]]: next(r[slot] for slot in stats.SLOTS if r[slot] is not None) for r in best
     }
     return {c: values.get(c) for c in columns}
 
@@ -43,10 +40,11 @@ class FillModel:
             dtype = df.schema[name].dataType
             value = self.fills.get(name)
             if name in self.as_double:
-                col = ref(name).cast("double")
+                col = stats.as_number(df, name)
                 new[name] = col if value is None else F.coalesce(col, F.lit(float(value)))
             elif value is not None:
-                new[name] = F.coalesce(ref(name), F.lit(value).cast(dtype))
+                held = F.when(stats.present(df, name), ref(name))
+                new[name] = F.coalesce(held, F.lit(value).cast(dtype))
         return df.withColumns(new) if new else df
 
 

@@ -20,7 +20,9 @@ class IqrModel:
         low, high = self.fences[name]
         if low is None:
             return F.lit(self.null_is_outlier)
-        inside = ref(name).cast("double").between(low, high)
+        # NaN is above every number, so it lies outside like NULL; unless NULL is none.
+        number = F.nanvl(ref(name).cast("double"), F.lit(None).cast("double"))
+        inside = number.between(low, high)
         return ~F.coalesce(inside, F.lit(not self.null_is_outlier))
 
     def flag(self) -> Column:
@@ -63,7 +65,7 @@ class ZScoreModel:
     def flag(self) -> Column:
         return any_of(
             F.coalesce(
-                F.abs((ref(c).cast("double") - mean) / deviation) > self.threshold,
+                F.abs((F.nanvl(ref(c).cast("double"), F.lit(None).cast("double")) - mean) / deviation) > self.threshold,
                 F.lit(False),
             )
             for c, (mean, deviation) in self.centres.items()

@@ -35,7 +35,9 @@ def fit_scale(df: DataFrame, method: str = "Min-Max") -> ScaleModel:
     columns = [
         c for c in numeric_columns(df) if not c.endswith(tuple(SUFFIXES.values()))
     ]
-    found = stats.moments(df, columns).columns if columns else {}
+    found = {}
+    if columns:
+        found = (stats.moments if method == "Standard" else stats.spans)(df, columns).columns
     shifts = {}
     for name, m in found.items():
         if not m.n:

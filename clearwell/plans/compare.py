@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import stats
+from ..functions.exprs import significant
 from ..functions.types import ref
 from . import profile
 
@@ -132,36 +133,50 @@ def _arrow(change):
     )
 
 
+# The report's lines and the form of their figures.
+REPORT_LINES = (
+    ("Total Rows", "Rows", "%.0f"),
+    ("Total Columns", "Columns", "%.0f"),
+    ("Missing Values", "Missing Values", "%.0f"),
+    ("Duplicate Rows", "Duplicate Rows", "%.0f"),
+    ("Missing % of Cells", "Missing % of Cells", "%.2f%%"),
+    ("Duplicate % of Rows", "Duplicate % of Rows", "%.2f%%"),
+    ("Data Quality Score", "score", "%.2f / 100"),
+)
+
+
 def report_comparison(
     raw: DataFrame, clean: DataFrame, measured: Measured | None = None
 ) -> DataFrame:
     """Comparison as report text, with the direction of each change. The quality row
     carries no change mark."""
-    b, a = measured or measure(raw, clean)
-
-    def share(n, d):
-        return round(n / max(d, 1) * 100, 2)
-
-    lines = [
-        ("Total Rows", b.rows, a.rows, "{}"),
-        ("Total Columns", b.cols, a.cols, "{}"),
-        ("Missing Values", b.missing, a.missing, "{}"),
-        ("Duplicate Rows", b.duplicates, a.duplicates, "{}"),
-        ("Missing % of Cells", share(b.missing, b.rows * b.cols), share(a.missing, a.rows * a.cols), "{:.2f}%"),
-        ("Duplicate % of Rows", share(b.duplicates, b.rows), share(a.duplicates, a.rows), "{:.2f}%"),
-    ]
-    rows = [
-        (m, form.format(x), form.format(y), _change(float(y) - float(x))) for m, x, y, form in lines
-    ]
-    rows.append(("Data Quality Score", f"{b.score:.2f} / 100", f"{a.score:.2f} / 100", "—"))
-    return stats.small_frame(
+    row = _row(raw, clean, measured or measure(raw, clean))
+    scores = row.select(
+        F.lit("score").alias("Metric"), F.col("b_score").alias("Before"), F.col("a_score").alias("After")
+    )
+    forms = stats.small_frame(
         raw.sparkSession,
-        rows,
-        "`Metric` string, `Before Cleaning` string, `After Cleaning` string, `Change` string",
+        [(i, *line) for i, line in enumerate(REPORT_LINES)],
+        "position int, label string, name string, form string",
+    )
+    change = F.col("After") - F.col("Before")
+    mark = (
+        F.when(F.col("name") == "score", "—")
+        .when(change < 0, F.concat(F.lit("▼ "), significant(-change, 6)))
+        .when(change > 0, F.concat(F.lit("▲ "), significant(change, 6)))
+        .otherwise("—")
+    )
+    texts = [
+        F.coalesce(*[
+            F.when(F.col("form") == form, F.format_string(form, F.col(side)))
+            for form in dict.fromkeys(line[2] for line in REPORT_LINES)
+        ]).alias(f"{side} Cleaning")
+        for side in ("Before", "After")
+    ]
+    # Seven rows on either side.
+    return (
+        _comparison(row).unionByName(scores)
+        .join(F.broadcast(forms), F.col("Metric") == F.col("name"))
+        .orderBy("position")
+        .select(F.col("label").alias("Metric"), *texts, mark.alias("Change"))
     )
-
-
-def _change(value: float) -> str:
-    if value < 0:
-        return f"▼ {abs(value):g}"
-    return f"▲ {value:g}" if value > 0 else "—"

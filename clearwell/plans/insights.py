@@ -28,6 +28,29 @@ MAX_INSIGHTS = 4
 MAX_PER_TYPE = 2
 # Text that stands for NULL among the categories.
 MISSING_CATEGORY = "nan"
+# What an insight tells, in short and in full.
+DISTRIBUTION_TITLE = "Distribution of {c} ({side})"
+DISTRIBUTION = "Column `{c}` shows a {side} distribution indicating potential outliers."
+DISTRIBUTION_FULL = (
+    "Column `{c}` shows a {side} distribution with noticeable variance, indicating potential outliers or long tails."
+)
+CORRELATION_TITLE = "{a} and {b} are {sign} correlated"
+CORRELATION = "Features `{a}` and `{b}` have a correlation of {r:.2f}."
+CORRELATION_FULL = (
+    "Features `{a}` and `{b}` have a correlation of {r:.2f}, suggesting a meaningful linear relationship."
+)
+CATEGORY_TITLE = "Top categories in `{c}`"
+CATEGORY_TITLE_FEW = "Category split in `{c}`"
+CATEGORY = "Column `{c}` is dominated by `{value}` ({share:.1f}%)."
+CATEGORY_FULL = (
+    "Column `{c}` is dominated by value `{value}` ({share:.1f}% of records). "
+    "Top 5 categories together cover about {leading:.1f}% of the dataset."
+)
+TREND_TITLE = "Trend of `{c}` over `{date}`"
+TREND = "Average value of `{c}` appears to be {way}."
+TREND_FULL = (
+    "Over time, the average value of `{c}` appears to be {way}, with a trend strength of about {r:.2f}."
+)
 
 
 def _frame(df: DataFrame, rows: list) -> DataFrame:
@@ -44,50 +67,32 @@ def _frame(df: DataFrame, rows: list) -> DataFrame:
 def _distribution_rows(df, full, found=None):
     columns = [c for c in numeric_columns(df) if not is_id_like(c)]
     found = found or stats.moments(df, columns, shape=True)
-    rows = []
-    for c in columns:
-        m = found.columns[c]
-        if not m.variance or m.skew is None:
-            continue
-        side = "right-skewed" if m.skew > 0 else "left-skewed"
-        told = (
-            "distribution with noticeable variance, indicating potential outliers or long tails."
-            if full
-            else "distribution indicating potential outliers."
-        )
-        rows.append(
-            (
-                "distribution",
-                f"Distribution of {c} ({side})",
-                f"Column `{c}` shows a {side} {told}",
-                abs(m.skew) * 0.5 + log1p(m.variance),
-                [c],
-            )
-        )
-    return rows
+    told = [(c, found.columns[c]) for c in columns]
+    told = [(c, m, "right-skewed" if m.skew > 0 else "left-skewed") for c, m in told if m.variance and m.skew is not None]
+    text = DISTRIBUTION_FULL if full else DISTRIBUTION
+    return [
+        ("distribution", DISTRIBUTION_TITLE.format(c=c, side=side), text.format(c=c, side=side),
+         abs(m.skew) * 0.5 + log1p(m.variance), [c])
+        for c, m, side in told
+    ]
 
 
 def distribution_insights(df: DataFrame, full: bool = False) -> DataFrame:
     return _frame(df, _distribution_rows(df, full))
 
 
-def _correlation_rows(df, full, found=None):
-    rows = []
-    for (a, b), r in correlations(df, numeric_columns(df), found).items():
-        if r is None or abs(r) < MIN_CORRELATION:
-            continue
-        sign = "positively" if r > 0 else "negatively"
-        end = ", suggesting a meaningful linear relationship." if full else "."
-        rows.append(
-            (
-                "correlation",
-                f"{a} and {b} are {sign} correlated",
-                f"Features `{a}` and `{b}` have a correlation of {r:.2f}{end}",
-                abs(r) * 2.0,
-                [a, b],
-            )
-        )
-    return rows
+def _correlation_rows(df, full):
+    text = CORRELATION_FULL if full else CORRELATION
+    strong = [
+        (pair, r) for pair, r in correlations(df, numeric_columns(df)).items()
+        if r is not None and abs(r) >= MIN_CORRELATION
+    ]
+    return [
+        ("correlation",
+         CORRELATION_TITLE.format(a=a, b=b, sign="positively" if r > 0 else "negatively"),
+         text.format(a=a, b=b, r=r), abs(r) * 2.0, [a, b])
+        for (a, b), r in strong
+    ]
 
 
 def correlation_insights(df: DataFrame, full: bool = False) -> DataFrame:
@@ -107,26 +112,37 @@ def as_category(df: DataFrame, name: str) -> Column:
     return F.coalesce(text, F.lit(MISSING_CATEGORY))
 
 
+# Characters by which categories of equal counts are put in order before whole texts are.
+HEAD = 256
+
+
 def leading_categories(
     df: DataFrame, columns: list[str], top: int = 5, count_missing: bool = True
 ) -> DataFrame:
-    """Per column: total, number of categories, the leading value (a digest when long),
-    its count and the count of the ``top`` values. Ranks are cut per task before the
-    shuffle, so no column's values gather in one place."""
-    cells = df.select(*[as_category(df, c).alias(c) for c in columns])
-    if not count_missing:
-        cells = df.select(*[ref(c).cast("string").alias(c) for c in columns])
-    counts = stats.value_counts(cells, columns, shorten=True).where(stats.has_value())
+    """Per column: total, number of categories, the leading value's first ``HEAD``
+    characters, its count and the count of the ``top`` values. Long text is counted by
+    digest beside its head. Ranks are cut per task before the shuffle, so no column's values
+    gather in one place."""
+    cells = []
+    for c in columns:
+        cell = as_category(df, c) if count_missing else ref(c).cast("string")
+        cells.append([stats.digest(cell), F.substring(cell, 1, HEAD)])
+    counts = (
+        stats.unpivot(df, cells, ["ordinal", "mark", "head"])
+        .where(F.col("mark").isNotNull())
+        .groupBy("ordinal", "mark")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("head").alias("head"))
+    )
     totals = counts.groupBy("ordinal").agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("categories")
     )
-    order = Window.partitionBy("ordinal").orderBy(F.desc("n"), "text")
+    order = Window.partitionBy("ordinal").orderBy(F.desc("n"), "head", "mark")
     leaders = (
         counts.withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= top)
         .groupBy("ordinal")
         .agg(
-            F.max(F.when(F.col("place") == 1, F.col("text"))).alias("value"),
+            F.max(F.when(F.col("place") == 1, F.col("head"))).alias("value"),
             F.max("n").alias("first"),
             F.sum("n").alias("leading"),
         )
@@ -135,38 +151,33 @@ def leading_categories(
     return leaders.join(F.broadcast(totals), "ordinal")
 
 
-def _full_text(df, name, value):
-    if not value.startswith("sha256:"):
-        return value
+def _whole_text(df, name, head):
+    """The commonest text that begins with ``head``, of equally common ones the first."""
+    if len(head) < HEAD:
+        return head
     cell = as_category(df, name)
-    match = F.concat(F.lit("sha256:"), F.sha2(cell, 256)) == value
-    row = df.where((F.length(cell) > stats.LONG_TEXT) & match).select(cell.alias("v")).first()
-    return row["v"] if row else value
+    row = (
+        df.select(cell.alias("v")).where(F.substring("v", 1, HEAD) == head)
+        .groupBy(F.sha2("v", 256)).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+        .orderBy(F.desc("n"), "v").first()
+    )
+    return row["v"]
 
 
 def _category_rows(df, full, count_missing=True):
     columns = other_columns(df)
     if not columns:
         return []
-    rows = []
     low, high = TOP_SHARE_RANGE
-    found = leading_categories(df, columns, count_missing=count_missing).collect()
-    for r in sorted(found, key=lambda r: r["ordinal"]):  # one row per column
-        c, share = columns[r["ordinal"]], r["first"] / r["total"]
-        if not low <= share <= high:
-            continue
-        leading = r["leading"] / r["total"]
-        value = _full_text(df, c, r["value"])
-        if full:
-            title = f"Category split in `{c}`" if r["categories"] <= 2 else f"Top categories in `{c}`"
-            told = (
-                f"Column `{c}` is dominated by value `{value}` ({share * 100:.1f}% of records). "
-                f"Top 5 categories together cover about {leading * 100:.1f}% of the dataset."
-            )
-        else:
-            title = f"Top categories in `{c}`"
-            told = f"Column `{c}` is dominated by `{value}` ({share * 100:.1f}%)."
-        rows.append(("category", title, told, leading * 0.8, [c]))
+    found = leading_categories(df, columns, count_missing=count_missing)
+    share, text = F.col("first") / F.col("total"), CATEGORY_FULL if full else CATEGORY
+    rows = []
+    for r in found.where(share.between(low, high)).orderBy("ordinal").collect():  # one row per column
+        c, leading = columns[r["ordinal"]], r["leading"] / r["total"]
+        title = CATEGORY_TITLE_FEW if full and r["categories"] <= 2 else CATEGORY_TITLE
+        told = text.format(
+            c=c, value=_whole_text(df, c, r["value"]), share=r["first"] / r["total"] * 100, leading=leading * 100)
+        rows.append(("category", title.format(c=c), told, leading * 0.8, [c]))
     return rows
 
 
@@ -216,14 +227,9 @@ def _trend_rows(df, full):
     r = row["r"]
     if row["n"] < 3 or r is None or abs(r) < MIN_TREND:
         return []
-    way = "increasing" if r > 0 else "decreasing"
-    told = (
-        f"Over time, the average value of `{target}` appears to be {way}, "
-        f"with a trend strength of about {r:.2f}."
-        if full
-        else f"Average value of `{target}` appears to be {way}."
-    )
-    return [("trend", f"Trend of `{target}` over `{date}`", told, abs(r) * 2.0, [date, target])]
+    way, text = "increasing" if r > 0 else "decreasing", TREND_FULL if full else TREND
+    title = TREND_TITLE.format(c=target, date=date)
+    return [("trend", title, text.format(c=target, way=way, r=r), abs(r) * 2.0, [date, target])]
 
 
 def trend_insights(df: DataFrame, full: bool = False) -> DataFrame:
@@ -239,15 +245,16 @@ def top_insights(df: DataFrame, full: bool = False) -> DataFrame:
     """The best four by score, at most two of a type; earlier finds win ties."""
     rows = []
     if df.columns:
-        # Distributions and correlations share one scan for the moments.
-        found = stats.moments(df, numeric_columns(df), shape=True)
-        rows += _distribution_rows(df, full, found)
-        rows += _correlation_rows(df, full, found)
+        rows += _distribution_rows(df, full)
+        rows += _correlation_rows(df, full)
         rows += _category_rows(df, full)
         rows += _trend_rows(df, full)
-    kept, seen = [], {}
-    for row in sorted(rows, key=lambda r: -r[3]):
-        if seen.get(row[0], 0) < MAX_PER_TYPE and len(kept) < MAX_INSIGHTS:
-            kept.append(row)
-            seen[row[0]] = seen.get(row[0], 0) + 1
-    return _frame(df, kept)
+    best = (F.desc("score"), "position")
+    # Windows over one row per find.
+    within = F.row_number().over(Window.partitionBy("type").orderBy(*best))
+    chosen = _frame(df, rows).withColumn("place", within).where(F.col("place") <= MAX_PER_TYPE)
+    chosen = chosen.orderBy(*best).limit(MAX_INSIGHTS)
+    place = F.row_number().over(Window.orderBy(*best)) - 1
+    return chosen.select(
+        place.alias("position"), *[c for c in chosen.columns if c not in ("position", "place")]
+    ).orderBy("position")

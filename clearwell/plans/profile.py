@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import stats
-from ..functions.types import is_datetime, numeric_columns, ref
+from ..functions.types import is_datetime, numeric_columns, ref, truth_columns
 from ..operators.outliers import IqrModel, fit_iqr
 
 
@@ -13,10 +13,10 @@ def basic_metrics(df: DataFrame) -> DataFrame:
     """One row: rows, cols, missing (NULL cells), duplicates (rows beyond the first
     copy). A single pass over distinct rows answers all of them."""
     n = F.col("__n")
-    return stats.grouped_rows(df).agg(
+    return stats.grouped_rows(df, [stats.null_cells(df).alias("__nulls")]).agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
         F.lit(len(df.columns)).cast("bigint").alias("cols"),
-        F.coalesce(F.sum(n * stats.null_cells(df)), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(n * F.col("__nulls")), F.lit(0)).alias("missing"),
         F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates"),
     )
 
@@ -85,12 +85,13 @@ def quality_score(
     each by its share. An empty table scores 0."""
     model = model or fit_iqr(df, accuracy=accuracy)
     n = F.col("__n")
-    counted = stats.grouped_rows(df).agg(
+    facts = [stats.null_cells(df).alias("__nulls"), model.flag().alias("__flag")]
+    counted = stats.grouped_rows(df, facts).agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
         F.lit(len(df.columns)).cast("bigint").alias("cols"),
-        F.coalesce(F.sum(n * stats.null_cells(df)), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(n * F.col("__nulls")), F.lit(0)).alias("missing"),
         F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates"),
-        F.coalesce(F.sum(F.when(model.flag(), n)), F.lit(0)).alias("outliers"),
+        F.coalesce(F.sum(F.when(F.col("__flag"), n)), F.lit(0)).alias("outliers"),
     )
     return counted.withColumn("score", score_of())
 
@@ -160,9 +161,9 @@ def numeric_summary(
 
 
 def detect_feature_types(df: DataFrame) -> DataFrame:
-    """Numeric and Date by type; the rest is Categorical up to
+    """Numeric (truth values too) and Date by type; the rest is Categorical up to
     max(10, min(100, 5 % of the rows)) distinct values, else Text."""
-    numeric = numeric_columns(df)
+    numeric = numeric_columns(df) + truth_columns(df)
     dates = [f.name for f in df.schema if is_datetime(f.dataType)]
     total = ref("Non-Null Count") + ref("Missing Count")
     limit = F.greatest(F.lit(10), F.least(F.lit(100), F.floor(total * 0.05)))
@@ -220,7 +221,7 @@ def profile_text(df: DataFrame, full: bool = False) -> DataFrame:
     """The profile as one text cell. ``full`` prints skewness 0.00 where fewer than
     three values make it undefined; otherwise the figures are left out there."""
     profiles = column_profiles(df)
-    numeric = numeric_columns(df)
+    numeric = numeric_columns(df) + truth_columns(df)
     found = stats.moments(df, numeric, shape=True).columns if numeric else {}
     metrics = basic_metrics(df).first()
     lines = [

@@ -1,14 +1,20 @@
 """Writing the cleaned table and the report tables."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import stats
+from ..functions.exprs import significant
 from ..functions.storage import materialize
 from ..functions.types import OPAQUE_TYPES, is_datetime, numeric_columns, ref
 from ..plans import chartdata, compare, profile
 from ..plans.session import Step, cleaning_log
 
 
+def to_json_text(field: T.StructField):
+    """A nested cell as JSON, bytes in base 64."""
+    return F.base64(ref(field.name)) if isinstance(field.dataType, T.BinaryType) else F.to_json(ref(field.name))
+
+
 def export_csv(df: DataFrame, folder: str, base: str = "dataset") -> str:
     """Write ``<folder>/<base>_cleaned.csv`` in parallel parts, UTF-8 with header, NULL
     as an empty cell. Dates are written as plain text, nested cells as JSON."""
@@ -16,7 +22,7 @@ def export_csv(df: DataFrame, folder: str, base: str = "dataset") -> str:
     for f in df.schema:
         cell = ref(f.name)
         if isinstance(f.dataType, OPAQUE_TYPES):
-            cell = F.to_json(cell)
+            cell = to_json_text(f)
         elif is_datetime(f.dataType):
             cell = cell.cast("string")
         cells.append(cell.alias(f.name))
@@ -33,23 +39,26 @@ def export_parquet(df: DataFrame, folder: str, base: str = "dataset") -> str:
     return path
 
 
-def _number_text(value) -> str:
-    if value is None:
-        return "nan"
-    if abs(value) >= 1e6 or (value != 0 and abs(value) < 0.001):
-        return f"{value:.3e}"
-    return f"{value:.4f}"
+# Heads of the statistics table and the mark of a missing cell.
+STATISTICS_HEADS = ("Count", "Mean", "Std Dev", "Min", "25%", "50%", "75%", "Max", "Skewness", "Kurtosis")
+NO_VALUE = "—"
 
 
 def report_statistics(df: DataFrame) -> DataFrame:
-    """Numeric summary as report text, names cut to 22 characters."""
-    heads = ("Count", "Mean", "Std Dev", "Min", "25%", "50%", "75%", "Max", "Skewness", "Kurtosis")
-    rows = [
-        (r["Column"][:22], *[_number_text(r[c]) for c in profile.SUMMARY_COLUMNS])
-        for r in profile.numeric_summary(df, digits=12).collect()  # one row per column
-    ]
-    schema = "`Column` string, " + ", ".join(f"`{h}` string" for h in heads)
-    return stats.small_frame(df.sparkSession, rows, schema)
+    """Numeric summary as report text, names cut to 22 characters: four decimals, or an
+    exponent for very large and very small figures."""
+
+    def text(name):
+        size = F.abs(ref(name))
+        far = (size >= 1e6) | ((size > 0) & (size < 1e-3))
+        shown = F.when(far, F.format_string("%.3e", ref(name))).otherwise(F.format_string("%.4f", ref(name)))
+        return F.when(ref(name).isNull(), "nan").otherwise(shown)
+
+    summary = profile.numeric_summary(df, digits=12)
+    return summary.select(
+        F.substring("Column", 1, 22).alias("Column"),
+        *[text(c).alias(head) for c, head in zip(profile.SUMMARY_COLUMNS, STATISTICS_HEADS)],
+    )
 
 
 def report_preview(
@@ -59,21 +68,20 @@ def report_preview(
     spark = df.sparkSession
     columns = df.columns[:max_columns]
     if not columns:
-        note = [("—", "No columns available in this dataset state.")]
+        note = [(NO_VALUE, "No columns available in this dataset state.")]
         return stats.small_frame(spark, note, "`#` string, `Message` string")
-
-    def text(value):
-        if value is None:
-            return "—"
-        return f"{value:.4g}" if isinstance(value, float) else str(value)[:22]
-
-    first = (df.orderBy(*[ref(c) for c in order_by]) if order_by else df).limit(rows)
-    lines = [
-        (str(i), *[text(v) for v in row])
-        for i, row in enumerate(first.select(*[ref(c) for c in columns]).collect())
-    ]
-    schema = "`#` string, " + ", ".join(f"`{c[:18].replace('`', '')}` string" for c in columns)
-    return stats.small_frame(spark, lines, schema)
+    cells = []
+    for f in df.schema[:max_columns]:
+        cell = to_json_text(f) if isinstance(f.dataType, OPAQUE_TYPES) else ref(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            cell = significant(cell, 4)
+        elif isinstance(f.dataType, T.BooleanType):
+            cell = F.initcap(cell.cast("string"))
+        cells.append(F.coalesce(F.substring(cell.cast("string"), 1, 22), F.lit(NO_VALUE)).alias(f.name[:18].replace("`", "")))
+    order = [ref(c) for c in order_by] if order_by else [F.monotonically_increasing_id()]
+    first = df.orderBy(*order).limit(rows) if order_by else df.limit(rows)
+    place = F.row_number().over(Window.orderBy(*order)) - 1  # over `rows` rows
+    return first.select(place.cast("string").alias("#"), *cells)
 
 
 def report_sections(
