@@ -31,15 +31,17 @@ def number_rows(
         values.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id()),
         "value-ranks",
     )
-    sizes = sorted_parts.groupBy("__part").count().orderBy("__part").collect()
-    starts, total = [], 0
-    for row in sizes:
-        starts += [F.lit(row["__part"]), F.lit(total)]
-        total += row["count"]
+    sizes = sorted_parts.groupBy("__part").count()
+    # One row per part: their running sum is taken in one task, and joined as a table.
+    before = F.sum("count").over(Window.orderBy("__part")) - F.col("count")
+    starts = sizes.select(F.col("__part").alias("__of"), before.alias("__before"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*by)) - 1
-    return sorted_parts.withColumn(
-        name, within + F.create_map(*starts)[F.col("__part")]
-    ).drop("__part")
+    return (
+        sorted_parts.withColumn("__within", within)
+        .join(F.broadcast(starts), F.col("__part") == F.col("__of"))
+        .withColumn(name, (F.col("__within") + F.col("__before")).cast("int" if rows < 2**31 else "bigint"))
+        .drop("__part", "__of", "__before", "__within")
+    )
 
 
 def join_lookup(

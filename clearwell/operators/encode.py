@@ -6,8 +6,9 @@ from ..functions.lookup import BROADCAST_ROWS, SINGLE_TASK_ROWS, join_lookup, nu
 from ..functions.storage import materialize
 from ..functions.types import ref
 
-# Columns one table can carry for a one-hot encoding.
-MAX_CATEGORIES = 10_000
+# Boolean columns that a one-hot encoding adds before it becomes one column; callers
+# may set another number.
+MAX_COLUMNS = 1_000
 
 
 def _join_codes(df, key, values, order, name, broadcast_rows, single_task_rows):
@@ -42,6 +43,7 @@ def label_encode(
     """``<column>_encoded``: 0-based rank of the text among the sorted distinct texts.
     NULL counts as ``missing_label``, which takes its own place in the sort (older
     behaviour: ``missing_label="None"`` or ``"nan"``)."""
+    df = _without(df, f"{column}_encoded", column)
     key = F.coalesce(ref(column).cast("string"), F.lit(missing_label))
     values = df.groupBy(key.alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return _join_codes(
@@ -61,36 +63,65 @@ def factorize(
     if order_by is None:
         raise ValueError("order_by is needed: codes follow the order of appearance")
     name = f"{column}_encoded"
-    values = (
-        df.where(ref(column).isNotNull())
-        .groupBy(ref(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(ref(order_by)).alias("first"))
-    )
+    df = _without(df, name, column, order_by)
+    given = df.where(ref(column).isNotNull())
+    values = given.groupBy(ref(column).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(ref(order_by)).alias("first"))
     coded = _join_codes(
-        df, ref(column), values, ["first", "value"], name, broadcast_rows, single_task_rows
+        given, ref(column), values, ["first", "value"], name, broadcast_rows, single_task_rows
     )
-    return coded.withColumn(name, F.coalesce(ref(name), F.lit(-1)))
+    # NULL cells stay out of the join: however many, they are no hot key of it.
+    missing = df.where(ref(column).isNull()).withColumn(name, F.lit(-1))
+    return coded.unionByName(missing.withColumn(name, ref(name).cast(coded.schema[name].dataType)))
+
+
+def _without(df: DataFrame, name: str, *needed: str) -> DataFrame:
+    """``df`` without a column of this name, which is about to be written again."""
+    same = [c for c in df.columns if c.lower() == name.lower() and c not in needed]
+    return df.select(*[ref(c) for c in df.columns if c not in same])
+
+
+def _unique_names(wanted: list[str], taken: list[str]) -> list[str]:
+    """``wanted`` with _2, _3, .. behind a name that, upper and lower case alike, an earlier
+    one or one of ``taken`` has: such columns could not be told apart."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        new, number = name, 1
+        while new.lower() in used:
+            number += 1
+            new = f"{name}_{number}"
+        used.add(new.lower())
+        out.append(new)
+    return out
 
 
 def one_hot_encode(
-    df: DataFrame, column: str, max_categories: int = MAX_CATEGORIES
+    df: DataFrame, column: str, max_columns: int = MAX_COLUMNS
 ) -> DataFrame:
     """Replace the column by one boolean ``<column>_<value>`` per sorted value; NULL is
-    false everywhere. More values than a table can have columns is an error."""
+    false everywhere. Names that differ in case only, or that the table has, get a number
+    behind them. Beyond ``max_columns`` values the result is one column
+    ``<column>_one_hot``, a map from the cell's value to true (empty for NULL), of any
+    number of values."""
     found = (
         df.where(ref(column).isNotNull())
         .select(ref(column).alias("value"))
         .distinct()
-        .limit(max_categories + 1)
+        .limit(max_columns + 1)
         .collect()
     )
-    if len(found) > max_categories:
-        raise ValueError(f"{column!r} has more than {max_categories} values to encode")
+    others = [c for c in df.columns if c != column]
+    kept = [ref(c) for c in others]
+    if len(found) > max_columns:
+        key = ref(column).cast("string")
+        empty = F.create_map().cast("map<string,boolean>")
+        cell = F.when(key.isNotNull(), F.create_map(key, F.lit(True))).otherwise(empty)
+        return df.select(*kept, cell.alias(_unique_names([f"{column}_one_hot"], others)[0]))
     values = sorted(r["value"] for r in found)
-    kept = [ref(c) for c in df.columns if c != column]
+    names = _unique_names([f"{column}_{v}" for v in values], others)
     flags = [
-        F.coalesce(ref(column) == F.lit(v), F.lit(False)).alias(f"{column}_{v}")
-        for v in values
+        F.coalesce(ref(column) == F.lit(v), F.lit(False)).alias(name)
+        for v, name in zip(values, names)
     ]
     return df.select(*kept, *flags)
 

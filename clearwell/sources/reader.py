@@ -17,11 +17,15 @@ def load_dataset(
     path: str | None,
     format: str | None = None,
     infer_types: bool = True,
+    surplus: str = "error",
     **options,
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """The table and a one-row info frame (name, size_mb, type). ``path`` is a file, a
-    folder or a glob; without a known extension name the ``format``. CSV needs a
-    header line and may be compressed; quoted line breaks need ``multiLine=True``."""
+    folder or a glob; without a known extension name the ``format``. CSV needs a header
+    line and may be compressed. Line breaks inside quotes are found by one scan of the
+    lines, and the files are then read whole instead of in splits. A CSV row with more
+    cells than the header is an error; with ``surplus="report"`` its surplus is left out
+    and the info frame counts such rows (``surplus_rows``). Missing cells become NULL."""
     if path is None:
         return None, None
     kind = format or next(
@@ -29,13 +33,41 @@ def load_dataset(
     )
     if kind not in FORMATS.values():
         raise ValueError("Unsupported file type. Please give a CSV, Parquet, JSON or ORC path.")
-    if kind == "csv":
-        raw = spark.read.options(header=True, inferSchema=False, escape='"', **options).csv(path)
-        df = normalise_nulls(raw)
-        df = infer_column_types(df) if infer_types else df
-    else:
+    if kind != "csv":
         df = nan_to_null(spark.read.options(**options).format(kind).load(path))
-    return df, file_info(spark, path, kind)
+        return df, file_info(spark, path, kind)
+    raw, wide_rows = _read_csv(spark, path, options)
+    if wide_rows and surplus == "error":
+        raise ValueError(f"{wide_rows} rows have more cells than the header")
+    df = normalise_nulls(raw)
+    info = file_info(spark, path, kind)
+    if surplus == "report":
+        info = info.withColumn("surplus_rows", F.lit(wide_rows).cast("bigint"))
+    return infer_column_types(df) if infer_types else df, info
+
+
+def _read_csv(spark: SparkSession, path: str, options: dict) -> tuple[DataFrame, int]:
+    """All cells as text, and the number of rows with more cells than the header."""
+    options = {"header": True, "escape": '"', **options}
+    if "multiLine" not in options:
+        options["multiLine"] = _breaks_in_quotes(spark, path, options.get("quote", '"'))
+    reader = spark.read.options(**options, inferSchema=False)
+    names = reader.csv(path).columns
+    text = T.StringType()
+    # One column more than the header holds what a longer row has next.
+    extra = "__surplus"
+    schema = T.StructType([T.StructField(n, text) for n in [*names, extra]])
+    longer = reader.schema(schema).csv(path)
+    wide = longer.where(ref(extra).isNotNull()).count()
+    return longer.drop(extra), wide
+
+
+def _breaks_in_quotes(spark: SparkSession, path: str, quote: str) -> bool:
+    """A line that opens a quoted cell without closing it has an odd number of quotes."""
+    if not quote:
+        return False
+    marks = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    return not spark.read.text(path).where(marks % 2 == 1).isEmpty()
 
 
 def file_info(spark: SparkSession, path: str, kind: str) -> DataFrame:
