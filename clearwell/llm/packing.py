@@ -30,9 +30,12 @@ END_ID = 0
 RANK_GROUPS = 64
 SLICE_CHARS = 1 << 22
 # Words that a worker remembers before it starts anew (some 150 bytes each).
-MOST_WORDS = 600_000
+MOST_WORDS = 700_000
 
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e]+)([.,;:!?*#%&$|()\[\]\"-]*)")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e]+")
+_BEHIND = ".,;:!?*#%&$|()[]-\""
+# What punctuation may be cut off from: nothing, or a word whose end is surely a letter or digit.
+_SOUND = "^$|[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e]$"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -68,9 +71,10 @@ class _Grown:
 class Encoder:
     """Token ids of many texts. This vocabulary drops white space and merges within words
     only, so each distinct word is encoded once and its ids are laid out for every place.
-    Plain Latin words go to the merge model directly, with the punctuation behind them on
-    its own, as the tokenizer's own splitting does; all others through the tokenizer. Texts
-    with the marker of a special token are encoded as a whole."""
+    Words are told apart from the punctuation behind them, as the tokenizer's own splitting
+    does. Lower-case Latin words go to the merge model directly, all others through the
+    tokenizer. Texts with the marker of a special token, or with other signs between a word
+    and its punctuation, are encoded as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -81,32 +85,28 @@ class Encoder:
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
         self.starts, self.sizes, self.flat = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint32)
 
     def _through(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def _ids(self, word: str) -> list[int]:
-        m = _PLAIN.fullmatch(word)
-        core = m.group(1).lower() if m else ""
-        if not core.isalpha() or len(core) != len(m.group(1)):
+        if not word.isascii():
+            if not _LATIN.fullmatch(word):
+                return self._through(word)
+            low = word.lower()
+            if len(low) != len(word) or not low.isalpha():
+                return self._through(word)
+            word = low.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        elif not word.isalpha() or not word.islower():
             return self._through(word)
-        out = self.cores.get(core)
-        if out is None:
-            letters = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            out = self.cores[core] = [t.id for t in self.merges.tokenize(letters)]
-        if m.group(2):
-            tail = self.cores.get(m.group(2))
-            if tail is None:
-                tail = self.cores[m.group(2)] = self._through(m.group(2))
-            out = out + tail
-        return out
+        return [t.id for t in self.merges.tokenize(word)]
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > MOST_WORDS:
-            self._clear()
-        new = [w for w in words if w not in self.number]
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each word; new ones are encoded."""
+        coded = pc.dictionary_encode(words)
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.number]
         if new:
             ids = [self._ids(w) for w in new]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -114,21 +114,36 @@ class Encoder:
             self.starts.extend(self.flat.used + np.cumsum(sizes) - sizes)
             self.sizes.extend(sizes)
             self.flat.extend(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        number = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
+        return number[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
-        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        whole = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         lists = pc.ascii_split_whitespace(texts)
-        coded = pc.dictionary_encode(lists.flatten())
-        number = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        counts = self.sizes.data[number]
+        words = lists.flatten()
+        cores = pc.ascii_lower(pc.utf8_rtrim(words, characters=_BEHIND))
+        bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        cut = pc.not_equal(pc.binary_length(words), pc.binary_length(cores)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(cut)
+        held, behind = words.take(pa.array(at)), cores.take(pa.array(at))
+        tails = pa.array([w[len(c) :] for w, c in zip(held.to_pylist(), behind.to_pylist())], pa.string())
+        odd = ~pc.match_substring_regex(behind, _SOUND).to_numpy(zero_copy_only=False)
+        whole[np.searchsorted(bounds, at[odd], "right") - 1] = True
+        # Two places for each word: the word and what is behind it.
+        number = np.full((len(words), 2), -1, np.int64)
+        if len(self.number) > MOST_WORDS:
+            self._clear()
+        number[at, 1] = self._numbers(tails)
+        number[:, 0] = self._numbers(cores)
+        number = number.reshape(-1)
+        counts = np.where(number < 0, 0, self.sizes.data[number])
         ends = np.cumsum(counts)
         place = np.arange(ends[-1] if len(ends) else 0)
         tokens = self.flat.data[np.repeat(self.starts.data[number] - (ends - counts), counts) + place]
-        bounds = np.concatenate([[0], ends])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
-        out = [tokens[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        for i in np.flatnonzero(special):
+        borders = np.concatenate([[0], ends])[bounds * 2]
+        out = [tokens[a:b] for a, b in zip(borders[:-1], borders[1:])]
+        for i in np.flatnonzero(whole):
             out[i] = np.array(self._through(texts[int(i)].as_py()), np.uint32)
         return out
 
