@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import stats
+from ..functions.packaging import ship
 from ..functions.storage import materialize
 from ..functions.types import numeric_columns, ref
 
@@ -77,6 +78,7 @@ class IsolationModel:
     tree_rows: int
     max_depth: int = 0
     threshold: float | None = None
+    seen: int = 0  # complete rows of the table it was grown on
 
     def score(self, df: DataFrame, name: str = "anomaly_score") -> DataFrame:
         """Anomaly score in 0..1; NULL for rows with a NULL feature."""
@@ -94,6 +96,7 @@ class IsolationModel:
             out[known] = 2.0 ** (-_mean_path(points[known], trees.value, depth) / norm)
             return pd.Series(out)  # NaN arrives in Spark as NULL
 
+        ship(df.sparkSession)
         return df.withColumn(name, score(*[ref(c).cast("double") for c in self.columns]))
 
     def set_threshold(self, scored: DataFrame, name: str, contamination: float) -> None:
@@ -116,56 +119,66 @@ def grow_forest(
     key: list[str] | None = None,
     trees: int = TREES,
     seed: int = SEED,
+    tree_rows: int = TREE_ROWS,
 ) -> IsolationModel:
-    """Grow the forest on ``trees * TREE_ROWS`` uniformly drawn complete rows at most.
-    ``key`` makes the draw independent of the file layout."""
+    """Grow the forest, each tree on ``tree_rows`` rows drawn for it without replacement,
+    as the algorithm has it. ``key`` makes the draw independent of the file layout; equal
+    rows of one key are drawn by their place.
+
+    Every row is dealt to few trees by hash, so that each gets some more rows than it
+    needs; in a table too small for that, to all of them. Trees grow in parallel groups of
+    bounded size, and only their nodes reach the driver."""
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return IsolationModel([], [], 0)
-    features = [ref(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
-    draw = F.xxhash64(*map(ref, key), F.lit(seed)) if key else F.rand(seed)
-    # A top-k of fixed size, not of the table.
-    sample = (
-        df.na.drop("any", subset=columns)
-        .select(draw.alias("draw"), *features)
-        .orderBy("draw")
-        .limit(trees * TREE_ROWS)
-        .drop("draw")
-        .toPandas()
-        .to_numpy(dtype=float)
-    )
-    if not len(sample):
+    features = [stats.as_number(df, c).alias(f"x{i}") for i, c in enumerate(columns)]
+    names = [f"x{i}" for i in range(len(columns))]
+    draw = F.xxhash64(*map(ref, key), F.lit(seed)) if key else F.xxhash64(F.rand(seed))
+    rows = df.select(draw.alias("draw"), *features).na.drop("any", subset=names)
+    total = rows.count()
+    if not total:
         return IsolationModel(columns, [], 0)
-    tree_rows = min(TREE_ROWS, len(sample))
+    tree_rows = min(tree_rows, total)
     max_depth = int(np.ceil(np.log2(max(tree_rows, 2))))
+    # Rows wanted per tree: twice what it takes, which a draw by hash gives all but surely.
+    share = min(1.0, 2.0 * tree_rows / total + 16.0 / total)
+    lots = 1 << 30
+    lot = F.pmod(F.xxhash64("draw", "tree"), F.lit(lots))
+    if share * trees < 1:
+        # A row is wanted by one tree at most: its hash says by which.
+        place = F.pmod(F.xxhash64("draw"), F.lit(lots))
+        dealt = rows.withColumn("place", place).where(F.col("place") < int(share * trees * lots)).withColumn(
+            "tree", (F.col("place") % trees).cast("bigint"))
+    else:
+        dealt = rows.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trees - 1).cast("bigint")))).where(
+            lot < int(share * lots))
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(sample)
-
-    def grow(batches):
-        for batch in batches:
-            for tree in batch["id"]:
-                rng = np.random.default_rng(seed + int(tree))
-                chosen = rng.choice(len(shared.value), tree_rows, replace=False)
-                nodes = grow_tree(shared.value[chosen], rng, max_depth)
-                frame = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "path"])
-                frame.insert(0, "node", np.arange(len(frame)))
-                frame.insert(0, "tree", int(tree))
-                yield frame
+    ship(spark)
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        tree = int(part["tree"].iloc[0])
+        part = part.sort_values(["lot", *names], kind="stable").head(tree_rows)
+        nodes = grow_tree(part[names].to_numpy(dtype=float), np.random.default_rng(seed + tree), max_depth)
+        frame = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "path"])
+        frame.insert(0, "node", np.arange(len(frame)))
+        frame.insert(0, "tree", tree)
+        return frame
 
     grown = (
-        spark.range(0, trees, 1, min(trees, spark.sparkContext.defaultParallelism))
-        .mapInPandas(
+        dealt.select("tree", lot.alias("lot"), *names)
+        .groupBy("tree")
+        .applyInPandas(
             grow,
             "tree bigint, node bigint, feature bigint, cut double, left bigint, right bigint, path double",
         )
-        .toPandas()  # at most trees * 2 * TREE_ROWS nodes
+        .toPandas()  # at most trees * 2 * tree_rows nodes
         .sort_values(["tree", "node"])
     )
     forest = [
         tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "path"))
         for _, t in grown.groupby("tree")
     ]
-    return IsolationModel(columns, forest, tree_rows, max_depth)
+    return IsolationModel(columns, forest, tree_rows, max_depth, seen=total)
 
 
 def fit_isolation_forest(
@@ -187,7 +200,7 @@ def flag_anomalies(
     if not model.trees:
         return df.withColumn(name, F.lit(False))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.count() < cores * ROWS_PER_SPLIT:
+    if model.seen < cores * ROWS_PER_SPLIT:
         # A small table sits in few splits, too few for the scoring work.
         df = df.repartition(cores)
     scored = materialize(model.score(df, "__score"), "anomaly-scores")

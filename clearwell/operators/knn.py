@@ -10,7 +10,8 @@ copies cost nothing extra on either side:
 1. Tuples are put into cells: same set of missing columns, same slices of the
    columns, cut finest where distances are longest. Each cell's bounding box and
    size go to every task; the number of cells is checked, and the grid is made
-   coarser until it fits.
+   coarser until it fits. Where there are more sets of missing columns than cells,
+   cells hold several sets, and the bounds are those of their farthest possible row.
 2. A gap is sent to the cells whose box may hold one of its k nearest: those no
    farther than k donors known to exist, be they samples kept from each cell or all
    donors of one box. No neighbour is missed.
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import stats
 from ..functions.exprs import any_of
 from ..functions.lookup import BROADCAST_ROWS, join_lookup
+from ..functions.packaging import ship
 from ..functions.storage import materialize
 from ..functions.types import numeric_columns, ref
 
@@ -57,7 +59,7 @@ def knn_impute(
     columns = numeric_columns(df) if columns is None else columns
     summary = stats.moments(df, columns) if columns else stats.TableMoments(0)
     columns = [c for c in columns if summary.columns[c].n]
-    whole = df.withColumns({c: ref(c).cast("double") for c in columns}) if columns else df
+    whole = df.withColumns({c: stats.as_number(df, c) for c in columns}) if columns else df
     gappy = [c for c in columns if summary.columns[c].n < summary.rows]
     if not gappy:
         return whole
@@ -90,7 +92,8 @@ class Grid:
     copies: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    samples: np.ndarray | None = None
+    samples: np.ndarray
+    mixed: bool
 
 
 def _pattern(names):
@@ -109,20 +112,18 @@ def _fit_grid(tuples, names, variances, max_cells):
     ).first()
     # A column the incomplete rows lack plays no part in their distances.
     spread = {c: v**0.5 * counted[c] for c, v in zip(names, variances)}
-    wanted = min(counted["tuples"] // CELL_ROWS, max_cells)
-    while True:
-        cell = _cell_name(tuples, names, _slices(spread, wanted))
-        found = _cell_boxes(usable, names, cell).limit(max_cells + 1).collect()
-        if len(found) <= max_cells:
-            grid = _grid(cell, found, names)
-            grid.samples = _samples(usable, names, cell, len(found))
-            return grid
-        if wanted <= 1:
-            break
-        wanted //= 4
-    # Too many sets of missing columns for boxes: hashed cells, all of them searched.
-    cell = F.pmod(F.xxhash64(*names), F.lit(1_024)).cast("string")
-    return _grid(cell, _cell_boxes(usable, names, cell).collect(), names)
+    most = min(counted["tuples"] // CELL_ROWS, max_cells)
+    for mixed in (False, True):
+        wanted = most
+        while True:
+            cell = _cell_name(tuples, names, _slices(spread, wanted), mixed)
+            found = _cell_boxes(usable, names, cell).limit(max_cells + 1).collect()
+            if len(found) <= max_cells:
+                return _grid(cell, found, names, _samples(usable, names, cell, len(found)), mixed)
+            if wanted <= 1:
+                break
+            wanted //= 4
+    raise AssertionError("one cell always fits")
 
 
 def _slices(spread, wanted):
@@ -136,8 +137,8 @@ def _slices(spread, wanted):
     return {c: n for c, n in slices.items() if n > 1}
 
 
-def _cell_name(tuples, names, slices):
-    parts = [_pattern(names)]
+def _cell_name(tuples, names, slices, mixed):
+    parts = [F.lit("*") if mixed else _pattern(names)]
     finest = max(slices.values(), default=1)
     cuts = stats.quantiles(
         tuples, list(slices), [i / finest for i in range(1, finest)], accuracy=10_000
@@ -186,7 +187,7 @@ def _matrix(rows, width):
     return np.array(cells, dtype=float).reshape(len(rows), width)
 
 
-def _grid(cell, rows, names):
+def _grid(cell, rows, names, samples, mixed):
     return Grid(
         cell,
         [r["cell"] for r in rows],
@@ -194,32 +195,43 @@ def _grid(cell, rows, names):
         np.array([r["copies"] for r in rows]),
         _matrix([r["low"] for r in rows], len(names)),
         _matrix([r["high"] for r in rows], len(names)),
+        samples,
+        mixed,
     )
 
 
-def _cells_to_search(points, low, high, copies, samples, k):
+def _cells_to_search(points, low, high, copies, samples, k, mixed=False):
     """For each of ``points``, which all hold the same columns, the cells that may hold
-    one of the ``k`` nearest donors of any of its gaps."""
+    one of the ``k`` nearest donors of any of its gaps.
+
+    A cell whose rows hold the same columns has one mean over them. In a mixed cell a row
+    may share any of the columns, so its mean lies between the least and the greatest."""
     width = points.shape[1]
     held = np.flatnonzero(~np.isnan(points[0]))
-    nearest, farthest = np.zeros((2, len(points), len(low)))
-    sampled = np.zeros((len(points), len(samples)))
+    shape = (len(points), len(low))
+    nearest = np.full(shape, np.inf) if mixed else np.zeros(shape)
+    farthest, sampled = np.zeros(shape), np.zeros((len(points), len(samples)))
     for j in held:
         x, has, known = points[:, j, None], ~np.isnan(low[:, j]), ~np.isnan(samples[:, j])
         below, above = low[has, j] - x, x - high[has, j]
-        nearest[:, has] += np.maximum(np.maximum(below, above), 0.0) ** 2
-        farthest[:, has] += np.minimum(below, above) ** 2
+        near, far = np.maximum(np.maximum(below, above), 0.0) ** 2, np.minimum(below, above) ** 2
+        if mixed:
+            nearest[:, has] = np.minimum(nearest[:, has], near)
+        else:
+            nearest[:, has] += near
+            farthest[:, has] += far
         sampled[:, known] += (samples[known, j] - x) ** 2
     p, sample_p = (~np.isnan(low[:, held])).sum(axis=1), (~np.isnan(samples[:, held])).sum(axis=1)
-    nearest *= width / np.maximum(p, 1)
-    farthest *= width / np.maximum(p, 1)
+    terms = 1 if mixed else np.maximum(p, 1)
+    nearest, farthest = nearest * (width / terms), farthest * (width / terms)
     sampled *= width / np.maximum(sample_p, 1)
     chosen = np.zeros(nearest.shape, dtype=bool)
     for f in np.setdiff1d(np.arange(width), held):
         donors = (p > 0) & ~np.isnan(low[:, f])
         usable = (sample_p > 0) & ~np.isnan(samples[:, f])
         bound = np.full(len(points), np.inf)
-        if (donors & (copies >= k)).any():
+        # All rows of a mixed cell need not be donors, so only its samples bound.
+        if not mixed and (donors & (copies >= k)).any():
             bound = farthest[:, donors & (copies >= k)].min(axis=1)
         if usable.sum() >= k:
             kth = np.partition(sampled[:, usable], k - 1, axis=1)[:, k - 1]
@@ -237,8 +249,8 @@ def _cells_to_search(points, low, high, copies, samples, k):
 def _search(tuples, names, grid, k, block_rows):
     """(rid, f, value): imputed value for each gap that has a donor."""
     spark = tuples.sparkSession
-    shared = spark.sparkContext.broadcast((grid.low, grid.high, grid.copies, grid.samples))
-    boxed = grid.samples is not None
+    ship(spark)
+    shared = spark.sparkContext.broadcast((grid.low, grid.high, grid.copies, grid.samples, k, grid.mixed))
     cell_names = np.array(grid.cells, dtype=object)
 
     def route(batches):
@@ -248,10 +260,7 @@ def _search(tuples, names, grid, k, block_rows):
             for _, same in _by_pattern(points):
                 for start in range(0, len(same), GAP_BATCH):
                     part = same[start : start + GAP_BATCH]
-                    if boxed:
-                        hit = _cells_to_search(points[part], *shared.value, k)
-                    else:
-                        hit = np.ones((len(part), len(cell_names)), dtype=bool)
+                    hit = _cells_to_search(points[part], *shared.value)
                     r, c = np.nonzero(hit)
                     rows.append(part[r])
                     cells.append(c)
@@ -384,11 +393,11 @@ def _join_fills(whole, tuples, columns, names, fills, summary, broadcast_rows):
     """Put the found values into the table. Only incomplete rows take part in the
     join; their tuple is the key."""
     wide = fills.groupBy("rid").agg(
-        *[F.max(F.when(F.col("f") == i, F.col("value"))).alias(f"y{i}") for i in range(len(names))]
+        *[F.max(F.when(F.col("f") == i, F.col("value"))).alias(f"__y{i}") for i in range(len(names))]
     )
     lookup = materialize(
         tuples.join(wide, "rid").select(
-            F.struct(*names).alias("tuple"), "n", *[f"y{i}" for i in range(len(names))]
+            F.struct(*names).alias("tuple"), "n", *[f"__y{i}" for i in range(len(names))]
         ),
         "knn-fills",
     )
@@ -402,7 +411,7 @@ def _join_fills(whole, tuples, columns, names, fills, summary, broadcast_rows):
     filled = joined.select(
         *[
             F.coalesce(
-                ref(c), F.col(f"y{columns.index(c)}"), F.lit(summary.columns[c].mean)
+                ref(c), F.col(f"__y{columns.index(c)}"), F.lit(summary.columns[c].mean)
             ).alias(c)
             if c in columns
             else ref(c)

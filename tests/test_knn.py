@@ -97,3 +97,17 @@ def test_routing_never_misses_a_neighbour():
         assert needed <= set(chosen)
         searched.append(len(chosen))
     assert np.mean(searched) < 18
+
+
+def test_more_sets_of_missing_columns_than_cells(spark):
+    rng = np.random.default_rng(3)
+    wide = pd.DataFrame(rng.normal(0, 10, (150, 6)), columns=list("abcdef"))
+    wide = wide.mask(rng.random(wide.shape) < 0.35)
+    check(spark, wide, max_cells=8)
+
+
+def test_column_names_of_the_search_itself(spark, untidy):
+    named = untidy.head(120).rename(columns={"a": "y0", "b": "n", "c": "value"})
+    got = knn.knn_impute(frame(spark, named))
+    assert got.columns == ["y0", "n", "value"]
+    check(spark, named)
