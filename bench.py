@@ -24,7 +24,7 @@ HEADLINE = (
 def main(names):
     from pyspark.sql import SparkSession
 
-    from catalog.spark_queries import QUERIES
+    from catalog import QUERIES
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")

@@ -59,8 +59,7 @@ def compare(df, con, sql):
 def main(folder, names):
     from pyspark.sql import SparkSession
 
-    from catalog.oracle import ORACLE_SQL
-    from catalog.spark_queries import QUERIES
+    from catalog import ORACLE_SQL, QUERIES
 
     spark = (
         SparkSession.builder.master("local[8]")

@@ -4,8 +4,7 @@ import os
 
 import pytest
 
-from catalog.oracle import ORACLE_SQL
-from catalog.spark_queries import QUERIES
+from catalog import ORACLE_SQL, QUERIES
 
 from .check_catalog import compare, connect
 
