@@ -36,6 +36,8 @@ _ARROW_TYPES = {
     "double": pa.float64(),
     "string": pa.string(),
     "array<string>": pa.list_(pa.string()),
+    "array<double>": pa.list_(pa.float64()),
+    "array<int>": pa.list_(pa.int32()),
 }
 
 

@@ -37,6 +37,13 @@ def materialize(df: DataFrame, label: str, with_path: bool = False):
     return (back, path) if with_path else back
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` for several readings: written once if its plan shuffles, which every reading
+    would do again; else as it is."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return materialize(df, label) if "Exchange" in plan else df
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove a table written under a path of ``fresh_path``; only those."""
     if path in _written:

@@ -15,7 +15,11 @@ copies cost nothing extra on either side:
 2. A gap is sent to the cells whose box may hold one of its k nearest: those no
    farther than k donors known to exist, be they samples kept from each cell or all
    donors of one box. No neighbour is missed.
-3. Cell by cell, in blocks of bounded size on both sides, NumPy keeps the k best
+3. Where cells hold many tuples, as the number of boxes a task can carry is limited,
+   they are cut again, into as many parts as their tuples ask for. The boxes of the parts
+   are a table: gaps meet those of their cells in a join and go on to the parts that may
+   hold a neighbour. So a part stays of one size however large the table is.
+4. Cell by cell, in blocks of bounded size on both sides, NumPy keeps the k best
    donors per gap; a grouped top-k merges the blocks.
 """
 
@@ -35,6 +39,8 @@ from ..functions.types import numeric_columns, ref
 MAX_CELLS = 8_000
 # Tuples a cell should hold on average, and rows per side of one search block.
 CELL_ROWS = 2_048
+# Tuples in some cell from which on cells are cut again.
+CUT_FROM = 4 * CELL_ROWS
 # Donors of all cells kept as samples, one per cell at least.
 SAMPLES = 4_096
 BLOCK_ROWS = 8_192
@@ -202,7 +208,7 @@ def _grid(cell, rows, names, samples, mixed):
 
 def _cells_to_search(points, low, high, copies, samples, k, mixed=False):
     """For each of ``points``, which all hold the same columns, the cells that may hold
-    one of the ``k`` nearest donors of any of its gaps.
+    one of the ``k`` nearest donors of any of its gaps, and how far off they may be.
 
     A cell whose rows hold the same columns has one mean over them. In a mixed cell a row
     may share any of the columns, so its mean lies between the least and the greatest."""
@@ -225,7 +231,7 @@ def _cells_to_search(points, low, high, copies, samples, k, mixed=False):
     terms = 1 if mixed else np.maximum(p, 1)
     nearest, farthest = nearest * (width / terms), farthest * (width / terms)
     sampled *= width / np.maximum(sample_p, 1)
-    chosen = np.zeros(nearest.shape, dtype=bool)
+    chosen, reach = np.zeros(nearest.shape, dtype=bool), np.zeros(len(points))
     for f in np.setdiff1d(np.arange(width), held):
         donors = (p > 0) & ~np.isnan(low[:, f])
         usable = (sample_p > 0) & ~np.isnan(samples[:, f])
@@ -237,8 +243,10 @@ def _cells_to_search(points, low, high, copies, samples, k, mixed=False):
             kth = np.partition(sampled[:, usable], k - 1, axis=1)[:, k - 1]
             bound = np.minimum(bound, kth)
         # The slack covers rounding in the sums.
-        chosen |= donors & (nearest <= bound[:, None] * (1 + 1e-9) + 1e-300)
-    return chosen
+        bound = bound * (1 + 1e-9) + 1e-300
+        chosen |= donors & (nearest <= bound[:, None])
+        reach = np.maximum(reach, bound)
+    return chosen, reach
 
 
 # --------------------------------------------------------------------------- #
@@ -256,11 +264,11 @@ def _search(tuples, names, grid, k, block_rows):
     def route(batches):
         for batch in batches:
             points = batch[names].to_numpy(dtype=float)
-            rows, cells = [], []
+            rows, cells, reaches = [], [], np.zeros(len(points))
             for _, same in _by_pattern(points):
                 for start in range(0, len(same), GAP_BATCH):
                     part = same[start : start + GAP_BATCH]
-                    hit = _cells_to_search(points[part], *shared.value)
+                    hit, reaches[part] = _cells_to_search(points[part], *shared.value)
                     r, c = np.nonzero(hit)
                     rows.append(part[r])
                     cells.append(c)
@@ -268,6 +276,7 @@ def _search(tuples, names, grid, k, block_rows):
                 continue
             routed = batch[["rid", *names]].iloc[np.concatenate(rows)].reset_index(drop=True)
             routed["cell"] = cell_names[np.concatenate(cells)]
+            routed["reach"] = reaches[np.concatenate(rows)]
             yield routed
 
     # Work per row is heavy, so tasks are counted out rather than sized by bytes.
@@ -279,18 +288,27 @@ def _search(tuples, names, grid, k, block_rows):
         tuples.where(_has_gap(names))
         .select("rid", *names)
         .repartition(tasks, "rid")
-        .mapInPandas(route, f"rid bigint, {columns}, cell string"),
+        .mapInPandas(route, f"rid bigint, {columns}, cell string, reach double"),
         "knn-gaps",
     )
-    asked = {r["cell"]: r["count"] for r in gaps.groupBy("cell").count().collect()}
-    sizes = [
-        (c, -(-int(n) // block_rows), -(-asked[c] // block_rows))
-        for c, n in zip(grid.cells, grid.tuples)
-        if c in asked
-    ]
-    blocks = F.broadcast(  # one row per cell, at most MAX_CELLS
-        stats.small_frame(spark, sizes, "cell string, donor_blocks int, gap_blocks int")
+    cells = stats.small_frame(
+        spark, list(zip(grid.cells, grid.tuples.tolist())), "cell string, tuples bigint")
+    donors = tuples.withColumn("cell", grid.cell)
+    if grid.tuples.max(initial=0) > CUT_FROM:
+        donors, cells, gaps = _cut_again(donors, names, grid, gaps)
+    asked = gaps.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
+    blocks = materialize(
+        cells.join(asked, "cell").select(
+            "cell",
+            F.ceil(F.col("tuples") / block_rows).cast("int").alias("donor_blocks"),
+            F.ceil(F.col("asked") / block_rows).cast("int").alias("gap_blocks"),
+        ),
+        "knn-blocks",
     )
+    size = blocks.agg(
+        F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum(F.col("donor_blocks").cast("bigint") * F.col("gap_blocks")), F.lit(0)).alias("groups")
+    ).first()
+    blocks = F.broadcast(blocks) if size["cells"] <= BROADCAST_ROWS else blocks
     left = (
         gaps.join(blocks, "cell")
         .withColumn("gap_block", F.pmod(F.xxhash64("rid"), F.col("gap_blocks")).cast("int"))
@@ -298,8 +316,7 @@ def _search(tuples, names, grid, k, block_rows):
         .select("cell", "gap_block", "donor_block", "rid", *names)
     )
     right = (
-        tuples.withColumn("cell", grid.cell)
-        .join(blocks, "cell")
+        donors.join(blocks, "cell")
         .withColumn("donor_block", F.pmod(F.xxhash64("rid"), F.col("donor_blocks")).cast("int"))
         .withColumn("gap_block", F.explode(F.sequence(F.lit(0), F.col("gap_blocks") - 1)))
         .select("cell", "gap_block", "donor_block", "n", *names)
@@ -309,8 +326,7 @@ def _search(tuples, names, grid, k, block_rows):
         return _nearest(gap_rows, donor_rows, names, k)
 
     keys = ["cell", "gap_block", "donor_block"]
-    groups = sum(d * g for _, d, g in sizes)
-    tasks = max(1, min(groups, max(tasks, groups // 64)))
+    tasks = max(1, min(size["groups"], max(tasks, size["groups"] // 64)))
     candidates = (
         left.repartition(tasks, *keys)
         .groupBy(*keys)
@@ -332,6 +348,64 @@ def _search(tuples, names, grid, k, block_rows):
     return top.groupBy("rid", "f").agg(folded.alias("value"))
 
 
+def _parts_per_column(low, high, tuples):
+    """Slices of one cell's columns, its longest side halved first, for parts of some
+    ``CELL_ROWS`` tuples."""
+    length = np.nan_to_num(high - low)
+    slices, parts = np.ones(len(length), dtype=int), 1
+    while parts * CELL_ROWS < tuples and (length > 0).any():
+        longest = int(np.argmax(length / slices))
+        slices[longest] *= 2
+        parts *= 2
+    return slices.tolist()
+
+
+def _cut_again(donors, names, grid, gaps):
+    """(donors, cells, gaps) by parts of cells. ``cells`` is (cell, tuples) of the parts."""
+    spark = donors.sparkSession
+
+    def known(box):
+        return [None if np.isnan(v) else float(v) for v in box]
+
+    info = stats.small_frame(
+        spark,
+        [(c, known(lo), known(hi), _parts_per_column(lo, hi, n))
+         for c, lo, hi, n in zip(grid.cells, grid.low, grid.high, grid.tuples)],
+        "of string, start array<double>, stop array<double>, slices array<int>")
+    bins = []
+    for j, name in enumerate(names):
+        slices, start = F.col("slices")[j], F.col("start")[j]
+        place = F.floor(F.try_divide(F.col(name) - start, F.col("stop")[j] - start) * slices)
+        bins.append(F.when(F.col(name).isNotNull() & (slices > 1), F.least(place, slices - 1)).otherwise(0).cast("string"))
+    # One row per cell, at most MAX_CELLS.
+    parted = donors.join(F.broadcast(info), F.col("cell") == F.col("of")).select(
+        "rid", "n", *names, "cell", F.concat_ws("/", "cell", F.concat_ws("|", *bins)).alias("part"))
+    held = F.coalesce(*[F.col(c) for c in names]).isNotNull()
+    boxes = materialize(
+        parted.where(held).groupBy("cell", "part").agg(
+            F.count(F.lit(1)).alias("tuples"),
+            *[F.min(c).alias(f"low_{c}") for c in names], *[F.max(c).alias(f"high_{c}") for c in names]),
+        "knn-parts")
+    terms = [
+        F.when(
+            F.col(c).isNotNull() & F.col(f"low_{c}").isNotNull(),
+            F.pow(F.greatest(F.col(f"low_{c}") - F.col(c), F.col(c) - F.col(f"high_{c}"), F.lit(0.0)), F.lit(2.0)))
+        for c in names
+    ]
+    shared = sum((t.isNotNull().cast("int") for t in terms), F.lit(0))
+    if grid.mixed:
+        nearest = F.least(*terms, F.lit(None).cast("double")) * len(names)
+    else:
+        nearest = sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0)) * len(names) / F.greatest(shared, F.lit(1))
+    routed = gaps.join(boxes.withColumnRenamed("cell", "of"), F.col("cell") == F.col("of")).where(
+        (shared > 0) & (nearest * (1 - 1e-9) <= F.col("reach")))
+    return (
+        parted.select("rid", "n", *names, F.col("part").alias("cell")),
+        boxes.select(F.col("part").alias("cell"), "tuples"),
+        materialize(routed.select("rid", *names, F.col("part").alias("cell")), "knn-routed"),
+    )
+
+
 def _by_pattern(points):
     """Row numbers grouped by which columns hold a value."""
     known = ~np.isnan(points)

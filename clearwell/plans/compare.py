@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import stats
 from ..functions.exprs import significant
+from ..functions.storage import settled
 from ..functions.types import ref
 from . import profile
 
@@ -33,7 +34,7 @@ Measured = tuple[profile.TableMetrics, profile.TableMetrics]
 
 def measure(raw: DataFrame, clean: DataFrame) -> Measured:
     """Metrics of both versions, for several comparisons to share."""
-    return profile.table_metrics(raw), profile.table_metrics(clean)
+    return profile.table_metrics(settled(raw, "raw-version")), profile.table_metrics(settled(clean, "clean-version"))
 
 
 def _row(raw, clean, measured: Measured | None, score: bool = False) -> DataFrame:
@@ -43,8 +44,11 @@ def _row(raw, clean, measured: Measured | None, score: bool = False) -> DataFram
             for m in measured
         )
         return _versions(before, after)
-    of = profile.quality_score if score else profile.basic_metrics
-    return _versions(of(raw), of(clean))
+    if not score:  # one reading each
+        return _versions(profile.basic_metrics(raw), profile.basic_metrics(clean))
+    return _versions(
+        profile.quality_score(settled(raw, "raw-version")), profile.quality_score(settled(clean, "clean-version"))
+    )
 
 
 def before_after(

@@ -5,7 +5,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..functions import stats
-from ..functions.storage import materialize
+from ..functions.storage import materialize, settled
 
 # Fixed value: states kept for restoring (the older limit was 10).
 MAX_SNAPSHOTS = 3
@@ -22,12 +22,13 @@ class Step:
 
 
 class CleaningSession:
-    """Holds the raw table, the working table and the last steps. States are lazy
-    DataFrames, which cost nothing to keep; ``write_states=True`` writes each new
-    state to the shared folder, to cut long lineages."""
+    """Holds the raw table, the working table and the last steps. A state whose step
+    shuffles is written to the shared folder, so that later steps and looks back do not
+    run it again; other states are lazy DataFrames, which cost nothing to keep.
+    ``write_states`` asks for all states to be written, or none."""
 
     def __init__(
-        self, raw: DataFrame, max_snapshots: int = MAX_SNAPSHOTS, write_states: bool = False
+        self, raw: DataFrame, max_snapshots: int = MAX_SNAPSHOTS, write_states: bool | None = None
     ):
         self.raw = raw
         self.current = raw
@@ -44,7 +45,10 @@ class CleaningSession:
     ) -> DataFrame:
         self.history.append(Step(label, self.current, list(steps or []), source))
         del self.history[: -self.max_snapshots]
-        self.current = materialize(table, "session-state") if self.write_states else table
+        if self.write_states is None:
+            self.current = settled(table, "session-state")
+        else:
+            self.current = materialize(table, "session-state") if self.write_states else table
         return self.current
 
     def restore(self, index: int) -> DataFrame:

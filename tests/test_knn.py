@@ -99,11 +99,14 @@ def test_routing_never_misses_a_neighbour():
     assert np.mean(searched) < 18
 
 
-def test_more_sets_of_missing_columns_than_cells(spark):
+def test_more_sets_of_missing_columns_than_cells(spark, monkeypatch):
     rng = np.random.default_rng(3)
     wide = pd.DataFrame(rng.normal(0, 10, (150, 6)), columns=list("abcdef"))
     wide = wide.mask(rng.random(wide.shape) < 0.35)
     check(spark, wide, max_cells=8)
+    monkeypatch.setattr(knn, "CELL_ROWS", 8)
+    monkeypatch.setattr(knn, "CUT_FROM", 16)
+    check(spark, wide, max_cells=8)
 
 
 def test_column_names_of_the_search_itself(spark, untidy):
@@ -111,3 +114,10 @@ def test_column_names_of_the_search_itself(spark, untidy):
     got = knn.knn_impute(frame(spark, named))
     assert got.columns == ["y0", "n", "value"]
     check(spark, named)
+
+
+@pytest.mark.parametrize("max_cells", [4, 16])
+def test_overfull_cells_are_cut_again(spark, untidy, monkeypatch, max_cells):
+    monkeypatch.setattr(knn, "CELL_ROWS", 8)
+    monkeypatch.setattr(knn, "CUT_FROM", 16)
+    check(spark, untidy, max_cells=max_cells)
