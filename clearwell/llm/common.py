@@ -60,6 +60,14 @@ def text_slices(batch: pa.RecordBatch, index: int) -> Iterator[tuple[pa.RecordBa
         at = end
 
 
+def row_slices(batches: Iterator[pa.RecordBatch], index: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in runs of some ``SLICE_BYTES`` of text, so that Python holds
+    little of it at a time."""
+    for batch in batches:
+        for rows, _, _ in text_slices(batch, index):
+            yield rows
+
+
 def word_table() -> np.ndarray:
     """Byte -> lower-cased byte of a word, or 0 for a separator: words are runs of
     ASCII letters, digits and everything beyond ASCII."""

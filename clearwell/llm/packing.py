@@ -28,9 +28,9 @@ LENGTH = 2048
 END_ID = 0
 # Pieces of one length are ranked in so many groups, as one length may be very frequent.
 RANK_GROUPS = 64
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 21
 # Words that a worker remembers before it starts anew (some 150 bytes each).
-MOST_WORDS = 700_000
+MOST_WORDS = 300_000
 
 _LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e]+")
 _BEHIND = ".,;:!?*#%&$|()[]-\""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.storage import materialize
-from .common import arrow_map, components
+from .common import arrow_map, components, row_slices
 
 WORDS_PER_SHINGLE = 3
 SEED = 42
@@ -55,7 +55,7 @@ def fingerprint(text: str | None, k: int = WORDS_PER_SHINGLE) -> int:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in row_slices(batches, 1):
         marks = [fingerprint(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(np.array(marks, np.uint64).view(np.int64))], ["id", "mark"])
@@ -130,7 +130,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _marked(at: int):
     def run(batches):
-        for batch in batches:
+        for batch in row_slices(batches, at):
             marks = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(marks.view(np.int64))], [*batch.schema.names, "__mark"])
