@@ -108,8 +108,8 @@ def _marks(short: list[int], bitmap: np.ndarray):
                 sizes = np.concatenate([np.full(len(x[0]), x[2], np.int32) for x in found])
                 text = np.searchsorted(first, where, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(pa.array(text)), pa.array(marks.view(np.int64)), pa.array(sizes),
-                     pa.array(where - first[text])], ["id", "hash", "k", "place"])
+                    [rows.column(0).take(pa.array(text)), rows.column(2).take(pa.array(text)), pa.array(marks.view(np.int64)),
+                     pa.array(sizes), pa.array(where - first[text])], ["id", "text_mark", "hash", "k", "place"])
 
     return run
 
@@ -164,8 +164,9 @@ def _clean(at: int):
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, hits) of the documents that share a fingerprint with an item. ``docs``:
-    (id, text), ``items``: (item, text). hits: place, k, at, around, item of each."""
+    """(id, text_mark, hits) of the documents that share a fingerprint with an item. ``docs``:
+    (id, text), ``items``: (item, text). hits: place, k, at, around, item of each. A document
+    goes by its id and the hash of its text, so rows without ids are no common group."""
     marks = materialize(
         arrow_map(items, _items, "item string, hash bigint, k int, at int, around string"), "item-fingerprints")
     # At most 256 maps of 4 KB and nine lengths reach the driver, whatever the benchmark.
@@ -177,11 +178,14 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
         bitmap[row["part"] * 4096 : (row["part"] + 1) * 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
     short = sorted(r["n"] for r in marks.where("at = 0").select(
         F.size(F.split("around", " ")).alias("n")).where(F.col("n") < SPAN).distinct().collect())
-    spots = arrow_map(docs, _marks(short, bitmap), "id bigint, hash bigint, k int, place bigint")
+    spots = arrow_map(
+        docs.select("id", "text", F.xxhash64("text").alias("text_mark")), _marks(short, bitmap),
+        "id bigint, text_mark bigint, hash bigint, k int, place bigint")
     size = F.lit(40) + F.octet_length("around") + F.coalesce(F.octet_length("item"), F.lit(0))
     met = spots.join(small_or_plain(marks, size), ["hash", "k"])
-    return met.groupBy("id").agg(
-        F.collect_list(F.struct("place", "k", "at", "around", "item")).alias("hits"))
+    # Sets: repeated rows and items add nothing, so a group is bounded by its text.
+    return met.groupBy("id", "text_mark").agg(
+        F.collect_set(F.struct("place", "k", "at", "around", "item")).alias("hits"))
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
@@ -191,8 +195,11 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str
     found = materialize(candidates(rows, items), "hits")
     # Per hit: the words around and some fixed fields; lists are bounded by a document's length.
     size = F.aggregate("hits", F.lit(0), lambda t, x: t + F.octet_length(x["around"]) + 60)
-    side = small_or_plain(found, size).select(F.col("id").alias("__hit_id"), F.col("hits").alias("__hits"))
-    return docs.join(side, F.col(id_col).cast("bigint").eqNullSafe(F.col("__hit_id")), "left").drop("__hit_id")
+    side = small_or_plain(found, size).select(
+        F.col("id").alias("__hit_id"), F.col("text_mark").alias("__hit_mark"), F.col("hits").alias("__hits"))
+    own = F.col(id_col).cast("bigint").eqNullSafe(F.col("__hit_id"))
+    same = F.xxhash64(F.col(text_col).cast("string")) == F.col("__hit_mark")
+    return docs.join(side, own & same, "left").drop("__hit_id", "__hit_mark")
 
 
 def contamination(

@@ -4,8 +4,8 @@ Markup is stripped to lines, one per block element. The text lengths of ``WINDOW
 neighbouring lines are summed; where the sum surges above a share of the page's highest the
 article begins, and where it dives below it ends. Lines of menus, adverts, forms and the
 like weigh nothing, as does linked text, so they cannot make a surge. Where the text lies in
-an article or main element, both points are moved to its ends, so that its short first and
-last lines belong to it.
+an article or main element, or else in a division of its own, both points are moved to its
+ends, so that its short first and last lines belong to it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map
+from .common import arrow_map, row_slices
 
 WINDOW = 3
 # Share of the highest window sum that is still inside the text.
@@ -38,7 +38,7 @@ _HINT_AWAY = re.compile(
     r"(?:^|[^a-z])(?:comments?|commentlist|replies|respond|disqus|related|recommend(?:ed|ations?)|sidebar|"
     r"nav|navbar|navigation|menu|footer|breadcrumbs?)(?:$|[^a-z])")
 _HINT_DOUBT = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|banner|cookies?|consent|gdpr|notices?|"
+    r"(?:^|[^a-z])(?:ads?|adsbygoogle|advert[a-z]*|sponsor|sponsored|banner|cookies?|consent|gdpr|notices?|"
     r"alert|share|sharing|social|newsletter|subscribe|subscription|signup|login|promo|promotion|popup|modal|overlay|widget|"
     r"toolbar|pagination|pager|skip)(?:$|[^a-z])")
 _HINT_HEADER = re.compile(r"(?:^|[^a-z])(?:header|masthead|topbar)(?:$|[^a-z])")
@@ -57,6 +57,7 @@ class Line:
     linked: int  # characters inside links
     away: bool  # in an element that is no article text
     core: int  # number of the innermost article or main element, or -1
+    box: int  # number of the innermost division or section, or 0
     heading: bool
 
 
@@ -66,6 +67,7 @@ class _Open:
     away: bool
     doubt: bool
     core: int
+    box: int
 
 
 def _entered(name: str, attributes: str, top: _Open, number: int) -> _Open:
@@ -83,13 +85,13 @@ def _entered(name: str, attributes: str, top: _Open, number: int) -> _Open:
             doubt = True
         if attributes and _HIDDEN.search(attributes):
             away = True
-    return _Open(name, away, doubt, core)
+    return _Open(name, away, doubt, core, number if name in ("div", "section") else top.box)
 
 
 def lines(page: str) -> list[Line]:
     """The page's lines of text, one per block."""
     out: list[Line] = []
-    stack = [_Open("", False, False, -1)]
+    stack = [_Open("", False, False, -1, 0)]
     parts: list[str] = []
     linked, in_link, heading, number, at = 0, False, False, 0, 0
 
@@ -99,7 +101,7 @@ def lines(page: str) -> list[Line]:
         parts.clear()
         if text:
             top = stack[-1]
-            out.append(Line(text, min(linked, len(text)), top.away or top.doubt, top.core, heading))
+            out.append(Line(text, min(linked, len(text)), top.away or top.doubt, top.core, top.box, heading))
         linked = 0
 
     def take(piece: str) -> None:
@@ -182,18 +184,22 @@ def main_text(page: str | None) -> str:
     if core >= 0:
         kept = [r.text for r in rows if r.core == core and not r.away]
     else:
-        chosen = set()
+        by_box: dict[int, int] = {}
+        for i in range(a, b):
+            by_box[rows[i].box] = by_box.get(rows[i].box, 0) + weights[i]
+        box = max(by_box, key=lambda n: (by_box[n], n))
+        chosen = {i for i, r in enumerate(rows) if box and r.box == box}
         for (a, b), total in zip(found, heft):
             if total >= STRETCH * heft[best]:
                 while a > 0 and rows[a - 1].heading and not rows[a - 1].away and rows[a - 1].core < 0:
                     a -= 1
                 chosen.update(range(a, b))
-        kept = [rows[i].text for i in sorted(chosen) if not rows[i].away and (weights[i] or rows[i].heading)]
+        kept = [rows[i].text for i in sorted(chosen) if not rows[i].away and (weights[i] or rows[i].heading or rows[i].box == box > 0)]
     return "\n\n".join(kept)
 
 
 def _texts(batches):
-    for batch in batches:
+    for batch in row_slices(batches, 2):
         texts = [main_text(page) for page in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],

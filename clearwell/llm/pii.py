@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.storage import materialize
-from .common import arrow_map
+from .common import arrow_map, row_slices
 
 # The kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -239,7 +239,7 @@ def marginals(graph: Graph, model, rounds: int = ROUNDS) -> np.ndarray:
 
 def _fit_task(batches):
     graph, document = Graph(), 0
-    for batch in batches:
+    for batch in row_slices(batches, 0):
         for text in batch.column(0).to_pylist():
             base = base_spans(text)
             graph.add(document, text, base, other_candidates(text, base))
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS)
     digit or an @, drawn by their hash. No such text: weights that add nothing."""
     rows = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     # Hashes first, so that texts are not sorted; one task then reads the bounded sample.
-    drawn = rows.select(F.xxhash64("text").alias("mark")).orderBy("mark").limit(sample_rows)
+    drawn = rows.select(F.xxhash64("text").alias("mark")).distinct().orderBy("mark").limit(sample_rows)
     last = drawn.agg(F.max("mark")).first()[0]
     sample = rows.where(F.xxhash64("text") <= (last if last is not None else 0)).dropDuplicates(["text"])
     sample = materialize(sample.limit(sample_rows), "pii-sample")
@@ -266,7 +266,7 @@ def _listed(spans) -> str:
 
 def _find(model):
     def run(batches):
-        for batch in batches:
+        for batch in row_slices(batches, 1):
             graph, bases = Graph(), []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 base = base_spans(text)
@@ -304,7 +304,7 @@ def find(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text")
 
 def _redacted(model, at: int):
     def run(batches):
-        for batch in batches:
+        for batch in row_slices(batches, at):
             texts = batch.column(at).to_pylist()
             graph, spans = Graph(), []
             for i, text in enumerate(texts):

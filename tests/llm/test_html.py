@@ -16,6 +16,12 @@ def test_surge_and_dive_without_article_element():
     assert main_text(page) == f"Head\n\n{LONG}\n\nShort.\n\n{LONG}"
 
 
+def test_division_of_its_own_keeps_short_edges():
+    page = (f"<body><div class=top>Site</div><div class=page><p>By.</p><p>On.</p><p>At.</p><p>{LONG}</p><ul><li>One.</li><li>Two.</li></ul><p>{LONG}</p>"
+            f"<p>a</p><p>b</p><p>c</p><div class='adsbygoogle'>{LONG}</div></div><div>x</div><div>y</div><div>z</div></body>")
+    assert main_text(page) == f"By.\n\nOn.\n\nAt.\n\n{LONG}\n\nOne.\n\nTwo.\n\n{LONG}\n\na\n\nb\n\nc"
+
+
 def test_stretches_begin_at_surges_and_end_at_dives():
     assert stretches([0, 0, 50, 80, 0, 60, 0, 0, 0, 0, 5, 0]) == [(2, 6)]
     assert stretches([]) == [] and stretches([0, 0]) == []
