@@ -155,8 +155,9 @@ def test_one_hot(spark):
     assert out.columns == ["n", "color_blue", "color_red"]
     assert [tuple(r) for r in out.collect()] == [(1, False, True), (2, True, False), (3, False, False)]
     assert encode.encode_categorical(df, "absent") is df
-    with pytest.raises(ValueError):
-        encode.one_hot_encode(df, "color", max_categories=1)
+    # Beyond the caller's number of columns nothing is refused: one map column.
+    sparse = encode.one_hot_encode(df, "color", max_columns=1)
+    assert [(r["n"], sorted(r["color_one_hot"])) for r in sparse.collect()] == [(1, ["red"]), (2, ["blue"]), (3, [])]
 
 
 def test_column_operations(full_df):
