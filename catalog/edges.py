@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clearwell.functions.storage import fresh_path
 from clearwell.functions.types import ref
-from clearwell.operators import columns, encode, isolation, missing, outliers
+from clearwell.operators import columns, encode, isolation, missing, outliers, text
 from clearwell.plans import chartdata, insights, profile, suggest
 from clearwell.sources import reader, writer
 
@@ -129,14 +129,34 @@ def c5_knn_impute_several(spark, folder):
     return out.select("c_custkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+def c15_mapping_table(spark, folder):
+    """The mapping is a table: part brands to their makers, in other spellings."""
+    part = table(spark, folder, "part")
+    mapping = part.select(
+        F.concat(F.lit(" "), F.upper("p_brand")).alias("source"), F.concat(F.lit("maker "), F.substring("p_brand", 7, 1)).alias("target"))
+    cells = part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.lower("p_brand")).when(F.col("p_partkey") % 7 != 0, F.col("p_type")).alias("b"))
+    return text.standardize_categories(cells, "b", mapping)
+
+
+def s5_report_sections(spark, folder):
+    """Every section of the report, as written: its rows."""
+    target = fresh_path(spark, "report")
+    index = writer.write_report(dirty(spark, folder), cleaned(spark, folder), target, None, ["o_orderkey"])
+    counts = None
+    for row in index.collect():  # one row per section
+        part = spark.read.parquet(row["path"]).agg(F.lit(row["section"]).alias("section"), F.count(F.lit(1)).alias("rows"))
+        counts = part if counts is None else counts.union(part)
+    return counts
+
+
 def p3_change_type_forms(spark, folder):
     day, key = F.col("o_orderdate"), F.col("o_orderkey")
     forms = (
         "M/d/yyyy", "MM/dd/yyyy HH:mm", "yyyy/MM/dd HH:mm:ss", "yyyy/M/d", "MMM d, yyyy", "d MMMM yyyy", "dd.MM.yyyy",
         "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMdd", "d-M-yyyy",
     )
-    text = F.coalesce(*[F.when(key % len(forms) == i, F.date_format(day, f)) for i, f in enumerate(forms)])
-    df = table(spark, folder, "orders").select("o_orderkey", text.alias("placed"))
+    written = F.coalesce(*[F.when(key % len(forms) == i, F.date_format(day, f)) for i, f in enumerate(forms)])
+    df = table(spark, folder, "orders").select("o_orderkey", written.alias("placed"))
     return columns.change_type(df, "placed", "datetime").withColumn("placed", F.col("placed").cast("string"))
 
 
@@ -230,6 +250,14 @@ ORACLE_SQL = {
   fy as (select k, avg(hy) as fill from (select k, hy, row_number() over (partition by k order by dist, hy) as place from d where y is null and hy is not null) where place <= 5 group by k)
   select t.k as c_custkey, round(coalesce(x, fx.fill), 3) as x, round(coalesce(y, fy.fill), 3) as y
   from t left join fx on fx.k = t.k left join fy on fy.k = t.k""",
+    "c15_mapping_table": """select p_partkey, case when p_partkey % 3 = 0 then 'maker ' || substr(p_brand, 7, 1)
+  when p_partkey % 7 <> 0 then p_type end as b from part""",
+    "s5_report_sections": f"""{DIRTY}, missing as (select (count(*) filter (prio is null) > 0)::int + (count(*) filter (price is null) > 0)::int
+    + (count(*) filter (status is null) > 0)::int as n from dirty)
+  select section, cast(rows as bigint) as rows from (values ('1_summary', 1), ('2_quality', 1), ('3_comparison', 7), ('4_schema', 6),
+    ('5_cleaning_log', 0), ('6_statistics', 3), ('7_preview_before', 5), ('7_preview_after', 5), ('8_2_impact', 4), ('8_3_shift', 60),
+    ('8_4_distributions', 75), ('8_5_correlation', 9)) v(section, rows)
+  union all select '8_1_missing', n from missing""",
     "p3_change_type_forms": f"""select o_orderkey, cast(cast({_DAY} as timestamp) as varchar) as placed from orders""",
     "i4_trend_text_dates": f"""with e as (select ts as event_date, (value + day(ts)) * 1000 as level from events)
   select {INSIGHT} from ({trend_block('e', 'event_date', 'level')})""",

@@ -31,16 +31,37 @@ def category_key(cell: Column) -> Column:
     return F.lower(strip(cell))
 
 
-def standardize_categories(df: DataFrame, column: str, mapping: dict) -> DataFrame:
-    """Swap values found in ``mapping`` (trimmed, any case; first entry wins) and keep
-    the rest."""
-    if column not in df.columns or not mapping:
+def standardize_categories(
+    df: DataFrame, column: str, mapping: dict | DataFrame, source: str = "source", target: str = "target"
+) -> DataFrame:
+    """Swap values found in ``mapping`` (trimmed, any case) and keep the rest. Of a dict the
+    first entry for a value wins. A table of any size, with columns ``source`` and
+    ``target``, is joined; it has no order, so of several targets the smallest wins."""
+    if column not in df.columns or (isinstance(mapping, dict) and not mapping):
         return df
-    pairs = {}
-    for source, target in mapping.items():
-        pairs.setdefault(str(source).strip(WHITESPACE).lower(), target)
-    table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
     cell = ref(column)
     if not isinstance(df.schema[column].dataType, T.StringType):
         cell = cell.cast("string")
+    if isinstance(mapping, DataFrame):
+        return _mapped_by_table(df, column, cell, mapping, source, target)
+    pairs = {}
+    for name, new in mapping.items():
+        pairs.setdefault(str(name).strip(WHITESPACE).lower(), new)
+    table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
     return df.withColumn(column, F.coalesce(F.try_element_at(table, category_key(cell)), cell))
+
+
+def _mapped_by_table(df, column, cell, mapping, source, target):
+    """A left join that Spark broadcasts when the mapping is small by its own measure, and
+    else shuffles, frequent categories split at run time. NULL cells stay out of it."""
+    pairs = (
+        mapping.select(category_key(ref(source).cast("string")).alias("__source"), ref(target).cast("string").alias("__target"))
+        .where(F.col("__source").isNotNull())
+        .groupBy("__source")
+        .agg(F.min("__target").alias("__target"))
+    )
+    given = df.where(ref(column).isNotNull()).withColumn("__key", category_key(cell))
+    joined = given.join(pairs, F.col("__key") == F.col("__source"), "left").withColumn(
+        column, F.coalesce("__target", cell))
+    empty = df.where(ref(column).isNull()).withColumn(column, F.lit(None).cast("string"))
+    return joined.select(*[ref(c) for c in df.columns]).unionByName(empty)
