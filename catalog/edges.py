@@ -10,7 +10,7 @@ from clearwell.plans import chartdata, insights, profile, suggest
 from clearwell.sources import reader, writer
 
 from .inputs import cleaned, dirty, table
-from .oracle import CLEANED, DIRTY, KNN, NULL_TOKENS, ODATE, described, histogram, mode_of, trend_block, INSIGHT, LINE_NUMERIC
+from .oracle import CLEANED, DIRTY, KNN, NULL_TOKENS, described, histogram, mode_of, trend_block, INSIGHT, LINE_NUMERIC
 
 GAPS = """with gaps as (select
     case when l_orderkey % 5 = 0 then null else l_quantity end as a,
