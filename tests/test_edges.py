@@ -106,3 +106,29 @@ def test_significant_digits(spark):
     values = [0.0, -1.0, 10.0, 99999.4, 1e6, 1e-5, 0.000125, 123456.0, 2.5, -0.001, float("inf"), float("nan"), None]
     df = spark.createDataFrame([(v,) for v in values], "x double").select("x", significant(F.col("x"), 4).alias("t"))
     assert [r.t for r in df.collect()] == [None if v is None else f"{v:.4g}" for v in values]
+
+
+def test_tables_of_a_scratch_block_are_removed(spark):
+    import glob
+
+    from clearwell.functions.storage import materialize, scratch, settled, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/*"))
+    grouped = spark.range(9).groupBy((F.col("id") % 4).alias("g")).count()
+    with scratch(spark):
+        table = materialize(spark.range(5), "block")
+        assert table.count() == 5 and settled(grouped, "block").count() == 4
+        assert len(set(glob.glob(f"{folder}/*")) - before) == 2
+    assert set(glob.glob(f"{folder}/*")) == before
+    plain = spark.range(3)
+    assert settled(plain, "block") is plain
+
+
+def test_categories_from_a_table(spark):
+    from clearwell.operators.text import standardize_categories
+
+    df = spark.createDataFrame([("hr ", 1), ("HR", 2), ("it", 3), (None, 4)], "d string, target int")
+    mapping = spark.createDataFrame([(" Hr", "People"), ("hr", "Staff"), (None, "x")], "source string, target string")
+    assert sorted(map(tuple, standardize_categories(df, "d", mapping).collect()), key=repr) == [
+        ("People", 1), ("People", 2), ("it", 3), (None, 4)]
