@@ -1,7 +1,8 @@
 """Near copies by SimHash.
 
 Each text becomes a 64-bit fingerprint. Links join fingerprints that differ in at most
-``BITS`` = 3 bits; classes are what can be reached over links.
+``BITS`` = 3 bits; classes are what can be reached over links. ``keep_one`` has links of its
+own (``resemblance``), as 3 bits hold exact and almost exact copies only.
 
 Links are found in an embedding: a fingerprint is cut into 32 segments of two bits, and
 each segment becomes its bit count. The Manhattan distance of two such vectors is never
@@ -17,13 +18,16 @@ point; a ball of radius r holds a bounded number of points whatever the table's
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions.storage import materialize
+from . import resemblance
 from .common import arrow_map, components, row_slices
 
 WORDS_PER_SHINGLE = 3
@@ -102,10 +106,11 @@ def links(marks: DataFrame, bits: int = BITS) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _classes(marks: DataFrame, bits: int) -> DataFrame:
-    """(point, root, class_id) for every distinct ``mark`` of ``marks`` (id, mark)."""
+def _classes(marks: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(point, root, class_id) for every distinct ``mark`` of ``marks`` (id, mark); ``link``
+    gives the links (a, b) between the points (mark, first)."""
     points = materialize(marks.groupBy("mark").agg(F.min("id").alias("first")), "points")
-    found = materialize(links(points, bits), "links")
+    found = materialize(link(points), "links")
     roots = components(found, "links")
     # Points without links are their own class; only linked ones meet the roots.
     linked = points.join(roots, F.col("mark") == F.col("node"), "left").select(
@@ -125,27 +130,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are not read, whatever their names."""
     marks = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     # A frequent fingerprint makes a large partition of `marks` only, which AQE splits.
-    return marks.join(_classes(marks, bits), F.col("mark") == F.col("point")).select("id", "mark", "class_id")
-
-
-def _marked(at: int):
-    def run(batches):
-        for batch in row_slices(batches, at):
-            marks = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(marks.view(np.int64))], [*batch.schema.names, "__mark"])
-
-    return run
+    return marks.join(_classes(marks, lambda points: links(points, bits)), F.col("mark") == F.col("point")).select("id", "mark", "class_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = resemblance.SIMILARITY,
+) -> DataFrame:
     """One row of ``docs`` for each class of near copies, all columns as they are: the row of
-    the smallest id, of equal ids the one of the smallest fingerprint, of repeated rows any.
-    A class without any id keeps one row too."""
-    schema = StructType([*docs.schema.fields, StructField("__mark", LongType())])
-    marked = materialize(arrow_map(docs, _marked(docs.columns.index(text_col)), schema), "marked")
+    the smallest id, of equal ids the one of the smallest mark, of repeated rows any. A class
+    without any id keeps one row too. Texts are linked whose sets of five-word shingles have a
+    Jaccard index of ``similarity`` or more; texts without words are one class."""
+    schema = StructType([*docs.schema.fields, StructField("__mark", LongType()), StructField("__bands", ArrayType(LongType()))])
+    marked = materialize(arrow_map(docs, resemblance.marks_and_bands(docs.columns.index(text_col)), schema), "marked")
+    banded = marked.select(F.col("__mark").alias("mark"), F.col("__bands").alias("bands"), F.col(text_col).cast("string").alias("text"))
     marks = marked.select(F.col(id_col).cast("bigint").alias("id"), F.col("__mark").alias("mark"))
-    rows = marks.join(_classes(marks, bits), F.col("mark") == F.col("point")).where(F.col("id").eqNullSafe(F.col("class_id")))
+    rows = marks.join(_classes(marks, lambda _: resemblance.resembling(banded, similarity)), F.col("mark") == F.col("point")).where(F.col("id").eqNullSafe(F.col("class_id")))
     kept = materialize(rows.groupBy("root").agg(
         F.min("id").alias("__id"), F.min("mark").alias("__point"), F.count_if(F.lit(True)).alias("n")), "kept")
     # Rows are met by fingerprint and id, so copies of a frequent text do not fall together.

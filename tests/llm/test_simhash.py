@@ -1,5 +1,8 @@
+import os
+import random
 import re
 
+import pytest
 import xxhash
 
 from clearwell.llm.common import components
@@ -81,3 +84,48 @@ def test_one_row_of_each_class_stays(spark):
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert near_copies(empty).count() == 0 and keep_one(empty).count() == 0 and fingerprints(empty).count() == 0
+
+
+def plain_sets(rows):
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def plain_kept(rows):
+    """Smallest ids of the classes by the Jaccard index of five-word shingles."""
+    sets, root = plain_sets(rows), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(rows[i][0])
+    return sorted(map(min, groups.values()))
+
+
+def test_kept_rows_equal_brute_force_jaccard(spark):
+    draw, rows = random.Random(8), []
+    for group in range(12):
+        base = [f"w{draw.randrange(5000)}" for _ in range(draw.choice([60, 200, 500]))]
+        for _ in range(8):
+            words = list(base)
+            for _ in range(draw.randrange(0, len(base) // 25)):  # resemblance from 0.6 to 1
+                words[draw.randrange(len(words))] = f"w{draw.randrange(5000)}"
+            rows.append((len(rows), " ".join(words)))
+    got = sorted(r.doc_id for r in keep_one(documents(spark, rows)).collect())
+    assert got == plain_kept(rows) and 12 <= len(got) < 90
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables absent")
+def test_kept_documents_equal_brute_force_jaccard(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == plain_kept(rows)
