@@ -4,8 +4,9 @@ Nodes of a document's graph are the base finds of four patterns (e-mail, IP addr
 phone) and other candidates that only resemble them: a number without its prefix, an
 address without its domain's end, a card number with a wrong check digit. Neighbouring
 nodes are linked as in a chain; nodes of the same key (equal text, equal last digits, equal
-local part), however far apart, are linked by skip edges, each to the next of its key, so a
-frequent key gives as many edges as it has nodes. Base finds are fixed; loopy message
+local part), however far apart, are linked by skip edges to one hub of the key, so a frequent
+key gives as many edges as it has nodes. Base finds are fixed, and so are the hubs of keys
+that have some: what is clear about a key, no number of unclear nodes outvotes. Loopy message
 passing over both kinds of edges lets a document's clear finds label its unclear ones.
 
 Weights of node features, of label pairs of neighbours and of skip edges are fitted on the
@@ -28,7 +29,9 @@ from .common import arrow_map, row_slices
 # The kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 4000
-ROUNDS = 8
+# Messages pass until none changes by more than STILL, or for so many rounds at most.
+ROUNDS = 200
+STILL = 1e-7
 # Added to the score of "nothing" of every candidate: an unclear token is mostly no find.
 CAUTION = 1.5
 NEAR = 40
@@ -147,11 +150,13 @@ class Graph:
         self.labels: list[int] = []  # -1: open
         self.features: list[list[int]] = []
         self.chain: list[tuple[int, int]] = []
-        self.skips: list[tuple[int, int]] = []
+        self.skips: list[tuple[int, int]] = []  # node and hub; hubs are -1, -2 and so on
+        self.hubs = 0
 
     def add(self, document: int, text: str, base: list, others: list) -> None:
         nodes = sorted([(a, b, kind + 1) for a, kind, b in base] + [(a, b, -1) for a, b in others])
-        last_of: dict[str, int] = {}
+        first_of: dict[str, int] = {}
+        hub_of: dict[str, int] = {}
         for i, (a, b, label) in enumerate(nodes):
             number = len(self.spans)
             token = text[a:b]
@@ -161,9 +166,14 @@ class Graph:
             if i and a - nodes[i - 1][1] <= NEAR:
                 self.chain.append((number - 1, number))
             for key in _keys(token):
-                if key in last_of:
-                    self.skips.append((last_of[key], number))
-                last_of[key] = number
+                if key not in first_of:
+                    first_of[key] = number
+                    continue
+                if key not in hub_of:
+                    self.hubs += 1
+                    hub_of[key] = -self.hubs
+                    self.skips.append((first_of[key], -self.hubs))
+                self.skips.append((number, hub_of[key]))
 
 
 def fit_weights(graph: Graph, steps: int = 300, rate: float = 0.5, l2: float = 1e-3):
@@ -172,11 +182,13 @@ def fit_weights(graph: Graph, steps: int = 300, rate: float = 0.5, l2: float = 1
     field is to decide, and teach nothing."""
     labels = np.array(graph.labels, np.int64)
     sure = np.ones(len(labels), bool)
-    reached = labels >= 0
-    for edges in (graph.skips, graph.skips[::-1]):  # edges run forwards
-        for a, b in edges:
-            reached[a] = reached[b] = reached[a] or reached[b]
-    sure[reached & (labels < 0)] = False
+    reached = np.concatenate([labels >= 0, np.zeros(graph.hubs, bool)])
+    edges = np.array(graph.skips, np.int64).reshape(-1, 2) % max(1, len(reached))
+    before = -1
+    while before != (before := reached.sum()):
+        for a, b in (edges.T, edges.T[::-1]):
+            reached[b[reached[a]]] = True
+    sure[reached[: len(labels)] & (labels < 0)] = False
     labels = np.maximum(labels, 0)
     weights = np.zeros((FEATURES, LABELS))
     if sure.any():
@@ -194,24 +206,37 @@ def fit_weights(graph: Graph, steps: int = 300, rate: float = 0.5, l2: float = 1
         if sure[a] and sure[b]:
             pairs[labels[a], labels[b]] += 1
     alone = pairs.sum(axis=1, keepdims=True) * pairs.sum(axis=0, keepdims=True) / pairs.sum()
-    known = [labels[a] == labels[b] for a, b in graph.skips if sure[a] and sure[b]]
+    known, last = [], {}  # by hub, each sure node and the next
+    for a, hub in graph.skips:
+        if sure[a]:
+            if hub in last:
+                known.append(labels[last[hub]] == labels[a])
+            last[hub] = a
     skip = np.log((sum(known) + 1) / (len(known) - sum(known) + 1))
     return weights, np.clip(np.log(pairs / alone), -1, 1), float(np.clip(skip, 2, 6))
 
 
 def marginals(graph: Graph, model, rounds: int = ROUNDS) -> np.ndarray:
-    """Label probabilities of every node after loopy message passing."""
+    """Label probabilities of every node after loopy message passing. A hub with fixed nodes
+    has their share of labels and takes no messages."""
     weights, pairs, skip = model
     n = len(graph.spans)
-    own = np.zeros((n, LABELS))
+    own = np.zeros((n + graph.hubs, LABELS))
     for i, f in enumerate(graph.features):
         own[i] = weights[f].sum(axis=0)
-    own[:, 0] += CAUTION
+    own[:n, 0] += CAUTION
     for i, label in enumerate(graph.labels):
         if label >= 0:
             own[i] = -50
             own[i, label] = 0
-    edges = np.array(graph.chain + graph.skips, np.int64).reshape(-1, 2)
+    edges = np.array(graph.chain + graph.skips, np.int64).reshape(-1, 2) % max(1, len(own))
+    skips = edges[len(graph.chain) :]
+    seen = np.zeros((len(own), LABELS))
+    for a, hub in skips[skips[:, 1] >= n].tolist():
+        if graph.labels[a] >= 0:
+            seen[hub, graph.labels[a]] += 1
+    fixed = seen.any(axis=1)
+    own[fixed] = np.where(seen[fixed] > 0, np.log(np.maximum(seen[fixed], 1) / seen[fixed].sum(axis=1, keepdims=True)), -50)
     forward = np.concatenate([
         np.broadcast_to(pairs, (len(graph.chain), LABELS, LABELS)),
         np.broadcast_to(np.eye(LABELS) * skip, (len(graph.skips), LABELS, LABELS))])
@@ -220,6 +245,7 @@ def marginals(graph: Graph, model, rounds: int = ROUNDS) -> np.ndarray:
     weight = np.concatenate([forward, forward.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     messages = np.zeros((len(source), LABELS))
+    silent = fixed[target]
 
     def beliefs():
         total = own.copy()
@@ -231,8 +257,13 @@ def marginals(graph: Graph, model, rounds: int = ROUNDS) -> np.ndarray:
         z = away[:, :, None] + weight
         top = z.max(axis=1, keepdims=True)
         fresh = np.log(np.exp(z - top).sum(axis=1)) + top[:, 0]
-        messages = 0.5 * messages + 0.5 * (fresh - fresh.max(axis=1, keepdims=True))
-    total = beliefs()
+        fresh -= fresh.max(axis=1, keepdims=True)
+        fresh[silent] = 0
+        change = np.abs(fresh - messages).max()
+        messages = 0.5 * messages + 0.5 * fresh
+        if change <= STILL:
+            break
+    total = beliefs()[:n]
     p = np.exp(total - total.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 

@@ -90,3 +90,22 @@ def test_redaction_keeps_rows_and_columns(spark):
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert pii.find(docs, pii.fit(docs)).count() == 0 and pii.redact(docs, pii.fit(docs)).count() == 0
+
+
+def test_a_clear_find_labels_every_copy():
+    clear, unclear = "+1 (017) 555-7713", "017 555 7713"
+    weights = np.zeros((pii.FEATURES, pii.LABELS))
+    model = (weights, np.zeros((pii.LABELS, pii.LABELS)), 4.0)
+    for copies in (1, 3, 20, 60):
+        for order in (1, -1):
+            text = " and some more words between the two, so that no chain runs ".join([clear, *[unclear] * copies][::order])
+            graph, base = pii.Graph(), pii.base_spans(text)
+            graph.add(0, text, base, pii.other_candidates(text, base))
+            assert len(graph.spans) == copies + 1 and len(graph.skips) <= 4 * (copies + 1)
+            p = pii.marginals(graph, model)
+            assert (p[:, 4] > pii.NEW_TOKEN).all(), (copies, p)
+    # Without a clear find, copies alone are none.
+    text = " then ".join([unclear] * 30)
+    graph = pii.Graph()
+    graph.add(0, text, [], pii.other_candidates(text, []))
+    assert (pii.marginals(graph, model)[:, 1:] < pii.NEW_TOKEN).all()
