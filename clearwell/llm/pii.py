@@ -44,7 +44,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _ALIKE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]|(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])")
-_PART = re.compile(r"[^ ]{7,}")
+_GROUP = re.compile(r"[0-9]+")
+MOST_DIGITS = 19
 
 
 def passes_luhn(digits: str) -> bool:
@@ -93,19 +94,75 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _unlikely(sizes: list[int], digits: str) -> float:
+    """How unlike one number some groups of digits are: cards in their usual groups are the
+    likeliest, with a right check digit most of all, then phones."""
+    n = len(digits)
+    if 13 <= n <= MOST_DIGITS:
+        usual = len(sizes) == 1 or sizes[:2] == [4, 6] and len(sizes) == 3 or all(s == 4 for s in sizes[:-1]) and sizes[-1] <= 4
+        if usual:
+            return 1.0 if passes_luhn(digits) else 1.5
+        return 2.0 if n <= 15 else 2.5
+    if 7 <= n <= 12:
+        return 1.3 if n >= 9 else 2.0
+    return 4.0
+
+
+def split_run(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The numbers in a row of ``text[start:end]``: its groups of digits cut into numbers of
+    at most ``MOST_DIGITS`` digits so that these are likeliest in sum. Every group is in one;
+    a longer group is one of its own."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
+    best, cut = [0.0], [0]
+    for j in range(1, len(groups) + 1):
+        found, sizes, digits = (float("inf"), 0), [], ""
+        for i in range(j - 1, -1, -1):
+            a, b = groups[i]
+            if sizes and len(digits) + b - a > MOST_DIGITS:
+                break
+            sizes.insert(0, b - a)
+            digits = text[a:b] + digits
+            found = min(found, (best[i] + _unlikely(sizes, digits), i))
+            if len(digits) > MOST_DIGITS:
+                break
+        best.append(found[0])
+        cut.append(found[1])
+    out, j = [], len(groups)
+    while j:
+        a, b = groups[cut[j]][0], groups[j - 1][1]
+        out.append((a - (a > start and text[a - 1] in "+("), b))
+        j = cut[j]
+    return out[::-1]
+
+
 def other_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans that resemble a find and touch none."""
-    out, taken = [], iter(base + [(len(text) + 1, 0, len(text) + 1)])
+    """Spans that resemble a find and touch none. Of a run of digits that a find touches, what
+    lies beside the find; a run of more digits than any find has is cut into numbers."""
+    out, at = [], 0
     if "@" not in text and not _DIGIT.search(text):
         return out
-    low, _, high = next(taken)
+    taken: list[list[int]] = []  # base spans, those that overlap as one
+    for low, _, high in base:
+        if taken and low < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], high)
+        else:
+            taken.append([low, high])
     for m in _ALIKE.finditer(text):
-        while high <= m.start() and low <= len(text):
-            low, _, high = next(taken)
-        if m.end() <= low:
-            # A run of more digits than any find has is several numbers in a row.
-            parts = _PART.finditer(m.group()) if len(_DIGIT.findall(m.group())) > 19 else [None]
-            out += [(m.start() + (p.start() if p else 0), m.start() + p.end() if p else m.end()) for p in parts]
+        start, end = m.span()
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        pieces, k = [], at
+        while k < len(taken) and taken[k][0] < end:
+            pieces.append((start, taken[k][0]))
+            start = taken[k][1]
+            k += 1
+        pieces.append((start, end))
+        for a, b in pieces:
+            if "@" in m.group():
+                out += [(a, b)] if (a, b) == m.span() else []
+            elif groups := [x.span() for x in _GROUP.finditer(text, a, b)] if a < b else []:
+                a, b = groups[0][0] - (groups[0][0] > a and text[groups[0][0] - 1] in "+("), groups[-1][1]
+                out += split_run(text, a, b) if sum(y - x for x, y in groups) > MOST_DIGITS else [(a, b)]
     return out
 
 

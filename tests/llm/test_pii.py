@@ -92,6 +92,37 @@ def test_empty_table(spark):
     assert pii.find(docs, pii.fit(docs)).count() == 0 and pii.redact(docs, pii.fit(docs)).count() == 0
 
 
+def tokens(text):
+    return [text[a:b] for a, b in pii.other_candidates(text, pii.base_spans(text))]
+
+
+def test_long_runs_are_cut_into_numbers():
+    assert tokens("4929 3483 8514 6306 4111 1111 1111 1111") == ["4929 3483 8514 6306", "4111 1111 1111 1111"]
+    assert tokens("017 555 7713 018 555 7714") == ["017 555 7713", "018 555 7714"]
+    assert tokens("call (017) 555-7713 (018) 555-7714.") == ["(017) 555-7713", "(018) 555-7714"]
+    assert tokens("4111 1111 1111 1111 017 555 7713") == ["4111 1111 1111 1111", "017 555 7713"]
+    assert tokens("017 555 7713 018 555 7714 019 555 7715") == ["017 555 7713", "018 555 7714", "019 555 7715"]
+    assert tokens("1" * 40) == ["1" * 40]
+
+
+def test_what_lies_beside_a_find_is_a_candidate():
+    assert tokens("4111 1111 1111 1111 (017) 555-7713") == ["(017) 555-7713"]
+    assert tokens("(017) 555-7713 (4111 1111 1111 1111") == ["(017) 555-7713"]
+
+
+def test_every_digit_group_of_a_run_is_in_a_candidate_or_find():
+    draw = random.Random(6)
+    for _ in range(3000):
+        text = "".join(draw.choice("0123456789 ().-") for _ in range(draw.randint(7, 70)))
+        base = pii.base_spans(text)
+        spans = [(a, b) for a, _, b in base] + pii.other_candidates(text, base)
+        for m in pii._ALIKE.finditer(text):
+            for g in re.finditer("[0-9]+", m.group()):
+                assert all(any(a <= m.start() + i < b for a, b in spans) for i in range(*g.span())), (text, g)
+    text = "12 345." * 20_000
+    assert pii.other_candidates(text, [])
+
+
 def test_a_clear_find_labels_every_copy():
     clear, unclear = "+1 (017) 555-7713", "017 555 7713"
     weights = np.zeros((pii.FEATURES, pii.LABELS))
