@@ -1,8 +1,8 @@
 """Licence notices and identifiers in texts.
 
 One Aho-Corasick pass over the words of a text finds all phrases at once: notices and the
-words of identifier tags. Behind a tag, the raw text is read as a licence expression by a
-shunting-yard parser (``+`` before ``WITH`` before ``AND`` before ``OR``) and evaluated to
+words of identifier tags. Behind every tag, the raw text is read as a licence expression,
+however long, by a shunting-yard parser (``+`` before ``WITH`` before ``AND`` before ``OR``) and evaluated to
 how far it restricts use: of ``AND`` both sides bind, of ``OR`` the freer side may be
 chosen, an exception (``WITH``) frees a little.
 """
@@ -55,7 +55,10 @@ RESTRICTS = {
 UNKNOWN = 0.9
 EXCEPTION_PART = 0.8
 
-_TAG = re.compile(r"(?i)(?:spdx-license-identifier:|(?:licensed|released)[^\S\n]+under(?:[^\S\n]+the)?)[^\S\n]*([^\n]{1,400})")
+# As split_words has them, in characters.
+_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
+_COLON = re.compile(r"[^\S\n]*:[^\S\n]*")
+_THE = re.compile(r"(?i)\s+the(?=\s)")
 _TOKEN = re.compile(r"\s*(?:(\()|(\))|(\+)|([A-Za-z0-9](?:[A-Za-z0-9.:-]*[A-Za-z0-9])?))")
 _ORDER = {"or": 1, "and": 2, "with": 3}
 _LISTED = re.compile(r"(?:licenseref-[a-z0-9.-]+|(?:mit|isc|bsd|0bsd|zlib|apache|cc0|cc-by|mpl|epl|lgpl|gpl|agpl|unlicense)(?:-[a-z0-9.]+)*)$")
@@ -70,15 +73,18 @@ def restriction(label: str) -> float:
     return UNKNOWN
 
 
-def postfix(expression: str, strict: bool = True) -> list[str] | None:
-    """The expression's names and operators in postfix order; None if it is no expression.
-    Reading ends where the expression does, as at the end of a sentence. Unless ``strict``,
-    only names of listed licences count."""
+def postfix(expression: str, strict: bool = True, at: int = 0) -> list[str] | None:
+    """The names and operators, in postfix order, of the expression from ``at`` on; None if
+    it is no expression. Reading ends where the expression does, as at the end of a sentence.
+    If ``strict``, a line's end ends it too, but in parentheses, and so does a further tag;
+    else only names of listed licences count."""
     out: list[str] = []
     waiting: list[str] = []
-    at, want_name, depth = 0, True, 0
+    want_name, depth = True, 0
     while m := _TOKEN.match(expression, at):
         word = (m.group(4) or "").lower()
+        if strict and (not depth and "\n" in expression[at : m.start(m.lastindex)] or word == "spdx-license-identifier"):
+            break
         if m.group(1):
             if not want_name:
                 break
@@ -135,14 +141,26 @@ def evaluate(steps: list[str]) -> tuple[set[str], float]:
     return stack[0]
 
 
-def expressions(text: str) -> tuple[set[str], float]:
-    """Labels and the highest restriction of all tagged expressions of a text. A tag
-    without a readable expression gives the label ``unreadable``; the words "licensed
-    under" alone give nothing."""
+def expressions(text: str, tags: list[tuple[str, int]]) -> tuple[set[str], float]:
+    """Labels and the highest restriction of the expressions behind all ``tags`` (phrase,
+    first word) of a text. An identifier tag without a readable expression gives the label
+    ``unreadable``; the words "licensed under" alone give nothing, nor does an identifier's
+    name without a colon. Behind a colon that ends a line, listed licences of the next count."""
     labels, score = set(), 0.0
-    for m in _TAG.finditer(text):
-        strict = m.group()[:4].lower() == "spdx"
-        steps = postfix(m.group(1), strict)
+    last = {at + phrase.count(" "): phrase for phrase, at in tags}
+    words = enumerate(_WORD.finditer(text)) if last else ()
+    for number, word in words:
+        if number not in last:
+            continue
+        if strict := last[number].startswith("spdx"):
+            if not (colon := _COLON.match(text, word.end())):
+                continue
+            steps = postfix(text, True, colon.end())
+            if not steps and text[colon.end() : colon.end() + 1] == "\n":
+                steps = postfix(text, False, colon.end())
+        else:
+            the = _THE.match(text, word.end())
+            steps = postfix(text, False, the.end() if the else word.end())
         if steps:
             names, value = evaluate(steps)
             labels |= names
@@ -184,8 +202,8 @@ def _scan(batches):
                 base = {BASE[p] for p, _ in found if p in BASE}
                 labels = base | {NOTICES[p] for p, _ in found if p in NOTICES}
                 score = max(map(restriction, labels), default=0.0)
-                if any(p in TAGS for p, _ in found):
-                    named, value = expressions(text)
+                if tags := [x for x in found if x[0] in TAGS]:
+                    named, value = expressions(text, tags)
                     labels |= named
                     score = max(score, value)
                 row = (len(starts), min(starts, default=None), max(starts, default=None),

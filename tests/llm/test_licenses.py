@@ -55,3 +55,25 @@ def test_and_binds_both_and_or_is_free():
 
 def test_empty_table(spark):
     assert lc.scan(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("text, labels, score", [
+    ("SPDX-License-Identifier: MIT -- file a; SPDX-License-Identifier: GPL-3.0-only", "gpl-3.0-only,mit", 0.7),
+    ("SPDX-License-Identifier: MIT OR SPDX-License-Identifier: GPL-3.0-only", "gpl-3.0-only,mit", 0.7),
+    ("SPDX-License-Identifier: (" + "MIT AND " * 200 + "AGPL-3.0-only)", "agpl-3.0-only,mit", 0.8),
+    ("word " * 3000 + "Licensed\nunder the Apache-2.0 or MIT; released under GPL-3.0", "apache-2.0,gpl-3.0,mit", 0.7),
+    ("é SPDX License Identifier: ISC", "isc", 0.1),
+    ("SPDX-License-Identifier:\nMIT\nand more", "mit", 0.1),
+    ("SPDX-License-Identifier: MIT OR\ncode", "mit", 0.1),
+    ("SPDX-License-Identifier: (MIT OR\n ISC)", "isc,mit", 0.1),
+    ("the SPDX License Identifier is a name", "", 0.0),
+])
+def test_every_tag_is_read_to_its_end(spark, text, labels, score):
+    row = lc.scan(documents(spark, [(1, text)])).first()
+    assert (row.labels, row.score) == (labels, pytest.approx(score))
+
+
+def test_many_tags_on_one_line_cost_no_square():
+    text = "SPDX-License-Identifier: MIT; " * 20_000
+    tags = [("spdx license identifier", 4 * i) for i in range(20_000)]
+    assert lc.expressions(text, tags) == ({"mit"}, 0.1)
