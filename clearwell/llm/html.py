@@ -4,8 +4,10 @@ Markup is stripped to lines, one per block element. The text lengths of ``WINDOW
 neighbouring lines are summed; where the sum surges above a share of the page's highest the
 article begins, and where it dives below it ends. Lines of menus, adverts, forms and the
 like weigh nothing, as does linked text, so they cannot make a surge. Where the text lies in
-an article or main element, or else in a division of its own, both points are moved to its
-ends, so that its short first and last lines belong to it.
+an article or main element, or else in a division of its own (the nearest container of the
+heaviest surges' lines of prose), both points are moved to its ends, so that all its other lines belong
+to it, however short beside the longest one. Text straight in the body reaches from its first
+line of prose to its last.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from .common import arrow_map, row_slices
 WINDOW = 3
 # Share of the highest window sum that is still inside the text.
 LEVEL = 0.2
-# A further stretch of text belongs to the article from this share of the heaviest one on.
+# Further stretches of text help to find the article's container from this share of the heaviest one on.
 STRETCH = 0.25
+# A line of so many unlinked characters is prose, whatever stands beside it.
+PROSE = 40
 
 # Elements by what they mean for the text.
 _DROPPED = "script|style|noscript|template|title|iframe|object|svg|math|textarea|select|button|canvas|audio|video"
@@ -33,6 +37,7 @@ _INLINE = frozenset(
 _CONTAINERS = frozenset(
     "html head body div section article main nav header footer aside form ul ol dl table dialog details figure menu "
     "fieldset blockquote search".split())
+_BOXES = frozenset("div section article main".split())
 _AWAY = frozenset("head nav footer aside form dialog menu search".split())
 _HINT_AWAY = re.compile(
     r"(?:^|[^a-z])(?:comments?|commentlist|replies|respond|disqus|related|recommend(?:ed|ations?)|sidebar|"
@@ -56,8 +61,8 @@ class Line:
     text: str
     linked: int  # characters inside links
     away: bool  # in an element that is no article text
-    core: int  # number of the innermost article or main element, or -1
-    box: int  # number of the innermost division or section, or 0
+    core: int  # number of the outermost article or main element, or -1
+    box: int  # number of the innermost division, section, article or main element, or 0
     heading: bool
 
 
@@ -75,7 +80,7 @@ def _entered(name: str, attributes: str, top: _Open, number: int) -> _Open:
     away, doubt, core = top.away or name in _AWAY, top.doubt, top.core
     hints = " ".join(next(filter(None, m.groups()[1:]), "") for m in _ATTRIBUTE.finditer(attributes)).lower() if "=" in attributes else ""
     if name in ("article", "main"):
-        core, doubt = number, False
+        core, doubt = (number if core < 0 else core), False
         away = away or bool(hints and _HINT_AWAY.search(hints))
     elif name not in ("html", "body"):
         if hints:
@@ -85,12 +90,13 @@ def _entered(name: str, attributes: str, top: _Open, number: int) -> _Open:
             doubt = True
         if attributes and _HIDDEN.search(attributes):
             away = True
-    return _Open(name, away, doubt, core, number if name in ("div", "section") else top.box)
+    return _Open(name, away, doubt, core, number if name in _BOXES else top.box)
 
 
-def lines(page: str) -> list[Line]:
-    """The page's lines of text, one per block."""
+def lines(page: str) -> tuple[list[Line], dict[int, int]]:
+    """The page's lines of text, one per block, and the box around each box."""
     out: list[Line] = []
+    around: dict[int, int] = {}
     stack = [_Open("", False, False, -1, 0)]
     parts: list[str] = []
     linked, in_link, heading, number, at = 0, False, False, 0, 0
@@ -138,10 +144,13 @@ def lines(page: str) -> list[Line]:
             if name == "body":
                 del stack[1:]
             number += 1
-            stack.append(_entered(name, attributes, stack[-1], number))
+            inner = _entered(name, attributes, stack[-1], number)
+            if inner.box == number:
+                around[number] = stack[-1].box
+            stack.append(inner)
     take(page[at:])
     close_line()
-    return out
+    return out, around
 
 
 def stretches(weights: list[int], window: int = WINDOW, level: float = LEVEL) -> list[tuple[int, int]]:
@@ -165,9 +174,28 @@ def stretches(weights: list[int], window: int = WINDOW, level: float = LEVEL) ->
     return out
 
 
+def _within(box: int, around: dict[int, int]) -> set[int]:
+    """The box and all boxes in it; boxes are numbered as they open."""
+    inside = {box}
+    for inner, outer in around.items():
+        if outer in inside:
+            inside.add(inner)
+    return inside
+
+
+def container(boxes: set[int], around: dict[int, int]) -> int:
+    """The innermost box around all of ``boxes``, or 0."""
+    left = set(boxes)
+    while len(left) > 1:  # what opened last is in no other one
+        last = max(left)
+        left.discard(last)
+        left.add(around.get(last, 0))
+    return left.pop()
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by two line ends; empty if there is none."""
-    rows = lines(page or "")
+    rows, around = lines(page or "")
     weights = [0 if r.away else max(0, len(r.text) - 2 * r.linked) for r in rows]
     if not any(weights):  # all text is linked: links then weigh like text
         weights = [0 if r.away else len(r.text) for r in rows]
@@ -182,20 +210,30 @@ def main_text(page: str | None) -> str:
         by_core[rows[i].core] = by_core.get(rows[i].core, 0) + weights[i]
     core = max(by_core, key=lambda c: (by_core[c], c))
     if core >= 0:
-        kept = [r.text for r in rows if r.core == core and not r.away]
-    else:
-        by_box: dict[int, int] = {}
-        for i in range(a, b):
-            by_box[rows[i].box] = by_box.get(rows[i].box, 0) + weights[i]
-        box = max(by_box, key=lambda n: (by_box[n], n))
-        chosen = {i for i, r in enumerate(rows) if box and r.box == box}
-        for (a, b), total in zip(found, heft):
-            if total >= STRETCH * heft[best]:
-                while a > 0 and rows[a - 1].heading and not rows[a - 1].away and rows[a - 1].core < 0:
-                    a -= 1
-                chosen.update(range(a, b))
-        kept = [rows[i].text for i in sorted(chosen) if not rows[i].away and (weights[i] or rows[i].heading or rows[i].box == box > 0)]
-    return "\n\n".join(kept)
+        return "\n\n".join(r.text for r in rows if r.core == core and not r.away)
+    prose = [i for i, w in enumerate(weights) if w >= PROSE and rows[i].core < 0]
+    spread = [i for s, total in zip(found, heft) if total >= STRETCH * heft[best] for i in range(*s) if rows[i].core < 0]
+    heavy = sorted({*prose} & {*spread}) or [i for i in spread if weights[i]]
+    own = box = container({rows[i].box for i in heavy}, around)
+    if len(heavy) == 1:  # one line has no neighbours in its box: out to the box that has more
+        per_box: dict[int, int] = {}
+        for i in prose:
+            per_box[rows[i].box] = per_box.get(rows[i].box, 0) + 1
+        for inner in sorted(around, reverse=True):
+            per_box[around[inner]] = per_box.get(around[inner], 0) + per_box.get(inner, 0)
+        while box and per_box.get(box, 0) < 2:
+            box = around[box]
+    if not box and not any(i not in heavy for i in prose):
+        box = own
+    if box:
+        inside = _within(box, around)
+        return "\n\n".join(r.text for r in rows if r.box in inside and not r.away)
+    chosen = range(min(spread + prose), max(spread + prose) + 1)
+    first = chosen.start
+    while first > 0 and rows[first - 1].heading and not rows[first - 1].away and rows[first - 1].core < 0:
+        first -= 1
+    ends = [i for i in range(first, chosen.stop) if rows[i].core < 0 and not rows[i].away and (weights[i] or rows[i].heading)]
+    return "\n\n".join(rows[i].text for i in ends)
 
 
 def _texts(batches):

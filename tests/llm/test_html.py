@@ -44,3 +44,29 @@ def test_rows(spark):
     assert sorted((repr(r["id"]), repr(r.url), r.text, r.n_chars) for r in got) == sorted(
         (repr(i), repr(u), LONG if h and "<nav" not in h else "", len(LONG) if h and "<nav" not in h else 0) for i, u, h in rows)
     assert extract(docs.limit(0)).count() == 0
+
+
+def test_one_long_block_and_many_short_ones_in_wrapper_divisions():
+    long, short = "Long block of text. " * 250, [f"Short block {i}, " + "w" * 130 for i in range(8)]
+    for place in (0, 4, 8):
+        blocks = [b.strip() for b in [*short[:place], long, *short[place:]]]
+        body = "".join(f"<div><p>{b}</p></div>" for b in blocks)
+        for inner in (body, body.replace("<div><p>", "<div class=ad>Buy this now</div><div><p>")):
+            assert main_text(f"<body><div>Site</div><div class=content><p>By.</p>{inner}</div><div>Legal</div></body>") == "\n\n".join(["By.", *blocks])
+            plain = main_text(f"<body><div>Site</div>{inner}<div>Legal</div></body>").split("\n\n")
+            assert [x for x in plain if x not in ("Site", "Legal")] == blocks
+
+
+def test_text_around_an_inner_article():
+    page = f"<body><main><p>Lead. {LONG}</p><article><p>{LONG}</p><article><p>In. {LONG}</p></article></article><p>End.</p></main><p>{LONG}</p></body>"
+    assert main_text(page) == f"Lead. {LONG}\n\n{LONG}\n\nIn. {LONG}\n\nEnd."
+
+
+def test_deeply_nested_divisions_cost_no_square():
+    assert main_text("<div>" * 20_000 + f"<p>{LONG}</p>" + "</div>" * 20_000) == LONG
+    assert main_text("<div><p>a few words</p>" * 20_000).count("a few words") == 20_000
+
+
+def test_two_parts_in_divisions_apart():
+    page = f"<body><div>{f'<p>{LONG}</p>' * 3}</div>{'<div>x</div>' * 6}<div>{f'<p>{LONG}</p>' * 2}</div></body>"
+    assert main_text(page).count(LONG) == 5
