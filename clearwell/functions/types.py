@@ -16,7 +16,11 @@ OPAQUE_TYPES = (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryTyp
 
 def ref(name: str) -> Column:
     """Column by exact name, also when the name holds dots or backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -1,15 +1,22 @@
 """Loading a table: format by extension, missing markers, inferred types."""
 
+import re
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import stats
 from ..functions.exprs import NULL_TOKENS, nan_to_null, null_if_token, to_double, to_whole
-from ..functions.types import ref
+from ..functions.types import quoted, ref
+from . import records
 
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".orc": "orc"}
 # Texts read as true and false.
 TRUE_TEXTS = ("True", "TRUE", "true")
 FALSE_TEXTS = ("False", "FALSE", "false")
+# CSV options under which Spark's reader alone tells lines and cells apart.
+OWN_READING = {"header", "escape", "multiline", "linesep", "encoding", "charset", "comment", "mode"}
 
 
 def load_dataset(
@@ -22,10 +29,13 @@ def load_dataset(
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """The table and a one-row info frame (name, size_mb, type). ``path`` is a file, a
     folder or a glob; without a known extension name the ``format``. CSV needs a header
-    line and may be compressed. Line breaks inside quotes are found by one scan of the
-    lines, and the files are then read whole instead of in splits. A CSV row with more
-    cells than the header is an error; with ``surplus="report"`` its surplus is left out
-    and the info frame counts such rows (``surplus_rows``). Missing cells become NULL."""
+    line in every file and may be compressed; cells of files whose headers differ go by name, columns
+    of equal names get numbers (``x``, ``x.1``). Line breaks inside quotes are found by one scan
+    of the lines, and records are then put together in splits (``records``); lines end with LF or
+    CRLF. A CSV row with more cells than the header of its file is an error, even if they are empty;
+    with ``surplus="report"`` its surplus is left out and the info frame counts such rows
+    (``surplus_rows``). A shorter row is filled up, and missing cells become NULL. ``options`` are those of
+    Spark's reader; some (``OWN_READING``) leave all reading to it, whole files and one header for all."""
     if path is None:
         return None, None
     kind = format or next(
@@ -47,7 +57,51 @@ def load_dataset(
 
 
 def _read_csv(spark: SparkSession, path: str, options: dict) -> tuple[DataFrame, int]:
-    """All cells as text, and the number of rows with more cells than the header."""
+    """All cells as text, and the number of rows with more cells than the header of their file."""
+    quote, sep = options.get("quote", '"'), options.get("sep", options.get("delimiter", ","))
+    if len(quote) != 1 or {o.lower() for o in options} & OWN_READING:
+        return _read_plain(spark, path, options)
+    options = {"escape": quote, **options}
+    blocks = records.scan(spark, path, quote, sep)
+    heads = blocks.where("header is not null").select("file", "header", records.cell_count(F.col("header"), quote, sep).alias("width"))
+    kinds = heads.groupBy("header").agg(F.min("file").alias("first")).orderBy("first").collect()
+    kinds = [r.header for r in kinds if r.header.strip()]
+    if not kinds:
+        return spark.createDataFrame([], T.StructType([])), 0
+    broken = not blocks.where("breaks").isEmpty()
+    if broken:
+        rows = records.records(spark, path, blocks, quote, sep)
+        widths = heads.select(F.col("file").alias("of"), "header", "width")
+        rows = rows.join(widths, F.col("file") == F.col("of"))
+        wide = rows.where(records.cell_count(F.col("record"), quote, sep) > F.col("width")).count()
+    else:
+        cells = blocks.select("file", F.explode("counts").alias("c")).join(heads, "file")
+        wide = cells.where("c.cells > width").agg(F.coalesce(F.sum("c.n"), F.lit(0))).first()[0]
+    parts = []
+    for header in kinds:
+        names = records.column_names(header, quote, sep)
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        if broken:
+            parse = F.from_csv("record", _ddl(names), {**options, "multiLine": "true"})
+            parts.append(rows.where(F.col("header") == header).select(parse.alias("cells")).select("cells.*"))
+        else:
+            files = path if len(kinds) == 1 else [_as_path(r.file) for r in heads.where(F.col("header") == header).select("file").collect()]
+            parts.append(spark.read.options(**options).option("header", True).schema(schema).csv(files))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), wide
+
+
+def _ddl(names: list[str]) -> str:
+    return ", ".join(f"{quoted(n)} string" for n in names)
+
+
+def _as_path(uri: str) -> str:
+    """A file as a path for reading: not encoded, and no letter of it a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
+def _read_plain(spark: SparkSession, path: str, options: dict) -> tuple[DataFrame, int]:
+    """For options that change how lines and cells are told apart: one header for all files,
+    which are read whole if their quotes hold line breaks; surplus cells that are not empty count."""
     options = {"header": True, "escape": '"', **options}
     if "multiLine" not in options:
         options["multiLine"] = _breaks_in_quotes(spark, path, options.get("quote", '"'))
