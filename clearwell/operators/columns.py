@@ -2,24 +2,10 @@
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.exprs import WHITESPACE, strip, to_double, to_whole
+from ..functions import dates
+from ..functions.exprs import WHITESPACE, to_double, to_whole
 from ..functions.types import ref
 
-# Forms of text dates: fields of one or two digits and a year of four, the month before the
-# day between slashes, after it between dots or dashes, names of months in any case.
-_YEAR_FIRST = "^[0-9]{4}([-/])[0-9]{1,2}\\1[0-9]{1,2}$"
-_MONTH_FIRST = "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"
-_DAY_FIRST = "^[0-9]{1,2}([-.])[0-9]{1,2}\\1[0-9]{4}$"
-_DIGITS = "^[0-9]{8}$"
-_NAME_FIRST = "^[a-z]{3,9} [0-9]{1,2},? [0-9]{4}$"
-_NAME_SECOND = "^[0-9]{1,2}([ -])[a-z]{3,9}\\1[0-9]{4}$"
-# A time of day behind the date.
-_TIME = r"[ t]([0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?( ?[ap]m)?)$"
-# Names of months.
-MONTHS = (
-    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
-)
-
 
 def rename_column(df: DataFrame, column: str, new_name: str | None) -> DataFrame:
     """No-op when the new name is empty or taken, or the column is absent."""
@@ -54,24 +40,22 @@ def change_type(
         if missing_text is not None:
             new = F.coalesce(new, F.lit(missing_text))
     elif target_type == "datetime":
-        new = to_datetime(col, dtype, formats)
+        new = column_as_datetime(df, column, formats)
     else:
         return df
     return df.withColumn(column, new)
 
 
-def to_datetime(col: Column, dtype: T.DataType, formats=None) -> Column:
+def to_datetime(col: Column, dtype: T.DataType, formats=None, layout: dates.Layout = dates.Layout()) -> Column:
     """A time without zone, whatever the session's, or NULL for what is no date. Text is
-    read in the forms above, with or without a time of day, or in the ``formats`` given."""
+    read in the ``layout`` of its column (see ``dates``), or in the ``formats`` given."""
     if isinstance(dtype, T.StringType):
         if formats:
             return F.coalesce(
                 col.try_cast("timestamp_ntz"),
                 *[F.try_to_timestamp(col, F.lit(f)).cast("timestamp_ntz") for f in formats],
             )
-        text = F.lower(F.regexp_replace(strip(col), r"\s+", " "))
-        day = _day(F.regexp_replace(text, _TIME, ""))
-        return _at(day, F.regexp_extract(text, _TIME, 1))
+        return dates.parsed(col, layout)
     if isinstance(dtype, T.NumericType):
         # Numbers count nanoseconds since 1970.
         return F.timestamp_micros((col / 1000).cast("bigint")).cast("timestamp_ntz")
@@ -80,35 +64,11 @@ def to_datetime(col: Column, dtype: T.DataType, formats=None) -> Column:
     return F.lit(None).cast("timestamp_ntz")
 
 
-def _day(text: Column) -> Column:
-    """The date of a lower-case text, by its fields; NULL if it is in none of the forms."""
-    parts = F.split(text, "[-/. ,]+")
-    first, second, third = (F.get(parts, F.lit(i)) for i in range(3))
-    fields = (
-        F.when(text.rlike(_YEAR_FIRST), F.array(first, second, third))
-        .when(text.rlike(_MONTH_FIRST) | text.rlike(_NAME_FIRST), F.array(third, first, second))
-        .when(text.rlike(_DAY_FIRST) | text.rlike(_NAME_SECOND), F.array(third, second, first))
-        .when(text.rlike(_DIGITS), F.array(F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)))
-    )
-    names = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in dict.fromkeys([*MONTHS, *[m[:3] for m in MONTHS]])]),
-        F.array(*[F.lit(str(i % 12 + 1)) for i in [*range(12), *[k for k in range(12) if MONTHS[k] != MONTHS[k][:3]]]]),
-    )
-    # Fields of one digit get a zero; missing fields leave a text that is no date.
-    whole = F.transform(fields, lambda f: F.regexp_replace(F.coalesce(F.try_element_at(names, f), f), "^([0-9])$", "0$1"))
-    return F.array_join(whole, "-").try_cast("date")
-
-
-def _at(day: Column, clock: Column) -> Column:
-    """``day`` with a lower-case time of day such as 13:45 or 1:45:10.5 pm, or none; NULL
-    if the time is none of a day."""
-    afternoon, half = F.endswith(clock, F.lit("pm")), F.endswith(clock, F.lit("m"))
-    fields = F.split(F.regexp_replace(clock, " ?[ap]m$", ""), ":")
-    hour = F.get(fields, F.lit(0)).try_cast("int")
-    hour = F.when(~half, hour).when(hour.between(1, 12), hour % 12 + F.when(afternoon, 12).otherwise(0))
-    rest = F.concat_ws(":", F.lpad(hour.cast("string"), 2, "0"), F.get(fields, F.lit(1)), F.coalesce(F.get(fields, F.lit(2)), F.lit("00")))
-    timed = F.when(hour.isNotNull(), F.concat_ws(" ", day.cast("string"), rest)).try_cast("timestamp_ntz")
-    return F.when(clock == "", day.cast("timestamp_ntz")).when(day.isNotNull(), timed)
+def column_as_datetime(df: DataFrame, column: str, formats=None) -> Column:
+    """``to_datetime`` of a column, whose layout is counted first if it is text."""
+    dtype = df.schema[column].dataType
+    vote = isinstance(dtype, T.StringType) and not formats
+    return to_datetime(ref(column), dtype, formats, dates.layout(df, column) if vote else dates.Layout())
 
 
 def clean_name(name: str) -> str:

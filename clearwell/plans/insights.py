@@ -14,7 +14,7 @@ from ..functions.types import (
     other_columns,
     ref,
 )
-from ..operators.columns import to_datetime
+from ..operators.columns import column_as_datetime
 
 SCHEMA = (
     "position int, type string, title string, description string, "
@@ -193,10 +193,11 @@ def category_insights(
 
 
 def daily_means(
-    df: DataFrame, date_column: str, value_column: str
+    df: DataFrame, date_column: str, value_column: str, when: Column | None = None
 ) -> DataFrame:
-    """(day, mean) for the days that hold a value, unordered."""
-    when = to_datetime(ref(date_column), df.schema[date_column].dataType)
+    """(day, mean) for the days that hold a value, unordered. ``when``: the date column as a time,
+    if it is known already."""
+    when = column_as_datetime(df, date_column) if when is None else when
     return (
         df.select(F.to_date(when).alias("day"), ref(value_column).cast("double").alias("value"))
         .where(F.col("day").isNotNull())
@@ -211,14 +212,15 @@ def _trend_rows(df, full):
     if not dates:
         return []
     date = dates[0]
-    dated = df.where(to_datetime(ref(date), df.schema[date].dataType).isNotNull())
+    when = column_as_datetime(df, date)
+    dated = df.where(when.isNotNull())
     columns = [c for c in numeric_columns(df) if c != date]
     if not columns:
         return []
     found = stats.moments(dated, columns).columns
     target = max(columns, key=lambda c: -1.0 if found[c].variance is None else found[c].variance)
     # At most one row per calendar day reaches this window.
-    days = daily_means(df, date, target).withColumn(
+    days = daily_means(df, date, target, when).withColumn(
         "x", F.row_number().over(Window.orderBy("day")).cast("double")
     )
     row = days.agg(

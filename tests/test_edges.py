@@ -77,13 +77,38 @@ def test_names_of_categories_stay_apart(spark):
     ("1/5/2024", "2024-01-05 00:00:00"), ("01/05/2024 13:45", "2024-01-05 13:45:00"), ("Jan 5, 2024", "2024-01-05 00:00:00"),
     ("5 January 2024", "2024-01-05 00:00:00"), ("05.01.2024", "2024-01-05 00:00:00"), ("2024/1/5", "2024-01-05 00:00:00"),
     ("5-JAN-2024", "2024-01-05 00:00:00"), ("1/5/2024 12:05 AM", "2024-01-05 00:05:00"), ("2024-03-10 02:30:00", "2024-03-10 02:30:00"),
-    ("2024-02-30", None), ("1/5/2024 25:00", None), ("13:45", None), ("", None), (None, None), ("May 2024", None),
+    ("2024-02-30", None), ("1/5/2024 25:00", None), ("13:45", None), ("", None), (None, None), ("May 2024", "2024-05-01 00:00:00"),
+    ("2024-01-05T10:00:00Z", "2024-01-05 10:00:00"), ("2024-01-05 10:00:00+02:00", "2024-01-05 10:00:00"),
+    ("13/01/2024", "2024-01-13 00:00:00"), ("01/05/24", "2024-01-05 00:00:00"), ("5-Jan-24", "2024-01-05 00:00:00"),
+    ("Sept 5, 2024", "2024-09-05 00:00:00"), ("Fri, 05 Jan 2024", "2024-01-05 00:00:00"), ("2024-01", "2024-01-01 00:00:00"),
+    ("2024", "2024-01-01 00:00:00"), ("2024-01-05T10:00:00.123+0530", "2024-01-05 10:00:00.123"), ("20240105T101112", "2024-01-05 10:11:12"),
+    ("Fri Jan  5 10:00:00 2024", "2024-01-05 10:00:00"), ("05Jan2024", "2024-01-05 00:00:00"), ("2024 Jan 5", "2024-01-05 00:00:00"),
+    ("5th of January 2024", "2024-01-05 00:00:00"), ("2024Q2", "2024-04-01 00:00:00"), ("12/31/99", "1999-12-31 00:00:00"),
+    ("5/6/68", "2068-05-06 00:00:00"), ("13-13-2024", None), ("32/01/2024", None), ("1704448800", None), ("5 Jan", None),
 ])
 def test_forms_of_dates(spark, text, want):
     df = change_type(spark.createDataFrame([(text,)], "t string"), "t", "datetime")
     assert df.select(F.col("t").cast("string")).first()[0] == want
 
 
+def test_layout_of_a_date_column(spark):
+    def read(*cells):
+        df = spark.createDataFrame([(c,) for c in cells], "`d.t` string")
+        return [str(r[0]) for r in change_type(df, "d.t", "datetime").collect()]
+
+    # The day first where that reads more cells, month first in a tie; each separator by itself.
+    assert read("01/02/2024", "13/02/2024", "14/02/2024", "02/15/2024") == [
+        "2024-02-01 00:00:00", "2024-02-13 00:00:00", "2024-02-14 00:00:00", "2024-02-15 00:00:00"]
+    assert read("01/02/2024", "13/02/2024", "02/13/2024")[0] == "2024-01-02 00:00:00"
+    assert read("01/02/24", "02/13/24", "03-04-24", "13-04-24") == [
+        "2024-01-02 00:00:00", "2024-02-13 00:00:00", "2024-04-03 00:00:00", "2024-04-13 00:00:00"]
+    # One zone: the clock; several: UTC.
+    assert read("2024-01-05 10:00+02:00", "2024-01-05 11:00+02:00", "x") == ["2024-01-05 10:00:00", "2024-01-05 11:00:00", "None"]
+    assert read("2024-01-05 10:00+02:00", "2024-01-05 10:00Z", "2024-01-05 01:30-0430", "2024-01-05") == [
+        "2024-01-05 08:00:00", "2024-01-05 10:00:00", "2024-01-05 06:00:00", "2024-01-05 00:00:00"]
+    assert read() == [] and read(None, "") == ["None", "None"]
+
+
 def test_csv_with_line_breaks_and_ragged_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,"q ""z"""\n')
     df, _ = load_dataset(spark, str(tmp_path / "a.csv"))
