@@ -55,10 +55,11 @@ def drop_table(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables written inside the block are removed at its end; consume results before."""
-    kept = len(_written)
+    """Tables written inside the block are removed at its end, but for those whose path is given to
+    the function that the block gets; consume results before."""
+    before, stay = set(_written), set()
     try:
-        yield
+        yield stay.add
     finally:
-        for path in _written[kept:]:
+        for path in [p for p in _written if p not in before and p not in stay]:
             drop_table(spark, path)
