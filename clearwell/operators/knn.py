@@ -21,6 +21,13 @@ copies cost nothing extra on either side:
    hold a neighbour. So a part stays of one size however large the table is.
 4. Cell by cell, in blocks of bounded size on both sides, NumPy keeps the k best
    donors per gap; a grouped top-k merges the blocks.
+
+Where gaps are scattered over all columns, many donors share one column only with a gap, so the nearest
+are close in that column and a grid over all columns prunes little. Such tables are searched by column
+instead: each column has an index of its own, slices of the tuples that hold it in its order. Round one
+looks into the gap's own slice of every column that it holds and finds k donors for each gap, whose k-th
+distance is a bound. A nearer donor differs by less than that allows in every shared column, so it lies in
+a slice within reach of some column; round two visits these, which are few, as the bound is small.
 """
 
 from dataclasses import dataclass
@@ -48,6 +55,16 @@ BLOCK_ROWS = 8_192
 TASK_ROWS = 1_024
 # Gaps compared with a block of donors at a time.
 GAP_BATCH = 64
+# Tuples on both sides of the probe, and donors with one shared column (for each of k) from which on
+# a table is searched by column.
+PROBE = 1_024
+ONE_SHARED = 64
+# Slices of a column at most, and tuples that their borders are drawn from.
+MAX_SLICES = 16_384
+CUT_SAMPLE = 262_144
+# Pairs of sets of missing columns from which on a block is compared by matrix products.
+MANY_PATTERNS = 64
+FOUND = "rid bigint, f int, d double, value double, n bigint, donor bigint"
 
 
 def knn_impute(
@@ -57,11 +74,13 @@ def knn_impute(
     max_cells: int = MAX_CELLS,
     block_rows: int = BLOCK_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
+    report: dict | None = None,
 ) -> DataFrame:
     """Fill NULLs in the numeric columns, which become double. Columns that are NULL
     throughout are skipped. Among equally distant donors the smaller value counts
     first. A gap without any comparable donor gets the column mean; fewer than
-    ``k`` donors are all used."""
+    ``k`` donors are all used. ``report`` gets the kind of index, its cells, the tuples with gaps and
+    how many (tuple, cell) pairs are searched."""
     columns = numeric_columns(df) if columns is None else columns
     summary = stats.moments(df, columns) if columns else stats.TableMoments(0)
     columns = [c for c in columns if summary.columns[c].n]
@@ -77,8 +96,11 @@ def knn_impute(
         .withColumn("rid", F.monotonically_increasing_id()),
         "knn-tuples",
     )
-    grid = _fit_grid(tuples, names, [summary.columns[c].variance or 0.0 for c in columns], max_cells)
-    fills = _search(tuples, names, grid, k, block_rows)
+    if _scattered(tuples, names, k):
+        fills = _search_columns(tuples, names, k, block_rows, report)
+    else:
+        grid = _fit_grid(tuples, names, [summary.columns[c].variance or 0.0 for c in columns], max_cells)
+        fills = _search(tuples, names, grid, k, block_rows, report)
     return _join_fills(whole, tuples, columns, names, fills, summary, broadcast_rows)
 
 
@@ -100,6 +122,7 @@ class Grid:
     high: np.ndarray
     samples: np.ndarray
     mixed: bool
+    complete: np.ndarray
 
 
 def _pattern(names):
@@ -115,6 +138,7 @@ def _fit_grid(tuples, names, variances, max_cells):
     counted = tuples.agg(
         F.count(F.lit(1)).alias("tuples"),
         *[F.count(F.when(_has_gap(names), F.col(c))).alias(c) for c in names],
+        *[F.count(c).alias(f"has_{c}") for c in names],
     ).first()
     # A column the incomplete rows lack plays no part in their distances.
     spread = {c: v**0.5 * counted[c] for c, v in zip(names, variances)}
@@ -125,7 +149,8 @@ def _fit_grid(tuples, names, variances, max_cells):
             cell = _cell_name(tuples, names, _slices(spread, wanted), mixed)
             found = _cell_boxes(usable, names, cell).limit(max_cells + 1).collect()
             if len(found) <= max_cells:
-                return _grid(cell, found, names, _samples(usable, names, cell, len(found)), mixed)
+                complete = np.array([counted[f"has_{c}"] == counted["tuples"] for c in names])
+                return _grid(cell, found, names, _samples(usable, names, cell, len(found)), mixed, complete)
             if wanted <= 1:
                 break
             wanted //= 4
@@ -193,7 +218,7 @@ def _matrix(rows, width):
     return np.array(cells, dtype=float).reshape(len(rows), width)
 
 
-def _grid(cell, rows, names, samples, mixed):
+def _grid(cell, rows, names, samples, mixed, complete):
     return Grid(
         cell,
         [r["cell"] for r in rows],
@@ -203,26 +228,31 @@ def _grid(cell, rows, names, samples, mixed):
         _matrix([r["high"] for r in rows], len(names)),
         samples,
         mixed,
+        complete,
     )
 
 
-def _cells_to_search(points, low, high, copies, samples, k, mixed=False):
+def _cells_to_search(points, low, high, copies, samples, k, mixed=False, complete=None):
     """For each of ``points``, which all hold the same columns, the cells that may hold
     one of the ``k`` nearest donors of any of its gaps, and how far off they may be.
 
     A cell whose rows hold the same columns has one mean over them. In a mixed cell a row
-    may share any of the columns, so its mean lies between the least and the greatest."""
+    may share any of the columns, so its mean lies between the least and the greatest; all
+    its rows share the ``complete`` columns, whose sum over the columns held is another bound."""
     width = points.shape[1]
     held = np.flatnonzero(~np.isnan(points[0]))
     shape = (len(points), len(low))
     nearest = np.full(shape, np.inf) if mixed else np.zeros(shape)
     farthest, sampled = np.zeros(shape), np.zeros((len(points), len(samples)))
+    certain = np.zeros(shape)
     for j in held:
         x, has, known = points[:, j, None], ~np.isnan(low[:, j]), ~np.isnan(samples[:, j])
         below, above = low[has, j] - x, x - high[has, j]
         near, far = np.maximum(np.maximum(below, above), 0.0) ** 2, np.minimum(below, above) ** 2
         if mixed:
             nearest[:, has] = np.minimum(nearest[:, has], near)
+            if complete is not None and complete[j]:
+                certain[:, has] += near
         else:
             nearest[:, has] += near
             farthest[:, has] += far
@@ -230,6 +260,7 @@ def _cells_to_search(points, low, high, copies, samples, k, mixed=False):
     p, sample_p = (~np.isnan(low[:, held])).sum(axis=1), (~np.isnan(samples[:, held])).sum(axis=1)
     terms = 1 if mixed else np.maximum(p, 1)
     nearest, farthest = nearest * (width / terms), farthest * (width / terms)
+    nearest = np.maximum(nearest, certain * (width / max(1, len(held))))
     sampled *= width / np.maximum(sample_p, 1)
     chosen, reach = np.zeros(nearest.shape, dtype=bool), np.zeros(len(points))
     for f in np.setdiff1d(np.arange(width), held):
@@ -254,11 +285,11 @@ def _cells_to_search(points, low, high, copies, samples, k, mixed=False):
 # --------------------------------------------------------------------------- #
 
 
-def _search(tuples, names, grid, k, block_rows):
+def _search(tuples, names, grid, k, block_rows, report=None):
     """(rid, f, value): imputed value for each gap that has a donor."""
     spark = tuples.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast((grid.low, grid.high, grid.copies, grid.samples, k, grid.mixed))
+    shared = spark.sparkContext.broadcast((grid.low, grid.high, grid.copies, grid.samples, k, grid.mixed, grid.complete))
     cell_names = np.array(grid.cells, dtype=object)
 
     def route(batches):
@@ -296,6 +327,14 @@ def _search(tuples, names, grid, k, block_rows):
     donors = tuples.withColumn("cell", grid.cell)
     if grid.tuples.max(initial=0) > CUT_FROM:
         donors, cells, gaps = _cut_again(donors, names, grid, gaps)
+    if report is not None:
+        report.update(index="grid", cells=len(grid.cells), gaps=gaps.select("rid").distinct().count(), routed=gaps.count())
+    return _folded(_met(gaps, donors, cells, names, k, block_rows, tasks), k)
+
+
+def _met(gaps, donors, cells, names, k, block_rows, tasks):
+    """(rid, f, d, value, n, donor): for each of ``gaps`` (cell, rid, names) and missing column the ``k``
+    best of its cells' ``donors`` (cell, rid, n, names). ``cells`` is (cell, tuples)."""
     asked = gaps.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
     blocks = materialize(
         cells.join(asked, "cell").select(
@@ -319,7 +358,7 @@ def _search(tuples, names, grid, k, block_rows):
         donors.join(blocks, "cell")
         .withColumn("donor_block", F.pmod(F.xxhash64("rid"), F.col("donor_blocks")).cast("int"))
         .withColumn("gap_block", F.explode(F.sequence(F.lit(0), F.col("gap_blocks") - 1)))
-        .select("cell", "gap_block", "donor_block", "n", *names)
+        .select("cell", "gap_block", "donor_block", "rid", "n", *names)
     )
 
     def compare(gap_rows, donor_rows):
@@ -327,15 +366,22 @@ def _search(tuples, names, grid, k, block_rows):
 
     keys = ["cell", "gap_block", "donor_block"]
     tasks = max(1, min(size["groups"], max(tasks, size["groups"] // 64)))
-    candidates = (
+    return (
         left.repartition(tasks, *keys)
         .groupBy(*keys)
         .cogroup(right.repartition(tasks, *keys).groupBy(*keys))
-        .applyInPandas(compare, "rid bigint, f int, d double, value double, n bigint")
+        .applyInPandas(compare, FOUND)
     )
-    best = Window.partitionBy("rid", "f").orderBy("d", "value")
-    top = candidates.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    # Copies of a donor count one by one, up to k in all.
+
+
+def _best(candidates, k):
+    """The ``k`` best of each gap, with their place."""
+    best = Window.partitionBy("rid", "f").orderBy("d", "value", "donor")
+    return candidates.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
+def _folded(candidates, k):
+    """(rid, f, value): copies of a donor count one by one, up to k in all."""
     folded = F.aggregate(
         F.array_sort(F.collect_list(F.struct("place", "value", "n"))),
         F.struct(F.lit(0.0).alias("total"), F.lit(0).cast("bigint").alias("used")),
@@ -345,7 +391,110 @@ def _search(tuples, names, grid, k, block_rows):
         ),
         lambda acc: acc["total"] / acc["used"],
     )
-    return top.groupBy("rid", "f").agg(folded.alias("value"))
+    return _best(candidates, k).groupBy("rid", "f").agg(folded.alias("value"))
+
+
+# --------------------------------------------------------------------------- #
+# search by column
+# --------------------------------------------------------------------------- #
+
+
+def _scattered(tuples, names, k):
+    """Whether so many donors share just one column with a gap that these bound the search:
+    counted on pairs of a bounded sample."""
+    share = F.array(*[F.col(c).isNotNull() for c in names])
+    order = F.xxhash64("rid")
+    gaps = tuples.where(_has_gap(names)).orderBy(order).limit(PROBE).select(share).collect()
+    donors = tuples.orderBy(order).limit(PROBE).select(share).collect()
+    held, able = (np.array([r[0] for r in rows], dtype=float).reshape(len(rows), len(names)) for rows in (gaps, donors))
+    return ((held @ able.T) == 1).mean() * tuples.count() >= ONE_SHARED * k
+
+
+def _column_cuts(tuples, names, counts):
+    """Per column the borders of slices of some ``CELL_ROWS`` tuples, from a bounded sample."""
+    total = max(counts.values(), default=1)
+    each = max(1, total // CUT_SAMPLE)
+    sample = tuples.where(F.pmod(F.xxhash64("rid"), F.lit(each)) == 0).select(*names).toPandas()
+    cuts = []
+    for c in names:
+        values = np.sort(sample[c].dropna().to_numpy(dtype=float))
+        slices = min(max(1, counts[c] // CELL_ROWS), MAX_SLICES, max(1, len(values)))
+        cuts.append(np.unique(values[(np.arange(1, slices) * len(values)) // slices]) if len(values) else values)
+    return cuts
+
+
+def _search_columns(tuples, names, k, block_rows, report=None):
+    """(rid, f, value) as ``_search``, by an index of each column and in two rounds."""
+    spark = tuples.sparkSession
+    ship(spark)
+    counts = tuples.agg(*[F.count(c).alias(c) for c in names], F.count(F.lit(1)).alias("tuples")).first().asDict()
+    tuple_count = counts.pop("tuples")
+    shared = spark.sparkContext.broadcast(_column_cuts(tuples, names, counts))
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), tuple_count // TASK_ROWS)
+    tasks = max(1, tasks, tuple_count // (20 * TASK_ROWS))
+    columns = ", ".join(f"{c} double" for c in names)
+
+    def own_slices(batches):
+        """One row for each column that a tuple holds, with its slice there."""
+        for batch in batches:
+            points = batch[names].to_numpy(dtype=float)
+            r, j = np.nonzero(~np.isnan(points))
+            place = np.zeros(len(r), dtype=np.int64)
+            for c, cut in enumerate(shared.value):
+                place[j == c] = np.searchsorted(cut, points[r[j == c], c], "left")
+            out = batch.iloc[r].reset_index(drop=True)
+            out["cell"] = j.astype(np.int64) * (MAX_SLICES + 1) + place
+            yield out
+
+    def slices_in_reach(batches):
+        """The slices of each column that a donor below the bound may lie in, but for the own ones."""
+        width = len(names)
+        for batch in batches:
+            points = batch[names].to_numpy(dtype=float)
+            held = ~np.isnan(points)
+            reach = np.sqrt(batch["bound"].to_numpy(dtype=float) * held.sum(axis=1) / width) * (1 + 1e-9)
+            rows, cells = [], []
+            for c, cut in enumerate(shared.value):
+                mine = np.flatnonzero(held[:, c])
+                x = points[mine, c]
+                # The slack covers rounding in the sums.
+                slack = reach[mine] + np.abs(x) * 1e-12 + 1e-300
+                first, own, last = (np.searchsorted(cut, v, "left") for v in (x - slack, x, x + slack))
+                size = last - first + 1
+                r = np.repeat(mine, size)
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+                other = place != np.repeat(own, size)
+                rows.append(r[other])
+                cells.append(c * (MAX_SLICES + 1) + place[other])
+            out = batch[["rid", *names]].iloc[np.concatenate(rows)].reset_index(drop=True)
+            out["cell"] = np.concatenate(cells).astype(np.int64)
+            yield out
+
+    donors = materialize(tuples.select("rid", "n", *names).mapInPandas(own_slices, f"rid bigint, n bigint, {columns}, cell bigint"), "knn-slices")
+    cells = materialize(donors.groupBy("cell").agg(F.count(F.lit(1)).alias("tuples")), "knn-cells")
+    gaps = tuples.where(_has_gap(names)).select("rid", *names)
+    near = gaps.repartition(tasks, "rid").mapInPandas(own_slices, f"rid bigint, {columns}, cell bigint")
+    # A donor may be met in several columns; it counts once.
+    first = materialize(_best(_met(near, donors, cells, names, k, block_rows, tasks).dropDuplicates(["rid", "f", "donor"]), k).drop("place"), "knn-first")
+    so_far = F.sum("n").over(Window.partitionBy("rid", "f").orderBy("d", "value", "donor"))
+    bounds = first.withColumn("so_far", so_far).where(F.col("so_far") >= k).groupBy("rid", "f").agg(F.min("d").alias("d")).groupBy("rid").agg(
+        F.max("d").alias("d"), F.count(F.lit(1)).alias("bounded")).withColumnRenamed("rid", "of")
+    missing = sum((F.col(c).isNull().cast("int") for c in names), F.lit(0))
+    some = F.coalesce(*[F.col(c) for c in names]).isNotNull()
+    bounded = gaps.where(some).join(bounds, F.col("rid") == F.col("of"), "left").select(
+        "rid", *names, F.when(F.col("bounded") == missing, F.col("d")).otherwise(F.lit(float("inf"))).alias("bound"))
+    further = materialize(bounded.repartition(tasks, "rid").mapInPandas(slices_in_reach, f"rid bigint, {columns}, cell bigint"), "knn-further")
+    if report is not None:
+        held = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
+        own = gaps.agg(F.sum(held)).first()[0]
+        report.update(index="columns", cells=cells.count(), gaps=gaps.count(), routed=own + further.count())
+    second = _met(further, donors, cells, names, k, block_rows, tasks)
+    return _folded(first.unionByName(second).dropDuplicates(["rid", "f", "donor"]), k)
+
+
+# --------------------------------------------------------------------------- #
+# parts of cells
+# --------------------------------------------------------------------------- #
 
 
 def _parts_per_column(low, high, tuples):
@@ -416,15 +565,29 @@ def _by_pattern(points):
 
 def _nearest(gap_rows, donor_rows, names, k):
     """The ``k`` best donors of one block for each gap of one block."""
-    out = [
-        pd.DataFrame({"rid": [], "f": [], "d": [], "value": [], "n": []}).astype(
-            {"rid": "int64", "f": "int32", "n": "int64"}
-        )
-    ]
+    out = [pd.DataFrame({"rid": [], "f": [], "d": [], "value": [], "n": [], "donor": []}).astype(
+        {"rid": "int64", "f": "int32", "n": "int64", "donor": "int64"})]
     gaps, rid = gap_rows[names].to_numpy(dtype=float), gap_rows["rid"].to_numpy()
-    donors, copies = donor_rows[names].to_numpy(dtype=float), donor_rows["n"].to_numpy()
-    for held, able in _by_pattern(donors):
-        for known, rows in _by_pattern(gaps):
+    donors, copies, ids = donor_rows[names].to_numpy(dtype=float), donor_rows["n"].to_numpy(), donor_rows["rid"].to_numpy()
+    held, known = _by_pattern(donors), _by_pattern(gaps)
+    found = _by_products(gaps, donors, k) if len(held) * len(known) > MANY_PATTERNS else _pattern_pairs(gaps, known, donors, held, k)
+    for f, gap, donor, distance in found:
+        value = donors[donor, f]
+        order = np.lexsort((ids[donor], value, distance, gap))
+        owner = gap[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        top = order[place < k]
+        out.append(pd.DataFrame({
+            "rid": rid[gap[top]], "f": np.int32(f), "d": distance[top], "value": value[top], "n": copies[donor[top]], "donor": ids[donor[top]]}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _pattern_pairs(gaps, gap_patterns, donors, donor_patterns, k):
+    """Yields (f, gaps, donors, distances) of all that may be among the ``k`` best, one pair of sets of
+    missing columns after the other."""
+    width = gaps.shape[1]
+    for held, able in donor_patterns:
+        for known, rows in gap_patterns:
             shared, wanted = np.flatnonzero(held & known), np.flatnonzero(held & ~known)
             if not len(shared) or not len(wanted):
                 continue
@@ -434,28 +597,46 @@ def _nearest(gap_rows, donor_rows, names, k):
                 distance = np.zeros((len(batch), len(able)))
                 for j, column in enumerate(shared):
                     distance += (gaps[batch, column][:, None] - near[j][None, :]) ** 2
-                distance *= len(names) / len(shared)
+                distance *= width / len(shared)
                 kth = min(k, len(able)) - 1
                 limit = np.partition(distance, kth, axis=1)[:, kth]
                 r, c = np.nonzero(distance <= limit[:, None])
                 for f in wanted:
-                    value, reach = donors[able[c], f], distance[r, c]
-                    order = np.lexsort((value, reach, r))
-                    owner = r[order]
-                    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                    top = order[place < k]
-                    out.append(
-                        pd.DataFrame(
-                            {
-                                "rid": rid[batch[r[top]]],
-                                "f": np.int32(f),
-                                "d": reach[top],
-                                "value": value[top],
-                                "n": copies[able[c[top]]],
-                            }
-                        )
-                    )
-    return pd.concat(out, ignore_index=True)
+                    yield f, batch[r], able[c], distance[r, c]
+
+
+def _by_products(gaps, donors, k):
+    """As ``_pattern_pairs`` for any number of such sets: sums of squares over shared columns are
+    three matrix products of masked values. Their rounding is covered by a slack, and the chosen
+    distances are computed again from the differences."""
+    width = gaps.shape[1]
+    knows, holds = ~np.isnan(gaps), ~np.isnan(donors)
+    seen = np.maximum(knows.sum(axis=0) + holds.sum(axis=0), 1)
+    centre = (np.where(knows, gaps, 0.0).sum(axis=0) + np.where(holds, donors, 0.0).sum(axis=0)) / seen
+    x, y = np.where(knows, gaps - centre, 0.0), np.where(holds, donors - centre, 0.0)
+    largest = (y * y).sum(axis=1).max(initial=0.0)
+    mask = holds.T.astype(float)
+    for start in range(0, len(gaps), GAP_BATCH):
+        rows = np.arange(start, min(start + GAP_BATCH, len(gaps)))
+        known = knows[rows].astype(float)
+        shared = known @ mask
+        about = (x[rows] ** 2) @ mask - 2.0 * (x[rows] @ y.T) + known @ (y * y).T
+        about = np.where(shared > 0, about * (width / np.maximum(shared, 1.0)), np.inf)
+        slack = 1e-13 * width * ((x[rows] ** 2).sum(axis=1) + largest)
+        for f in range(width):
+            able, mine = np.flatnonzero(holds[:, f]), np.flatnonzero(~knows[rows, f])
+            if not len(able) or not len(mine):
+                continue
+            some = about[np.ix_(mine, able)]
+            kth = min(k, len(able)) - 1
+            limit = np.partition(some, kth, axis=1)[:, kth] + 2 * slack[mine]
+            r, c = np.nonzero((some <= limit[:, None]) & np.isfinite(some))
+            gap, donor = rows[mine[r]], able[c]
+            both = knows[gap] & holds[donor]
+            distance = np.zeros(len(gap))
+            for j in range(width):
+                distance += np.where(both[:, j], (gaps[gap, j] - donors[donor, j]) ** 2, 0.0)
+            yield f, gap, donor, distance * (width / np.maximum(both.sum(axis=1), 1))
 
 
 # --------------------------------------------------------------------------- #
