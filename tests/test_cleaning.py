@@ -149,6 +149,29 @@ def test_factorize_null_and_order(spark):
         encode.factorize(df, "v")
 
 
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "red"), (2, "blue"), (3, None)], "`k.1` int, `c d.e` string")
+    assert {r["k.1"]: r["c d.e_encoded"] for r in encode.label_encode(df, "c d.e").collect()} == {1: 2, 2: 1, 3: 0}
+    assert {r["k.1"]: r["c d.e_encoded"] for r in encode.factorize(df, "c d.e", "k.1").collect()} == {1: 0, 2: 1, 3: -1}
+    assert {r["k.1"]: r["k.1_encoded"] for r in columns.apply_column_operation(df, "Encode categorical", "k.1", order_by="k.1").collect()} == {1: 0, 2: 1, 3: 2}
+
+
+def test_codes_of_another_table(spark):
+    train = spark.createDataFrame([(1, "red"), (2, "blue"), (3, None), (4, "red")], "k int, c string")
+    other = spark.createDataFrame([(1, "blue"), (2, "green"), (3, None), (4, "green"), (5, "red")], "k int, c string")
+    label, order, hot = encode.fit_label(train, "c"), encode.fit_factorize(train, "c", "k"), encode.fit_one_hot(train, "c")
+    for rows in (200_000, 0):  # broadcast or shuffled
+        label.broadcast_rows = order.broadcast_rows = rows
+        assert {r.k: r.c_encoded for r in label.transform(other).collect()} == {1: 1, 2: None, 3: 0, 4: None, 5: 2}
+        assert {r.k: r.c_encoded for r in order.transform(other).collect()} == {1: 1, 2: None, 3: -1, 4: None, 5: 0}
+    assert sorted(map(tuple, hot.transform(other).collect())) == [
+        (1, True, False), (2, False, False), (3, False, False), (4, False, False), (5, False, True)]
+    for model in (label, order, hot):
+        assert list(map(tuple, model.unseen(other).collect())) == [("green", 2)] and model.unseen(train).isEmpty()
+    empty = encode.fit_one_hot(train.limit(0), "c")
+    assert empty.transform(other).columns == ["k"] and empty.unseen(other).count() == 3
+
+
 def test_one_hot(spark):
     df = spark.createDataFrame([("red", 1), ("blue", 2), (None, 3)], "color string, n int")
     out = encode.encode_categorical(df, "color", "One-Hot")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from clearwell.operators import invalid, missing, outliers, scale, text
+from clearwell.operators import encode, invalid, missing, outliers, scale, text
 from clearwell.sources import reader, records, writer
 from clearwell.streaming.apply import apply_models
 
@@ -66,6 +66,9 @@ def test_fitted_models_on_a_stream(spark, sample_df, tmp_path):
         outliers.fit_iqr(sample_df),
         scale.fit_scale(sample_df, "Standard"),
         text.standardize_text_columns,
+        encode.fit_label(sample_df, "dept"),
+        encode.fit_factorize(sample_df, "salary", "salary"),
+        encode.fit_one_hot(sample_df, "dept"),
     ]
     stream = spark.readStream.schema(sample_df.schema).parquet(source)
     query = (
