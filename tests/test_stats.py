@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from clearwell.functions import stats
+from clearwell.functions import correlation, stats
 from clearwell.functions.correlation import correlations
 
 PROBABILITIES = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
@@ -73,3 +74,30 @@ def test_value_counts_keep_types(spark):
     assert {(r["whole"], r["n"]) for r in rows if r["ordinal"] == 0} == {(10, 1), (9, 1)}
     assert [(r["fraction"], r["n"]) for r in rows if r["ordinal"] == 1] == [(0.0, 2)]
     assert {r["text"] for r in rows if r["ordinal"] == 2} == {"true", None}
+
+
+def test_correlations_with_gaps_shifts_and_infinity(spark, monkeypatch):
+    """Products for most pairs, a closer look for those that would lose digits, in several blocks."""
+    draw = np.random.default_rng(5)
+    base = draw.normal(0, 1, (400, 9))
+    base[:, 1] += base[:, 0]
+    base[:, 2] = base[:, 0] * 1e-3 + 1e9  # far from zero
+    base[:200, 3] += 1e8  # far from its middle on half of the rows
+    base[:, 4] = 7.0
+    pdf = pd.DataFrame(base, columns=[f"c{i}" for i in range(9)]).mask(draw.random(base.shape) < 0.3)
+    pdf.loc[200:, "c5"] = np.nan  # shares the far half only with c3
+    pdf.loc[5, ["c6", "c7"]] = [np.inf, 1.0]
+    pdf["c8"] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in pdf.to_numpy()], ", ".join(f"{c} double" for c in pdf.columns))
+    want = {}
+    for i, a in enumerate(pdf.columns):
+        for b in pdf.columns[i + 1 :]:
+            both = pdf[[a, b]].dropna().to_numpy()
+            fine = len(both) > 1 and np.isfinite(both).all() and (both.min(axis=0) < both.max(axis=0)).all()
+            want[a, b] = np.corrcoef(both.T)[0, 1] if fine else None
+    for block in (512, 2):
+        monkeypatch.setattr(correlation, "BLOCK", block)
+        got = correlation.correlations(df.repartition(3), df.columns)
+        assert list(got) == list(want)
+        for pair, r in want.items():
+            assert (got[pair] is None) == (r is None) and (r is None or abs(got[pair] - r) < 1e-6), (pair, got[pair], r)
