@@ -170,6 +170,78 @@ def i4_trend_text_dates(spark, folder):
     return found.withColumns({"score": F.round("score", 6), "columns": F.array_join("columns", ",")})
 
 
+def _write_lines(df, line, header, path):
+    """Raw lines under a raw header, as they stand."""
+    first = F.monotonically_increasing_id() % F.lit(1 << 33) == 0  # of its file
+    df.select(F.when(first, F.concat(F.lit(header + "\n"), line)).otherwise(line)).write.text(path)
+
+
+def s1_load_csv_surplus(spark, folder):
+    """Rows with more cells than the header, empty ones among them; how many is told."""
+    key, more = F.col("o_orderkey"), F.when(F.col("o_orderkey") % 7 == 0, ",").when(F.col("o_orderkey") % 11 == 0, ",,5").otherwise("")
+    path = fresh_path(spark, "lines")
+    _write_lines(table(spark, folder, "orders"), F.concat(key.cast("string"), F.lit(","), F.col("o_orderpriority"), more), "k,prio", path)
+    df, info = reader.load_dataset(spark, path, format="csv", surplus="report")
+    return df.withColumn("surplus_rows", F.lit(info.first()["surplus_rows"]))
+
+
+def s1_load_csv_headers(spark, folder):
+    """Files of one folder with their columns in another order, more of them, and equal names."""
+    orders, path = table(spark, folder, "orders").where("o_orderkey % 3 < 2"), fresh_path(spark, "headers")
+    key, prio = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
+    _write_lines(orders.where("o_orderkey % 3 = 0"), F.concat_ws(",", key, prio, F.lit("a")), "k,prio,prio", f"{path}/part=1")
+    _write_lines(orders.where("o_orderkey % 3 = 1"), F.concat_ws(",", F.lit("b"), F.concat(F.lit('"'), prio, F.lit('\nx"')), key), "more,prio,k", f"{path}/part=2")
+    df, _ = reader.load_dataset(spark, f"{path}/*", format="csv")
+    return df.select("k", "prio", ref("prio.1").alias("prio_1"), "more")
+
+
+def p3_change_type_zones(spark, folder):
+    """Times with one zone keep their clock; times of several zones become UTC."""
+    key, when = F.col("o_orderkey"), F.to_timestamp_ntz(F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit(" 10:20:30")), F.lit("yyyy-MM-dd HH:mm:ss"))
+    shown = F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss")
+    df = table(spark, folder, "orders").select(
+        "o_orderkey", F.concat(shown, F.when(key % 2 == 0, "+02:00").otherwise("+0200")).alias("one"),
+        F.concat(F.date_format(when, "EEE, d MMM yyyy HH:mm:ss"), F.when(key % 3 == 0, "Z").when(key % 3 == 1, " -0530").otherwise(" UTC+01:00")).alias("several"))
+    for c in ("one", "several"):
+        df = columns.change_type(df, c, "datetime").withColumn(c, F.col(c).cast("string"))
+    return df
+
+
+def p3_change_type_day_first(spark, folder):
+    """Columns that write the day first, with years of four and of two digits, and one that does not."""
+    day = F.col("o_orderdate")
+    forms = {"slashes": "dd/MM/yyyy", "short": "d-M-yy", "clock": "dd/MM/yyyy HH:mm", "month_first": "MM-dd-yyyy", "named": "dd-MMM-yy"}
+    df = table(spark, folder, "orders").select("o_orderkey", *[F.date_format(day, f).alias(n) for n, f in forms.items()])
+    for c in forms:
+        df = columns.change_type(df, c, "datetime").withColumn(c, F.col(c).cast("date").cast("string"))
+    return df
+
+
+def v8_daily_series_text(spark, folder):
+    """Days written with the day first: no row is lost, no day mistaken."""
+    events = table(spark, folder, "events").select(F.date_format("ts", "dd/MM/yyyy HH:mm").alias("at"), "value")
+    df = chartdata.daily_series(events, "at", "value")
+    return df.select(F.col("day").cast("string").alias("day"), F.round("mean", 6).alias("mean"))
+
+
+WIDE = {"x1": (7919, 11, 3571), "x2": (104729, 23, 2221), "x3": (1299709, 37, 1117), "x4": (15485863, 53, 733), "x5": (32452843, 71, 397), "x6": (49979687, 89, 173)}
+
+
+def c5_knn_impute_wide(spark, folder):
+    """Gaps scattered over all six columns."""
+    key = F.col("c_custkey")
+    df = table(spark, folder, "customer").select(*[
+        F.when((key * a + b) % 97 >= 44, (key * m % 10007) / 100.0 + F.col("c_acctbal") / 10000.0).alias(c) for c, (a, b, m) in WIDE.items()],
+        key.cast("string").alias("c_custkey"))
+    out = missing.handle_missing_values(df, "KNN Imputation")
+    return out.select("c_custkey", *[F.round(c, 3).alias(c) for c in WIDE])
+
+
+def c17_label_encode_dotted(spark, folder):
+    df = dirty(spark, folder).withColumnRenamed("prio", "order.prio d")
+    return encode.label_encode(df, "order.prio d").select("o_orderkey", ref("order.prio d_encoded").alias("code"))
+
+
 def m4_numeric_summary_all(spark, folder):
     return profile.numeric_summary(table(spark, folder, "lineitem"))
 
@@ -215,6 +287,22 @@ _MATRIX = " union all ".join(
     + ("cast(null as double) as r" if "d" in (x, y) else "1.0 as r" if x == y else f"round(corr({x}, {y}), 6) as r from gaps")
     for x in "abcd" for y in "abcd"
 )
+def _wide_fill(c):
+    return f"""f_{c} as (select k, avg(v) as fill from (select g.k, h.{c} as v, row_number() over (partition by g.k order by d, h.{c}) as place
+    from pairs p join t g on g.k = p.g join t h on h.k = p.h where g.{c} is null and h.{c} is not null) where place <= 5 group by k)"""
+
+
+_WIDE = f"""with t as (select c_custkey as k, {', '.join(
+    f"case when (c_custkey * {a} + {b}) % 97 >= 44 then (c_custkey * {m} % 10007) / 100.0::double + c_acctbal / 10000.0::double end as {c}" for c, (a, b, m) in WIDE.items())}
+    from customer),
+  shared as (select g.k as g, h.k as h, {' + '.join(f'(g.{c} is not null and h.{c} is not null)::int' for c in WIDE)} as n,
+    {' + '.join(f'coalesce((g.{c} - h.{c}) * (g.{c} - h.{c}), 0)' for c in WIDE)} as total
+    from t g, t h where {' or '.join(f'g.{c} is null' for c in WIDE)}),
+  pairs as (select g, h, total * (6.0::double / n) as d from shared where n > 0), {', '.join(_wide_fill(c) for c in WIDE)}
+  select cast(t.k as varchar) as c_custkey, {', '.join(f'round(coalesce({c}, f_{c}.fill, (select avg({c}) from t)), 3) as {c}' for c in WIDE)}
+  from t {' '.join(f'left join f_{c} on f_{c}.k = t.k' for c in WIDE)}"""
+_CLOCK = "cast(cast(o_orderdate as date) as timestamp) + interval '10 hours 20 minutes 30 seconds'"
+_DATE_TEXT = f"cast({_DAY} as varchar)"
 _CLEAN = lambda c: f"case when {c} in {NULL_TOKENS} then null else {c} end as {c}"
 
 ORACLE_SQL = {
@@ -259,6 +347,18 @@ ORACLE_SQL = {
     ('8_4_distributions', 75), ('8_5_correlation', 9)) v(section, rows)
   union all select '8_1_missing', n from missing""",
     "p3_change_type_forms": f"""select o_orderkey, cast(cast({_DAY} as timestamp) as varchar) as placed from orders""",
+    "s1_load_csv_surplus": """select o_orderkey as k, o_orderpriority as prio,
+  (select count(*) from orders where o_orderkey % 7 = 0 or o_orderkey % 11 = 0) as surplus_rows from orders""",
+    "s1_load_csv_headers": """select o_orderkey as k, case when o_orderkey % 3 = 0 then o_orderpriority else o_orderpriority || chr(10) || 'x' end as prio,
+  case when o_orderkey % 3 = 0 then 'a' end as prio_1, case when o_orderkey % 3 = 1 then 'b' end as more from orders where o_orderkey % 3 < 2""",
+    "p3_change_type_zones": f"""select o_orderkey, cast({_CLOCK} as varchar) as one,
+  cast({_CLOCK} - case o_orderkey % 3 when 0 then interval '0 minutes' when 1 then interval '-330 minutes' else interval '60 minutes' end as varchar) as several
+  from orders""",
+    "p3_change_type_day_first": f"""select o_orderkey, {_DATE_TEXT} as slashes, {_DATE_TEXT} as short, {_DATE_TEXT} as clock,
+  {_DATE_TEXT} as month_first, {_DATE_TEXT} as named from orders""",
+    "v8_daily_series_text": "select cast(cast(ts as date) as varchar) as day, round(avg(value), 6) as mean from events group by 1",
+    "c5_knn_impute_wide": _WIDE,
+    "c17_label_encode_dotted": f"{DIRTY} select o_orderkey, dense_rank() over (order by coalesce(prio, 'NA')) - 1 as code from dirty",
     "i4_trend_text_dates": f"""with e as (select ts as event_date, (value + day(ts)) * 1000 as level from events)
   select {INSIGHT} from ({trend_block('e', 'event_date', 'level')})""",
     "m4_numeric_summary_all": described("lineitem", LINE_NUMERIC),

@@ -259,12 +259,7 @@ def c9_zscore_flags(spark, folder):
 
 
 def c10_isolation_forest(spark, folder):
-    df = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
-    )
-    return isolation.flag_anomalies(
-        df, columns=["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    )
+    return isolation.flag_anomalies(table(spark, folder, "lineitem"), key=["l_orderkey", "l_linenumber"])
 
 
 def c11_remove_outliers_iqr(spark, folder):
