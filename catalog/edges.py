@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from clearwell.functions.storage import fresh_path
 from clearwell.functions.types import ref
 from clearwell.operators import columns, encode, isolation, missing, outliers, text
-from clearwell.plans import chartdata, insights, profile, suggest
+from clearwell.plans import chartdata, insights, profile, profile_state, suggest
 from clearwell.sources import reader, writer
 
 from .inputs import cleaned, dirty, table
-from .oracle import CLEANED, DIRTY, KNN, NULL_TOKENS, described, histogram, mode_of, trend_block, INSIGHT, LINE_NUMERIC
+from .oracle import ORACLE_SQL as MAIN_SQL, CLEANED, DIRTY, KNN, NULL_TOKENS, described, histogram, mode_of, trend_block, INSIGHT, LINE_NUMERIC
 
 GAPS = """with gaps as (select
     case when l_orderkey % 5 = 0 then null else l_quantity end as a,
@@ -246,6 +246,30 @@ def m4_numeric_summary_all(spark, folder):
     return profile.numeric_summary(table(spark, folder, "lineitem"))
 
 
+def m2_dtype_summary_sketched(spark, folder):
+    """Distinct counts by sketches: within 2 % of the exact ones."""
+    df = table(spark, folder, "lineitem")
+    exact = profile.dtype_summary(df).select("Column", ref("Unique Values").alias("exact"))
+    found = profile.dtype_summary(df, accuracy=0.005).join(exact, "Column")
+    close = F.abs(ref("Unique Values") - F.col("exact")) <= F.col("exact") * 0.02
+    return found.select("Column", ref("Non-Null Count").alias("present"), ref("Missing Count").alias("missing"), "exact", close.alias("close"))
+
+
+def m4_numeric_summary_merged(spark, folder):
+    """Moments of ten parts, profiled one by one and merged."""
+    df = table(spark, folder, "lineitem")
+    parts = profile_state.states(df, F.pmod("l_orderkey", F.lit(10)).cast("string"))
+    found = profile_state.summary(profile_state.merged(parts), digits=3).where(ref("count").isNotNull())
+    return found.select("Column", "count", "mean", "std", "min", "max")
+
+
+def b1_before_after_merged(spark, folder):
+    """Both versions from their states; repeated rows, an estimate, are left out."""
+    both = [profile_state.merged(profile_state.states(t, n)) for t, n in ((dirty(spark, folder), "raw"), (cleaned(spark, folder), "clean"))]
+    found = profile_state.comparison(*both)
+    return found.where(~ref("Metric").contains("uplicate"))
+
+
 def v11_distribution_shift_first(spark, folder):
     """The first numeric column of both versions, chosen by the operator."""
     df = chartdata.distribution_shift(dirty(spark, folder), cleaned(spark, folder))
@@ -277,7 +301,7 @@ def c11_remove_outliers_forest(spark, folder):
 
 QUERIES = {
     name: query for name, query in list(globals().items())
-    if name[0] in "spmcgiv" and name[1].isdigit() and callable(query)
+    if name[0] in "spmcgivb" and name[1].isdigit() and callable(query)
 }
 
 _DAY = "cast(o_orderdate as date)"
@@ -362,6 +386,13 @@ ORACLE_SQL = {
     "i4_trend_text_dates": f"""with e as (select ts as event_date, (value + day(ts)) * 1000 as level from events)
   select {INSIGHT} from ({trend_block('e', 'event_date', 'level')})""",
     "m4_numeric_summary_all": described("lineitem", LINE_NUMERIC),
+    "m2_dtype_summary_sketched": " union all ".join(
+        f"select '{c}' as \"Column\", count({c}) as present, count(*) - count({c}) as missing, count(distinct {c}) as exact, true as close from lineitem"
+        for c in (*LINE_NUMERIC, "l_returnflag", "l_linestatus", "l_shipdate")),
+    "m4_numeric_summary_merged": " union all ".join(
+        f"""select '{c}' as "Column", count({c})::double as count, round(avg({c}), 3) as mean, round(stddev_samp({c}), 3) as std,
+  round(min({c})::double, 3) as min, round(max({c})::double, 3) as max from lineitem""" for c in LINE_NUMERIC),
+    "b1_before_after_merged": f"select * from ({MAIN_SQL['b1_before_after']}) where \"Metric\" not like '%uplicate%'",
     "v11_distribution_shift_first": f"""{CLEANED} ({histogram('dirty', 'o_orderkey', 30, version='Before')})
   union all ({histogram('cleaned', 'o_orderkey', 30, version='After')})""",
     "c10_isolation_forest_checked": "select count(*) as rows, true as share_holds, true as planted_found from lineitem",

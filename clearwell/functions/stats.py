@@ -154,11 +154,7 @@ def grouped_rows(df: DataFrame, facts: list[Column] | None = None) -> DataFrame:
     if len(df.columns) <= NARROW_ROW and not any(isinstance(f.dataType, (T.StringType, *OPAQUE_TYPES)) for f in df.schema):
         keys = [ref(c).alias(f"__k{i}") for i, c in enumerate(df.columns)] or [F.lit(0).alias("__k0")]
     else:
-        cells = [
-            F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
-            for text in (_opaque_text(f) if isinstance(f.dataType, OPAQUE_TYPES) else _plain_text(f) for f in df.schema)
-        ]
-        keys = [F.unhex(F.sha2(F.concat_ws(",", *[F.coalesce(c, F.lit("-")) for c in cells]), 256)).alias("__k0")]
+        keys = [F.unhex(F.sha2(_row_text(df), 256)).alias("__k0")]
     # Facts are the same for equal rows, so they may stand beside the key.
     return (
         df.select(*keys, *facts)
@@ -167,6 +163,22 @@ def grouped_rows(df: DataFrame, facts: list[Column] | None = None) -> DataFrame:
     )
 
 
+def _row_text(df: DataFrame) -> Column:
+    """A text that is the same for equal rows only."""
+    cells = [F.concat(F.octet_length(text).cast("string"), F.lit(":"), text) for text in map(plain_text, df.schema)]
+    return F.concat_ws(",", *[F.coalesce(c, F.lit("-")) for c in cells])
+
+
+def row_mark(df: DataFrame) -> Column:
+    """A 64-bit hash of a whole row."""
+    return F.xxhash64(_row_text(df))
+
+
+def plain_text(field: T.StructField) -> Column:
+    """A text that is the same for equal cells only; NULL for NULL."""
+    return _opaque_text(field) if isinstance(field.dataType, OPAQUE_TYPES) else _plain_text(field)
+
+
 def _plain_text(field: T.StructField) -> Column:
     col = ref(field.name)
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):

@@ -58,6 +58,11 @@ def before_after(
     return _comparison(_row(raw, clean, measured))
 
 
+def comparison_of(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``before_after`` of metrics that are known: one row each, as of ``basic_metrics``."""
+    return _comparison(_versions(before, after))
+
+
 def _comparison(row: DataFrame) -> DataFrame:
     def values(v):
         rows, cols, missing, copies = (

@@ -1,5 +1,6 @@
 """Profiles of one table: metrics, column summary, quality score, statistics."""
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -21,15 +22,17 @@ def basic_metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def dtype_summary(df: DataFrame, approx: bool = False) -> DataFrame:
+def dtype_summary(df: DataFrame, approx: bool = False, accuracy: float | None = None) -> DataFrame:
     """Column, Data Type, Non-Null Count, Missing Count, Missing %, Unique Values in
-    column order. ``approx`` trades the exchange of distinct values for sketches."""
+    column order. ``approx`` trades the exchange of distinct values for sketches, of some 5 %
+    error; ``accuracy`` asks for sketches of another standard error. A task then sends (1.04 /
+    accuracy)² bytes per column at most, whatever its rows."""
     names = stats.small_frame(
         df.sparkSession,
         [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)],
         "ordinal int, name string, type string",
     )
-    counts = _approx_counts(df) if approx else _exact_counts(df)
+    counts = _sketched_counts(df, accuracy) if accuracy else _approx_counts(df) if approx else _exact_counts(df)
     # One row per column on both sides.
     joined = F.broadcast(names).join(F.broadcast(counts), "ordinal", "left")
     present = F.coalesce("present", F.lit(0))
@@ -77,6 +80,21 @@ def _approx_counts(df: DataFrame) -> DataFrame:
     return wide.select(F.inline(F.array(*per_column)))
 
 
+def sketch_size(accuracy: float) -> int:
+    """log2 of the registers of a distinct-value sketch of that relative standard error."""
+    return min(21, max(4, math.ceil(2 * math.log2(1.04 / accuracy))))
+
+
+def _sketched_counts(df: DataFrame, accuracy: float) -> DataFrame:
+    cells = [
+        F.struct(F.lit(i).alias("ordinal"), F.when(stats.present(df, f.name), F.xxhash64(stats.plain_text(f))).alias("mark"))
+        for i, f in enumerate(df.schema)
+    ]
+    return df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.ordinal").agg(
+        F.count("c.mark").alias("present"), F.count_if(F.col("c.mark").isNull()).alias("missing"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("c.mark", sketch_size(accuracy))).alias("distinct"))
+
+
 def quality_score(
     df: DataFrame, model: IqrModel | None = None, accuracy: int | None = None
 ) -> DataFrame:
