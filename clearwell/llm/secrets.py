@@ -2,11 +2,11 @@
 
 Every candidate's value is hashed, and over the whole corpus the distinct repositories and
 owners of each hash are counted. A value that many owners have is an example that was
-copied around; one that few owners have, and that looks random, is a live-looking
-credential. All work is DataFrame expressions.
+copied around, and so is one that some owners have in many repositories; one that keeps to
+its owner, and that looks random, is a live-looking credential. All work is DataFrame expressions.
 
 Positions come from two functions that use one expression and so find the same matches:
-all matches, and the text split at them. Sums of their lengths are the positions.
+all matches, and the text split at them. Running sums of their lengths are the positions.
 """
 
 from __future__ import annotations
@@ -25,26 +25,35 @@ KEY = (r"(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-
 OPAQUE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[a-z0-9_-]*[A-Z])(?=[A-Z0-9_-]*[a-z])[A-Za-z0-9_-]{32,}(?![A-Za-z0-9_-])"
 KINDS = ("assign", "access", "hex", "key", "opaque")
 BASE_KINDS = 3
-# A value with at least so many distinct owners is a copied example.
+# A value with at least so many distinct owners is a copied example; so is one of several owners
+# in at least so many distinct repositories.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 10
 # A live-looking value has at least so many different characters.
 LEAST_CHARACTERS = 8
 
 
 def _places(text: str, pattern: str, kind: int, keep: str, value: str) -> str:
-    """SQL for an array of (start, kind, end, value) of the matches; ``keep`` and ``value``
-    are SQL over a match ``m``."""
+    """SQL for an array of (start, kind, end, value) of the matches; ``value`` is SQL over a match
+    ``m``, ``keep`` over such a struct ``y``."""
     quoted = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    sized = f"""zip_with(split({text}, {quoted}, -1), regexp_extract_all({text}, {quoted}, 0),
-        (gap, m) -> named_struct('m', m, 'before', char_length(gap), 'long', coalesce(char_length(m), 0)))"""
-    walked = f"""aggregate({sized},
-        named_struct('at', 0, 'out', cast(array() as array<struct<start: int, kind: int, end: int, m: string>>)),
-        (s, p) -> named_struct('at', s.at + p.before + p.long, 'out', if(p.m is null, s.out, array_append(s.out,
-            named_struct('start', s.at + p.before, 'kind', {kind}, 'end', s.at + p.before + p.long, 'm', p.m)))), s -> s.out)"""
     value = value.replace("PATTERN", quoted)
-    kept = f"filter(transform({walked}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'value', {value})), y -> {keep})"
+    # Bound once: lengths of the gaps, and the matches.
+    bound = f"""named_struct('gaps', transform(split({text}, {quoted}, -1), g -> char_length(g)),
+        'found', regexp_extract_all({text}, {quoted}, 0))"""
+    totals = "zip_with(b.gaps, b.found, (g, m) -> g + coalesce(char_length(m), 0))"
+    kept = f"""filter(zip_with(b.found, slice({_running(totals)}, 1, size(b.found)), (m, e) ->
+        named_struct('start', e - char_length(m), 'kind', {kind}, 'end', e, 'value', {value})), y -> {keep})"""
     none = "cast(array() as array<struct<start: int, kind: int, end: int, value: string>>)"
-    return f"if({text} rlike {quoted}, {kept}, {none})"
+    return f"if({text} rlike {quoted}, element_at(transform(array({bound}), b -> {kept}), 1), {none})"
+
+
+def _running(numbers: str) -> str:
+    """SQL for the running sums of an array, by doubling: each step adds what stands 1, 2, 4, ..
+    places before, so n numbers take n log n additions (appending one by one would copy the list
+    for each)."""
+    return f"""aggregate(sequence(0, cast(ceil(log2(greatest(size({numbers}), 1))) as int)), {numbers}, (s, k) ->
+        zip_with(s, slice(concat(array_repeat(0, shiftleft(1, k)), s), 1, size(s)), (x, y) -> x + y))"""
 
 
 def _any_of(text: str, words: list[str]) -> str:
@@ -58,14 +67,14 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
         F.col(id_col).cast("bigint").alias("id"), F.col(owner_col).cast("string").alias("owner"),
         F.col(repository_col).cast("string").alias("repository"), text.alias("text"))
     none = "cast(array() as array<struct<start: int, kind: int, end: int, value: string>>)"
-    assign = _places("text", ASSIGN, 0, "char_length(y.value) >= 6", "regexp_extract(x.m, PATTERN, 2)")
+    assign = _places("text", ASSIGN, 0, "char_length(y.value) >= 6", "regexp_extract(m, PATTERN, 2)")
     named = _any_of("lower(text)", ["password", "passwd", "secret", "token", "apikey", "api_key"])
     parts = [
         f"if({named}, {assign}, {none})",
-        f"if(contains(text, 'AKIA'), {_places('text', ACCESS, 1, 'true', 'x.m')}, {none})",
-        _places("text", HEX, 2, "true", "x.m"),
-        f"if({_any_of('text', ['gh', 'glpat', 'xox', 'k_live', 'AIza', 'eyJ'])}, {_places('text', KEY, 3, 'true', 'x.m')}, {none})",
-        _places("text", OPAQUE, 4, "true", "x.m"),
+        f"if(contains(text, 'AKIA'), {_places('text', ACCESS, 1, 'true', 'm')}, {none})",
+        _places("text", HEX, 2, "true", "m"),
+        f"if({_any_of('text', ['gh', 'glpat', 'xox', 'k_live', 'AIza', 'eyJ'])}, {_places('text', KEY, 3, 'true', 'm')}, {none})",
+        _places("text", OPAQUE, 4, "true", "m"),
     ]
     found = rows.withColumn("spans", F.expr(f"concat({', '.join(parts)})"))
     key = F.sha2(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.lit("."),
@@ -95,7 +104,7 @@ def _joined(spans: Column) -> Column:
 
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-    repository_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS,
+    repository_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base, spans, live, n_live, n_example) for every row.
     ``base`` has the spans of the base kinds, ``spans`` also live-looking ones of further
@@ -111,7 +120,7 @@ def scan(
     # A frequent hash makes a large partition on this side only, which AQE splits.
     judged = each.join(wide, F.col("s.hash") == F.col("hash")).select(
         "row_key", F.struct("s.start", "s.kind", "s.end").alias("s"),
-        (F.col("owners") >= example_owners).alias("example"), F.col("s.random").alias("random"))
+        ((F.col("owners") >= example_owners) | ((F.col("owners") > 1) & (F.col("repositories") >= example_repositories))).alias("example"), F.col("s.random").alias("random"))
     live = ~F.col("example") & F.col("random")
     answers = judged.groupBy(F.col("row_key").alias("key")).agg(
         F.collect_list(F.when((F.col("s.kind") < BASE_KINDS) | live, F.col("s"))).alias("listed"),

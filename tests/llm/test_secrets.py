@@ -1,7 +1,9 @@
+import hashlib
 import random
 import re
+import time
 
-from clearwell.llm.secrets import KINDS, scan
+from clearwell.llm.secrets import KINDS, candidates, ownership, scan
 
 from .cases import AWKWARD, documents
 
@@ -39,6 +41,37 @@ def test_copied_examples_are_no_live_keys(spark):
     assert got[10].n_live == 0 and got[10].n_example == 0  # not random
 
 
+def test_both_counts_tell_examples(spark):
+    shared, own, rare = "ghp_zY9xW7vU5tS3rQ1pO9nM7lK5", "ghp_aB3dE5gH7jK9mN1pQ3sT5vW7", "ghp_qW2eR4tY6uI8oP0aS1dF3gH5"
+    rows = [(i, f"see {shared}", f"o{i % 2}") for i in range(40)]  # two owners, many repositories
+    rows += [(100 + i, f"mine {own}", "o0") for i in range(40)]  # one owner
+    rows += [(200 + i, f"both {rare}", f"o{i}") for i in range(2)]  # two owners, few repositories
+    got = scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert all((r.n_live, r.n_example) == ((0, 1) if r["id"] < 100 else (1, 0)) for r in got)
+
+
+def test_ownership_counts_equal_plain_ones(spark):
+    draw = random.Random(6)
+    keys = ["ghp_" + "".join(draw.choice("abcdefghijkLMNOP0123456789") for _ in range(30)) for _ in range(12)]
+    rows = [(draw.choice([1, 2, 3, 4, 5, None]), " ".join(draw.choices(keys, k=draw.randint(0, 3))), draw.choice(["a", "b", None])) for _ in range(200)]
+    found = candidates(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", "source", "doc_id")
+    got = {r.hash: (r.owners, r.repositories) for r in ownership(found).collect()}
+    want = {}
+    for doc, text, source in rows:
+        for key in set(text.split()):
+            want.setdefault(hashlib.sha256(key.encode()).hexdigest(), set()).add((source, doc))
+    plain_counts = {h: (len({s for s, _ in v}), len(v)) for h, v in want.items()}
+    assert {h: n for h, n in got.items() if h in plain_counts} == plain_counts
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = " ".join(f"{i:032x}" for i in range(64_000)) + " é " + "deadbeef" * 4
+    start = time.time()
+    row = scan(spark.createDataFrame([(1, text, "a")], "doc_id bigint, text string, source string")).first()
+    assert row.n_hex == 64_001 and row.base == plain(text)
+    assert time.time() - start < 60
+
+
 def test_empty_table(spark):
     assert scan(documents(spark, [])).count() == 0
 
