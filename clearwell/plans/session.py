@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import stats
 from ..functions.storage import materialize, settled
+from .changes import difference
 
 # Fixed value: states kept for restoring (the older limit was 10).
 MAX_SNAPSHOTS = 3
@@ -25,12 +26,16 @@ class CleaningSession:
     """Holds the raw table, the working table and the last steps. A state whose step
     shuffles is written to the shared folder, so that later steps and looks back do not
     run it again; other states are lazy DataFrames, which cost nothing to keep.
-    ``write_states`` asks for all states to be written, or none."""
+    ``write_states`` asks for all states to be written, or none. With a ``key``, columns that tell
+    rows apart, what is written for a step are its changes (see ``changes``), and a state is the raw
+    table with the changes of the steps merged in."""
 
     def __init__(
-        self, raw: DataFrame, max_snapshots: int = MAX_SNAPSHOTS, write_states: bool | None = None
+        self, raw: DataFrame, max_snapshots: int = MAX_SNAPSHOTS, write_states: bool | None = None,
+        key: list[str] | None = None,
     ):
         self.raw = raw
+        self.key = key
         self.current = raw
         self.history: list[Step] = []
         self.max_snapshots = max_snapshots
@@ -45,7 +50,9 @@ class CleaningSession:
     ) -> DataFrame:
         self.history.append(Step(label, self.current, list(steps or []), source))
         del self.history[: -self.max_snapshots]
-        if self.write_states is None:
+        if self.key:
+            self.current = difference(self.current, table, self.key).apply(self.current)
+        elif self.write_states is None:
             self.current = settled(table, "session-state")
         else:
             self.current = materialize(table, "session-state") if self.write_states else table

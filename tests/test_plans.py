@@ -211,6 +211,53 @@ def test_history(sample_df, write):
     assert session.history_frame().count() == 1
 
 
+def sorted_rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_change_sets_restore_every_state(spark):
+    from clearwell.operators import columns, encode, scale
+    from clearwell.plans.changes import difference
+
+    raw = spark.createDataFrame(
+        [(i, i % 3 or None, float(i) if i % 7 else None, "ab"[i % 2], {"m": i}) for i in range(60)] + [(None, 1, float("nan"), None, None)],
+        "id int, g int, `x.1` double, t string, bag map<string,int>")
+    key = ["id"]
+    states = [raw]
+    for step in (
+        lambda d: d.fillna(0.0, ["`x.1`"]), lambda d: d.where("g is null or g != 2"), lambda d: columns.change_type(d, "g", "string"),
+        lambda d: encode.label_encode(d, "t"), lambda d: scale.scale_numeric(d, "Standard"), lambda d: d.drop("t", "bag"),
+        lambda d: columns.rename_column(d, "x.1", "y"), lambda d: d.unionByName(d.where("id = 1").selectExpr("* except (id)", "999 as id")), lambda d: d.limit(0),
+    ):
+        states.append(step(states[-1]))
+    session = CleaningSession(raw, max_snapshots=len(states), key=key)
+    for i, state in enumerate(states[1:]):
+        session.apply(f"Step {i}", state)
+        assert session.current.schema.names == state.schema.names and sorted_rows(session.current) == sorted_rows(state)
+    for i in range(len(states) - 2, -1, -2):
+        assert sorted_rows(session.restore(i)) == sorted_rows(states[i])
+    with pytest.raises(ValueError, match="not told apart"):
+        difference(raw.unionByName(raw), raw, key)
+    with pytest.raises(ValueError, match="gone"):
+        difference(raw, raw.drop("id"), key)
+
+
+def test_a_change_set_is_a_fraction_of_the_table(spark, tmp_path, monkeypatch):
+    import os
+
+    from clearwell.plans import changes
+
+    raw = spark.range(20_000).selectExpr("id", "rand(1) as x", "rand(2) as y", "uuid() as t")
+    raw.write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    monkeypatch.setattr(changes, "materialize", lambda df, label: (df.write.parquet(str(tmp_path / "changes")), spark.read.parquet(str(tmp_path / "changes")))[1])
+    session = CleaningSession(raw, key=["id"])
+    after = raw.selectExpr("id", "if(id % 100 = 0, 0.0, x) as x", "y", "t")
+    session.apply("one in a hundred", after)
+    size = {n: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path / n) for f in fs if f.endswith(".parquet")) for n in ("raw", "changes")}
+    assert size["changes"] < 0.05 * size["raw"] and sorted_rows(session.current) == sorted_rows(after)
+
+
 def test_row_counts_are_kept(full_df):
     from clearwell.operators import encode, invalid, scale, text
 
