@@ -339,9 +339,14 @@ ORACLE_SQL = {
   lateral (select case "Column" when 'rare' then count(distinct rare) when 'amount' then count(distinct amount)
     when 'far_key' then count(distinct far_key) when 'one_key' then count(distinct one_key) else count(distinct prio) end as "Unique Values" from typed)""",
     "c4_mode_fill_decimal": f"{TYPED} select coalesce(amount, {mode_of('amount', 'typed')}) as amount, far_key from typed",
-    "g1_rule_suggestions_typed": "select 'rare' as \"Column\", 'Skewed ' as issue union all select 'one_key', 'Constant values'",
-    "g2_basic_suggestions_typed": """select * from (values (0, 'rare', 'Numeric with low cardinality'), (1, 'one_key', 'Numeric with low cardinality'))
-  v(position, "Column", "Issue Detected")""",
+    "g1_rule_suggestions_typed": TYPED + " " + " union all ".join(
+        f"""select '{c}' as "Column", 'Constant values' as issue from typed having count(distinct {c}) = 1
+  union all select '{c}', 'Skewed ' from typed having count(distinct {c}) > 1 and abs(skewness({x})) > 1"""
+        for c, x in (("rare", "rare::int"), ("far_key", "(far_key - 1152921504606846976)::double"), ("one_key", "0.0"))),
+    "g2_basic_suggestions_typed": TYPED + """, few as (
+    select 0 as place, 'rare' as c from typed having count(distinct rare) < 10
+    union all select 1, 'one_key' from typed having count(distinct one_key) < 10)
+  select cast(row_number() over (order by place) - 1 as int) as position, c as "Column", 'Numeric with low cardinality' as "Issue Detected" from few""",
     "c17_label_encode_again": f"""{DIRTY} select o_orderkey, prio,
   dense_rank() over (order by coalesce(prio, 'NA')) - 1 as prio_encoded from dirty""",
     "c18_factorize_again": f"""{DIRTY}, codes as (
