@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.packaging import ship
 from ..functions.storage import drop_table, materialize
@@ -28,6 +30,18 @@ def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside the block hand at most so many rows at a time to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_or_plain(df: DataFrame, size: Column) -> DataFrame:
     """``df``, marked for broadcast if its counted rows and the sum of ``size`` (bytes
     per row) are below the bounds; else Spark picks a join that shuffles. ``df`` should
@@ -38,6 +52,16 @@ def small_or_plain(df: DataFrame, size: Column) -> DataFrame:
     return df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with a number behind it if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    numbers = itertools.count(2)
+    new = name
+    while new.lower() in taken:
+        new = f"{name}_{next(numbers)}"
+    return new
+
+
 # -- texts of an Arrow batch ------------------------------------------------- #
 
 

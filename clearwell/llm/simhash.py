@@ -18,17 +18,14 @@ point; a ball of radius r holds a bounded number of points whatever the table's
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from ..functions.storage import materialize
+from ..functions.storage import materialize, scratch
 from . import resemblance
-from .common import arrow_map, components, row_slices
+from .common import arrow_map, components, row_slices, small_or_plain, unused
 
 WORDS_PER_SHINGLE = 3
 SEED = 42
@@ -106,20 +103,6 @@ def links(marks: DataFrame, bits: int = BITS) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _classes(marks: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(point, root, class_id) for every distinct ``mark`` of ``marks`` (id, mark); ``link``
-    gives the links (a, b) between the points (mark, first)."""
-    points = materialize(marks.groupBy("mark").agg(F.min("id").alias("first")), "points")
-    found = materialize(link(points), "links")
-    roots = components(found, "links")
-    # Points without links are their own class; only linked ones meet the roots.
-    linked = points.join(roots, F.col("mark") == F.col("node"), "left").select(
-        "mark", "first", F.coalesce("root", "mark").alias("root"))
-    lowest = points.join(roots, F.col("mark") == F.col("node")).groupBy(F.col("root").alias("top")).agg(F.min("first").alias("lowest"))
-    return linked.join(lowest, F.col("root") == F.col("top"), "left").select(
-        F.col("mark").alias("point"), "root", F.coalesce("lowest", "first").alias("class_id"))
-
-
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """(id, mark, class_id) for every row. class_id is the smallest id among all rows whose
     fingerprints can be reached over links.
@@ -129,35 +112,80 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null one. Repeated rows stay repeated. An empty table gives an empty result. Other
     columns are not read, whatever their names."""
     marks = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    points = materialize(marks.groupBy("mark").agg(F.min("id").alias("first")), "points")
+    roots = components(materialize(links(points, bits), "links"), "links")
+    # Points without links are their own class; only linked ones meet the roots.
+    linked = points.join(roots, F.col("mark") == F.col("node"), "left")
+    lowest = points.join(roots, F.col("mark") == F.col("node")).groupBy(F.col("root").alias("top")).agg(F.min("first").alias("lowest"))
+    classes = linked.join(lowest, F.col("root") == F.col("top"), "left").select(
+        F.col("mark").alias("point"), F.coalesce("lowest", "first").alias("class_id"))
     # A frequent fingerprint makes a large partition of `marks` only, which AQE splits.
-    return marks.join(_classes(marks, lambda points: links(points, bits)), F.col("mark") == F.col("point")).select("id", "mark", "class_id")
+    return marks.join(classes, F.col("mark") == F.col("point")).select("id", "mark", "class_id")
 
 
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = resemblance.SIMILARITY,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = resemblance.SIMILARITY, exact: bool = False,
 ) -> DataFrame:
     """One row of ``docs`` for each class of near copies, all columns as they are: the row of
-    the smallest id, of equal ids the one of the smallest mark, of repeated rows any. A class
-    without any id keeps one row too. Texts are linked whose sets of five-word shingles have a
-    Jaccard index of ``similarity`` or more; texts without words are one class."""
-    schema = StructType([*docs.schema.fields, StructField("__mark", LongType()), StructField("__bands", ArrayType(LongType()))])
-    marked = materialize(arrow_map(docs, resemblance.marks_and_bands(docs.columns.index(text_col)), schema), "marked")
-    banded = marked.select(F.col("__mark").alias("mark"), F.col("__bands").alias("bands"), F.col(text_col).cast("string").alias("text"))
-    marks = marked.select(F.col(id_col).cast("bigint").alias("id"), F.col("__mark").alias("mark"))
-    rows = marks.join(_classes(marks, lambda _: resemblance.resembling(banded, similarity)), F.col("mark") == F.col("point")).where(F.col("id").eqNullSafe(F.col("class_id")))
-    kept = materialize(rows.groupBy("root").agg(
-        F.min("id").alias("__id"), F.min("mark").alias("__point"), F.count_if(F.lit(True)).alias("n")), "kept")
-    # Rows are met by fingerprint and id, so copies of a frequent text do not fall together.
-    own = F.col(id_col).cast("bigint")
-    one = marked.join(
-        kept.select("__id", "__point"), (F.col("__mark") == F.col("__point")) & own.eqNullSafe(F.col("__id")), "left_semi")
-    if kept.where("n > 1").isEmpty():
-        return one.select(*docs.columns)
-    # Some chosen rows may be repeated: they alone are brought together.
-    doubtful = kept.where("n > 1").select("__id", "__point")
-    match = (F.col("__mark") == F.col("__point")) & own.eqNullSafe(F.col("__id"))
-    return one.join(doubtful, match, "left_anti").unionByName(
-        one.join(doubtful, match, "left_semi").dropDuplicates([id_col, "__mark"])).select(*docs.columns)
+    the smallest id (null only if there is no other), of equal ids the one of the smallest mark and
+    text hash, of repeated rows any. Texts are linked whose sets of five-word shingles have a
+    Jaccard index of ``similarity`` or more (``exact`` as in ``resemblance``); null texts and those
+    without words are one class. An empty table gives an empty one. Column names are free.
+
+    Texts are not written: a row is known by its id and the hash of its text, and copies of a
+    text are one point from the start."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    with scratch(docs.sparkSession) as keep:
+        gone, repeated, paths = _decided(rows.select("id", F.xxhash64("text").alias("digest"), "text"), similarity, exact)
+        for path in paths:
+            keep(path)
+    return _without(docs, gone, repeated, F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col).cast("string")))
+
+
+def _decided(rows: DataFrame, similarity: float, exact: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Of ``rows`` (id, digest, text): the (id, digest) that go, those that stay but are repeated,
+    and where these two tables are."""
+    marked = materialize(arrow_map(rows, resemblance.marks, "id bigint, digest bigint, mark bigint, minima binary"), "marked")
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    points = materialize(marked.groupBy("mark").agg(F.min(row).alias("row"), F.first("minima").alias("minima")), "points")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        some = materialize(points.join(wanted.withColumnRenamed("mark", "m"), F.col("mark") == F.col("m"), "left_semi").select(
+            "mark", F.col("row.id").alias("its"), F.col("row.digest").alias("hash")), "wanted")
+        met = rows.join(small_or_plain(some, F.lit(32)), F.col("id").eqNullSafe(F.col("its")) & (F.col("digest") == F.col("hash")))
+        # Repeated rows of the same id and text are one.
+        return met.groupBy("mark").agg(F.first("text").alias("text"))
+
+    roots = components(materialize(resemblance.resembling(points, texts_of, similarity, exact), "links"), "links")
+    classed = points.select("mark", "row").join(roots, F.col("mark") == F.col("node"), "left").select(
+        "row", "mark", F.coalesce("root", "mark").alias("root"))
+    best = materialize(classed.groupBy("root").agg(F.min(F.struct("row.none", "row.id", "mark", "row.digest")).alias("b")).select(
+        F.col("b.id").alias("its"), F.col("b.digest").alias("hash")), "best")
+    chosen = F.col("id").eqNullSafe(F.col("its")) & (F.col("digest") == F.col("hash"))
+    # What goes is told by distinct (id, text hash); mostly that is less than what stays.
+    gone, gone_path = materialize(
+        marked.select("id", "digest").distinct().join(best, chosen, "left_anti"), "gone", with_path=True)
+    repeated, repeated_path = materialize(
+        marked.join(best, chosen, "left_semi").groupBy("id", "digest").count().where("count > 1"), "repeated", with_path=True)
+    return gone, repeated, [gone_path, repeated_path]
+
+
+def _without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, own: Column, digest: Column) -> DataFrame:
+    """``docs`` without the rows ``gone`` (id, digest), and one of each of the rows ``repeated``."""
+    own_name, digest_name = unused(docs, "own"), unused(docs, "digest")
+    named = docs.withColumns({own_name: own, digest_name: digest})
+
+    def side(df: DataFrame) -> tuple[DataFrame, Column]:
+        other_id, other_digest = unused(named, "other"), unused(named, "hash")
+        side = small_or_plain(df.select(F.col("id").alias(other_id), F.col("digest").alias(other_digest)), F.lit(16))
+        return side, F.col(own_name).eqNullSafe(F.col(other_id)) & (F.col(digest_name) == F.col(other_digest))
+
+    kept = named.join(*side(gone), "left_anti")
+    if not repeated.isEmpty():
+        # They alone are brought together.
+        some = kept.join(*side(repeated), "left_semi").dropDuplicates([own_name, digest_name])
+        kept = kept.join(*side(repeated), "left_anti").unionByName(some)
+    return kept.drop(own_name, digest_name)
 
 
 def hex_mark(mark: Column) -> Column:

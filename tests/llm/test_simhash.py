@@ -4,8 +4,11 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from clearwell.llm.common import components
+from clearwell.functions.storage import materialize
+from clearwell.llm import resemblance
+from clearwell.llm.common import arrow_map, components
 from clearwell.llm.simhash import fingerprint, fingerprints, hex_mark, keep_one, links, near_copies
 
 from .cases import AWKWARD, documents, prose
@@ -129,3 +132,83 @@ def test_kept_documents_equal_brute_force_jaccard(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert sorted(r.doc_id for r in keep_one(docs).collect()) == plain_kept(rows)
+
+
+def crowd(seed, size, words=200, changed=5):
+    """Texts that differ from one text in some words each: they resemble by some 0.6."""
+    draw = random.Random(seed)
+    base = [f"b{draw.randrange(10_000)}" for _ in range(words)]
+    out = []
+    for _ in range(size):
+        text = list(base)
+        for at in draw.sample(range(words), changed):
+            text[at] = f"x{draw.randrange(1 << 40)}"
+        out.append(text)
+    return out
+
+
+def planted(seed, similarity, texts):
+    """For each text one that resembles it by ``similarity`` or little more: its end is replaced."""
+    draw = random.Random(seed)
+    out = []
+    for text in texts:
+        grams = len(text) - 4
+        # n grams replaced at the end: (grams - n) / (grams + n) is the Jaccard index.
+        n = int(grams * (1 - similarity) / (1 + similarity))
+        out.append(text[: len(text) - n] + [f"y{draw.randrange(1 << 40)}" for _ in range(n)])
+    return out
+
+
+def linked(spark, texts, **options):
+    """The class of each text by ``keep_one``'s links."""
+    docs = documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    marked = materialize(arrow_map(rows, resemblance.marks, "id bigint, digest bigint, mark bigint, minima binary"), "marked")
+    mark = {r["id"]: r.mark for r in marked.collect()}
+    texts_of = lambda wanted: marked.select(F.col("id").alias("i"), F.col("mark").alias("m")).join(
+        rows, F.col("i") == F.col("doc_id")).join(wanted, F.col("m") == F.col("mark")).select("mark", "text")
+    pairs = resemblance.resembling(marked.select("mark", "minima"), texts_of, **options).collect()
+    return mark, {frozenset((r.a, r.b)) for r in pairs}
+
+
+def test_recall_of_planted_copies_in_a_crowd(spark, monkeypatch):
+    """Each level of resemblance by itself, among texts that share many keys but do not resemble."""
+    monkeypatch.setattr(resemblance, "CROWD", 8)
+    monkeypatch.setattr(resemblance, "PAIRS", 0)
+    texts = crowd(1, 240)
+    groups = {s: planted(i, s, texts[40 * i : 40 * i + 40]) for i, s in enumerate((0.8, 0.85, 0.9, 0.95))}
+    everything = texts + [t for g in groups.values() for t in g]
+    mark, found = linked(spark, everything)
+    shares = {}
+    for i, s in enumerate(groups):
+        pairs = [frozenset((mark[40 * i + k], mark[240 + 40 * i + k])) for k in range(40)]
+        shares[s] = sum(p in found for p in pairs) / 40
+    print("recall by resemblance:", shares)
+    assert all(share >= 0.9 for share in shares.values())
+    sets = plain_sets([(0, " ".join(t)) for t in everything])
+    for pair in found:
+        a, b = (sets[[i for i, m in mark.items() if m == x][0]] for x in pair)
+        assert len(a & b) >= 0.8 * len(a | b)
+
+
+def test_pairs_of_a_crowd_are_not_formed(spark, monkeypatch):
+    """Twice the crowd, some twice the candidates; ``exact`` has their square."""
+    monkeypatch.setattr(resemblance, "CROWD", 8)
+    monkeypatch.setattr(resemblance, "PAIRS", 0)
+    kept = resemblance.materialize
+    rows = {}
+
+    def counted(df, label, with_path=False):
+        out = kept(df, label, with_path)
+        if label in ("star", "rest", "members"):
+            rows[label] = rows.get(label, 0) + (out[0] if with_path else out).count()
+        return out
+
+    monkeypatch.setattr(resemblance, "materialize", counted)
+    sizes = []
+    for size in (150, 300):
+        rows.clear()
+        linked(spark, crowd(2, size))
+        sizes.append(dict(rows))
+    print(sizes)
+    assert sum(sizes[1].values()) < 3 * sum(sizes[0].values())
