@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import stats
-from ..functions.types import numeric_columns, ref, truth_columns
+from ..functions.types import numeric_columns, truth_columns
 from . import compare, profile
 
 # The ordinal and name of the line of whole rows.
