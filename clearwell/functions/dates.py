@@ -8,6 +8,7 @@ read are read the other way round. Without a column (a stream, a single cell) th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -71,9 +72,17 @@ def _month(text: Column) -> Column:
     return F.coalesce(F.try_element_at(table, text), text)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used. Written out, the uses of
+    uses multiply: the expression outgrows what generated code can hold and the JVM compiles."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def _date(year: Column, month: Column, day: Column) -> Column:
-    full = F.when(F.length(year) != 2, year).when(year.try_cast("int") < CENTURY, F.concat(F.lit("20"), year)).otherwise(F.concat(F.lit("19"), year))
-    return F.concat_ws("-", full, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+    def full(y: Column) -> Column:
+        return F.when(F.length(y) != 2, y).when(y.try_cast("int") < CENTURY, F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))
+
+    return F.concat_ws("-", _bound(year, full), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
 
 
 def _plain_day(text: Column) -> Column:
@@ -85,41 +94,48 @@ def _plain_day(text: Column) -> Column:
 
     found = None
     for form, (year, month, day) in _FORMS.items():
-        meant = _date(group(form, year), _month(group(form, month)), group(form, day))
+        meant = _date(group(form, year), _bound(group(form, month), _month), group(form, day))
         found = F.when(text.rlike(form), meant) if found is None else found.when(text.rlike(form), meant)
     quarter = (F.regexp_extract(text, _QUARTER, 2).try_cast("int") * 3 - 2).cast("string")
     return found.when(text.rlike(_QUARTER), _date(F.regexp_extract(text, _QUARTER, 1), quarter, first))
 
 
-def _parts(col: Column) -> dict[str, Column]:
-    """separator, month_first, day_first (both null unless the date is of numbers), plain, clock
-    and offset (minutes, null without one)."""
-    text = _normal(col)
-    day = F.regexp_replace(text, _TIME, "")
-    zone = F.regexp_replace(F.ltrim(F.regexp_extract(text, _TIME, 2)), "^(utc|gmt)(?=[+-])", "")
+def _offset(zone: Column) -> Column:
+    """The minutes of a zone, null without one."""
     size = F.regexp_replace(zone, "[^0-9]", "")
     minutes = F.substring(size, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(size, 3, 2).try_cast("int"), F.lit(0))
-    offset = F.when(zone.isin("z", "utc", "gmt"), 0).when(zone.rlike("^[+-]"), F.when(F.startswith(zone, F.lit("-")), -minutes).otherwise(minutes))
-    a, b, year = (F.regexp_extract(day, _NUMBERS, i) for i in (1, 3, 4))
-    numbers = day.rlike(_NUMBERS)
-    return {
-        "separator": F.when(numbers, F.regexp_extract(day, _NUMBERS, 2)),
-        "month_first": F.when(numbers, _date(year, a, b)),
-        "day_first": F.when(numbers, _date(year, b, a)),
-        "plain": F.when(~numbers, _plain_day(day)),
-        "clock": F.regexp_replace(F.regexp_extract(text, _TIME, 1), ",", "."),
-        "offset": offset,
-    }
+    return F.when(zone.isin("z", "utc", "gmt"), 0).when(zone.rlike("^[+-]"), F.when(F.startswith(zone, F.lit("-")), -minutes).otherwise(minutes))
+
+
+def _parts(col: Column, *wanted: str) -> Column:
+    """A struct of the ``wanted``: separator, month_first, day_first (all null unless the date is of
+    numbers), plain, clock and offset (minutes, null without one)."""
+
+    def of_day(text: Column, day: Column, numbers: Column) -> Column:
+        a, b, year = (F.regexp_extract(day, _NUMBERS, i) for i in (1, 3, 4))
+        zone = F.regexp_replace(F.ltrim(F.regexp_extract(text, _TIME, 2)), "^(utc|gmt)(?=[+-])", "")
+        parts = {
+            "separator": F.when(numbers, F.regexp_extract(day, _NUMBERS, 2)),
+            "month_first": F.when(numbers, _date(year, a, b)),
+            "day_first": F.when(numbers, _date(year, b, a)),
+            "plain": F.when(~numbers, _plain_day(day)),
+            "clock": F.regexp_replace(F.regexp_extract(text, _TIME, 1), ",", "."),
+            "offset": _bound(zone, _offset),
+        }
+        return F.struct(*[parts[p].alias(p) for p in wanted])
+
+    return _bound(_normal(col), lambda text: _bound(F.regexp_replace(text, _TIME, ""), lambda day: _bound(
+        day.rlike(_NUMBERS), lambda numbers: of_day(text, day, numbers))))
 
 
 def layout(df: DataFrame, column: str) -> Layout:
     """The layout that reads most cells of a text column; one aggregate. The usual one for a stream."""
     if df.isStreaming:
         return Layout()
-    parts = _parts(ref(column))
-    cells = df.select(*[parts[p].alias(p) for p in ("separator", "month_first", "day_first", "offset")])
-    counts = [F.count_if((F.col("separator") == s) & F.col(order).isNotNull()) for s in SEPARATORS for order in ("month_first", "day_first")]
-    *read, low, high = cells.agg(*counts, F.min("offset"), F.max("offset")).first()
+    cells = df.select(_parts(ref(column), "separator", "month_first", "day_first", "offset").alias("cell"))
+    counts = [
+        F.count_if((F.col("cell.separator") == s) & F.col(f"cell.{order}").isNotNull()) for s in SEPARATORS for order in ("month_first", "day_first")]
+    *read, low, high = cells.agg(*counts, F.min("cell.offset"), F.max("cell.offset")).first()
     votes = dict(zip(SEPARATORS, zip(read[::2], read[1::2])))
     first = frozenset(s for s, (month, day) in votes.items() if day > month or (day == month and s in USUALLY_DAY_FIRST))
     return Layout(first, low != high)
@@ -128,23 +144,30 @@ def layout(df: DataFrame, column: str) -> Layout:
 def parsed(col: Column, how: Layout = Layout()) -> Column:
     """The time that a text means, without zone; NULL if it is no date. A time with a zone keeps its
     clock, in a column of several zones it is moved to UTC."""
-    parts = _parts(col)
-    day_first = parts["separator"].isin(*how.day_first) if how.day_first else F.lit(False)
-    numbers = F.when(day_first, F.coalesce(parts["day_first"], parts["month_first"])).otherwise(
-        F.coalesce(parts["month_first"], parts["day_first"]))
-    time = _at(F.coalesce(parts["plain"], numbers), parts["clock"])
-    if not how.utc:
-        return time
-    return F.when(parts["offset"].isNull(), time).otherwise(time - F.make_dt_interval(mins=parts["offset"]))
+
+    def meant(parts: Column) -> Column:
+        day_first = parts["separator"].isin(*how.day_first) if how.day_first else F.lit(False)
+        numbers = F.when(day_first, F.coalesce(parts["day_first"], parts["month_first"])).otherwise(
+            F.coalesce(parts["month_first"], parts["day_first"]))
+        day = F.coalesce(parts["plain"], numbers)
+        time = _bound(F.struct(day.alias("day"), parts["clock"].alias("clock")), lambda t: _at(t["day"], t["clock"]))
+        if not how.utc:
+            return time
+        return F.when(parts["offset"].isNull(), time).otherwise(time - F.make_dt_interval(mins=parts["offset"]))
+
+    return _bound(_parts(col, "separator", "month_first", "day_first", "plain", "clock", "offset"), meant)
 
 
 def _at(day: Column, clock: Column) -> Column:
     """``day`` with a lower-case time of day such as 13:45 or 1:45:10.5 pm, or none; NULL
     if the time is none of a day."""
     afternoon, half = F.endswith(clock, F.lit("pm")), F.endswith(clock, F.lit("m"))
+
+    def timed(fields: Column) -> Column:
+        hour = F.get(fields, F.lit(0)).try_cast("int")
+        hour = F.when(~half, hour).when(hour.between(1, 12), hour % 12 + F.when(afternoon, 12).otherwise(0))
+        rest = F.concat_ws(":", F.lpad(hour.cast("string"), 2, "0"), F.get(fields, F.lit(1)), F.coalesce(F.get(fields, F.lit(2)), F.lit("00")))
+        return F.when(hour.isNotNull(), F.concat_ws(" ", day.cast("string"), rest)).try_cast("timestamp_ntz")
+
     fields = F.split(F.regexp_replace(clock, " ?[ap]m$", ""), ":")
-    hour = F.get(fields, F.lit(0)).try_cast("int")
-    hour = F.when(~half, hour).when(hour.between(1, 12), hour % 12 + F.when(afternoon, 12).otherwise(0))
-    rest = F.concat_ws(":", F.lpad(hour.cast("string"), 2, "0"), F.get(fields, F.lit(1)), F.coalesce(F.get(fields, F.lit(2)), F.lit("00")))
-    timed = F.when(hour.isNotNull(), F.concat_ws(" ", day.cast("string"), rest)).try_cast("timestamp_ntz")
-    return F.when(clock == "", day.cast("timestamp_ntz")).when(day.isNotNull(), timed)
+    return F.when(clock == "", day.cast("timestamp_ntz")).when(day.isNotNull(), _bound(fields, timed))
