@@ -172,3 +172,10 @@ def test_categories_from_a_table(spark):
     mapping = spark.createDataFrame([(" Hr", "People"), ("hr", "Staff"), (None, "x")], "source string, target string")
     assert sorted(map(tuple, standardize_categories(df, "d", mapping).collect()), key=repr) == [
         ("People", 1), ("People", 2), ("it", 3), (None, 4)]
+
+
+def test_a_date_is_read_once_a_cell_with_zones(spark):
+    df = spark.createDataFrame([("2024-01-05 10:00+02:00",), ("Fri, 5 Jan 2024 10:00:00Z",)], "t string")
+    out = change_type(df, "t", "datetime")
+    assert regexes(out) < 100
+    assert [str(r.t) for r in out.collect()] == ["2024-01-05 08:00:00", "2024-01-05 10:00:00"]
