@@ -216,14 +216,18 @@ def resembling(
     members, path = materialize(
         arrow_map(some, _bands, _MEMBERS).withColumn("class", F.col("mark")), "members", with_path=True)
     for level in range(LEVELS):
-        # A bucket's classes are those known when it was made.
-        ends = materialize(members.groupBy("key").agg(
-            F.min(F.struct("class", "mark")).alias("low"), F.max("class").alias("high")).where("low.class < high").select(
-            F.col("key").alias("at"), "low"), "ends")
+        # A bucket's classes are those known when it was made; at first each point is one, and numbers need no sort.
+        low = F.min("class") if level == 0 else F.min(F.struct("class", "mark"))
+        least = F.struct(F.col("low").alias("class"), F.col("low").alias("mark")) if level == 0 else F.col("low")
+        ends = materialize(members.groupBy("key").agg(low.alias("low"), F.max("class").alias("high")).select(
+            F.col("key").alias("at"), least.alias("low"), "high").where("low.class < high").drop("high"), "ends")
         if ends.isEmpty():
             break
+        # Most members are alone in their bucket; from here on only the others are read.
+        inside, inside_path = materialize(members.join(ends, F.col("key") == F.col("at")).drop("at"), "inside", with_path=True)
+        drop_table(spark, path)
+        path = inside_path
         if level in (0, 1, LEVELS - 1):
-            inside = members.join(ends, F.col("key") == F.col("at"))
             star = materialize(
                 inside.where("class != low.class").select(*_ordered("mark", "low.mark")).distinct(), "star")
             met.append(star)
@@ -231,7 +235,7 @@ def resembling(
             roots = components(reduce(DataFrame.unionByName, links), "links")
         # Buckets that are still of several classes: their pairs across classes, or their divisions.
         classed = materialize(
-            members.join(ends, F.col("key") == F.col("at"), "left_semi").join(roots, F.col("mark") == F.col("node"), "left").select(
+            inside.join(roots, F.col("mark") == F.col("node"), "left").select(
                 "key", "path", "mark", F.coalesce("root", "mark").alias("class")), "classed")
         mixed = materialize(classed.groupBy("key").agg(
             F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select(

@@ -1,8 +1,8 @@
 """Near copies by SimHash.
 
 Each text becomes a 64-bit fingerprint. Links join fingerprints that differ in at most
-``BITS`` = 3 bits; classes are what can be reached over links. ``keep_one`` has links of its
-own (``resemblance``), as 3 bits hold exact and almost exact copies only.
+``BITS`` = 3 bits; classes are what can be reached over links. ``keep_one`` has these links and,
+as 3 bits hold exact and almost exact copies only, those of ``resemblance`` besides.
 
 Links are found in an embedding: a fingerprint is cut into 32 segments of two bits, and
 each segment becomes its bit count. The Manhattan distance of two such vectors is never
@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.storage import materialize, scratch
 from . import resemblance
-from .common import arrow_map, components, row_slices, small_or_plain, unused
+from .common import arrow_map, batches_of, components, row_slices, small_or_plain, unused
 
 WORDS_PER_SHINGLE = 3
 SEED = 42
 BITS = 3
 CHUNK = 1 << 16
+# Texts that Python holds at a time where it also makes their minima.
+TEXT_ROWS = 2_000
 _PAIRS = 0x55555555
 
 
@@ -128,9 +130,10 @@ def keep_one(
 ) -> DataFrame:
     """One row of ``docs`` for each class of near copies, all columns as they are: the row of
     the smallest id (null only if there is no other), of equal ids the one of the smallest mark and
-    text hash, of repeated rows any. Texts are linked whose sets of five-word shingles have a
-    Jaccard index of ``similarity`` or more (``exact`` as in ``resemblance``); null texts and those
-    without words are one class. An empty table gives an empty one. Column names are free.
+    text hash, of repeated rows any. Texts are linked whose fingerprints differ in at most ``BITS`` bits
+    (``links``, as in ``near_copies``), and those whose sets of five-word shingles have a Jaccard index of
+    ``similarity`` or more (``exact`` as in ``resemblance``); null texts and those without words are
+    one class. An empty table gives an empty one. Column names are free.
 
     Texts are not written: a row is known by its id and the hash of its text, and copies of a
     text are one point from the start."""
@@ -142,10 +145,35 @@ def keep_one(
     return _without(docs, gone, repeated, F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col).cast("string")))
 
 
+def _marks(batches):
+    """(id, digest, text) -> (id, digest, mark, print, minima): ``resemblance``'s and the fingerprint."""
+    for batch in batches:
+        for own, texts in zip(resemblance.marks([batch]), row_slices([batch], 2)):
+            prints = np.array([fingerprint(t) for t in texts.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*own.columns[:3], pa.array(prints), own.column(3)], ["id", "digest", "mark", "print", "minima"])
+
+
+def _print_links(marked: DataFrame) -> DataFrame:
+    """(a, b): links between the ``mark`` values whose ``print`` differ in at most ``BITS`` bits. Marks
+    of one fingerprint hang on the smallest of them, which meets those of linked fingerprints."""
+    prints = materialize(marked.groupBy("print").agg(F.min("mark").alias("low"), F.max("mark").alias("high")), "prints")
+    shared = small_or_plain(
+        materialize(prints.where("low < high").select(F.col("print").alias("p"), "low"), "shared"), F.lit(16))
+    same = marked.select("mark", "print").distinct().join(shared, F.col("print") == F.col("p")).where("mark != low").select(
+        F.col("low").alias("a"), F.col("mark").alias("b"))
+    met = materialize(links(prints.select(F.col("print").alias("mark"))), "print-links")
+    one, two = (prints.select(F.col("print").alias(p), F.col("low").alias(m)) for p, m in (("p", "m"), ("q", "n")))
+    across = met.join(one, F.col("a") == F.col("p")).join(two, F.col("b") == F.col("q")).where("m != n").select(
+        F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b"))
+    return same.unionByName(across)
+
+
 def _decided(rows: DataFrame, similarity: float, exact: bool) -> tuple[DataFrame, DataFrame, list[str]]:
     """Of ``rows`` (id, digest, text): the (id, digest) that go, those that stay but are repeated,
     and where these two tables are."""
-    marked = materialize(arrow_map(rows, resemblance.marks, "id bigint, digest bigint, mark bigint, minima binary"), "marked")
+    with batches_of(rows.sparkSession, TEXT_ROWS):
+        marked = materialize(arrow_map(rows, _marks, "id bigint, digest bigint, mark bigint, print bigint, minima binary"), "marked")
     row = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     points = materialize(marked.groupBy("mark").agg(F.min(row).alias("row"), F.first("minima").alias("minima")), "points")
 
@@ -156,7 +184,8 @@ def _decided(rows: DataFrame, similarity: float, exact: bool) -> tuple[DataFrame
         # Repeated rows of the same id and text are one.
         return met.groupBy("mark").agg(F.first("text").alias("text"))
 
-    roots = components(materialize(resemblance.resembling(points, texts_of, similarity, exact), "links"), "links")
+    alike = _print_links(marked).unionByName(resemblance.resembling(points.select("mark", "minima"), texts_of, similarity, exact))
+    roots = components(materialize(alike, "links"), "links")
     classed = points.select("mark", "row").join(roots, F.col("mark") == F.col("node"), "left").select(
         "row", "mark", F.coalesce("root", "mark").alias("root"))
     best = materialize(classed.groupBy("root").agg(F.min(F.struct("row.none", "row.id", "mark", "row.digest")).alias("b")).select(

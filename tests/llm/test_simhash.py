@@ -212,3 +212,15 @@ def test_pairs_of_a_crowd_are_not_formed(spark, monkeypatch):
         sizes.append(dict(rows))
     print(sizes)
     assert sum(sizes[1].values()) < 3 * sum(sizes[0].values())
+
+
+def test_links_of_fingerprints_decide_which_row_stays(spark, monkeypatch):
+    """The step has the links of ``near_copies``: texts whose fingerprints link go though their shingles
+    resemble too little."""
+    base = prose(9, 400).split()
+    texts = [" ".join(base)] + [" ".join(w + f" x{i}" if at == i else w for at, w in enumerate(base)) for i in (50, 150, 250, 350)]
+    docs = documents(spark, list(enumerate(texts)))
+    classes = {r.id: r.class_id for r in near_copies(docs).collect()}
+    assert len(set(classes.values())) < len(classes)
+    monkeypatch.setattr(resemblance, "resembling", lambda points, *_: points.select(F.col("mark").alias("a"), F.col("mark").alias("b")).limit(0))
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == sorted(set(classes.values()))
