@@ -14,7 +14,8 @@ copies cost nothing extra on either side:
    cells hold several sets, and the bounds are those of their farthest possible row.
 2. A gap is sent to the cells whose box may hold one of its k nearest: those no
    farther than k donors known to exist, be they samples kept from each cell or all
-   donors of one box. No neighbour is missed.
+   donors of one box. No neighbour is missed. Gaps travel in the order of their own cells, and
+   those side by side first drop the cells that none of them can want.
 3. Where cells hold many tuples, as the number of boxes a task can carry is limited,
    they are cut again, into as many parts as their tuples ask for. The boxes of the parts
    are a table: gaps meet those of their cells in a join and go on to the parts that may
@@ -280,6 +281,48 @@ def _cells_to_search(points, low, high, copies, samples, k, mixed=False, complet
     return chosen, reach
 
 
+def _cells_near(points, low, high, copies, samples, k, mixed=False, complete=None):
+    """(cells, samples) that matter to any of ``points``, which all hold the same columns: by the box around
+    the points. Left out are those farther from all of the box than ``k`` donors are from its farthest
+    point, so ``_cells_to_search`` gives the same with the rest."""
+    width = points.shape[1]
+    held = np.flatnonzero(~np.isnan(points[0]))
+    nearest = np.full(len(low), np.inf) if mixed else np.zeros(len(low))
+    farthest, certain = np.zeros(len(low)), np.zeros(len(low))
+    sample_near, sample_far = np.zeros(len(samples)), np.zeros(len(samples))
+    for j in held:
+        start, stop = points[:, j].min(), points[:, j].max()
+        has, known = ~np.isnan(low[:, j]), ~np.isnan(samples[:, j])
+        lo, hi, x = low[has, j], high[has, j], samples[known, j]
+        near = np.maximum(np.maximum(lo - stop, start - hi), 0.0) ** 2
+        if mixed:
+            nearest[has] = np.minimum(nearest[has], near)
+            if complete is not None and complete[j]:
+                certain[has] += near
+        else:
+            nearest[has] += near
+            farthest[has] += np.maximum(stop - lo, hi - start) ** 2
+        sample_near[known] += np.maximum(np.maximum(x - stop, start - x), 0.0) ** 2
+        sample_far[known] += np.maximum(np.abs(x - start), np.abs(x - stop)) ** 2
+    p, sample_p = (~np.isnan(low[:, held])).sum(axis=1), (~np.isnan(samples[:, held])).sum(axis=1)
+    terms = 1 if mixed else np.maximum(p, 1)
+    nearest, farthest = nearest * (width / terms), farthest * (width / terms)
+    nearest = np.maximum(nearest, certain * (width / max(1, len(held))))
+    scale = width / np.maximum(sample_p, 1)
+    sample_near, sample_far = sample_near * scale, sample_far * scale
+    reach = 0.0
+    for f in np.setdiff1d(np.arange(width), held):
+        donors = (p > 0) & ~np.isnan(low[:, f]) & (copies >= k)
+        usable = (sample_p > 0) & ~np.isnan(samples[:, f])
+        bound = farthest[donors].min(initial=np.inf) if not mixed else np.inf
+        if usable.sum() >= k:
+            bound = min(bound, np.partition(sample_far[usable], k - 1)[k - 1])
+        reach = max(reach, bound)
+    # The slack covers rounding in the sums.
+    reach = reach * (1 + 1e-6) + 1e-300
+    return np.flatnonzero(nearest <= reach), np.flatnonzero(sample_near <= reach)
+
+
 # --------------------------------------------------------------------------- #
 # search
 # --------------------------------------------------------------------------- #
@@ -299,10 +342,12 @@ def _search(tuples, names, grid, k, block_rows, report=None):
             for _, same in _by_pattern(points):
                 for start in range(0, len(same), GAP_BATCH):
                     part = same[start : start + GAP_BATCH]
-                    hit, reaches[part] = _cells_to_search(points[part], *shared.value)
+                    low, high, copies, samples, *how = shared.value
+                    near, met = _cells_near(points[part], *shared.value)
+                    hit, reaches[part] = _cells_to_search(points[part], low[near], high[near], copies[near], samples[met], *how)
                     r, c = np.nonzero(hit)
                     rows.append(part[r])
-                    cells.append(c)
+                    cells.append(near[c])
             if not rows:
                 continue
             routed = batch[["rid", *names]].iloc[np.concatenate(rows)].reset_index(drop=True)
@@ -317,8 +362,10 @@ def _search(tuples, names, grid, k, block_rows, report=None):
     columns = ", ".join(f"{c} double" for c in names)
     gaps = materialize(
         tuples.where(_has_gap(names))
-        .select("rid", *names)
-        .repartition(tasks, "rid")
+        .select("rid", *names, grid.cell.alias("own"))
+        .repartitionByRange(tasks, "own", "rid")
+        .sortWithinPartitions("own", "rid")
+        .drop("own")
         .mapInPandas(route, f"rid bigint, {columns}, cell string, reach double"),
         "knn-gaps",
     )

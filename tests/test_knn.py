@@ -194,3 +194,24 @@ def test_products_choose_what_pairs_choose():
 
     pairs = knn._pattern_pairs(gaps, knn._by_pattern(gaps), donors, knn._by_pattern(donors), 5)
     assert best(pairs) == best(knn._by_products(gaps, donors, 5))
+
+
+def boxes(side, draw):
+    """Cells of a square grid in two columns, 20 donors each, the third column theirs alone."""
+    corners = np.array([(i, j, 0.0) for i in range(side) for j in range(side)], dtype=float)
+    inside = corners[:, None, :] + draw.random((len(corners), 20, 3))
+    return inside.min(axis=1), inside.max(axis=1), np.full(len(corners), 20), inside[:, :3].reshape(-1, 3)
+
+
+@pytest.mark.parametrize("mixed, at", [(False, (3.0, 7.0)), (True, (3.0, 7.0)), (False, (-50.0, 90.0))])
+def test_gaps_side_by_side_meet_the_cells_around_only(mixed, at):
+    """The same cells as by a search in all of them, which took a step for each gap and cell."""
+    draw = np.random.default_rng(11)
+    low, high, copies, samples = boxes(30, draw)
+    complete = np.array([True, True, False])
+    points = np.column_stack([draw.random((64, 2)) + at, np.full(64, np.nan)])
+    near, met = knn._cells_near(points, low, high, copies, samples, 5, mixed, complete)
+    want, far = knn._cells_to_search(points, low, high, copies, samples, 5, mixed, complete)
+    got, reach = knn._cells_to_search(points, low[near], high[near], copies[near], samples[met], 5, mixed, complete)
+    assert np.array_equal(want[:, near], got) and want.sum() == got.sum() and np.array_equal(far, reach)
+    assert len(near) < len(low) / 10
