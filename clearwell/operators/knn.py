@@ -427,6 +427,11 @@ def _best(candidates, k):
     return candidates.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
+def _once(candidates):
+    """A donor may be met in several columns; it counts once. Dealt by gap, as the best of each are."""
+    return candidates.repartition("rid", "f").dropDuplicates(["rid", "f", "donor"])
+
+
 def _folded(candidates, k):
     """(rid, f, value): copies of a donor count one by one, up to k in all."""
     folded = F.aggregate(
@@ -521,8 +526,7 @@ def _search_columns(tuples, names, k, block_rows, report=None):
     cells = materialize(donors.groupBy("cell").agg(F.count(F.lit(1)).alias("tuples")), "knn-cells")
     gaps = tuples.where(_has_gap(names)).select("rid", *names)
     near = gaps.repartition(tasks, "rid").mapInPandas(own_slices, f"rid bigint, {columns}, cell bigint")
-    # A donor may be met in several columns; it counts once.
-    first = materialize(_best(_met(near, donors, cells, names, k, block_rows, tasks).dropDuplicates(["rid", "f", "donor"]), k).drop("place"), "knn-first")
+    first = materialize(_best(_once(_met(near, donors, cells, names, k, block_rows, tasks)), k).drop("place"), "knn-first")
     so_far = F.sum("n").over(Window.partitionBy("rid", "f").orderBy("d", "value", "donor"))
     bounds = first.withColumn("so_far", so_far).where(F.col("so_far") >= k).groupBy("rid", "f").agg(F.min("d").alias("d")).groupBy("rid").agg(
         F.max("d").alias("d"), F.count(F.lit(1)).alias("bounded")).withColumnRenamed("rid", "of")
@@ -536,7 +540,7 @@ def _search_columns(tuples, names, k, block_rows, report=None):
         own = gaps.agg(F.sum(held)).first()[0]
         report.update(index="columns", cells=cells.count(), gaps=gaps.count(), routed=own + further.count())
     second = _met(further, donors, cells, names, k, block_rows, tasks)
-    return _folded(first.unionByName(second).dropDuplicates(["rid", "f", "donor"]), k)
+    return _folded(_once(first.unionByName(second)), k)
 
 
 # --------------------------------------------------------------------------- #
@@ -612,8 +616,8 @@ def _by_pattern(points):
 
 def _nearest(gap_rows, donor_rows, names, k):
     """The ``k`` best donors of one block for each gap of one block."""
-    out = [pd.DataFrame({"rid": [], "f": [], "d": [], "value": [], "n": [], "donor": []}).astype(
-        {"rid": "int64", "f": "int32", "n": "int64", "donor": "int64"})]
+    # One frame a block: a frame for each batch would take longer than the search in it.
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     gaps, rid = gap_rows[names].to_numpy(dtype=float), gap_rows["rid"].to_numpy()
     donors, copies, ids = donor_rows[names].to_numpy(dtype=float), donor_rows["n"].to_numpy(), donor_rows["rid"].to_numpy()
     held, known = _by_pattern(donors), _by_pattern(gaps)
@@ -624,9 +628,8 @@ def _nearest(gap_rows, donor_rows, names, k):
         owner = gap[order]
         place = np.arange(len(owner)) - np.searchsorted(owner, owner)
         top = order[place < k]
-        out.append(pd.DataFrame({
-            "rid": rid[gap[top]], "f": np.int32(f), "d": distance[top], "value": value[top], "n": copies[donor[top]], "donor": ids[donor[top]]}))
-    return pd.concat(out, ignore_index=True)
+        out.append((rid[gap[top]], np.full(len(top), f, np.int32), distance[top], value[top], copies[donor[top]], ids[donor[top]]))
+    return pd.DataFrame(dict(zip(("rid", "f", "d", "value", "n", "donor"), map(np.concatenate, zip(*out)))))
 
 
 def _pattern_pairs(gaps, gap_patterns, donors, donor_patterns, k):

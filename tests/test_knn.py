@@ -215,3 +215,14 @@ def test_gaps_side_by_side_meet_the_cells_around_only(mixed, at):
     got, reach = knn._cells_to_search(points, low[near], high[near], copies[near], samples[met], 5, mixed, complete)
     assert np.array_equal(want[:, near], got) and want.sum() == got.sum() and np.array_equal(far, reach)
     assert len(near) < len(low) / 10
+
+
+def test_a_block_makes_one_frame(monkeypatch):
+    """Not one for each batch of gaps and column, which took longer than the search in it."""
+    pdf = scattered(400, 6, 0.35, 3)
+    names = list(pdf.columns)
+    rows = pdf.assign(rid=np.arange(len(pdf)), n=1)
+    made, frame_of = [], pd.DataFrame
+    monkeypatch.setattr(knn.pd, "DataFrame", lambda *a, **b: made.append(1) or frame_of(*a, **b))
+    found = knn._nearest(rows, rows, names, 5)
+    assert len(made) == 1 and len(found) == 5 * int(pdf.dropna(how="all").isna().to_numpy().sum())
