@@ -19,7 +19,7 @@ from ..functions.types import numeric_columns, ref
 TREES = 200
 TREE_ROWS = 256
 SEED = 42
-# A table with fewer rows per core is spread over all cores before scoring.
+# Rows of a split that are scored in one task; a table in larger or fewer splits is dealt anew.
 ROWS_PER_SPLIT = 500_000
 EULER_GAMMA = 0.5772156649015329
 
@@ -62,9 +62,10 @@ def _mean_path(points: np.ndarray, trees, max_depth: int) -> np.ndarray:
     flat, rows = np.asfortranarray(points).ravel(order="F"), np.arange(count)
     total = np.zeros(count)
     for feature, cut, left, right, path in trees:
-        at = np.zeros(count, dtype=np.int64)
         offset, child = feature * count, np.column_stack([left, right]).ravel()
-        for _ in range(max_depth):
+        # All rows are at the root at first: its column as it is.
+        at = child.take((points[:, feature[0]] > cut[0]).astype(np.int64))
+        for _ in range(max_depth - 1):
             value = flat.take(offset.take(at) + rows)
             at = child.take(2 * at + (value > cut.take(at)))
         total += path.take(at)
@@ -79,6 +80,7 @@ class IsolationModel:
     max_depth: int = 0
     threshold: float | None = None
     seen: int = 0  # complete rows of the table it was grown on
+    largest: int = 0  # of these in its largest split
 
     def score(self, df: DataFrame, name: str = "anomaly_score") -> DataFrame:
         """Anomaly score in 0..1; NULL for rows with a NULL feature."""
@@ -135,7 +137,8 @@ def grow_forest(
     names = [f"x{i}" for i in range(len(columns))]
     draw = F.xxhash64(*map(ref, key), F.lit(seed)) if key else F.xxhash64(F.rand(seed))
     rows = df.select(draw.alias("draw"), *features).na.drop("any", subset=names)
-    total = rows.count()
+    splits = rows.groupBy(F.spark_partition_id()).count()
+    total, largest = splits.agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
     if not total:
         return IsolationModel(columns, [], 0)
     tree_rows = min(tree_rows, total)
@@ -178,7 +181,7 @@ def grow_forest(
         tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "path"))
         for _, t in grown.groupby("tree")
     ]
-    return IsolationModel(columns, forest, tree_rows, max_depth, seen=total)
+    return IsolationModel(columns, forest, tree_rows, max_depth, seen=total, largest=largest)
 
 
 def fit_isolation_forest(
@@ -191,6 +194,14 @@ def fit_isolation_forest(
     return model
 
 
+def _splits(seen: int, largest: int, cores: int) -> int:
+    """In how many splits a table is scored, 0 if those it has will do: none so large that a few tasks
+    have the work, whatever the files."""
+    if seen >= cores * ROWS_PER_SPLIT and largest <= 2 * ROWS_PER_SPLIT:
+        return 0
+    return max(cores, -(-seen // ROWS_PER_SPLIT))
+
+
 def flag_anomalies(
     df: DataFrame, contamination: float = 0.05, name: str = "is_outlier", **options
 ) -> DataFrame:
@@ -199,10 +210,9 @@ def flag_anomalies(
     model = grow_forest(df, **options)
     if not model.trees:
         return df.withColumn(name, F.lit(False))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if model.seen < cores * ROWS_PER_SPLIT:
-        # A small table sits in few splits, too few for the scoring work.
-        df = df.repartition(cores)
+    splits = _splits(model.seen, model.largest, df.sparkSession.sparkContext.defaultParallelism)
+    if splits:
+        df = df.repartition(splits)
     scored = materialize(model.score(df, "__score"), "anomaly-scores")
     model.set_threshold(scored, "__score", contamination)
     return scored.withColumn(name, model.above(F.col("__score"))).drop("__score")
