@@ -30,16 +30,28 @@ def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+_HELD_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+
+
+def hold_at_most(spark: SparkSession, rows: int) -> None:
+    """From now on a task of the session reads, and hands to Python, at most so many rows at a time;
+    a lower setting stays. Whole texts in the usual thousands are arrays of tens of megabytes, each
+    several times over: in the heap, beside it and in Python."""
+    for name in _HELD_ROWS:
+        before = int(spark.conf.get(name))
+        spark.conf.set(name, min(before, rows) if before > 0 else rows)
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs run inside the block hand at most so many rows at a time to Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    """``hold_at_most`` for the jobs run inside the block."""
+    before = {name: spark.conf.get(name) for name in _HELD_ROWS}
+    hold_at_most(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def small_or_plain(df: DataFrame, size: Column) -> DataFrame:

@@ -3,9 +3,11 @@
 import os
 import zlib
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from clearwell.llm.common import batches_of
 from clearwell.llm.decontaminate import contamination
 from clearwell.llm.pii import base_spans
 from clearwell.llm.queries import ORACLE_SQL, QUERIES
@@ -71,3 +73,28 @@ def test_stages_on_awkward_rows(spark, tmp_path, rows):
             assert docs.columns == names and docs.count() <= kept
             kept = docs.count()
     assert docs.select("doc_id", "piece").count() >= kept
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_hold_few_texts_at_a_time(spark, tmp_path, stage):
+    """Batches of 10,000 whole texts took an executor beyond its memory in decontamination."""
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b1", prose(4, 12))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    with batches_of(spark, 10_000):
+        stage(spark, documents(spark, AWKWARD), str(tmp_path))
+        held = spark.range(0, 3_000, 1, 1).mapInArrow(rows, "n bigint").collect()
+    assert sum(r.n for r in held) == 3_000 and max(r.n for r in held) <= corpus_pipeline.TEXT_ROWS
+
+
+def test_batches_are_set_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with batches_of(spark, 700):
+        with batches_of(spark, 900):
+            assert spark.conf.get(name) == "700"
+    assert spark.conf.get(name) == before
