@@ -26,6 +26,8 @@ SEPARATORS = ("/", "-", ".")
 USUALLY_DAY_FIRST = frozenset(".")
 # Two-digit years from here on are of the last century.
 CENTURY = 69
+# Rows of a split whose cells are read in one task; a table in larger splits is dealt anew.
+ROWS_PER_SPLIT = 50_000
 _CLOCK = r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]{1,9})?)?(?: ?[ap]m)?"
 _OFFSET = r"z|utc|gmt|(?:utc|gmt)?[+-][0-9]{2}(?::?[0-9]{2})?"
 _TIME = rf"[ t]({_CLOCK})( ?(?:{_OFFSET})| [a-z]{{3,4}})?$"
@@ -128,6 +130,18 @@ def _parts(col: Column, *wanted: str) -> Column:
         day.rlike(_NUMBERS), lambda numbers: of_day(text, day, numbers))))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in splits of a bounded number of rows. A cell takes many regular expressions, and a file of
+    few bytes holds millions of rows, which were the work of one task. A stream stays as it is."""
+    if df.isStreaming:
+        return df
+    splits = df.groupBy(F.spark_partition_id()).count()
+    total, largest = splits.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if largest <= 2 * ROWS_PER_SPLIT:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-total // ROWS_PER_SPLIT)))
+
+
 def layout(df: DataFrame, column: str) -> Layout:
     """The layout that reads most cells of a text column; one aggregate. The usual one for a stream."""
     if df.isStreaming:

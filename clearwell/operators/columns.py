@@ -40,6 +40,7 @@ def change_type(
         if missing_text is not None:
             new = F.coalesce(new, F.lit(missing_text))
     elif target_type == "datetime":
+        df = dealt_dates(df, column, formats)
         new = column_as_datetime(df, column, formats)
     else:
         return df
@@ -64,6 +65,11 @@ def to_datetime(col: Column, dtype: T.DataType, formats=None, layout: dates.Layo
     return F.lit(None).cast("timestamp_ntz")
 
 
+def dealt_dates(df: DataFrame, column: str, formats=None) -> DataFrame:
+    """``df``, in splits of a bounded number of rows if ``column_as_datetime`` has texts to read."""
+    return dates.dealt(df) if isinstance(df.schema[column].dataType, T.StringType) and not formats else df
+
+
 def column_as_datetime(df: DataFrame, column: str, formats=None) -> Column:
     """``to_datetime`` of a column, whose layout is counted first if it is text."""
     dtype = df.schema[column].dataType

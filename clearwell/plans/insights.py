@@ -14,7 +14,7 @@ from ..functions.types import (
     other_columns,
     ref,
 )
-from ..operators.columns import column_as_datetime
+from ..operators.columns import column_as_datetime, dealt_dates
 
 SCHEMA = (
     "position int, type string, title string, description string, "
@@ -197,7 +197,9 @@ def daily_means(
 ) -> DataFrame:
     """(day, mean) for the days that hold a value, unordered. ``when``: the date column as a time,
     if it is known already."""
-    when = column_as_datetime(df, date_column) if when is None else when
+    if when is None:
+        df = dealt_dates(df, date_column)
+        when = column_as_datetime(df, date_column)
     return (
         df.select(F.to_date(when).alias("day"), ref(value_column).cast("double").alias("value"))
         .where(F.col("day").isNotNull())
@@ -212,6 +214,7 @@ def _trend_rows(df, full):
     if not dates:
         return []
     date = dates[0]
+    df = dealt_dates(df, date)
     when = column_as_datetime(df, date)
     dated = df.where(when.isNotNull())
     columns = [c for c in numeric_columns(df) if c != date]

@@ -179,3 +179,19 @@ def test_a_date_is_read_once_a_cell_with_zones(spark):
     out = change_type(df, "t", "datetime")
     assert regexes(out) < 100
     assert [str(r.t) for r in out.collect()] == ["2024-01-05 08:00:00", "2024-01-05 10:00:00"]
+
+
+def test_dates_of_one_split_are_dealt_out(spark, monkeypatch):
+    """A file of many rows was read by one task, so the time grew with the file, whatever the cores."""
+    from clearwell.functions import dates
+
+    monkeypatch.setattr(dates, "ROWS_PER_SPLIT", 10)
+    days = spark.range(0, 95, 1, 1).select(
+        "id", F.concat(F.lit("2024-01-05 10:00+0"), F.col("id") % 3, F.lit(":00")).alias("t"), F.lit("13/02/2024").alias("d"))
+    out = change_type(change_type(days, "t", "datetime"), "d", "datetime")
+    splits = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(splits) == 95 and max(splits) <= 20
+    assert {r.id: (str(r.t), str(r.d)) for r in out.collect()} == {
+        i: (f"2024-01-05 {10 - i % 3:02}:00:00", "2024-02-13 00:00:00") for i in range(95)}
+    few = days.limit(20)
+    assert dates.dealt(few) is few and dates.dealt(days.limit(0)).count() == 0
