@@ -10,7 +10,9 @@ Texts of equal sets are one point, so copies, however many, are met once. Of a b
 points of one key) every point first meets the smallest only, which joins a large group of near copies
 without its pairs; so it does in the first divisions, and where dividing ends. Buckets of one class are then done. In others all
 pairs across classes are met while the bucket is small. A crowded bucket, say texts around one
-passage that do not resemble by themselves, is divided anew: each of its points goes to
+passage that do not resemble by themselves, is no table of pairs: up to ``GATHERED`` points come
+together in a task with their sets (of a large one the ``SET`` least shingles), whose pairs across classes are one
+product of matrices; only those that resemble leave it. A larger one is divided first: each of its points goes to
 ``TRIES`` = 4 smaller buckets by eight minima more, and so on, so the pairs of a crowd are never
 formed and work grows with the points. ``exact=True`` forms them instead.
 """
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.packaging import ship
 from ..functions.storage import drop_table, materialize, scratch
 from .common import UINT, arrow_map, batches_of, components, gram_hashes, mix, row_slices, word_hashes
 
@@ -33,12 +36,16 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 # A division: so many buckets for each point, each by so many minima more.
 TRIES, DEEPER = 4, 8
-# Points of a bucket whose pairs are formed; larger buckets are divided, at most so often.
+# Points of a bucket whose pairs are formed, and of one that a task compares by the sets of its points,
+# each of at most so many shingles; larger buckets are divided, at most so often.
 CROWD = 16
+GATHERED, SET = 2048, 512
 LEVELS = 8
 # Pairs for each point of the table that are formed at once, however crowded the buckets left.
 PAIRS = 1
 CHUNK = 1024
+# Sets of a bucket that are compared with all of it at a time.
+ROWS_AT_ONCE = 256
 # Pairs of texts that Python holds at a time.
 TEXT_ROWS = 1_000
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
@@ -172,6 +179,79 @@ def _resembling(similarity: float):
     return run
 
 
+def _sets(batches):
+    """(mark, text) -> (mark, whole, grams): the sorted ``SET`` least shingles, and if that is all."""
+    for batch in row_slices(batches, 1):
+        sets = [shingles(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(s) <= SET for s in sets]), pa.array([s[:SET].tobytes() for s in sets], pa.binary())],
+            ["mark", "whole", "grams"])
+
+
+def shared_grams(sets: list[np.ndarray], some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of ``some`` numbers of ``sets``: how many elements each of these shares with each of all."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, gram, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Elements of one set only are shared by none.
+    column, shared = (np.cumsum(times > 1) - 1)[gram], times[gram] > 1
+    order = np.argsort(column[shared], kind="stable")
+    owner, column = owner[shared][order], column[shared][order]
+    for start in range(0, len(some), ROWS_AT_ONCE):
+        rows = some[start : start + ROWS_AT_ONCE]
+        both = np.zeros((len(rows), len(sets)), np.float32)
+        for at in range(0, int((times > 1).sum()), CHUNK):
+            low, high = np.searchsorted(column, (at, at + CHUNK))
+            has = np.zeros((len(sets), CHUNK), np.float32)
+            has[owner[low:high], column[low:high] - at] = 1
+            both += has[rows] @ has.T
+        yield rows, both.astype(np.int64)
+
+
+def _gathered(similarity: float):
+    """A bucket (mark, class, whole, grams) -> (a, b, sure): pairs across classes that resemble (of sets
+    that are whole, a forest of them), and those of which the least shingles cannot tell."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        mark, kind, whole = (bucket.column(c).to_numpy() for c in ("mark", "class", "whole"))
+        sets = [np.frombuffer(g, UINT) for g in bucket.column("grams").to_pylist()]
+        names, number, times = np.unique(kind, return_inverse=True, return_counts=True)
+        root = list(range(len(names)))
+
+        def top(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        # Sets are compared as far as both are known: below the least of their last shingles.
+        reach = np.array([np.iinfo(UINT).max if w else s[-1] for w, s in zip(whole, sets)], UINT)
+        fine, unsure = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        # Every pair across classes has an end outside the largest class.
+        for rows, both in shared_grams(sets, np.flatnonzero(number != times.argmax())):
+            of = np.stack([np.searchsorted(sets[i], reach, "right") for i in rows])
+            of += np.stack([np.searchsorted(s, reach[rows], "right") for s in sets], axis=1) - both
+            known = whole[rows][:, None] & whole
+            least = similarity - np.where(known, 0, 4 * (similarity * (1 - similarity) / np.maximum(of, 1)) ** 0.5)
+            x, y = np.nonzero((both >= least * of) & (number[rows][:, None] != number))
+            pairs = np.stack([rows[x], y], axis=1)
+            unsure.append(pairs[~known[x, y]])
+            for a, b in pairs[known[x, y]].tolist():
+                i, j = top(number[a]), top(number[b])
+                if i != j:
+                    root[i] = j
+                    fine.append(np.array([[a, b]]))
+        tops = np.array([top(i) for i in range(len(names))])[number]
+        pairs = np.concatenate(unsure)
+        # What the sure links join needs no other.
+        pairs = pairs[tops[pairs[:, 0]] != tops[pairs[:, 1]]]
+        links = np.concatenate(fine)
+        a, b = mark[np.concatenate([links, pairs])].T
+        return pa.table({
+            "a": np.minimum(a, b), "b": np.maximum(a, b), "sure": np.arange(len(a)) < len(links)})
+
+    return run
+
+
 # -- over the table ---------------------------------------------------------- #
 
 
@@ -182,6 +262,14 @@ def _paired(pairs: DataFrame, side: DataFrame, what: str) -> DataFrame:
     return pairs.join(of, F.col("a") == F.col("m")).join(and_of, F.col("b") == F.col("n")).select("a", "b", "x", "y")
 
 
+def _compared(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, sure): what ``_gathered`` finds in the buckets of ``members`` (key, mark, class)."""
+    ship(members.sparkSession)
+    full = members.join(sets.withColumnRenamed("mark", "m"), F.col("mark") == F.col("m")).select(
+        "key", "mark", "class", "whole", "grams")
+    return full.groupBy("key").applyInArrow(_gathered(similarity), "a bigint, b bigint, sure boolean").distinct()
+
+
 def _ordered(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -241,12 +329,23 @@ def resembling(
             F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select(
             F.col("key").alias("at"), "n"), "mixed")
         left_pairs = mixed.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
-        crowded = F.lit(False) if exact or level == LEVELS - 1 or left_pairs <= PAIRS * count else F.col("n") > CROWD
-        few = classed.join(mixed.where(~crowded), F.col("key") == F.col("at"), "left_semi")
+        formed = exact or left_pairs <= PAIRS * count
+        way = F.lit("formed") if formed else F.when(F.col("n") <= CROWD, "formed").when(F.col("n") <= GATHERED, "gathered").otherwise(
+            "formed" if level == LEVELS - 1 else "divided")
+        placed = materialize(classed.join(mixed.select("at", way.alias("way")), F.col("key") == F.col("at")).drop("at"), "placed")
+        few = placed.where("way = 'formed'")
         other = few.select(F.col("key").alias("at"), F.col("mark").alias("other"), F.col("class").alias("its"))
         rest.append(materialize(few.join(other, (F.col("key") == F.col("at")) & (F.col("class") < F.col("its"))).select(
             *_ordered("mark", "other")).distinct(), "rest"))
-        buckets = classed.join(mixed.where(crowded), F.col("key") == F.col("at"), "left_semi").groupBy("mark").agg(
+        whole = placed.where("way = 'gathered'")
+        if not formed and not whole.isEmpty():
+            with batches_of(spark, TEXT_ROWS):
+                sets = materialize(
+                    arrow_map(texts_of(whole.select("mark").distinct()), _sets, "mark bigint, whole boolean, grams binary"), "sets")
+            compared = materialize(_compared(whole, sets, similarity), "compared")
+            links.append(compared.where("sure").select("a", "b"))
+            rest.append(compared.where("not sure").select("a", "b"))
+        buckets = placed.where("way = 'divided'").groupBy("mark").agg(
             F.first("class").alias("class"), F.collect_list(F.struct("key", "path")).alias("buckets"))
         buckets = materialize(buckets, "buckets")
         if buckets.isEmpty():

@@ -2,12 +2,13 @@ import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from clearwell.functions.storage import materialize
-from clearwell.llm import resemblance
+from clearwell.llm import resemblance, simhash
 from clearwell.llm.common import arrow_map, components
 from clearwell.llm.simhash import fingerprint, fingerprints, hex_mark, keep_one, links, near_copies
 
@@ -224,3 +225,75 @@ def test_links_of_fingerprints_decide_which_row_stays(spark, monkeypatch):
     assert len(set(classes.values())) < len(classes)
     monkeypatch.setattr(resemblance, "resembling", lambda points, *_: points.select(F.col("mark").alias("a"), F.col("mark").alias("b")).limit(0))
     assert sorted(r.doc_id for r in keep_one(docs).collect()) == sorted(set(classes.values()))
+
+
+def edited(seed, size, words=150):
+    """Copies of one text with none to ten words changed: many link, many do not, and all share keys."""
+    draw = random.Random(seed)
+    base = [f"b{draw.randrange(400)}" for _ in range(words)]
+    out = []
+    for _ in range(size):
+        text = list(base)
+        for at in draw.sample(range(words), draw.choice([0, 1, 2, 3, 4, 6, 8, 10])):
+            text[at] = f"b{draw.randrange(400)}"
+        out.append(text)
+    return out
+
+
+def test_a_crowd_of_copies_is_not_divided_again_and_again(spark, monkeypatch):
+    """A point is in at most one bucket of each band, however crowded; the kept rows are brute force's."""
+    kept, rows = resemblance.materialize, []
+
+    def counted(df, label, with_path=False):
+        out = kept(df, label, with_path)
+        if label == "classed":
+            rows.append((out[0] if with_path else out).count())
+        return out
+
+    monkeypatch.setattr(resemblance, "materialize", counted)
+    # Links of fingerprints come besides.
+    monkeypatch.setattr(simhash, "_print_links", lambda marked: marked.select(
+        F.col("mark").alias("a"), F.col("mark").alias("b")).limit(0))
+    texts = [(i, " ".join(t)) for i, t in enumerate(edited(3, 400))]
+    got = sorted(r.doc_id for r in keep_one(documents(spark, texts)).collect())
+    print(rows)
+    assert got == plain_kept(texts)
+    assert sum(rows) <= resemblance.BANDS * len(texts)
+
+
+@pytest.mark.parametrize("limit", [512, 64])
+def test_a_bucket_compared_by_sets_loses_no_link(monkeypatch, limit):
+    """Sets that are whole give links that reach what brute force reaches; of cut ones no pair is lost."""
+    monkeypatch.setattr(resemblance, "SET", limit)
+    monkeypatch.setattr(resemblance, "ROWS_AT_ONCE", 7)
+    sets = list({resemblance.set_mark(s): s for s in (resemblance.shingles(" ".join(t)) for t in edited(5, 120))}.values())
+    # Some sets are whole beside cut ones, and some points are of one class already.
+    sets += [sets[0][:50], sets[0][:45]]
+    kind = [7 if i % 5 == 0 else 100 + i for i in range(len(sets))]
+    bucket = pa.table({
+        "key": [1] * len(sets), "mark": list(range(len(sets))), "class": kind,
+        "whole": [len(s) <= limit for s in sets], "grams": pa.array([s[:limit].tobytes() for s in sets], pa.binary())})
+    found = resemblance._gathered(0.8)(bucket).to_pylist()
+
+    def index(a, b):
+        both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+        return both / (len(sets[a]) + len(sets[b]) - both)
+
+    def reached(pairs):
+        root = {k: k for k in kind}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            root[find(kind[a])] = find(kind[b])
+        return {frozenset(k for k in root if find(k) == find(x)) for x in root}
+
+    true = [(a, b) for b in range(len(sets)) for a in range(b) if kind[a] != kind[b] and index(a, b) >= 0.8]
+    assert true and len(true) < len(sets) * (len(sets) - 1) / 4
+    assert all(r["a"] < r["b"] and kind[r["a"]] != kind[r["b"]] for r in found)
+    assert all(r["sure"] == (max(len(sets[r["a"]]), len(sets[r["b"]])) <= limit) for r in found)
+    assert all(index(r["a"], r["b"]) >= 0.8 for r in found if r["sure"])
+    assert reached([(r["a"], r["b"]) for r in found if not r["sure"] and index(r["a"], r["b"]) >= 0.8 or r["sure"]]) == reached(true)
