@@ -7,21 +7,20 @@ the mean of its column over the k nearest rows that hold it.
 The search works on distinct numeric tuples with their number of copies, so hot
 copies cost nothing extra on either side:
 
-1. Tuples are put into cells: same set of missing columns, same slices of the
-   columns, cut finest where distances are longest. Each cell's bounding box and
-   size go to every task; the number of cells is checked, and the grid is made
-   coarser until it fits. Where there are more sets of missing columns than cells,
-   cells hold several sets, and the bounds are those of their farthest possible row.
+1. Tuples are put into cells: same set of missing columns, same leaf of a tree of cuts
+   that is drawn from a bounded sample, so cells hold as many tuples each, also where
+   columns go together. Columns that no gap has are not cut. Each cell's bounding box and
+   size go to every task; there are ``max_cells`` at most. Where there are more sets of
+   missing columns than cells, cells hold several sets, and the bounds are those of their
+   farthest possible row.
 2. A gap is sent to the cells whose box may hold one of its k nearest: those no
-   farther than k donors known to exist, be they samples kept from each cell or all
+   farther than k donors known to exist, be they samples or all
    donors of one box. No neighbour is missed. Gaps travel in the order of their own cells, and
    those side by side first drop the cells that none of them can want.
-3. Where cells hold many tuples, as the number of boxes a task can carry is limited,
-   they are cut again, into as many parts as their tuples ask for. The boxes of the parts
-   are a table: gaps meet those of their cells in a join and go on to the parts that may
-   hold a neighbour. So a part stays of one size however large the table is.
-4. Cell by cell, in blocks of bounded size on both sides, NumPy keeps the k best
-   donors per gap; a grouped top-k merges the blocks.
+3. Cell by cell, in blocks of bounded size on both sides, donors are cut again into parts.
+   A gap meets the part nearest to it, then those that its k-th distance reaches, so its
+   work depends little on the size of the cells, which grow where their number may not.
+4. NumPy keeps the k best donors per gap; a grouped top-k merges the blocks.
 
 Where gaps are scattered over all columns, many donors share one column only with a gap, so the nearest
 are close in that column and a grid over all columns prunes little. Such tables are searched by column
@@ -47,22 +46,26 @@ from ..functions.types import numeric_columns, ref
 MAX_CELLS = 8_000
 # Tuples a cell should hold on average, and rows per side of one search block.
 CELL_ROWS = 2_048
-# Tuples in some cell from which on cells are cut again.
-CUT_FROM = 4 * CELL_ROWS
-# Donors of all cells kept as samples, one per cell at least.
+# Donors of a block from which on they are cut again into parts.
+CUT_FROM = 512
+# Donors kept as samples, by which gaps are bounded, where there are many sets of missing columns.
 SAMPLES = 4_096
 BLOCK_ROWS = 8_192
 # Tuples that make a task of their own worth while.
 TASK_ROWS = 1_024
 # Gaps compared with a block of donors at a time.
 GAP_BATCH = 64
+# Gaps compared with a part of a block at a time.
+PART_BATCH = 1_024
 # Tuples on both sides of the probe, and donors with one shared column (for each of k) from which on
 # a table is searched by column.
 PROBE = 1_024
 ONE_SHARED = 64
-# Slices of a column at most, and tuples that their borders are drawn from.
+# Slices of a column at most, and tuples that the borders of slices and cells are drawn from; for cells,
+# whose samples go to every task, as many values at most.
 MAX_SLICES = 16_384
 CUT_SAMPLE = 262_144
+CUT_VALUES = 4_194_304
 # Pairs of sets of missing columns from which on a block is compared by matrix products.
 MANY_PATTERNS = 64
 FOUND = "rid bigint, f int, d double, value double, n bigint, donor bigint"
@@ -100,9 +103,10 @@ def knn_impute(
     if _scattered(tuples, names, k):
         fills = _search_columns(tuples, names, k, block_rows, report)
     else:
-        grid = _fit_grid(tuples, names, [summary.columns[c].variance or 0.0 for c in columns], max_cells)
+        grid = _fit_grid(tuples, names, max_cells)
         fills = _search(tuples, names, grid, k, block_rows, report)
-    return _join_fills(whole, tuples, columns, names, fills, summary, broadcast_rows)
+    lookup = _fills_of_tuples(tuples, names, fills)
+    return _join_fills(whole, lookup, columns, names, summary, broadcast_rows)
 
 
 # --------------------------------------------------------------------------- #
@@ -113,10 +117,11 @@ def knn_impute(
 @dataclass
 class Grid:
     """Cell expression plus, per cell, its size and bounding box (NaN where the
-    cell's rows hold no value)."""
+    cell's rows hold no value), samples, and how many tuples with gaps there are and
+    cells may be."""
 
     cell: F.Column
-    cells: list[str]
+    cells: list[int]
     tuples: np.ndarray
     copies: np.ndarray
     low: np.ndarray
@@ -124,6 +129,8 @@ class Grid:
     samples: np.ndarray
     mixed: bool
     complete: np.ndarray
+    gaps: int
+    most: int
 
 
 def _pattern(names):
@@ -134,68 +141,115 @@ def _has_gap(names):
     return any_of(F.col(c).isNull() for c in names)
 
 
-def _fit_grid(tuples, names, variances, max_cells):
+def _fit_grid(tuples, names, max_cells):
     usable = tuples.where(F.coalesce(*[F.col(c) for c in names]).isNotNull())
     counted = tuples.agg(
         F.count(F.lit(1)).alias("tuples"),
+        F.count(F.when(_has_gap(names), 1)).alias("gaps"),
         *[F.count(F.when(_has_gap(names), F.col(c))).alias(c) for c in names],
         *[F.count(c).alias(f"has_{c}") for c in names],
     ).first()
+    found = usable.groupBy(_pattern(names).alias("held")).agg(F.count(F.lit(1)).alias("tuples")).limit(max_cells + 1).collect()
+    mixed = len(found) > max_cells
+    # One set stands for all where there are more of them than cells.
+    sets = [(None, 1)] if mixed else [(tuple(h == "1" for h in r["held"]), r["tuples"]) for r in found]
+    spare = max(0, min(counted["tuples"] // CELL_ROWS, max_cells) - len(sets))
+    each = max(1, counted["tuples"] // min(CUT_SAMPLE, CUT_VALUES // len(names)))
+    samples = (
+        usable.where(F.pmod(F.xxhash64("rid"), F.lit(each)) == 0).select(*names).toArrow().to_pandas().to_numpy(dtype=float)
+    )
+    known = ~np.isnan(samples)
     # A column the incomplete rows lack plays no part in their distances.
-    spread = {c: v**0.5 * counted[c] for c, v in zip(names, variances)}
-    most = min(counted["tuples"] // CELL_ROWS, max_cells)
-    for mixed in (False, True):
-        wanted = most
+    weights = np.array([counted[c] for c in names], dtype=float)
+    total, roots, nodes = sum(n for _, n in sets), {}, []
+    for held, n in sets:
+        mine = samples if held is None else samples[(known == held).all(axis=1)]
+        roots[held] = _grow(nodes, mine, 1 + spare * n // total, weights if held is None else weights * held)
+    spark = tuples.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast((roots, *map(np.array, zip(*nodes))))
+
+    def place(*series: pd.Series) -> pd.Series:
+        return pd.Series(_leaves(np.column_stack([s.to_numpy(dtype=float) for s in series]), shared.value))
+
+    cell = F.pandas_udf(place, "bigint")(*[F.col(c) for c in names])
+    complete = np.array([counted[f"has_{c}"] == counted["tuples"] for c in names])
+    # Each set of missing columns looks at the samples.
+    step = max(1, len(samples) // max(SAMPLES, CUT_SAMPLE // max(1, len(found))))
+    return _grid(cell, _cell_boxes(usable, names, cell).collect(), names, samples[::step], mixed, complete, counted["gaps"], max_cells)
+
+
+def _grow(nodes, points, leaves, weights):
+    """Add a tree of ``leaves`` at most to ``nodes``, rows of (column, cut, below, above) whose leaves lead to
+    themselves, and return its root. A node is cut in two where its points are spread most, so leaves hold
+    about as many tuples each, also where columns go together."""
+    at = len(nodes)
+    nodes.append((0, np.inf, at, at))
+    if leaves == 1 or not len(points):
+        return at
+    for j in np.argsort(-_spread(points) * weights, kind="stable"):
+        # Tuples without the column are above every cut.
+        values = np.where(np.isnan(points[:, j]), np.inf, points[:, j])
+        order = np.sort(values)
+        if weights[j] > 0 and order[0] < order[-1]:
+            few = leaves // 2
+            cut = min(order[max(0, len(order) * few // leaves - 1)], order[np.searchsorted(order, order[-1]) - 1])
+            low = values <= cut
+            below = _grow(nodes, points[low], few, weights)
+            above = _grow(nodes, points[~low], leaves - few, weights)
+            nodes[at] = (int(j), float(cut), below, above)
+            break
+    return at
+
+
+def _spread(points):
+    """Standard deviation of each column, 0 where no point holds it."""
+    held = ~np.isnan(points)
+    n = np.maximum(held.sum(axis=0), 1)
+    mean = np.where(held, points, 0.0).sum(axis=0) / n
+    return ((np.where(held, points - mean, 0.0) ** 2).sum(axis=0) / n) ** 0.5
+
+
+def _leaves(points, trees):
+    """The leaf of each point in the tree of its set of columns, -1 for those without one."""
+    out = np.full(len(points), -1, dtype=np.int64)
+    roots, column, cut, below, above = trees
+    next_ = np.column_stack([below, above]).ravel()
+    for held, rows in _by_pattern(points):
+        root = roots.get(tuple(held.tolist()), roots.get(None))
+        if root is None or not held.any():
+            continue
+        values, start = points[rows].ravel(), np.arange(len(rows)) * points.shape[1]
+        node = np.full(len(rows), root, dtype=np.int64)
         while True:
-            cell = _cell_name(tuples, names, _slices(spread, wanted), mixed)
-            found = _cell_boxes(usable, names, cell).limit(max_cells + 1).collect()
-            if len(found) <= max_cells:
-                complete = np.array([counted[f"has_{c}"] == counted["tuples"] for c in names])
-                return _grid(cell, found, names, _samples(usable, names, cell, len(found)), mixed, complete)
-            if wanted <= 1:
+            down = next_[2 * node + ~(values[start + column[node]] <= cut[node])]
+            if np.array_equal(down, node):
                 break
-            wanted //= 4
-    raise AssertionError("one cell always fits")
-
-
-def _slices(spread, wanted):
-    """Slices per column, at most ``wanted`` cells: the longest side is halved first."""
-    slices = dict.fromkeys(spread, 1)
-    cells = 1
-    while cells * 2 <= wanted:
-        longest = max(slices, key=lambda c: spread[c] / slices[c])
-        slices[longest] *= 2
-        cells *= 2
-    return {c: n for c, n in slices.items() if n > 1}
-
-
-def _cell_name(tuples, names, slices, mixed):
-    parts = [F.lit("*") if mixed else _pattern(names)]
-    finest = max(slices.values(), default=1)
-    cuts = stats.quantiles(
-        tuples, list(slices), [i / finest for i in range(1, finest)], accuracy=10_000
-    )
-    for c, n in slices.items():
-        # Slices are powers of two, so coarser cuts are among the finest.
-        step = finest // n
-        edges = sorted({e for e in cuts[c][step - 1 :: step] if e is not None})
-        # Position among the cuts, by binary search in generated code.
-        position = _position(F.col(c), edges, 0)
-        parts.append(F.when(F.col(c).isNull(), "-").otherwise(position.cast("string")))
-    return F.concat_ws("|", *parts)
-
-
-def _position(col, edges, base):
-    if not edges:
-        return F.lit(base)
-    middle = len(edges) // 2
-    return F.when(col <= edges[middle], _position(col, edges[:middle], base)).otherwise(
-        _position(col, edges[middle + 1 :], base + middle + 1)
-    )
+            node = down
+        out[rows] = node
+    return out
+
+
+def _halved(points, most):
+    """Row numbers of ``points`` in groups of ``most`` at most that lie close together: cut in two at the middle
+    of the column they are spread most in, again and again, and given in the order of these cuts."""
+    if not len(points):
+        return []
+    out, open_ = [], [np.arange(len(points))]
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= most:
+            out.append(rows)
+            continue
+        some = points[rows]
+        column = some[:, int(np.argmax(_spread(some)))] if some.shape[1] else np.zeros(len(rows))
+        order, half = np.argpartition(column, len(rows) // 2), len(rows) // 2
+        open_ += [rows[order[half:]], rows[order[:half]]]
+    return out
 
 
 def _cell_boxes(usable, names, cell):
-    return usable.groupBy(cell.alias("cell")).agg(
+    return usable.withColumn("cell", cell).groupBy("cell").agg(
         F.count(F.lit(1)).alias("tuples"),
         F.sum("n").alias("copies"),
         F.array(*[F.min(c) for c in names]).alias("low"),
@@ -203,23 +257,12 @@ def _cell_boxes(usable, names, cell):
     )
 
 
-def _samples(usable, names, cell, cells):
-    """A few different donors of each cell."""
-    each = max(1, SAMPLES // max(cells, 1))
-    rows = (
-        usable.groupBy(cell.alias("cell"), F.pmod(F.xxhash64("rid"), F.lit(each)).alias("s"))
-        .agg(F.any_value(F.array(*names)).alias("x"))
-        .collect()  # SAMPLES or MAX_CELLS rows at most
-    )
-    return _matrix([r["x"] for r in rows], len(names))
-
-
 def _matrix(rows, width):
     cells = [[np.nan if v is None else v for v in r] for r in rows]
     return np.array(cells, dtype=float).reshape(len(rows), width)
 
 
-def _grid(cell, rows, names, samples, mixed, complete):
+def _grid(cell, rows, names, samples, mixed, complete, gaps, most):
     return Grid(
         cell,
         [r["cell"] for r in rows],
@@ -230,6 +273,8 @@ def _grid(cell, rows, names, samples, mixed, complete):
         samples,
         mixed,
         complete,
+        gaps,
+        most,
     )
 
 
@@ -331,23 +376,26 @@ def _cells_near(points, low, high, copies, samples, k, mixed=False, complete=Non
 def _search(tuples, names, grid, k, block_rows, report=None):
     """(rid, f, value): imputed value for each gap that has a donor."""
     spark = tuples.sparkSession
-    ship(spark)
     shared = spark.sparkContext.broadcast((grid.low, grid.high, grid.copies, grid.samples, k, grid.mixed, grid.complete))
-    cell_names = np.array(grid.cells, dtype=object)
+    cell_names = np.array(grid.cells, dtype=np.int64)
 
     def route(batches):
         for batch in batches:
             points = batch[names].to_numpy(dtype=float)
             rows, cells, reaches = [], [], np.zeros(len(points))
-            for _, same in _by_pattern(points):
-                for start in range(0, len(same), GAP_BATCH):
-                    part = same[start : start + GAP_BATCH]
-                    low, high, copies, samples, *how = shared.value
-                    near, met = _cells_near(points[part], *shared.value)
+            for held, same in _by_pattern(points):
+                if not held.any():
+                    continue
+                low, high, copies, samples, *how = shared.value
+                around, met = _cells_near(points[same], *shared.value)
+                low, high, copies, samples = low[around], high[around], copies[around], samples[met]
+                for side_by_side in _halved(points[np.ix_(same, held)], GAP_BATCH):
+                    part = same[side_by_side]
+                    near, met = _cells_near(points[part], low, high, copies, samples, *how)
                     hit, reaches[part] = _cells_to_search(points[part], low[near], high[near], copies[near], samples[met], *how)
                     r, c = np.nonzero(hit)
                     rows.append(part[r])
-                    cells.append(near[c])
+                    cells.append(around[near[c]])
             if not rows:
                 continue
             routed = batch[["rid", *names]].iloc[np.concatenate(rows)].reset_index(drop=True)
@@ -355,33 +403,37 @@ def _search(tuples, names, grid, k, block_rows, report=None):
             routed["reach"] = reaches[np.concatenate(rows)]
             yield routed
 
-    # Work per row is heavy, so tasks are counted out rather than sized by bytes.
     tuple_count = int(grid.tuples.sum())
-    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), tuple_count // TASK_ROWS)
-    tasks = max(1, tasks, tuple_count // (20 * TASK_ROWS))
     columns = ", ".join(f"{c} double" for c in names)
     gaps = materialize(
         tuples.where(_has_gap(names))
         .select("rid", *names, grid.cell.alias("own"))
-        .repartitionByRange(tasks, "own", "rid")
+        .repartitionByRange(_tasks(spark, grid.gaps), "own", "rid")
         .sortWithinPartitions("own", "rid")
         .drop("own")
-        .mapInPandas(route, f"rid bigint, {columns}, cell string, reach double"),
+        .mapInPandas(route, f"rid bigint, {columns}, cell bigint, reach double"),
         "knn-gaps",
     )
     cells = stats.small_frame(
-        spark, list(zip(grid.cells, grid.tuples.tolist())), "cell string, tuples bigint")
-    donors = tuples.withColumn("cell", grid.cell)
-    if grid.tuples.max(initial=0) > CUT_FROM:
-        donors, cells, gaps = _cut_again(donors, names, grid, gaps)
+        spark, list(zip(grid.cells, grid.tuples.tolist())), "cell bigint, tuples bigint")
     if report is not None:
         report.update(index="grid", cells=len(grid.cells), gaps=gaps.select("rid").distinct().count(), routed=gaps.count())
-    return _folded(_met(gaps, donors, cells, names, k, block_rows, tasks), k)
+    # As the number of cells is limited, they and the blocks grow with the table.
+    block_rows *= -(-tuple_count // (CELL_ROWS * grid.most)) or 1
+    tasks = _tasks(spark, tuple_count, 128 * TASK_ROWS)
+    return _folded(_met(gaps, tuples.withColumn("cell", grid.cell), cells, names, k, block_rows, tasks), k)
+
+
+def _tasks(spark, rows, most=20 * TASK_ROWS):
+    """Work per row is heavy, so tasks are counted out rather than sized by bytes: of ``most`` rows."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS), rows // most)
 
 
 def _met(gaps, donors, cells, names, k, block_rows, tasks):
     """(rid, f, d, value, n, donor): for each of ``gaps`` (cell, rid, names) and missing column the ``k``
-    best of its cells' ``donors`` (cell, rid, n, names). ``cells`` is (cell, tuples)."""
+    best of its cells' ``donors`` (cell, rid, n, names), but for those beyond the ``reach`` that gaps may
+    have. ``cells`` is (cell, tuples)."""
+    known, cut = [c for c in gaps.columns if c == "reach"], CUT_FROM
     asked = gaps.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
     blocks = materialize(
         cells.join(asked, "cell").select(
@@ -392,31 +444,35 @@ def _met(gaps, donors, cells, names, k, block_rows, tasks):
         "knn-blocks",
     )
     size = blocks.agg(
-        F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum(F.col("donor_blocks").cast("bigint") * F.col("gap_blocks")), F.lit(0)).alias("groups")
+        F.count(F.lit(1)).alias("cells"),
+        F.coalesce(F.sum(F.col("donor_blocks").cast("bigint") * F.col("gap_blocks")), F.lit(0)).alias("groups"),
+        F.coalesce(F.max("donor_blocks"), F.lit(1)).alias("donor_blocks"),
+        F.coalesce(F.max("gap_blocks"), F.lit(1)).alias("gap_blocks"),
     ).first()
     blocks = F.broadcast(blocks) if size["cells"] <= BROADCAST_ROWS else blocks
+    # One number stands for cell and blocks, as rows are sorted by it.
+    key = (F.col("cell") * size["gap_blocks"] + F.col("gap_block")) * size["donor_blocks"] + F.col("donor_block")
     left = (
         gaps.join(blocks, "cell")
         .withColumn("gap_block", F.pmod(F.xxhash64("rid"), F.col("gap_blocks")).cast("int"))
         .withColumn("donor_block", F.explode(F.sequence(F.lit(0), F.col("donor_blocks") - 1)))
-        .select("cell", "gap_block", "donor_block", "rid", *names)
+        .select(key.alias("block"), "rid", *names, *known)
     )
     right = (
         donors.join(blocks, "cell")
         .withColumn("donor_block", F.pmod(F.xxhash64("rid"), F.col("donor_blocks")).cast("int"))
         .withColumn("gap_block", F.explode(F.sequence(F.lit(0), F.col("gap_blocks") - 1)))
-        .select("cell", "gap_block", "donor_block", "rid", "n", *names)
+        .select(key.alias("block"), "rid", "n", *names)
     )
 
     def compare(gap_rows, donor_rows):
-        return _nearest(gap_rows, donor_rows, names, k)
+        return _nearest(gap_rows, donor_rows, names, k, cut)
 
-    keys = ["cell", "gap_block", "donor_block"]
     tasks = max(1, min(size["groups"], max(tasks, size["groups"] // 64)))
     return (
-        left.repartition(tasks, *keys)
-        .groupBy(*keys)
-        .cogroup(right.repartition(tasks, *keys).groupBy(*keys))
+        left.repartition(tasks, "block")
+        .groupBy("block")
+        .cogroup(right.repartition(tasks, "block").groupBy("block"))
         .applyInPandas(compare, FOUND)
     )
 
@@ -482,8 +538,7 @@ def _search_columns(tuples, names, k, block_rows, report=None):
     counts = tuples.agg(*[F.count(c).alias(c) for c in names], F.count(F.lit(1)).alias("tuples")).first().asDict()
     tuple_count = counts.pop("tuples")
     shared = spark.sparkContext.broadcast(_column_cuts(tuples, names, counts))
-    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), tuple_count // TASK_ROWS)
-    tasks = max(1, tasks, tuple_count // (20 * TASK_ROWS))
+    tasks = _tasks(spark, tuple_count)
     columns = ", ".join(f"{c} double" for c in names)
 
     def own_slices(batches):
@@ -544,115 +599,100 @@ def _search_columns(tuples, names, k, block_rows, report=None):
 
 
 # --------------------------------------------------------------------------- #
-# parts of cells
+# blocks
 # --------------------------------------------------------------------------- #
 
 
-def _parts_per_column(low, high, tuples):
-    """Slices of one cell's columns, its longest side halved first, for parts of some
-    ``CELL_ROWS`` tuples."""
-    length = np.nan_to_num(high - low)
-    slices, parts = np.ones(len(length), dtype=int), 1
-    while parts * CELL_ROWS < tuples and (length > 0).any():
-        longest = int(np.argmax(length / slices))
-        slices[longest] *= 2
-        parts *= 2
-    return slices.tolist()
-
-
-def _cut_again(donors, names, grid, gaps):
-    """(donors, cells, gaps) by parts of cells. ``cells`` is (cell, tuples) of the parts."""
-    spark = donors.sparkSession
-
-    def known(box):
-        return [None if np.isnan(v) else float(v) for v in box]
-
-    info = stats.small_frame(
-        spark,
-        [(c, known(lo), known(hi), _parts_per_column(lo, hi, n))
-         for c, lo, hi, n in zip(grid.cells, grid.low, grid.high, grid.tuples)],
-        "of string, start array<double>, stop array<double>, slices array<int>")
-    bins = []
-    for j, name in enumerate(names):
-        slices, start = F.col("slices")[j], F.col("start")[j]
-        place = F.floor(F.try_divide(F.col(name) - start, F.col("stop")[j] - start) * slices)
-        bins.append(F.when(F.col(name).isNotNull() & (slices > 1), F.least(place, slices - 1)).otherwise(0).cast("string"))
-    # One row per cell, at most MAX_CELLS.
-    parted = donors.join(F.broadcast(info), F.col("cell") == F.col("of")).select(
-        "rid", "n", *names, "cell", F.concat_ws("/", "cell", F.concat_ws("|", *bins)).alias("part"))
-    held = F.coalesce(*[F.col(c) for c in names]).isNotNull()
-    boxes = materialize(
-        parted.where(held).groupBy("cell", "part").agg(
-            F.count(F.lit(1)).alias("tuples"),
-            *[F.min(c).alias(f"low_{c}") for c in names], *[F.max(c).alias(f"high_{c}") for c in names]),
-        "knn-parts")
-    terms = [
-        F.when(
-            F.col(c).isNotNull() & F.col(f"low_{c}").isNotNull(),
-            F.pow(F.greatest(F.col(f"low_{c}") - F.col(c), F.col(c) - F.col(f"high_{c}"), F.lit(0.0)), F.lit(2.0)))
-        for c in names
-    ]
-    shared = sum((t.isNotNull().cast("int") for t in terms), F.lit(0))
-    if grid.mixed:
-        nearest = F.least(*terms, F.lit(None).cast("double")) * len(names)
-    else:
-        nearest = sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0)) * len(names) / F.greatest(shared, F.lit(1))
-    routed = gaps.join(boxes.withColumnRenamed("cell", "of"), F.col("cell") == F.col("of")).where(
-        (shared > 0) & (nearest * (1 - 1e-9) <= F.col("reach")))
-    return (
-        parted.select("rid", "n", *names, F.col("part").alias("cell")),
-        boxes.select(F.col("part").alias("cell"), "tuples"),
-        materialize(routed.select("rid", *names, F.col("part").alias("cell")), "knn-routed"),
-    )
-
-
 def _by_pattern(points):
     """Row numbers grouped by which columns hold a value."""
     known = ~np.isnan(points)
-    patterns, which = np.unique(known, axis=0, return_inverse=True)
-    which = which.ravel()
-    return [(p, np.flatnonzero(which == i)) for i, p in enumerate(patterns)]
+    # Sets of up to 64 columns are numbers, which are faster to sort than rows.
+    bits = np.packbits(known, axis=1)
+    if bits.shape[1] <= 8:
+        codes = np.zeros((len(bits), 8), dtype=np.uint8)
+        codes[:, : bits.shape[1]] = bits
+        codes = codes.view(np.uint64).ravel()
+        if len(codes) and (codes == codes[0]).all():
+            return [(known[0], np.arange(len(codes)))]
+        _, first, which, sizes = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
+    else:
+        _, first, which, sizes = np.unique(bits, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    rows = np.split(np.argsort(which.ravel(), kind="stable"), np.cumsum(sizes)[:-1])
+    return [(known[i], r) for i, r in zip(first, rows)] if len(known) else []
 
 
-def _nearest(gap_rows, donor_rows, names, k):
+def _nearest(gap_rows, donor_rows, names, k, cut=CUT_FROM):
     """The ``k`` best donors of one block for each gap of one block."""
     # One frame a block: a frame for each batch would take longer than the search in it.
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
     gaps, rid = gap_rows[names].to_numpy(dtype=float), gap_rows["rid"].to_numpy()
+    reach = gap_rows["reach"].to_numpy(dtype=float) if "reach" in gap_rows else np.full(len(gaps), np.inf)
     donors, copies, ids = donor_rows[names].to_numpy(dtype=float), donor_rows["n"].to_numpy(), donor_rows["rid"].to_numpy()
     held, known = _by_pattern(donors), _by_pattern(gaps)
-    found = _by_products(gaps, donors, k) if len(held) * len(known) > MANY_PATTERNS else _pattern_pairs(gaps, known, donors, held, k)
-    for f, gap, donor, distance in found:
-        value = donors[donor, f]
-        order = np.lexsort((ids[donor], value, distance, gap))
-        owner = gap[order]
+    if len(held) * len(known) > MANY_PATTERNS:
+        found = _by_products(gaps, donors, k)
+    else:
+        found = _pattern_pairs(gaps, known, donors, held, k, reach, cut)
+
+    def best(f, gap, donor, distance, value):
+        order = np.lexsort((ids[donor], value, distance, f, gap))
+        owner = gap[order] * len(names) + f[order]
         place = np.arange(len(owner)) - np.searchsorted(owner, owner)
         top = order[place < k]
-        out.append((rid[gap[top]], np.full(len(top), f, np.int32), distance[top], value[top], copies[donor[top]], ids[donor[top]]))
-    return pd.DataFrame(dict(zip(("rid", "f", "d", "value", "n", "donor"), map(np.concatenate, zip(*out)))))
+        return f[top], gap[top], donor[top], distance[top], value[top]
+
+    for f, gap, donor, distance in found:
+        near = np.flatnonzero(distance <= reach[gap])
+        gap, donor = gap[near], donor[near]
+        out.append(best(np.full(len(gap), f), gap, donor, distance[near], donors[donor, f]))
+    f, gap, donor, distance, value = best(*map(np.concatenate, zip(*out)))
+    return pd.DataFrame({"rid": rid[gap], "f": f.astype(np.int32), "d": distance, "value": value, "n": copies[donor], "donor": ids[donor]})
 
 
-def _pattern_pairs(gaps, gap_patterns, donors, donor_patterns, k):
+def _pattern_pairs(gaps, gap_patterns, donors, donor_patterns, k, reach=None, cut=CUT_FROM):
     """Yields (f, gaps, donors, distances) of all that may be among the ``k`` best, one pair of sets of
     missing columns after the other."""
     width = gaps.shape[1]
+    reach = np.full(len(gaps), np.inf) if reach is None else reach
     for held, able in donor_patterns:
         for known, rows in gap_patterns:
             shared, wanted = np.flatnonzero(held & known), np.flatnonzero(held & ~known)
             if not len(shared) or not len(wanted):
                 continue
-            near = donors[np.ix_(able, shared)].T
-            for start in range(0, len(rows), GAP_BATCH):
-                batch = rows[start : start + GAP_BATCH]
-                distance = np.zeros((len(batch), len(able)))
-                for j, column in enumerate(shared):
-                    distance += (gaps[batch, column][:, None] - near[j][None, :]) ** 2
-                distance *= width / len(shared)
-                kth = min(k, len(able)) - 1
-                limit = np.partition(distance, kth, axis=1)[:, kth]
-                r, c = np.nonzero(distance <= limit[:, None])
+            points, near = gaps[np.ix_(rows, shared)], donors[np.ix_(able, shared)]
+            for gap, donor, distance in _closest(points, near, k, width / len(shared), reach[rows], cut):
                 for f in wanted:
-                    yield f, batch[r], able[c], distance[r, c]
+                    yield f, rows[gap], able[donor], distance
+
+
+def _closest(points, donors, k, scale, reach, cut):
+    """Yields (points, donors, distances) of all that may be among the ``k`` best. The donors are cut into parts.
+    A point first meets the part nearest to it, whose ``k``-th distance tells which others it has to meet."""
+    parts = _halved(donors, max(cut, 2 * k))
+    low, high = (np.array([edge(donors[p], axis=0) for p in parts]) for edge in (np.min, np.max))
+    for start in range(0, len(points), PART_BATCH):
+        rows = np.arange(start, min(start + PART_BATCH, len(points)))
+        away = np.zeros((len(rows), len(parts)))
+        for j in range(points.shape[1]):
+            x = points[rows, j, None]
+            away += np.maximum(np.maximum(low[:, j] - x, x - high[:, j]), 0.0) ** 2
+        # The slack covers rounding in the sums.
+        away *= scale * (1 - 1e-9)
+        own, limit = away.argmin(axis=1), reach[rows]
+        for first in (True, False):
+            for p, part in enumerate(parts):
+                asks = np.flatnonzero((own == p) == first)
+                asks = asks[away[asks, p] <= limit[asks]]
+                if not len(asks):
+                    continue
+                distance = np.zeros((len(asks), len(part)))
+                for j in range(points.shape[1]):
+                    distance += (points[rows[asks], j, None] - donors[part, j]) ** 2
+                distance *= scale
+                if first and len(part) >= k:
+                    limit[asks] = np.minimum(limit[asks], np.partition(distance, k - 1, axis=1)[:, k - 1])
+                r, c = np.nonzero(distance <= limit[asks, None])
+                yield rows[asks[r]], part[c], distance[r, c]
 
 
 def _by_products(gaps, donors, k):
@@ -694,18 +734,22 @@ def _by_products(gaps, donors, k):
 # --------------------------------------------------------------------------- #
 
 
-def _join_fills(whole, tuples, columns, names, fills, summary, broadcast_rows):
-    """Put the found values into the table. Only incomplete rows take part in the
-    join; their tuple is the key."""
+def _fills_of_tuples(tuples, names, fills):
+    """(tuple, n, a column for each of ``names``) of the tuples that have fills."""
     wide = fills.groupBy("rid").agg(
         *[F.max(F.when(F.col("f") == i, F.col("value"))).alias(f"__y{i}") for i in range(len(names))]
     )
-    lookup = materialize(
+    return materialize(
         tuples.join(wide, "rid").select(
             F.struct(*names).alias("tuple"), "n", *[f"__y{i}" for i in range(len(names))]
         ),
         "knn-fills",
     )
+
+
+def _join_fills(whole, lookup, columns, names, summary, broadcast_rows):
+    """Put the found values into the table. Only incomplete rows take part in the
+    join; their tuple is the key."""
     size = lookup.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).first()
     has_gap = any_of(ref(c).isNull() for c in columns)
     key = F.struct(*[ref(c).alias(n) for c, n in zip(columns, names)])

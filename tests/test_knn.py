@@ -226,3 +226,46 @@ def test_a_block_makes_one_frame(monkeypatch):
     monkeypatch.setattr(knn.pd, "DataFrame", lambda *a, **b: made.append(1) or frame_of(*a, **b))
     found = knn._nearest(rows, rows, names, 5)
     assert len(made) == 1 and len(found) == 5 * int(pdf.dropna(how="all").isna().to_numpy().sum())
+
+
+def test_cells_hold_as_many_tuples_where_columns_go_together(spark, monkeypatch):
+    """Slices of each column left most cells of such a table empty, and the rest was cut again along the
+    column that gaps do not have: a gap met a share of the table."""
+    monkeypatch.setattr(knn, "CELL_ROWS", 16)
+    monkeypatch.setattr(knn, "CUT_FROM", 16)
+    draw = np.random.default_rng(21)
+    key = np.arange(2_000.0)
+    pdf = pd.DataFrame({"key": key, "other": key // 200 * 20 + draw.random(2_000) * 20, "price": draw.random(2_000) * 1e6})
+    pdf.loc[draw.random(2_000) < 0.1, "price"] = np.nan
+    report = compare_scattered(spark, pdf, max_cells=100)
+    print("routed for each gap:", report["routed"] / report["gaps"], report)
+    assert report["index"] == "grid" and report["cells"] >= 80 and report["routed"] <= 5 * report["gaps"]
+
+
+def test_trees_have_balanced_leaves():
+    draw = np.random.default_rng(4)
+    points = np.column_stack([draw.integers(0, 3, 4_000), draw.normal(0, 9, 4_000), draw.normal(0, 1e6, 4_000)])
+    nodes = []
+    root = knn._grow(nodes, points, 13, np.array([5.0, 5.0, 0.0]))
+    trees = ({(True, True, True): root}, *map(np.array, zip(*nodes)))
+    leaves, sizes = np.unique(knn._leaves(points, trees), return_counts=True)
+    assert len(leaves) == 13 and sizes.max() < 1.2 * sizes.min()
+    assert 2 not in {c for c, cut, *_ in nodes if np.isfinite(cut)}  # no gap has it
+    strange = np.array([[np.nan, 1.0, 2.0], [np.nan] * 3])
+    assert knn._leaves(strange, trees).tolist() == [-1, -1]
+    assert len(set(knn._leaves(strange, ({None: root}, *trees[1:])).tolist()) - {-1}) == 1
+
+
+@pytest.mark.parametrize("reach", [np.inf, 12.0])
+def test_parts_of_a_block_hold_all_neighbours(reach):
+    """Ties too; and a gap is not compared with all of the block."""
+    draw = np.random.default_rng(8)
+    donors, points = draw.integers(0, 60, (3_000, 2)).astype(float), draw.integers(-5, 65, (200, 2)).astype(float)
+    found = set()
+    for p, d, away in knn._closest(points, donors, 5, 1.5, np.full(200, reach), 64):
+        assert not found & set(zip(p.tolist(), d.tolist()))
+        found |= set(zip(p.tolist(), d.tolist()))
+    every = ((points[:, None] - donors[None]) ** 2).sum(axis=2) * 1.5
+    kth = np.minimum(np.sort(every, axis=1)[:, 4], reach)
+    assert set(zip(*(i.tolist() for i in np.nonzero(every <= kth[:, None])))) <= found
+    assert len(found) < every.size / 50
