@@ -40,7 +40,7 @@ from ..functions import stats
 from ..functions.exprs import any_of
 from ..functions.lookup import BROADCAST_ROWS, join_lookup
 from ..functions.packaging import ship
-from ..functions.storage import materialize
+from ..functions.storage import materialize, scratch
 from ..functions.types import numeric_columns, ref
 
 MAX_CELLS = 8_000
@@ -93,19 +93,22 @@ def knn_impute(
     if not gappy:
         return whole
     names = [f"x{i}" for i in range(len(columns))]
-    tuples = materialize(
-        whole.select([ref(c).alias(n) for c, n in zip(columns, names)])
-        .groupBy(*names)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("rid", F.monotonically_increasing_id()),
-        "knn-tuples",
-    )
-    if _scattered(tuples, names, k):
-        fills = _search_columns(tuples, names, k, block_rows, report)
-    else:
-        grid = _fit_grid(tuples, names, max_cells)
-        fills = _search(tuples, names, grid, k, block_rows, report)
-    lookup = _fills_of_tuples(tuples, names, fills)
+    # Only the fills are read by the result.
+    with scratch(df.sparkSession) as stay:
+        tuples = materialize(
+            whole.select([ref(c).alias(n) for c, n in zip(columns, names)])
+            .groupBy(*names)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("rid", F.monotonically_increasing_id()),
+            "knn-tuples",
+        )
+        if _scattered(tuples, names, k):
+            fills = _search_columns(tuples, names, k, block_rows, report)
+        else:
+            grid = _fit_grid(tuples, names, max_cells)
+            fills = _search(tuples, names, grid, k, block_rows, report)
+        lookup, path = _fills_of_tuples(tuples, names, fills)
+        stay(path)
     return _join_fills(whole, lookup, columns, names, summary, broadcast_rows)
 
 
@@ -735,15 +738,16 @@ def _by_products(gaps, donors, k):
 
 
 def _fills_of_tuples(tuples, names, fills):
-    """(tuple, n, a column for each of ``names``) of the tuples that have fills."""
+    """(tuple, n, a column for each of ``names``) of the tuples with gaps that have fills, and its path."""
     wide = fills.groupBy("rid").agg(
         *[F.max(F.when(F.col("f") == i, F.col("value"))).alias(f"__y{i}") for i in range(len(names))]
     )
     return materialize(
-        tuples.join(wide, "rid").select(
+        tuples.where(_has_gap(names)).join(wide, "rid").select(
             F.struct(*names).alias("tuple"), "n", *[f"__y{i}" for i in range(len(names))]
         ),
         "knn-fills",
+        with_path=True,
     )
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from clearwell.functions import storage
 from clearwell.operators import knn
 
 
@@ -269,3 +270,11 @@ def test_parts_of_a_block_hold_all_neighbours(reach):
     kth = np.minimum(np.sort(every, axis=1)[:, 4], reach)
     assert set(zip(*(i.tolist() for i in np.nonzero(every <= kth[:, None])))) <= found
     assert len(found) < every.size / 50
+
+
+def test_only_the_fills_stay_in_scratch(spark, untidy, tmp_path, monkeypatch):
+    """All tables of the search stayed: tuples, gaps, blocks."""
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: str(tmp_path))
+    filled = knn.knn_impute(frame(spark, untidy))
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["knn-fills"]
+    assert filled.count() == len(untidy)
